@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_packing
 from .sharding import op7_sharding
+from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding, op8_packing)}
+    return {f.__name__: f for f in (op3_simhash, op7_sharding, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
