@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language
 from .packing import op8_packing
 from .sharding import op7_sharding
 from .simhash import op3_simhash
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op7_sharding, op8_packing)}
+    return {f.__name__: f for f in (op3_simhash, op7_sharding, op8_packing, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
