@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from .common import table, uniform
 from .langid import remainder
 
-SAMPLE = 1500
+SAMPLE = 3000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-AFFIXES = (3, 4, 5)
+AFFIXES = (3, 4, 5, 6)
 SUFFIXES = (4,)
 MAX_WORDS = 500_000
 #: Seeds must be this pure on the sample: clean documents over toxic ones, both as shares of their kind.
 IMPURE = 0.02
-LEAST = 4
+LEAST = 3
 
 
 def features(word: str) -> list[str]:
@@ -218,7 +218,7 @@ def _likelihood(params: np.ndarray, feats: list, labels: list[np.ndarray], index
     return loss, grad / rows
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 0, rounds: int = 120, cap: int = 400) -> Model:
+def fit(rows: list[tuple[str, int]], seed: int = 0, rounds: int = 250, cap: int = 400) -> Model:
     """Train on (text, label) rows. Chains are cut into parts of ``cap`` words, so every word is learned from."""
     rows = list(dict.fromkeys(rows))  # copies would make chance words look frequent
     toxic, clean = [t for t, y in rows if y == 1], [t for t, y in rows if y != 1]
