@@ -55,3 +55,30 @@ def uniform(seed: int, *cols) -> F.Column:
     """A uniform number in [0, 1) that depends on the values only: the first 32 bits of an MD5."""
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c for c in cols], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+BITS = 1 << 23
+
+
+def seen_bitmap(df: DataFrame, col: str) -> DataFrame:
+    """A bitmap of the hashed values of ``col`` (``BITS`` bits in buckets of 4 KB: 1 MB in all, whatever the input)."""
+    bit = F.pmod(F.xxhash64(col), F.lit(BITS))
+    return df.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def mark_seen(df: DataFrame, bitmap: DataFrame, value: F.Column) -> DataFrame:
+    """``df`` with ``_seen``: whether the bitmap may hold ``value`` (never false where it does). The bitmap is broadcast, 1 MB at most."""
+    bit = F.pmod(F.xxhash64(value), F.lit(BITS))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    joined = df.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))), "_bucket", "left")
+    return joined.withColumn("_seen", F.coalesce(hit, F.lit(False))).drop("_at", "_bucket", "_bits")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of finished steps, whose frames are out of reach by now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

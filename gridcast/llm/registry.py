@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import op4_lines
 from .langid import op9_language
 from .packing import op8_packing
 from .sharding import op7_sharding
@@ -14,7 +15,7 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op7_sharding, op8_packing, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op3_simhash, op4_lines, op7_sharding, op8_packing, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
