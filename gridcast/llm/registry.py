@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .lines import op4_lines
+from .embeddings import op5_embeddings
 from .langid import op9_language
+from .lines import op4_lines
+from .mixing import SQL as MIXING_SQL
+from .mixing import op2_mixing
 from .packing import op8_packing
 from .sharding import op7_sharding
 from .simhash import op3_simhash
@@ -15,8 +18,8 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op4_lines, op7_sharding, op8_packing, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op2_mixing, op3_simhash, op4_lines, op5_embeddings, op7_sharding, op8_packing, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": MIXING_SQL}
