@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words, aggregated to document scores.
 
 Labels say which documents are toxic, not which words, so the training tokens are labelled first: among the word
-and affix features of a bounded sample, those whose presence marks toxic documents and hardly any other are chosen
-greedily until they cover the toxic documents they can; a word of a toxic document with such a feature is a toxic
+and affix features of a bounded sample, those whose presence marks toxic documents and hardly any other are chosen if
+too frequent for chance, or greedily until they cover the toxic documents they can; a word of a toxic document with such a feature is a toxic
 token, every word of a clean document is not. A two-state chain (other, toxic) is then trained on these
 sequences by gradient descent on the exact likelihood: emissions of word, prefix and suffix features, and transitions.
 
@@ -19,9 +19,11 @@ expectation, drawn by a hash of the id. Labels, languages, sources and ids are n
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ MAX_WORDS = 500_000
 #: Seeds must be this pure on the sample: clean documents over toxic ones, both as shares of their kind.
 IMPURE = 0.02
 LEAST = 3
+SURE = 14
 
 
 def features(word: str) -> list[str]:
@@ -58,7 +61,7 @@ class Model:
 
     def evidence(self, text: str) -> tuple[list[float], list[int], int]:
         """The emissions of words with a feature, their places, and the number of words."""
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         known = self.known
         got = list(map(known.get, words))
         if None in got:
@@ -141,31 +144,47 @@ class Model:
         return out
 
 
-def seeds(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Features that mark toxic documents: greedy cover by those pure enough, then all that are as pure and frequent."""
-    pos, neg = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
-    scale = len(toxic) / max(1, len(clean))
-    pure = {f for f, n in pos.items() if n >= LEAST and neg[f] * scale <= IMPURE * n}
-    having: dict[str, list[int]] = {f: [] for f in pure}
-    for i, d in enumerate(toxic):
-        for f in d & pure:
-            having[f].append(i)
-    count = {f: len(x) for f, x in having.items()}
-    chosen, covered = set(), [0] * len(toxic)
-    inverse = [d & pure for d in toxic]
-    # Two toxic words a document are looked for, so the cover is taken twice.
-    while count:
-        best = max(count, key=lambda f: (count[f], len(f), f))
-        if count[best] < LEAST:
+#: Features are counted in so many hashed buckets, which bounds the driver's memory.
+BUCKETS = 1 << 22
+
+
+@lru_cache(100_000)
+def _buckets(word: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(f.encode()) & (BUCKETS - 1) for f in features(word))
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def seeds(toxic: list[str], clean: list[str]) -> set[str]:
+    """Features that mark toxic texts: pure ones too frequent for chance, and those chosen greedily until each text has two it can have."""
+    count = []
+    for texts in (toxic, clean):
+        total = np.zeros(BUCKETS, np.int32)
+        for t in texts:
+            total[list({b for w in set(words_of(t)) for b in _buckets(w)})] += 1
+        count.append(total)
+    pure = (count[0] >= LEAST) & (count[1] * (len(toxic) / max(1, len(clean))) <= IMPURE * count[0])
+    inverse = [{f for w in set(words_of(t)) for f, b in zip(features(w), _buckets(w), strict=True) if pure[b]} for t in toxic]
+    having: dict[str, list[int]] = {}
+    for i, d in enumerate(inverse):
+        for f in d:
+            having.setdefault(f, []).append(i)
+    left = {f: len(x) for f, x in having.items()}
+    chosen, covered = {f for f, n in left.items() if n >= SURE}, [0] * len(toxic)
+    while left:
+        best = max(left, key=lambda f: (left[f], len(f), f))
+        if left[best] < LEAST:
             break
         chosen.add(best)
         for i in having[best]:
             covered[i] += 1
             if covered[i] == 2:
                 for f in inverse[i]:
-                    if f in count:
-                        count[f] -= 1
-        del count[best]
+                    if f in left:
+                        left[f] -= 1
+        del left[best]
     return chosen
 
 
@@ -218,32 +237,50 @@ def _likelihood(params: np.ndarray, feats: list, labels: list[np.ndarray], index
     return loss, grad / rows
 
 
+def distinct(rows: list[tuple[str, int]], words: int = 5, sketches: int = 3) -> list[tuple[str, int]]:
+    """Rows without later copies and near copies (which share a smallest shingle hash): these make chance words look frequent."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, label in rows:
+        found = words_of(text)
+        parts = {zlib.crc32(" ".join(found[i : i + words]).encode()) for i in range(max(1, len(found) - words + 1))}
+        own = {(k, min(p * (2 * k + 1) * 0x9E3779B1 & 0xFFFFFFFF for p in parts)) for k in range(sketches)}
+        if own.isdisjoint(seen):
+            out.append((text, label))
+        seen |= own
+    return out
+
+
 def fit(rows: list[tuple[str, int]], seed: int = 0, rounds: int = 250, cap: int = 400) -> Model:
     """Train on (text, label) rows. Chains are cut into parts of ``cap`` words, so every word is learned from."""
-    rows = list(dict.fromkeys(rows))  # copies would make chance words look frequent
+    rows = distinct(rows)
     toxic, clean = [t for t, y in rows if y == 1], [t for t, y in rows if y != 1]
     if not toxic or not clean:
         return Model()
-    words = {t: WORD.findall(t.lower()) for t, _ in rows}
-    held = {t: {f for w in set(words[t]) for f in features(w)} for t, _ in rows}
-    marks = seeds([held[t] for t in toxic], [held[t] for t in clean])
+    marks = seeds(toxic, clean)
     if not marks:
         return Model()
-    marked = Counter(f for t in toxic for w in words[t] if any(x in marks for x in features(w)) for f in features(w))
-    other = Counter(f for t, _ in rows for w in set(words[t]) if not any(x in marks for x in features(w)) for f in features(w) if f in marked)
+    marked: Counter = Counter()
+    for t in toxic:
+        for w in words_of(t):
+            if not marks.isdisjoint(own := features(w)):
+                marked.update(own)
+    hit = lru_cache(100_000)(lambda w: tuple(f for f in features(w) if f in marked))
+    other = Counter(f for t, _ in rows for w in set(words_of(t)) if (own := hit(w)) and marks.isdisjoint(own) for f in own)
     names = sorted((f for f, n in marked.items() if f in marks or n >= LEAST and n >= other[f]), key=lambda f: (-marked[f], f))
     index = {f: i for i, f in enumerate(names)}
     rng = np.random.default_rng(seed)
     feats, labels = [], []
     for t, y in rows:
-        # Parts without a feature and a toxic word differ in length only; a few stand for all.
-        for at in range(0, len(words[t]), cap):
-            part = words[t][at : at + cap]
-            own = [(i, index[f]) for i, w in enumerate(part) for f in features(w) if f in index]
+        words = words_of(t)
+        for at in range(0, len(words), cap):
+            part = words[at : at + cap]
+            own = [(i, index[f]) for i, w in enumerate(part) for f in hit(w) if f in index]
+            # Parts without a feature differ in length only; a few stand for all.
             if not own and rng.random() > 0.05:
                 continue
-            tags = np.array([int(y == 1 and any(f in marks for f in features(w))) for w in part], np.int64)
-            feats.append((np.array([i for i, _ in own], np.int64), np.array([f for _, f in own], np.int64)))
+            tags = np.array([int(y == 1 and not marks.isdisjoint(hit(w))) for w in part], np.int8)
+            feats.append((np.array([i for i, _ in own], np.int32), np.array([f for _, f in own], np.int32)))
             labels.append(tags)
     params = np.zeros(len(names) + 5)
     params[len(names)] = -4.0
