@@ -17,7 +17,8 @@ Text is shuffled only for documents that hold a candidate or a removed line: a b
 one document.
 
 Results: null texts stay null and have no lines; an empty text is one empty line. Null ids come first. Rows
-that agree in id and text tie: neither removes the other's lines. Other columns are kept as they are.
+that agree in id and text tie: neither removes the other's lines. Other columns are kept, but for those named as
+the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mark_seen, materialize, release, seen_bitmap, table
 
@@ -168,6 +170,7 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the remaining lines as text, and the columns ``lines_total`` and ``lines_removed``."""
     text = F.col(text_col).cast("string")
+    docs = docs.drop("lines_total", "lines_removed")
     keyed = docs.withColumn("_th", F.xxhash64(text))
     gone = materialize(removals(keyed.select(F.col(id_col).cast("long").alias("_id"), "_th", text.alias("_text")), min_chars), "line-removals").withColumnsRenamed({"id": "_gid", "th": "_gth", "gone": "_gone"})
     release(docs.sparkSession)
@@ -175,7 +178,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     joined = marked.filter("_seen").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left").drop("_gid", "_gth")
     both = joined.unionByName(marked.filter("NOT _seen").withColumn("_gone", F.lit(None).cast("array<int>"))).drop("_th", "_seen")
     names = [*docs.columns, "lines_total", "lines_removed"]
-    schema = docs.schema.add("lines_total", "long").add("lines_removed", "long")
+    schema = T.StructType(list(docs.schema.fields)).add("lines_total", "long").add("lines_removed", "long")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

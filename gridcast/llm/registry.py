@@ -14,11 +14,12 @@ from .mixing import op2_mixing
 from .packing import op8_packing
 from .sharding import op7_sharding
 from .simhash import op3_simhash
+from .suffix import op1_suffix
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_simhash, op4_lines, op5_embeddings, op7_sharding, op8_packing, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix, op2_mixing, op3_simhash, op4_lines, op5_embeddings, op7_sharding, op8_packing, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
