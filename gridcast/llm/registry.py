@@ -12,6 +12,8 @@ from .lines import op4_lines
 from .mixing import SQL as MIXING_SQL
 from .mixing import op2_mixing
 from .packing import op8_packing
+from .search import SQL as SEARCH_SQL
+from .search import op6_search
 from .sharding import op7_sharding
 from .simhash import op3_simhash
 from .suffix import op1_suffix
@@ -19,8 +21,8 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix, op2_mixing, op3_simhash, op4_lines, op5_embeddings, op7_sharding, op8_packing, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix, op2_mixing, op3_simhash, op4_lines, op5_embeddings, op6_search, op7_sharding, op8_packing, op9_language, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL}
+    return {"op2_mixing": MIXING_SQL, "op6_search": SEARCH_SQL}
