@@ -60,8 +60,8 @@ def test_pruning_opens_fewer_postings():
     opened = []
     plain = shard._sum
     shard._sum = lambda t, off, at, value, size: opened.append((off[t + 1] - off[t]).sum() if at is shard.doc else 0) or plain(t, off, at, value, size)
-    query = np.array([0, 1, 2, 150, 170, 190, 199])
+    query = np.array([0, 1, 2, 190, 195, 197, 199])
     docs, score = shard.search(query, 3)
     every = plain(query, shard.off, shard.doc, shard.imp, n)
     assert np.allclose(np.sort(score)[::-1][:3], np.sort(every)[::-1][:3])
-    assert max(opened[1:]) < 0.5 * (shard.off[query + 1] - shard.off[query]).sum()
+    assert sum(opened[1:]) < 0.5 * (shard.off[query + 1] - shard.off[query]).sum()

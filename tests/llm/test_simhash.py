@@ -57,7 +57,7 @@ def test_counter_is_exact():
     fps[1:60] = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, 59).astype(np.uint64))
     planes, wanted = S.planes_of(fps), np.full(4, ~np.uint64(0))
     for radius in (0, 1, 3, 7):
-        got = [i for i in S.within(planes, int(fps[0]), wanted, radius) if i < 200]
+        got = [i for i in S.within(planes, fps[0], wanted, radius) if i < 200]
         assert got == [i for i in range(200) if (int(fps[i]) ^ int(fps[0])).bit_count() <= radius]
         assert S.pairs_within(fps[:-1], fps[1:], radius).tolist() == [(int(a) ^ int(b)).bit_count() <= radius for a, b in zip(fps[:-1], fps[1:], strict=True)]
 
@@ -76,6 +76,49 @@ def test_documents_with_edges(spark):
     for r in got:
         i = 3 if r["doc_id"] is None else r["doc_id"]
         assert (r["fp"] % (1 << 64), r["component_id"]) == (prints[i], label[i])
-    kept = S.dedup(docs).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(i for i in [*label, 3] if label[i] == i)
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [20_000, 6])
+def test_long_fingerprints_link_what_shares_a_block(spark, bucket):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (6, 2), np.uint64)
+    rows = []
+    for b in base:
+        for _ in range(12):
+            x = b.copy()
+            for bit in rng.choice(128, rng.integers(0, 9), replace=False):
+                x[bit // 64] ^= np.uint64(1 << int(bit % 64))
+            rows.append(x)
+    rows = np.unique(np.array(rows), axis=0)
+    df = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(rows)], "id long, fp binary")
+    got = {i: i for i in range(len(rows))} | {r["node"]: r["component"] for r in S.components(S.similar_links(df, 10, 2, bucket=bucket)).collect()}
+    blocks = rows.view(np.uint16).reshape(len(rows), -1)
+    label = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for i in label:
+            for j in label:
+                if label[j] < label[i] and (blocks[i] == blocks[j]).any() and sum(int(a ^ b).bit_count() for a, b in zip(rows[i], rows[j], strict=True)) <= 10:
+                    label[i] = label[j]
+    assert got == label
+
+
+def test_dedup_keeps_one_of_each_group_and_clean_documents(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        rows.append((g, " ".join(base)))
+        for c in range(g % 4):
+            copy = base[:]
+            for _ in range(3):
+                copy[rng.randrange(300)] = "changed"
+            rows.append((100 + 10 * g + c, " ".join(copy)))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "a"), (902, "a")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
+    kept = S.dedup(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(range(30)) <= set(ids) and ids.count(902) == 2 and 900 in ids and 901 not in ids and None in ids
+    assert sum(i is not None and 100 <= i < 900 for i in ids) <= 2
+    assert S.dedup(docs.limit(0)).count() == 0
