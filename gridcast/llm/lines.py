@@ -4,11 +4,12 @@ Lines are compared lower-cased with single spaces. A line of ``MIN_CHARS`` chara
 earlier line (by document id, text hash, line number) is within one edit of it: one character put in, taken out or
 changed. Shorter lines always stay.
 
-Equal lines are collapsed first. Of the distinct lines only those that share a half with another can be within one edit (an
-edit leaves the first or the last half as it was; keys are made for the length and one less, so that halves meet
-across an insertion). Those lines emit their deletion neighbourhood as hashed keys: the line without
-character i (which equals a line that is one shorter) and the line with character i blanked (which equals another line of
-the same length blanked there), for the positions outside the shared half. Lines of one key are within one edit of
+Equal lines are collapsed first. Of the distinct lines only those that share about a half with another can be within one edit
+(an edit leaves the first or the last part of somewhat under half the length as it was; lengths are rounded down to classes for
+that, and a line whose length opens a class also takes the one below, so that parts meet across an insertion). Of these, only lines
+that agree with another but for one sixteenth remain. They emit their deletion neighbourhood as hashed keys, at the
+positions within those sixteenths: the line without character i (which equals a line that is one shorter) and the line with
+character i blanked (which equals another line of the same length blanked there). Lines of one key are within one edit of
 each other, so each is compared with the earliest of its key only: rows stay linear in the keys whatever the
 size of a group, and no pair is emitted twice. The edit distance of each found pair is verified on the text.
 
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from .common import mark_seen, materialize, release, seen_bitmap, table
 
 MIN_CHARS = 20
+BLOCKS = 16
 BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -60,16 +62,32 @@ def _hash(kind: int, n: int, text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 4 * n + kind)
 
 
+def part_of(n: int) -> int:
+    """The length of the first and last part that lines of about ``n`` characters are met by: the same for a range of lengths."""
+    return (n >> max(0, n.bit_length() - 4) << max(0, n.bit_length() - 4)) // 2
+
+
 def half_keys(line: str) -> list[int]:
+    """Keys of the first and the last part (their lowest bit tells which), for the line's class and, at its edge, the class below."""
     n = len(line)
-    return [_hash(0, n, line[: n // 2]), _hash(0, n - 1, line[: (n - 1) // 2]), _hash(1, n, line[n - n // 2 :]), _hash(1, n - 1, line[n - (n - 1) // 2 :])]
+    sizes = [part_of(n)] + ([part_of(n - 1)] if part_of(n - 1) != part_of(n) else [])
+    return [k for p in sizes for k in (_hash(0, p, line[:p]) & ~1, _hash(1, p, line[n - p :]) | 1)]
+
 
+def block_keys(line: str) -> list[tuple[int, int, int]]:
+    """(key, first, end): the line without each of its ``BLOCKS`` parts, and the positions in that part; for its length and one less."""
+    n, out = len(line), []
+    for m in (n, n - 1):
+        for j in range(BLOCKS):
+            a, e = j * m // BLOCKS, (j + 1) * m // BLOCKS
+            end = n - m + e
+            if end > a:
+                out.append((_hash(3, m * BLOCKS + j, line[:a] + "\0" + line[end:]), a, end))
+    return out
 
-def neighbourhood(line: str, sides: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Keys of the whole line, of the line without a character, and of the line with one blanked.
 
-    ``sides``: bit 0, a first half is shared (the edit is behind it); bit 1, a last half is (the edit is before it).
-    """
+def neighbourhood(line: str, ranges: list[tuple[int, int]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Keys of the whole line, of the line without a character, and of the line with one blanked, at positions in the ranges."""
     n = len(line)
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     power = np.full(n, BASE, np.uint64)
@@ -77,8 +95,7 @@ def neighbourhood(line: str, sides: int) -> tuple[int, np.ndarray, np.ndarray]:
     power = np.cumprod(power)
     terms = codes * power
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
-    lo, hi = (0 if sides & 2 else max(0, (n - 1) // 2 - 1)), (n if sides & 1 else min(n, n - (n - 1) // 2 + 1))
-    at = np.arange(lo, hi)
+    at = np.unique(np.concatenate([np.arange(lo, hi) for lo, hi in ranges]))
     without = prefix[at] + (prefix[n] - prefix[at + 1]) * np.uint64(INVERSE)
     blanked = prefix[n] - terms[at] + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,7 +120,8 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for i, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= min_chars and len(s := normal(line)) >= min_chars:
-                        out.append((doc, th, i, _signed(_hash(2, 0, s)), *map(_signed, half_keys(s))))
+                        keys = [_signed(k) for k in half_keys(s)]
+                        out.append((doc, th, i, _signed(_hash(2, 0, s)), *keys, *[None] * (4 - len(keys))))
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out = []
@@ -113,56 +131,78 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("_id", "_th", "_text").mapInArrow(run, "id long, th long, line int, h long, k0 long, k1 long, k2 long, k3 long")
 
 
-def _keys(cands: DataFrame) -> DataFrame:
-    """(h, key, kind, line) for candidate lines: kind 0 whole (with the text), 1 without a character, 2 blanked. ``cands``: _text, lines."""
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("kind", pa.int8()), ("norm", pa.string())])
+def _texts(cands: DataFrame) -> DataFrame:
+    """(h, norm) of the candidate lines of each text. ``cands``: _text, lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                lines = text.as_py().split("\n")
-                for w in wanted.as_py():
-                    s = normal(lines[w["line"]])
-                    whole, without, blanked = neighbourhood(s, w["sides"])
-                    keys = np.concatenate((np.array([whole], np.uint64), without, blanked)).view(np.int64)
-                    kinds = np.concatenate(([0], np.ones(len(without)), np.full(len(blanked), 2))).astype(np.int8)
-                    norm = pa.array([s] + [None] * (len(keys) - 1), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), w["h"])), pa.array(keys), pa.array(kinds), norm], schema=schema)
+                lines, own = text.as_py().split("\n"), wanted.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in own], pa.int64()), pa.array([normal(lines[w["line"]]) for w in own], pa.string())], ["h", "norm"])
+
+    return cands.select("_text", "lines").mapInArrow(run, "h long, norm string")
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(h, _signed(k), a, e) for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, a, e in block_keys(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["h", "key", "lo", "hi"])
+
+    return texts.select("h", "norm").mapInArrow(run, "h long, key long, lo int, hi int")
 
-    return cands.select("_text", "lines").mapInArrow(run, "h long, key long, kind byte, norm string")
+
+def _keys(texts: DataFrame) -> DataFrame:
+    """(h, key, kind): 0 the whole line, 1 without a character, 2 with one blanked. ``texts``: h, norm, ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, s, ranges in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                whole, without, blanked = neighbourhood(s, [(r["lo"], r["hi"]) for r in ranges])
+                keys = np.concatenate((np.array([whole], np.uint64), without, blanked)).view(np.int64)
+                kinds = np.concatenate(([0], np.ones(len(without)), np.full(len(blanked), 2))).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), h)), pa.array(keys), pa.array(kinds)], ["h", "key", "kind"])
+
+    return texts.select("h", "norm", "ranges").mapInArrow(run, "h long, key long, kind byte")
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """The keys that two different lines (h) have."""
+    return keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
 
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, th, gone): the numbers of the lines that go, for each document that loses any. ``docs``: _id, _th, _text."""
     occ = materialize(occurrences(docs, min_chars), "lines")
-    pos = F.struct("id", "th", "line")
-    distinct = occ.groupBy("h").agg(F.min(pos).alias("pos"), F.count(F.lit(1)).alias("n"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)])
-    halves = distinct.select("h", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(1 + i // 2).alias("side")) for i in range(4)])).alias("k")).select("h", "k.key", "k.side")
-    shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("n > 1 AND a <> b").select("key")
-    sides = halves.join(shared, "key").groupBy("h").agg(F.bit_or("side").alias("sides"))
-    cands = materialize(sides.join(occ.groupBy("h").agg(F.min(pos).alias("pos")), "h"), "line-candidates")
+    # Smallest position and any half keys of each distinct line; a struct of the position first makes it one minimum.
+    distinct = materialize(occ.groupBy("h").agg(F.min(F.struct("id", "th", "line", "k0", "k1", "k2", "k3")).alias("x"), F.count(F.lit(1)).alias("n")).select("h", F.struct("x.id", "x.th", "x.line").alias("pos"), "n", F.array("x.k0", "x.k1", "x.k2", "x.k3").alias("k")), "distinct-lines")
+    release(docs.sparkSession)
+    halves = distinct.select("h", F.explode("k").alias("key")).filter("key IS NOT NULL")
+    shared = _met(halves)
+    cands = materialize(halves.join(shared, "key").select("h").distinct().join(distinct.select("h", "pos"), "h"), "line-candidates")
     release(docs.sparkSession)
 
-    per_doc = cands.groupBy(F.col("pos.id").alias("id"), F.col("pos.th").alias("th")).agg(F.collect_list(F.struct(F.col("pos.line").alias("line"), "h", "sides")).alias("lines"))
+    per_doc = cands.groupBy(F.col("pos.id").alias("id"), F.col("pos.th").alias("th")).agg(F.collect_list(F.struct(F.col("pos.line").alias("line"), "h")).alias("lines"))
     few = mark_seen(docs, seen_bitmap(per_doc, "th"), F.col("_th")).filter("_seen").drop("_seen")
     # One of several rows that agree in id and text stands for all.
     found = few.join(per_doc, (F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_th") == F.col("th"))).groupBy("id", "th").agg(F.first("_text").alias("_text"), F.first("lines").alias("lines"))
-    keys = materialize(_keys(found), "line-keys")
-    placed = keys.select("h", "key", "kind").join(cands.select("h", "pos"), "h")
+    texts = materialize(_texts(found), "line-texts")
+    blocks = materialize(_blocks(texts), "line-blocks")
+    close = blocks.join(_met(blocks), "key").groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    keys = materialize(_keys(texts.join(close, "h")), "line-keys")
+    placed = keys.join(_met(keys), "key").join(cands.select("h", "pos"), "h")
     low = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("kind") == 0, F.struct("pos", "h"))).alias("whole"),
         F.min(F.when(F.col("kind") == 1, F.struct("pos", "h"))).alias("without"),
         F.min(F.when(F.col("kind") == 2, F.struct("pos", "h"))).alias("blanked"),
-    ).filter("n > 1")
+    )
     # A whole line meets the lines that are one longer, those meet it, and blanked lines meet each other.
     met = F.when(F.col("kind") == 0, F.col("without")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("blanked"))
-    pairs = placed.join(low.drop("n"), "key").select("h", "pos", met.alias("met")).filter("met IS NOT NULL AND met.pos < pos AND met.h <> h").select("h", F.col("met.h").alias("other")).distinct()
-    texts = keys.filter("kind = 0").select("h", "norm")
+    pairs = placed.join(low, "key").select("h", "pos", met.alias("met")).filter("met IS NOT NULL AND met.pos < pos AND met.h <> h").select("h", F.col("met.h").alias("other")).distinct()
     checked = pairs.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("earlier")), "other")
     near = checked.filter(F.levenshtein("norm", "earlier", 1) >= 0).select("h").distinct().withColumn("near", F.lit(True))
 
-    affected = occ.groupBy("h").agg(F.min(pos).alias("pos"), F.count(F.lit(1)).alias("n")).join(near, "h", "left").filter("n > 1 OR near").select("h", "pos", F.coalesce("near", F.lit(False)).alias("near"))
+    affected = distinct.select("h", "pos", "n").join(near, "h", "left").filter("n > 1 OR near").select("h", "pos", F.coalesce("near", F.lit(False)).alias("near"))
     gone = occ.select("id", "th", "line", "h").join(affected, "h").filter(F.col("near") | ~F.struct("id", "th", "line").eqNullSafe(F.col("pos")))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
 

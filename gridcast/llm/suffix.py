@@ -11,7 +11,8 @@ contexts whose anchor gram occurs at two places of the corpus can hold a repeat,
 anchors decide the shard: contexts of an anchor meet in one shard. Equal contexts are counted before they are dealt (all their strings
 repeat) and go to the shard once, equal texts likewise; so a passage or text that a third of all documents share costs one
 context. An anchor with more than ``SHARD`` bytes of different contexts is dealt as blocks: each block gets
-its suffix array, and for each two blocks the strings of one are searched in the array of the other.
+its suffix array, and for each two blocks the strings of one are searched in the array of the other. Within a shard, contexts enter the array
+only if they share their anchor with the 92 bytes before or behind it, as any two that share a string do.
 
 Only hashes travel for the whole corpus (about one row of 36 bytes in 90 bytes of text); text is shuffled for documents that
 hold a context to compare or a byte to remove (a bitmap of fixed size tells the others apart).
@@ -37,7 +38,7 @@ from .common import mark_seen, materialize, release, seen_bitmap, table
 
 LENGTH = 200
 GRAM = 16
-SHARD = 4 << 20
+SHARD = 1 << 20
 SLICE = 4 << 20
 BITS = 9  # of a symbol: 0 ends a context, a byte is one more
 PACK = 7  # symbols in a word
@@ -94,80 +95,104 @@ def packed(sym: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(word: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) of all positions, told apart by their first ``depth`` symbols at least; ``word``: packed symbols."""
+def suffix_array(word: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, place, shared) of all positions, told apart by their first ``depth`` symbols at least; ``word``: packed symbols.
+
+    ``shared`` counts symbols that a suffix is known to share with its predecessor: the prefix length before the round that told them
+    apart, which is over half of what they share, or all of the last round's where none did.
+    """
     n = len(word)
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)
     new = np.concatenate(([True], word[sa[1:]] != word[sa[:-1]]))
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # of a group: its rank
-    rank = np.zeros(n + 1, np.int64)
-    rank[sa] = first + 1  # the end of the text has rank 0
+    rank = np.zeros(n + 1, np.int64)  # the first place of a group, plus one; the end of the text has rank 0
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
+    shared = np.zeros(n, np.int64)
     h = PACK
-    while h < depth:
-        alone = new & np.concatenate((new[1:], [True]))
-        at = np.flatnonzero(~alone)  # places of groups not yet told apart
-        if not len(at):
+    while True:
+        at = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))  # places of groups not yet told apart
+        shared[at[~new[at]]] = h
+        if h >= depth or not len(at):
             break
         own = sa[at]
-        behind = rank[np.minimum(own + h, n)]
-        order = np.lexsort((behind, rank[own]))
-        own, behind = own[order], behind[order]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + h, n)]
+        order = np.argsort(key)
+        own, key = own[order], key[order]
         sa[at] = own
-        fresh = np.concatenate(([True], (behind[1:] != behind[:-1]))) | new[at]
-        new[at] = fresh
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[own] = first[at] + 1
+        new[at] = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[own] = np.maximum.accumulate(np.where(new[at], at + 1, 0))
         h *= 2
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
-    return sa, place
+    return sa, place, shared
 
 
-def common_prefixes(word: np.ndarray, sa: np.ndarray, place: np.ndarray, cap: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(word: np.ndarray, sa: np.ndarray, place: np.ndarray, shared: np.ndarray, cap: int, least: int = 0, lanes: int = 4096) -> np.ndarray:
     """Kasai: the common prefix of each suffix with its predecessor in the array, up to ``cap`` symbols.
 
-    Text positions are walked in order, each starting from the last length less one; ``lanes`` stretches of the text are walked side by side.
+    Text positions are walked in order; each starts from the last position's length less one (which holds where the refinement told
+    that pair apart, as their order is then that of the whole suffixes) or from ``shared``, whichever is more. ``lanes`` stretches of the
+    text are walked side by side. Where the refinement shows less than ``least`` symbols, its bound is left as it is.
     """
     n = len(sa)
     padded = np.concatenate((word, np.zeros(cap + PACK, np.int64)))
+    known = np.minimum(shared, cap)[place]
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    lanes = max(1, min(lanes, n // 64))
-    edge = np.linspace(0, n, lanes + 1).astype(np.int64)
-    pos, end = edge[:-1].copy(), edge[1:]
-    length = np.zeros(lanes, np.int64)
-    out = np.zeros(n, np.int64)
+    open_ = np.flatnonzero((known < cap) & (before >= 0) & (np.maximum(2 * known, PACK) > least))
+    out = known
+    if not len(open_):
+        return out[sa]
+    lanes = max(1, min(lanes, len(open_) // 64))
+    edge = np.linspace(0, len(open_), lanes + 1).astype(np.int64)
+    at, end = edge[:-1].copy(), edge[1:]
+    last, length = np.full(lanes, -2), np.zeros(lanes, np.int64)
     shifts = np.arange(PACK - 1, -1, -1) * BITS
-    for _ in range(int((end - pos).max(initial=0))):
-        live = np.flatnonzero(pos < end)
-        i = pos[live]
+    for _ in range(int((end - at).max(initial=0))):
+        live = np.flatnonzero(at < end)
+        i = open_[at[live]]
         j = before[i]
-        k = np.where(j >= 0, np.maximum(length[live] - 1, 0), 0)
-        run = np.flatnonzero((j >= 0) & (k < cap))
+        k = np.maximum(out[i], np.where(last[live] == i - 1, length[live] - 1, 0))
+        run = np.flatnonzero(k < cap)
         while len(run):
             x = padded[i[run] + k[run]] ^ padded[j[run] + k[run]]
             same = x == 0
             k[run[same]] += PACK
             if not same.all():
-                part = x[~same]
-                k[run[~same]] += ((part[:, None] >> shifts) == 0).sum(1)
+                k[run[~same]] += ((x[~same][:, None] >> shifts) == 0).sum(1)
             run = run[same]
             run = run[k[run] < cap]
         k = np.minimum(k, cap)
         out[i] = k
-        length[live] = k
-        pos[live] += 1
-    lcp = np.zeros(n, np.int64)
-    lcp[place] = out
-    return lcp
+        last[live], length[live] = i, k
+        at[live] += 1
+    return out[sa]
+
+
+def partnered(hashes: list[int], parts: list[bytes], length: int = LENGTH) -> list[int]:
+    """The contexts that can share a string with another: a shared string holds the anchor and half of the rest before or behind it."""
+    half = (length - GRAM) // 2
+    joined = np.frombuffer(b"\0".join(parts), np.uint8)
+    size = np.array([len(p) for p in parts])
+    start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    want = np.repeat(np.array(hashes, np.int64).view(np.uint64), size + 1)[: len(joined) - GRAM + 1]
+    hit = np.flatnonzero(gram_hashes(joined) == want)
+    owner = np.searchsorted(start, hit, "right") - 1
+    cores: dict[tuple, int] = {}
+    mine: list[set] = [set() for _ in parts]
+    for k, at in zip(owner.tolist(), (hit - start[owner]).tolist(), strict=True):
+        for core in ((hashes[k], 0, parts[k][at - half : at]) if at >= half else None, (hashes[k], 1, parts[k][at + GRAM : at + GRAM + half]) if at + GRAM + half <= len(parts[k]) else None):
+            if core is not None and core not in mine[k]:
+                mine[k].add(core)
+                cores[core] = cores.get(core, 0) + 1
+    return [k for k, own in enumerate(mine) if any(cores[c] > 1 for c in own)]
 
 
 def repeated(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
     """For each symbol of ``symbols(parts)``: does a string of ``length`` start here that also starts at another place of the shard?"""
     sym, _ = symbols(parts)
     word = packed(sym)
-    sa, place = suffix_array(word, length)
-    lcp = common_prefixes(word, sa, place, length)
+    sa, place, shared = suffix_array(word, length)
+    lcp = common_prefixes(word, sa, place, shared, length, least=length)
     long = lcp >= length
     hit = long | np.concatenate((long[1:], [False]))
     out = np.zeros(len(sym), bool)
@@ -204,7 +229,7 @@ def merged(one: list[bytes], two: list[bytes], length: int = LENGTH) -> tuple[np
     """As ``repeated``, for strings of one shard that also start in the other: each string of ``one`` is searched in the suffix array of ``two``."""
     (a, _), (b, _) = symbols(one), symbols(two)
     wa, wb = packed(a), packed(b)
-    sa, _ = suffix_array(wb, length)
+    sa, _, _ = suffix_array(wb, length)
     starts_b = starts_of(two, length)
     sa = sa[starts_b[sa]]
     query = np.flatnonzero(starts_of(one, length))
@@ -299,7 +324,10 @@ def _compare(parts: DataFrame, length: int) -> DataFrame:
                 keys = [(r[0], r[1]) for r in own if r[3] == side]
                 data = [r[4] for r in own if r[3] == side]
                 if side == 2:
-                    yield emit(keys, _runs(repeated(data, length), data))
+                    able = partnered([k[0] for k in keys], data, length)
+                    if able:
+                        keys, data = [keys[k] for k in able], [data[k] for k in able]
+                        yield emit(keys, _runs(repeated(data, length), data))
                 else:
                     keys2 = [(r[0], r[1]) for r in own if r[3] == 1]
                     data2 = [r[4] for r in own if r[3] == 1]

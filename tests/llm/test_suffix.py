@@ -40,11 +40,11 @@ def test_suffix_array_and_common_prefixes():
     sym, _ = S.symbols(parts)
     word = S.packed(sym)
     for depth in (7, 20, 200):
-        sa, place = S.suffix_array(word, depth)
+        sa, place, shared = S.suffix_array(word, depth)
         tails = [tuple(sym[i : i + depth]) for i in sa]
         assert tails == sorted(tails) and sorted(sa) == list(range(len(sym))) and (sa[place] == np.arange(len(sym))).all()
     for cap in (5, 30):
-        lcp = S.common_prefixes(word, sa, place, cap, lanes=7)
+        lcp = S.common_prefixes(word, sa, place, shared, cap, lanes=7)
         for k in range(1, len(sa)):
             a, b = sym[sa[k] :], sym[sa[k - 1] :]
             n = next((x for x in range(min(len(a), len(b), cap)) if a[x] != b[x]), min(len(a), len(b), cap))
@@ -66,6 +66,15 @@ def test_shards_find_what_counting_finds(length):
         assert hit_a.tolist() == flat(one, lambda w: b[w] > 0) and hit_b.tolist() == flat(two, lambda w: a[w] > 0)
 
 
+def test_only_contexts_that_can_match_are_compared():
+    rng = random.Random(6)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    gram, left = noise(S.GRAM), noise(92)
+    parts = [left + gram + noise(150), noise(10) + left + gram + noise(120), noise(100) + gram + noise(150), noise(50) + gram + noise(60)]
+    anchor = int(S.gram_hashes(np.frombuffer(gram, np.uint8)).view(np.int64)[0])
+    assert S.partnered([anchor] * 4, parts) == [0, 1]
+
+
 def test_anchors_depend_on_the_string_alone():
     rng = random.Random(3)
     data = bytes(rng.choice(b"abc ") for _ in range(3000))
