@@ -33,9 +33,9 @@ from .common import materialize, release, table
 K = 10
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_DOCS = 16_384
+SHARD_DOCS = 4096
 QUERY_BYTES = 16 << 20
-FLUSH_TERMS = 2_000_000
+FLUSH_TERMS = 1_000_000
 EPS = 1e-7
 TERM = re.compile(r"[^\W_]+")
 
