@@ -202,7 +202,8 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     checked = pairs.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("earlier")), "other")
     near = checked.filter(F.levenshtein("norm", "earlier", 1) >= 0).select("h").distinct().withColumn("near", F.lit(True))
 
-    affected = distinct.select("h", "pos", "n").join(near, "h", "left").filter("n > 1 OR near").select("h", "pos", F.coalesce("near", F.lit(False)).alias("near"))
+    # Written out, so that the join below reads two exchanges and a line that very many documents have is split over tasks.
+    affected = materialize(distinct.select("h", "pos", "n").join(near, "h", "left").filter("n > 1 OR near").select("h", "pos", F.coalesce("near", F.lit(False)).alias("near")), "affected-lines")
     gone = occ.select("id", "th", "line", "h").join(affected, "h").filter(F.col("near") | ~F.struct("id", "th", "line").eqNullSafe(F.col("pos")))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
 
