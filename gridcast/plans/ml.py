@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -20,13 +21,30 @@ from .metrics import errors
 Fit = Callable[[DataFrame, list[str], str], Callable[[DataFrame], DataFrame]]
 
 
+class Predictor:
+    """Calls add ``pred``; ``save`` writes the model as a pipeline that ``load`` reads."""
+
+    def __init__(self, *stages):
+        self.model = PipelineModel(list(stages))
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).drop("_x")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(path: str) -> Predictor:
+        return Predictor(*PipelineModel.load(path).stages)
+
+
 def boosted(max_iter: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42, loss: str = "squared") -> Fit:
     """Gradient-boosted trees; returns fit(train, features, target) -> predict(df) adding ``pred``."""
 
     def fit(train: DataFrame, features: list[str], target: str):
         asm = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
         model = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="pred", maxIter=max_iter, maxDepth=depth, stepSize=rate, seed=seed, lossType=loss).fit(asm.transform(train.dropna(subset=[target])))
-        return lambda df: model.transform(asm.transform(df)).drop("_x")
+        return Predictor(asm, model)
 
     return fit
 
@@ -37,7 +55,7 @@ def linear(l2: float = 0.0) -> Fit:
     def fit(train: DataFrame, features: list[str], target: str):
         asm = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
         model = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="pred", regParam=l2, solver="normal").fit(asm.transform(train.dropna(subset=[target])))
-        return lambda df: model.transform(asm.transform(df)).drop("_x")
+        return Predictor(asm, model)
 
     return fit
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import calibrate, significance
+from ..plans import calibrate, municipal, significance
 from ..plans.calibrate import FLOORS
 from .common import HOURLY, PAIR, hourly, rounded, t
 
@@ -97,7 +97,23 @@ def block_bootstrap(spark, d):
     return rounded(significance.block_bootstrap(_errors(spark, d), ["k"], block=48, reps=400, seed=3), 6)
 
 
+def municipal_validation(spark, d):
+    h = hourly(spark, d).select(F.col("event_type").alias("region"), "ts", "y", (F.lit(30.0) + F.hour("ts") % 7 * 4 + F.day("ts") * 0.5).alias("base"))
+    return rounded(municipal.calibrate_and_score(h, ["region"])[1])
+
+
+def municipal_intervals(spark, d):
+    h = hourly(spark, d).select(F.col("event_type").alias("region"), "ts", "y", (F.lit(30.0) + F.hour("ts") % 7 * 4).alias("base")).withColumns({"lo": F.col("base") - 5, "hi": F.col("base") + 5})
+    return rounded(municipal.interval_score(h, ["region"]))
+
+
 QUERIES = {
+    "municipal_validation": (municipal_validation, f"""WITH {HOURLY}, s AS (SELECT event_type AS region, y, 30 + hour(ts) % 7 * 4 + day(ts) * 0.5::DOUBLE AS base, lag(y, 24) OVER w AS back, row_number() OVER w <= floor(count(*) OVER (PARTITION BY event_type) * 0.4) AS fit FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+f AS (SELECT region, avg(y - base) AS dd, regr_slope(y, base) AS a, regr_intercept(y, base) AS i FROM s WHERE fit GROUP BY 1), c AS (SELECT region, CASE WHEN a > 0 THEN a ELSE 1 END AS a, CASE WHEN a > 0 THEN i ELSE dd END AS b FROM f),
+x AS (SELECT s.region, y, base, back, greatest(a * base + b, 0) AS cal FROM s JOIN c USING (region) WHERE NOT fit),
+u AS (SELECT region, 'raw' AS variant, y, base AS p FROM x UNION ALL SELECT region, 'calibrated', y, cal FROM x UNION ALL SELECT region, 'persistence', y, back FROM x)
+SELECT region, variant, {PAIR} FROM u WHERE p IS NOT NULL GROUP BY 1, 2"""),
+    "municipal_intervals": (municipal_intervals, None),
     "affine_fit": (affine_fit, f"WITH {BASE} SELECT site, round(scale, 6)::DOUBLE AS scale, round(\"offset\", 6) AS \"offset\", n FROM cal"),
     "affine_apply": (affine_apply, f"WITH {BASE}, p AS (SELECT site, greatest(scale * (base - 20) + \"offset\", 0) AS p FROM b JOIN cal USING (site)) SELECT site, round(avg(p), 6) AS mean_p, round(min(p), 6) AS min_p, count(*) FILTER (p = 0) AS floored FROM p GROUP BY 1"),
     "affine_transfer": (affine_transfer, f"""WITH {BASE.replace("CASE l_suppkey % 7 WHEN 6 THEN 10 WHEN 5 THEN 50 - l_quantity ELSE l_quantity END", "CASE l_suppkey % 7 WHEN 6 THEN 10 WHEN 5 THEN 50 - l_quantity ELSE l_quantity END - 20")},

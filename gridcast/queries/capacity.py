@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timeseries
-from ..plans import folds, matrix
-from .common import DAILY, daily_orders, rounded, t
+from ..plans import baselines, folds, matrix
+from .common import DAILY, PAIR, daily_orders, rounded, t
 
 
 def _orders(spark, d):
@@ -57,6 +57,12 @@ def capacity_factor_matrix(spark, d):
     return rounded(matrix.feature_matrix(target, priors, weather, {"wind": 2000.0, "solar": 3.0}, least=30), 4)
 
 
+def fold_baselines(spark, d):
+    day = daily_orders(spark, d)
+    b = folds.fold_bounds(day, "d", n=3)
+    return rounded(baselines.baseline_metrics(day.withColumn("y", F.col("y") / 1000), b, ["k"], "d", "y", {"dow": F.weekday("d"), "month": F.month("d")}, "1 DAY"), 4)
+
+
 _CAP = f"""{DAILY}, q AS (SELECT d, y, quantile_cont(y, 0.999) OVER w AS c, count(y) OVER w AS n FROM daily WINDOW w AS (ORDER BY d RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND CURRENT ROW)),
 z AS (SELECT d, y, lag(CASE WHEN n >= 30 THEN c END, 1) OVER (ORDER BY d) AS c1 FROM q), cap AS (SELECT d, y, CASE WHEN c1 IS NOT NULL THEN max(c1) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) END AS cap FROM z)"""
 _FOLDS = "f AS (SELECT i + 1 AS fold, t0, t1 - to_days((3 - i) * 365) AS te, t1 - to_days((4 - i) * 365) AS ts FROM (SELECT min(o_orderdate) AS t0, max(o_orderdate) AS t1 FROM orders), range(4) r(i))"
@@ -68,7 +74,14 @@ round(sin(2 * pi() * hour(d) / 24), 4) AS hour_sin, round(cos(2 * pi() * hour(d)
 round(least(wp / 2000, 1.5), 4) AS wind_prior_cf, round(cap / 1000, 4) AS wind_cap_mw, round(least(greatest(y / cap, 0), 1.5), 4) AS wind_cf, round(least(sp / 3, 1.5), 4) AS solar_prior_cf, round(cap / 2000, 4) AS solar_cap_mw, round(least(greatest(y / cap, 0), 1.5), 4) AS solar_cf
 FROM cap JOIN li USING (d) WHERE cap IS NOT NULL"""
 
+_PAIR4 = PAIR.replace(", 6)", ", 4)")
+
 QUERIES = {
+    "fold_baselines": (fold_baselines, f"""WITH daily AS (SELECT o_orderdate AS d, sum(o_totalprice) / 1000 AS y FROM orders GROUP BY 1),
+f AS (SELECT i + 1 AS fold, t1 - to_days((2 - i) * 365) AS te, t1 - to_days((3 - i) * 365) AS ts FROM (SELECT max(d) AS t1 FROM daily), range(3) r(i)),
+te AS (SELECT fold, d, y FROM f JOIN daily ON d > f.ts AND d <= te), tr AS (SELECT fold, isodow(d) AS w, month(d) AS m, avg(y) AS p FROM f JOIN daily ON d <= f.ts - INTERVAL 3 DAY GROUP BY ALL),
+u AS (SELECT 'persistence' AS model, fold, te.y, b.y AS p FROM te JOIN daily b ON b.d = te.d - INTERVAL 1 DAY UNION ALL SELECT 'climatology', te.fold, te.y, tr.p FROM te JOIN tr ON tr.fold = te.fold AND w = isodow(te.d) AND m = month(te.d))
+SELECT model, 0::BIGINT AS k, fold, {_PAIR4} FROM u GROUP BY 1, 3"""),
     "purged_folds": (purged_folds, f"WITH {_FOLDS} SELECT fold, t0 AS train_start, ts - INTERVAL 3 DAY AS train_end, ts AS test_start, te AS test_end FROM f"),
     "fold_summary": (fold_summary, f"WITH {_ROLES} SELECT fold, role, min(d) AS first_ts, max(d) AS last_ts, count(*) AS n FROM a GROUP BY 1, 2"),
     "fold_gap_check": (fold_gap_check, f"WITH {_ROLES}, w AS (SELECT fold, max(d) FILTER (role = 'train') AS a, min(d) FILTER (role = 'test') AS b FROM a GROUP BY 1) SELECT fold, date_diff('day', a, b) AS gap_days, date_diff('day', a, b) >= 3 AS purged FROM w"),

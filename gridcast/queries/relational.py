@@ -214,7 +214,19 @@ def clipped_fraction(spark, d):
     return rounded(t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg(F.coalesce(raw < 0, F.lit(False)).cast("int")).alias("clipped")))
 
 
+def random_sample(spark, d):
+    u = F.substring(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(":42")).cast("binary")), 1, 15)
+    return t(spark, d, "orders").orderBy(u, "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+
+
+def state_split(spark, d):
+    yes, no = clean.split_by(t(spark, d, "orders"), F.col("o_orderstatus") == "F")
+    return rounded(yes.groupBy(F.lit("yes").alias("part")).agg(F.count(F.lit(1)).alias("n")).union(no.groupBy(F.lit("no").alias("part")).agg(F.count(F.lit(1)).alias("n"))))
+
+
 QUERIES = {
+    "random_sample": (random_sample, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY substr(md5(o_orderkey || ':42'), 1, 15), o_orderkey LIMIT 100"),
+    "state_split": (state_split, "SELECT CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS part, count(*) AS n FROM orders GROUP BY 1"),
     "union_nodes": (union_nodes, "SELECT c_nationkey::BIGINT AS node FROM customer UNION SELECT s_nationkey::BIGINT FROM supplier"),
     "intersect_hours": (intersect_hours, "SELECT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'click' INTERSECT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'view'"),
     "subtract_keys": (subtract_keys, "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders"),

@@ -117,3 +117,18 @@ def read_config(path: str) -> dict:
     if not isinstance(found, dict):
         raise ValueError(f"{path} holds no mapping")
     return found
+
+
+def read_way_edges(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(poly, x1, y1, x2, y2) from the ways of a boundary relation's JSON: even-odd crossing needs no assembled rings."""
+    kind = "struct<elements:array<struct<members:array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>>>>"
+    ways = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind).elements).alias("e")).select(F.explode("e.members").alias("m")).filter("m.type = 'way'")
+    pts = F.col("m.geometry")
+    pairs = F.arrays_zip(F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))).alias("a"), F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))).alias("b"))
+    edge = ways.select(F.explode(pairs).alias("p"))
+    return edge.select(F.lit(name).alias("poly"), F.col("p.a.lon").alias("x1"), F.col("p.a.lat").alias("y1"), F.col("p.b.lon").alias("x2"), F.col("p.b.lat").alias("y2")).filter("y1 <> y2")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sha256) of binary artefacts."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))

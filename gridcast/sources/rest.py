@@ -144,3 +144,20 @@ class MeterReader(SimpleDataSourceStreamReader):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WeatherSource)
     spark.dataSource.register(MeterSource)
+
+
+def extend_store(spark: SparkSession, path: str, options: dict[str, str], end: str) -> None:
+    """Fetch what each node of a weather store misses up to ``end`` and upsert it by node and time; all-null hours are dropped."""
+    from pyspark.sql import functions as F
+
+    from ..operators.clean import drop_all_null
+    from .writers import upsert_parquet
+
+    register(spark)
+    last = spark.read.parquet(path).groupBy("node_lat", "node_lon").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("start"))
+    # One request series for each start day; nodes are a registry of some hundred.
+    for row in last.groupBy("start").agg(F.collect_set(F.concat_ws(":", "node_lat", "node_lon")).alias("nodes")).collect():
+        df = spark.read.format("gridcast_weather").options(**options, nodes=",".join(sorted(row["nodes"])), start=row["start"], end=end).load()
+        names = options["variables"].split(",")
+        new = drop_all_null(df.withColumn("ts", F.to_timestamp_ntz(F.replace(F.col("ts"), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm"))), names)
+        upsert_parquet(new, path, ["node_lat", "node_lon", "ts"])
