@@ -175,6 +175,19 @@ def solar_geometry(spark, d):
     return rounded(ev.select("event_id", z.alias("zenith"), a.alias("azimuth"), physics.clear_sky(z).alias("ghi")), 5)
 
 
+def solar_fleet(spark, d):
+    own = sites(spark, d).select("site", F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
+    f = physics.solar_fleet(own, "2024-03-30 00:00:00", "2024-04-01 00:00:00", "1 hour")
+    return rounded(f.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.avg("zenith").alias("zenith"), F.avg("ghi").alias("ghi"), F.max("ghi").alias("peak")), 5)
+
+
+SOLAR_FLEET = f"""WITH {SITES}, t AS (SELECT unnest(generate_series(TIMESTAMP '2024-03-29 23:00:00', TIMESTAMP '2024-03-31 22:00:00', INTERVAL 1 HOUR)) AS ts),
+x AS (SELECT site, site_lat AS lat, site_lon AS lon, hour(ts) + 0.0::DOUBLE AS hr, 2 * pi() / 365 * (dayofyear(ts) - 1 + (hour(ts) - 12) / 24.0::DOUBLE) AS g FROM sites, t),
+y AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq FROM x),
+w AS (SELECT site, sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians((hr * 60 + eq + 4 * lon) / 4 - 180)) AS cz FROM y),
+v AS (SELECT site, degrees(acos(cz)) AS z, CASE WHEN cz > 0 THEN 1098.0 * cz * exp(-0.057 / cz) ELSE 0 END AS ghi FROM w)
+SELECT site, count(*) AS n, round(avg(z), 5) AS zenith, round(avg(ghi), 5) AS ghi, round(max(ghi), 5) AS peak FROM v GROUP BY 1"""
+
 SOLAR = """WITH g AS (SELECT event_id, hour(ts) + minute(ts) / 60.0::DOUBLE + second(ts) / 3600.0::DOUBLE AS hr, dayofyear(ts) AS doy FROM events WHERE event_id % 5 = 0),
 x AS (SELECT *, 2 * pi() / 365 * (doy - 1 + (hr - 12) / 24) AS g FROM g),
 y AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq FROM x),
@@ -213,4 +226,5 @@ r AS (SELECT site AS id, site AS root FROM sites UNION SELECT e.b, r.root FROM r
     "solar_prior_sum": (solar_prior_sum, f"WITH {_NH} SELECT ts, round(coalesce(sum(sw * 8000 / 1000 * 0.8::DOUBLE * cap), 0), 6) AS prior_mw FROM nh JOIN cap USING (node) GROUP BY 1"),
     "regional_weather_mean": (regional_weather_mean, f"WITH {_NH} SELECT ts, round(avg(v), 6) AS v_in, round(avg(sw), 6) AS sw FROM nh WHERE node IN (SELECT node FROM cap) GROUP BY 1"),
     "solar_geometry": (solar_geometry, SOLAR),
+    "solar_fleet": (solar_fleet, SOLAR_FLEET),
 }
