@@ -383,10 +383,12 @@ def spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFram
 
     whole = kinds.filter("many").select("h", "c", F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("l"))).alias("runs"))
     marks = whole.unionByName(runs)
-    hits = again.join(marks, ["h", "c"]).select("t", F.transform("runs", lambda r: F.struct((F.col("a") + F.when(r["f"] < 0, 0).otherwise(r["f"])).alias("s"), F.when(r["f"] < 0, F.col("b") + length).otherwise(F.col("a") + r["l"] + length).alias("e"))).alias("part"))
+    first, last = F.col("a") + F.greatest("run.f", F.lit(0)), F.when(F.col("run.l") < 0, F.col("b")).otherwise(F.col("a") + F.col("run.l"))
+    hits = again.join(marks, ["h", "c"]).select("t", "a", "b", F.explode("runs").alias("run")).select("t", first.alias("s"), (last + length).alias("e"))
     copies = docs.groupBy("_t", "_n", "_crc").agg(F.count(F.lit(1)).alias("k")).filter(f"k > 1 AND _n >= {length}")
-    whole_texts = copies.select(F.col("_t").alias("t"), F.array(F.struct(F.lit(0).alias("s"), F.col("_n").cast("int").alias("e"))).alias("part"))
-    return hits.unionByName(whole_texts).groupBy("t").agg(F.array_distinct(F.flatten(F.collect_set("part"))).alias("spans"))
+    whole_texts = copies.select(F.col("_t").alias("t"), F.lit(0).alias("s"), F.col("_n").cast("int").alias("e"))
+    # Copies of a text repeat its ranges; they are dropped before the ranges of a text come together.
+    return hits.unionByName(whole_texts).distinct().groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merge_spans(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
