@@ -8,8 +8,13 @@ from pyspark.sql.window import Window
 
 from ..functions import clip, col, finite, is_finite, lookup
 
-#: Orientation codes of the registry in degrees and tilt codes as band centres (fixed values).
+#: Orientation codes of the registry in degrees, tilt codes as band centres, manufacturer codes (fixed values).
 AZIMUTH = {"695": 0.0, "696": 45.0, "697": 90.0, "698": 135.0, "699": 180.0, "700": 225.0, "701": 270.0, "702": 315.0}
+TILT = {"806": 90.0, "807": 75.0, "808": 50.5, "809": 30.5, "810": 12.5}
+MANUFACTURERS = {
+    "1584": "Siemens", "1586": "Enercon", "1587": "Enercon", "1593": "Fuhrländer", "1596": "Gamesa", "1597": "GE Energy", "1598": "GE Energy", "1625": "Neg Micon", "1627": "Nordex",
+    "1628": "Nordex", "1645": "Senvion", "1657": "Senvion", "1660": "Vestas", "1666": "Siemens", "2888": "Repower", "2889": "Repower", "1001682": "Nordex",
+}
 STATES = ("1400", "14")
 ACTIVE = "35"
 
@@ -39,6 +44,15 @@ def orientation(code: Column | str) -> Column:
     return lookup(code, AZIMUTH)
 
 
+def tilt(code: Column | str) -> Column:
+    return lookup(code, TILT)
+
+
+def manufacturer(code: Column | str) -> Column:
+    """The manufacturer's name, empty where the code is unknown."""
+    return F.coalesce(lookup(col(code).cast("string"), MANUFACTURERS), F.lit(""))
+
+
 def flag(code: Column | str, yes: str) -> Column:
     """True where the code is ``yes``; never null."""
     return F.coalesce(col(code) == yes, F.lit(False))

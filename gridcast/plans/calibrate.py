@@ -10,7 +10,7 @@ from ..functions import clip
 from .metrics import TINY, error_aggregates, pair_filter
 
 #: Floors of the half-width, as shares of the mean half-width (fixed values).
-FLOORS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
+FLOORS = (0.001, 0.01, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 64.0, 256.0, 1024.0)
 
 
 def fit_affine(df: DataFrame, keys: list[str], y: str = "y", base: str = "base") -> DataFrame:

@@ -54,7 +54,7 @@ def donor_pairs(spark, d):
 
 def code_lookup(spark, d):
     code = F.concat(F.lit("6"), (F.col("c_custkey") % 20 + 90).cast("string"))
-    return rounded(t(spark, d, "customer").select("c_custkey", clean.orientation(code).alias("azimuth"), clean.flag(F.when(F.col("c_custkey") % 3 == 0, "852").when(F.col("c_custkey") % 3 == 1, "853"), "852").alias("ground")))
+    return rounded(t(spark, d, "customer").select("c_custkey", clean.orientation(code).alias("azimuth"), clean.tilt(F.concat(F.lit("8"), F.lpad((F.col("c_custkey") % 12).cast("string"), 2, "0"))).alias("tilt"), clean.manufacturer((F.col("c_custkey") % 5 + 1584).cast("string")).alias("maker"), clean.flag(F.when(F.col("c_custkey") % 3 == 0, "852").when(F.col("c_custkey") % 3 == 1, "853"), "852").alias("ground")))
 
 
 def decimal_comma_clean(spark, d):
@@ -235,7 +235,7 @@ QUERIES = {
     "anti_join": (anti_join, "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.05)"),
     "densify": (densify, "SELECT n_nationkey::BIGINT AS n_nationkey, s.c_mktsegment, count(c_custkey) AS n FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment GROUP BY 1, 2"),
     "donor_pairs": (donor_pairs, "SELECT a.r_name AS donor, b.r_name AS target FROM region a, region b WHERE a.r_name <> b.r_name"),
-    "code_lookup": (code_lookup, "SELECT c_custkey, CASE WHEN c_custkey % 20 BETWEEN 5 AND 9 THEN (c_custkey % 20 - 5) * 45.0::DOUBLE END AS azimuth, c_custkey % 3 = 0 AS ground FROM customer"),
+    "code_lookup": (code_lookup, "SELECT c_custkey, CASE WHEN c_custkey % 20 BETWEEN 5 AND 9 THEN (c_custkey % 20 - 5) * 45.0::DOUBLE END AS azimuth, CASE c_custkey % 12 WHEN 6 THEN 90.0 WHEN 7 THEN 75.0 WHEN 8 THEN 50.5 WHEN 9 THEN 30.5 WHEN 10 THEN 12.5 END::DOUBLE AS tilt, CASE c_custkey % 5 WHEN 0 THEN 'Siemens' WHEN 2 THEN 'Enercon' WHEN 3 THEN 'Enercon' ELSE '' END AS maker, c_custkey % 3 = 0 AS ground FROM customer"),
     "decimal_comma_clean": (decimal_comma_clean, "SELECT c_custkey, CASE WHEN c_custkey % 11 > 3 THEN round(c_acctbal, 2) END AS plain, CASE WHEN c_custkey % 11 = 3 THEN 1234.5::DOUBLE WHEN c_custkey % 11 > 3 THEN round(c_acctbal, 2) END AS grouped FROM customer"),
     "safe_casts": (safe_casts, "SELECT p_partkey, CASE WHEN p_partkey % 5 > 2 THEN p_size::DOUBLE END AS v, lpad(p_size::VARCHAR, 5, '0') AS code, '1234567' AS long FROM part"),
     "weather_json_explode": (weather_json_explode, "SELECT n_nationkey::BIGINT AS n_nationkey, ts, CASE WHEN h = 0 THEN n_nationkey + 0.5::DOUBLE END AS temperature_2m, CASE WHEN h = 0 THEN n_regionkey::DOUBLE ELSE 2.25::DOUBLE END AS wind_speed_10m FROM nation, (VALUES (0, TIMESTAMP '2024-01-01 00:00:00'), (1, TIMESTAMP '2024-01-01 01:00:00')) v(h, ts)"),
