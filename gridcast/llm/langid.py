@@ -17,6 +17,7 @@ and ids are never inputs of a prediction. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,31 +32,19 @@ BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 1200
+LANGS = 500  # the most frequent ones are learned
 EPOCHS = 40
 SLICE = 1 << 20
 
 
-def normal(text: str) -> bytes:
-    """Lower case, with one space for each run of non-letters and at both ends."""
-    low = text.lower()
-    if not low.isascii():
-        return (" " + " ".join("".join(c if c.isalpha() else " " for c in low).split()) + " ").encode() if len(low) < 64 else (" " + _letters().sub(" ", low).strip() + " ").encode()
-    return b" " + low.encode().translate(_TABLE).strip() + b" "
-
-
-_TABLE = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-
+_TABLE = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+_OTHER = re.compile(r"[\W\d_]+")
 
-def _letters():
-    import re
 
-    global _PATTERN
-    if _PATTERN is None:
-        _PATTERN = re.compile(r"[\W\d_]+")
-    return _PATTERN
-
-
-_PATTERN = None
+def normal(text: str) -> bytes:
+    """Lower case, with spaces for what is not a letter and at both ends."""
+    low = text.lower()
+    return b" " + (low.encode().translate(_TABLE) if low.isascii() else _OTHER.sub(" ", low).encode("utf-8", "surrogatepass")).strip() + b" "
 
 
 def grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,9 +91,9 @@ class Model:
             ends = np.cumsum([len(p) for p in part])
             starts = ends - [len(p) for p in part]
             for n, found in grams(data):
-                rows = np.take(self.scores, found, axis=0)
-                # The n-1 grams that cross into the next text are taken off at its end.
-                sums = np.add.reduceat(rows, starts, axis=0) if n == 1 else np.stack([np.add.reduceat(np.concatenate((c, [0.0])), np.stack((starts, ends - n + 1), 1).ravel())[::2] for c in rows.T], 1)
+                # Grams that cross into the next text lie between a text's last and the next one's first.
+                cuts = np.stack((starts, ends - n + 1), 1).ravel()
+                sums = np.stack([np.add.reduceat(np.concatenate((np.take(c, found), [0.0])), cuts)[::2] for c in self.scores.T], 1)
                 np.add.at(logits, where, sums)
                 np.add.at(counts, where, ends - n + 1 - starts)
             part.clear()
@@ -112,9 +101,7 @@ class Model:
 
         for i, text in enumerate(texts):
             data = normal(text or "")
-            if len(data) <= 2 or data.isspace() or not any(map(str.isalpha, text[:64])) and not any(map(str.isalpha, text)):
-                continue
-            if not self.langs:
+            if data.isspace() or not self.langs:
                 continue
             langs[i] = ""
             for at in range(0, len(data) - 2, SLICE):
@@ -158,7 +145,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 0, epochs: i
     for epoch in range(epochs):
         rate = np.float32(2.0 * (1 - epoch / epochs))
         for at in range(0, len(train), batch):
-            own = rng.permutation(train)[:batch] if at == 0 and epoch == 0 else train[at : at + batch]
+            own = train[at : at + batch]
             h = x[own] @ embed
             z = h @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -190,7 +177,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 0, epochs: i
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``sample`` rows a language of ``docs``, which holds the rows to learn from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not sizes:
         return fit([])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
