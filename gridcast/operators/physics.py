@@ -86,7 +86,7 @@ def match_turbines(assets: DataFrame, curves: DataFrame) -> DataFrame:
     kinds = ["manufacturer", "type", "gross_kw", "rotor"]
     asked = assets.select(*kinds).distinct().withColumns({"_m": clean_name("manufacturer"), "_t": clean_name("type"), "_id": F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in kinds])})
     shelf = curves.select("curve", "ord", "rated_kw", clean_name("maker").alias("_cm"), clean_name("turbine").alias("_ct"), F.regexp_extract("turbine", r"(\d+)", 1).try_cast("double").alias("_cr"))
-    both = asked.join(F.broadcast(shelf.limit(10_000)))  # a registry: its size is fixed by the number of turbine models
+    both = asked.crossJoin(shelf)  # the planner broadcasts the registry where its size allows
     either = lambda a, b: (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
     maker = F.when(either(F.col("_m"), F.col("_cm")), 10.0).otherwise(0.0)
     rest = F.coalesce(_within(F.col("rated_kw"), F.col("gross_kw"), 0.15), F.lit(0.0)) + F.coalesce(_within(F.col("_cr"), F.col("rotor"), 0.10), F.lit(0.0)) + F.when(either(F.col("_t"), F.col("_ct")), 8.0).otherwise(0.0)

@@ -44,7 +44,7 @@ def lead_time_skill(spark, d):
 
 
 def forecast_envelope(spark, d):
-    f = forecast.downscale(_quantiles(spark, d)).filter("ts < TIMESTAMP_NTZ '1996-01-01'")
+    f = forecast.downscale(_quantiles(spark, d))
     return forecast.envelope(f, ["district"], "ts", ["median_mw"])
 
 

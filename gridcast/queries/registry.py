@@ -13,8 +13,8 @@ def registry_filter_impute(spark, d):
     c = t(spark, d, "customer")
     k = F.col("c_custkey")
     reg = c.select(k.alias("unit"), F.when(k % 3 == 0, "1400").when(k % 3 == 1, "14").otherwise("9").alias("state"), F.when(k % 5 == 0, "").when(k % 5 == 1, None).when(k % 5 == 2, "31").otherwise("35").alias("s1"), F.when(k % 2 == 0, "35").otherwise("31").alias("s2"), F.col("c_nationkey").cast("string").alias("plz"), F.when(k % 7 != 0, F.lit(51.3) + (k % 230) / 100.0).alias("lat"), F.when(k % 11 != 0, F.lit(11.3) + (k % 340) / 100.0).alias("lon"))
-    n = t(spark, d, "nation").filter("n_nationkey < 15")
-    post = n.select(F.col("n_nationkey").cast("string").alias("plz"), (F.lit(50.0) + F.col("n_nationkey") / 10.0).alias("lat"), (F.lit(10.0) + F.col("n_nationkey") / 10.0).alias("lon"), F.lit(0).alias("ord"))
+    n = t(spark, d, "nation")
+    post = n.select(F.when(F.col("n_nationkey") < 15, F.col("n_nationkey").cast("string")).otherwise("unknown").alias("plz"), (F.lit(50.0) + F.col("n_nationkey") / 10.0).alias("lat"), (F.lit(10.0) + F.col("n_nationkey") / 10.0).alias("lon"), F.lit(0).alias("ord"))
     post = post.union(post.withColumn("lat", F.col("lat") + 1).withColumn("ord", F.lit(1)))
     out = clean.impute_coordinates(clean.registry_filter(reg, "state", "s1", "s2"), post, "plz", (52.4, 13.2))
     return rounded(out.select("unit", "plz", "lat", "lon", "imputed"))
@@ -126,17 +126,18 @@ def hub_extrapolation(spark, d):
 
 
 def turbine_match(spark, d):
-    p = t(spark, d, "part")
-    k = F.col("p_partkey")
-    curves = p.filter(k < 60).select(k.alias("curve"), k.alias("ord"), F.col("p_brand").alias("maker"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("turbine"), (F.col("p_retailprice") * 2).alias("rated_kw"))
+    # A registry of models: one curve for each brand and type, with the smallest key as file order.
+    p = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("curve"), F.min("p_name").alias("name"), F.max("p_size").alias("size"), F.max("p_retailprice").alias("price"))
+    curves = p.select("curve", F.col("curve").alias("ord"), F.col("p_brand").alias("maker"), F.concat("name", F.lit(" "), F.col("size").cast("string")).alias("turbine"), (F.col("price") * 2).alias("rated_kw"))
     c = t(spark, d, "customer")
     q = F.col("c_custkey")
-    own = c.filter(q < 300).select(q.alias("asset"), F.when(q % 4 != 0, F.concat(F.lit("Brand#"), (q % 25).cast("string"))).alias("manufacturer"), F.when(q % 3 == 0, "ring").when(q % 3 == 1, "").alias("type"), F.when(q % 5 != 0, F.lit(1800.0) + q % 20).alias("gross_kw"), F.when(q % 7 != 0, (q % 50).cast("double")).alias("rotor"))
+    own = c.select(q.alias("asset"), F.when(q % 4 != 0, F.concat(F.lit("Brand#"), (q % 25).cast("string"))).alias("manufacturer"), F.when(q % 3 == 0, "ring").when(q % 3 == 1, "").alias("type"), F.when(q % 5 != 0, F.lit(1800.0) + q % 20 * 40).alias("gross_kw"), F.when(q % 7 != 0, (q % 50).cast("double")).alias("rotor"))
     return rounded(physics.match_turbines(own, curves).select("asset", "score", F.coalesce("curve", F.lit(-1)).alias("curve")))
 
 
-MATCH = """WITH c AS (SELECT p_partkey AS curve, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(p_name || ' ' || p_size), '[^a-z0-9]', '', 'g') AS ct, try_cast(nullif(regexp_extract(p_name || ' ' || p_size, '(\\d+)', 1), '') AS DOUBLE) AS cr, p_retailprice * 2 AS rated FROM part WHERE p_partkey < 60),
-a AS (SELECT c_custkey AS asset, regexp_replace(lower(coalesce(CASE WHEN c_custkey % 4 <> 0 THEN 'Brand#' || c_custkey % 25 END, '')), '[^a-z0-9]', '', 'g') AS m, CASE WHEN c_custkey % 3 = 0 THEN 'ring' ELSE '' END AS t, CASE WHEN c_custkey % 5 <> 0 THEN 1800 + c_custkey % 20 END::DOUBLE AS kw, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 END::DOUBLE AS ro FROM customer WHERE c_custkey < 300),
+MATCH = """WITH p AS (SELECT p_brand, p_type, min(p_partkey) AS curve, min(p_name) AS name, max(p_size) AS size, max(p_retailprice) AS price FROM part GROUP BY 1, 2),
+c AS (SELECT curve, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS cm, regexp_replace(lower(name || ' ' || size), '[^a-z0-9]', '', 'g') AS ct, try_cast(nullif(regexp_extract(name || ' ' || size, '(\\d+)', 1), '') AS DOUBLE) AS cr, price * 2 AS rated FROM p),
+a AS (SELECT c_custkey AS asset, regexp_replace(lower(coalesce(CASE WHEN c_custkey % 4 <> 0 THEN 'Brand#' || c_custkey % 25 END, '')), '[^a-z0-9]', '', 'g') AS m, CASE WHEN c_custkey % 3 = 0 THEN 'ring' ELSE '' END AS t, CASE WHEN c_custkey % 5 <> 0 THEN 1800 + c_custkey % 20 * 40 END::DOUBLE AS kw, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 END::DOUBLE AS ro FROM customer),
 s AS (SELECT asset, curve, CASE WHEN m <> '' AND cm <> '' AND (contains(m, cm) OR contains(cm, m)) THEN 10 ELSE 0 END AS mk, m <> '' AND contains(cm, m) AS own, abs(rated - kw) AS gap,
  CASE WHEN abs(rated - kw) < 0.15 * kw AND kw > 0 THEN 5 * (1 - abs(rated - kw) / (0.15 * kw)) ELSE 0 END + CASE WHEN abs(cr - ro) < 0.10 * ro AND ro > 0 THEN 5 * (1 - abs(cr - ro) / (0.10 * ro)) ELSE 0 END + CASE WHEN t <> '' AND ct <> '' AND (contains(t, ct) OR contains(ct, t)) THEN 8 ELSE 0 END AS rest FROM a, c),
 o AS (SELECT *, bool_or(own) OVER (PARTITION BY asset) AS anyown FROM s),
@@ -170,7 +171,7 @@ def regional_weather_mean(spark, d):
 
 
 def solar_geometry(spark, d):
-    ev = t(spark, d, "events").filter("event_id % 5 = 0")
+    ev = t(spark, d, "events")
     z, a = physics.solar_position("ts", F.lit(52.4), F.lit(13.2))
     return rounded(ev.select("event_id", z.alias("zenith"), a.alias("azimuth"), physics.clear_sky(z).alias("ghi")), 5)
 
@@ -188,7 +189,7 @@ w AS (SELECT site, sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) *
 v AS (SELECT site, degrees(acos(cz)) AS z, CASE WHEN cz > 0 THEN 1098.0 * cz * exp(-0.057 / cz) ELSE 0 END AS ghi FROM w)
 SELECT site, count(*) AS n, round(avg(z), 5) AS zenith, round(avg(ghi), 5) AS ghi, round(max(ghi), 5) AS peak FROM v GROUP BY 1"""
 
-SOLAR = """WITH g AS (SELECT event_id, hour(ts) + minute(ts) / 60.0::DOUBLE + second(ts) / 3600.0::DOUBLE AS hr, dayofyear(ts) AS doy FROM events WHERE event_id % 5 = 0),
+SOLAR = """WITH g AS (SELECT event_id, hour(ts) + minute(ts) / 60.0::DOUBLE + second(ts) / 3600.0::DOUBLE AS hr, dayofyear(ts) AS doy FROM events),
 x AS (SELECT *, 2 * pi() / 365 * (doy - 1 + (hr - 12) / 24) AS g FROM g),
 y AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq FROM x),
 z AS (SELECT *, radians((hr * 60 + eq + 4 * 13.2) / 4 - 180) AS ang FROM y),

@@ -39,13 +39,13 @@ def telemetry_dedup_first(spark, d):
 
 def upsert_keep_last(spark, d):
     ev = t(spark, d, "events")
-    old, new = ev.filter("event_id % 3 <> 0"), ev.filter("event_id % 2 = 0").withColumn("value", F.col("value") * 2)
-    return clean.upsert(old, new, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+    new = ev.filter("value > 50").withColumn("value", F.col("value") * 2)
+    return clean.upsert(ev, new, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
 
 
 def replace_by_filter(spark, d):
     ev = t(spark, d, "events").select("event_id", "event_type", "value")
-    return clean.replace_where(ev, ev.filter("event_type = 'view' AND event_id % 2 = 0").withColumn("event_type", F.lit("view2")), F.col("event_type") == "view")
+    return clean.replace_where(ev, ev.filter("event_type = 'view' AND value > 50").withColumn("event_type", F.lit("view2")), F.col("event_type") == "view")
 
 
 def persistence_metrics(spark, d):
@@ -124,9 +124,11 @@ def calibration_split(spark, d):
 
 
 def dst_localize(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("line"), (F.lit("2024-10-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 96 * 15).cast("int"))).alias("utc")).filter("line < 96")
-    local = o.select("line", F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), "utc").alias("local"), F.lit(0).alias("file"))
-    return timeseries.localize(local, ["file"], "local", "line").select("line", "local", "ts")
+    # Files of 96 quarter hours of the day on which clocks go back.
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select(F.floor(k / 96).alias("file"), (k % 96).alias("line"), (F.lit("2024-10-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(k % 96 * 15).cast("int"))).alias("utc"))
+    local = o.select("file", "line", F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), "utc").alias("local"))
+    return timeseries.localize(local, ["file"], "local", "line").select("file", "line", "local", "ts")
 
 
 def local_grid(spark, d):
@@ -154,11 +156,10 @@ def running_maximum(spark, d):
 
 
 def lag_covariance(spark, d):
-    h = hourly(spark, d).filter("event_type = 'click'").withColumn("k", F.lit(0))
-    w = Window.partitionBy("k").orderBy("ts")
-    c = h.withColumn("c", F.col("y") - F.avg("y").over(Window.partitionBy("k")))
-    lags = c.select(*[(F.col("c") * (F.lag("c", k).over(w) if k else F.col("c"))).alias(f"x{k}") for k in range(6)]).select(F.posexplode(F.array(*[f"x{k}" for k in range(6)])).alias("lag", "x"))
-    return rounded(lags.groupBy("lag").agg(F.avg("x").alias("gamma")))
+    w = Window.partitionBy("event_type").orderBy("ts")
+    c = hourly(spark, d).withColumn("c", F.col("y") - F.avg("y").over(Window.partitionBy("event_type")))
+    lags = c.select("event_type", *[(F.col("c") * (F.lag("c", k).over(w) if k else F.col("c"))).alias(f"x{k}") for k in range(6)]).select("event_type", F.posexplode(F.array(*[f"x{k}" for k in range(6)])).alias("lag", "x"))
+    return rounded(lags.groupBy("event_type", "lag").agg(F.avg("x").alias("gamma")))
 
 
 def horizon_24h(spark, d):
@@ -181,8 +182,8 @@ m AS (SELECT *, count(*) OVER (PARTITION BY event_type, grp) - 1 AS len, first_v
 x AS (SELECT m.*, nx.p AS nxt FROM m LEFT JOIN (SELECT event_type, grp, min(p) AS p FROM m GROUP BY ALL) nx ON nx.event_type = m.event_type AND nx.grp = m.grp + 1)
 SELECT event_type, ts, round(CASE WHEN y IS NOT NULL THEN y WHEN grp > 0 AND nxt IS NOT NULL AND len <= 3 THEN p + (nxt - p) * k / (len + 1) END, 6) AS value FROM x"""),
     "telemetry_dedup_first": (telemetry_dedup_first, "SELECT user_id, hour, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, hour ORDER BY ts, event_id) AS rn FROM (SELECT *, date_trunc('hour', ts) AS hour FROM events)) WHERE rn = 1"),
-    "upsert_keep_last": (upsert_keep_last, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY side DESC, event_id DESC) AS rn FROM (SELECT *, 0 AS side FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT * REPLACE (value * 2 AS value), 1 AS side FROM events WHERE event_id % 2 = 0)) WHERE rn = 1"),
-    "replace_by_filter": (replace_by_filter, "SELECT event_id, event_type, value FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, 'view2', value FROM events WHERE event_type = 'view' AND event_id % 2 = 0"),
+    "upsert_keep_last": (upsert_keep_last, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY side DESC, event_id DESC) AS rn FROM (SELECT *, 0 AS side FROM events UNION ALL SELECT * REPLACE (value * 2 AS value), 1 AS side FROM events WHERE value > 50)) WHERE rn = 1"),
+    "replace_by_filter": (replace_by_filter, "SELECT event_id, event_type, value FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, 'view2', value FROM events WHERE event_type = 'view' AND value > 50"),
     "persistence_metrics": (persistence_metrics, f"WITH {HOURLY} SELECT event_type, {PAIR} FROM (SELECT a.event_type, a.y, b.y AS p FROM h a JOIN h b ON a.event_type = b.event_type AND b.ts = a.ts - INTERVAL 24 HOUR) GROUP BY 1"),
     "persistence_positional": (persistence_positional, f"WITH {HOURLY} SELECT event_type, {PAIR} FROM (SELECT event_type, y, lag(y, 24) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM h) WHERE p IS NOT NULL GROUP BY 1"),
     "climatology_predict": (climatology_predict, f"WITH {HOURLY}, f AS (SELECT event_type, hour(ts) AS hr, isodow(ts) AS dw, avg(y) AS p FROM h WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL) SELECT h.event_type, {PAIR} FROM h JOIN f ON f.event_type = h.event_type AND hr = hour(ts) AND dw = isodow(ts) WHERE ts >= TIMESTAMP '2024-01-21' GROUP BY 1"),
@@ -202,13 +203,13 @@ SELECT 0::BIGINT AS k, ts AS window_end, round(score, 6) AS score FROM z WHERE s
     "cyclical_features": (cyclical_features, "SELECT event_id, ts, round(sin(2 * pi() * hour(ts) / 24), 6) + 0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0 AS hour_cos, round(sin(2 * pi() * month(ts) / 12), 6) + 0 AS month_sin, round(cos(2 * pi() * month(ts) / 12), 6) + 0 AS month_cos FROM events"),
     "sequence_windows": (sequence_windows, f"WITH {HOURLY}, w AS (SELECT event_type, ts, list(y) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS l FROM h) SELECT event_type, ts, len(l) AS n, round(list_sum(l), 6) AS total, round(l[1], 6) AS oldest, round(l[24], 6) AS newest FROM w WHERE len(l) = 24"),
     "calibration_split": (calibration_split, f"WITH {HOURLY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) <= floor(count(*) OVER (PARTITION BY event_type) * 0.4) AS fit FROM h) SELECT event_type, fit, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(y), 6) AS mean_y FROM r GROUP BY 1, 2"),
-    "dst_localize": (dst_localize, "SELECT o_orderkey AS line, u + CASE WHEN u < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS local, u AS ts FROM (SELECT o_orderkey, TIMESTAMP '2024-10-27' + (o_orderkey % 96 * 15) * INTERVAL 1 MINUTE AS u FROM orders WHERE o_orderkey < 96)"),
+    "dst_localize": (dst_localize, "SELECT file, line, u + CASE WHEN u < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS local, u AS ts FROM (SELECT o_orderkey // 96 AS file, o_orderkey % 96 AS line, TIMESTAMP '2024-10-27' + (o_orderkey % 96 * 15) * INTERVAL 1 MINUTE AS u FROM orders)"),
     "local_grid": (local_grid, "SELECT unnest(generate_series(TIMESTAMP '2024-03-29 23:00:00', TIMESTAMP '2024-03-31 22:00:00', INTERVAL 15 MINUTE)) AS ts"),
     "session_gaps": (session_gaps, "WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM g GROUP BY user_id, s"),
     "tumbling_15m": (tumbling_15m, "SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2024-01-01') AS ts, round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY ALL"),
     "sliding_48h": (sliding_48h, "SELECT event_type, w AS ts, round(avg(value), 6) AS value, count(*) AS n FROM (SELECT event_type, value, unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS w FROM events) GROUP BY ALL"),
     "running_maximum": (running_maximum, f"WITH {HOURLY}, z AS (SELECT event_type, ts, CASE WHEN hour(ts) % 7 <> 0 THEN y END AS y FROM h) SELECT event_type, ts, round(y, 6) AS y, round(CASE WHEN y IS NOT NULL THEN max(y) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) END, 6) AS top FROM z"),
-    "lag_covariance": (lag_covariance, f"WITH {HOURLY}, c AS (SELECT ts, y - avg(y) OVER () AS c FROM h WHERE event_type = 'click'), r AS (SELECT c, row_number() OVER (ORDER BY ts) AS rn FROM c) SELECT k AS lag, round(avg(a.c * b.c), 6) AS gamma FROM range(6) t(k) JOIN r a ON true JOIN r b ON b.rn = a.rn - k GROUP BY 1"),
+    "lag_covariance": (lag_covariance, f"WITH {HOURLY}, c AS (SELECT event_type, ts, y - avg(y) OVER (PARTITION BY event_type) AS c FROM h), r AS (SELECT event_type, c, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM c) SELECT a.event_type, k AS lag, round(avg(a.c * b.c), 6) AS gamma FROM range(6) t(k) JOIN r a ON true JOIN r b ON b.event_type = a.event_type AND b.rn = a.rn - k GROUP BY 1, 2"),
     "horizon_24h": (horizon_24h, f"WITH {HOURLY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM h WHERE ts >= TIMESTAMP '2024-01-15 11:00:00') SELECT event_type, ts, round(y, 6) AS y FROM r WHERE rn <= 24"),
     "hour_ceiling": (meter_ceil, "SELECT event_id, CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS hour FROM events"),
 }
