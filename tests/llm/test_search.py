@@ -33,7 +33,7 @@ def texts(seed, n=300):
     return rows + [(n, None), (n + 1, ""), (n + 2, "!!! ..."), (n + 3, rows[10][1]), (n + 4, rows[10][1]), (None, rows[10][1]), (n + 5, "w1é " * 20000)]
 
 
-@pytest.mark.parametrize("shard,size", [(4096, 16 << 20), (37, 3000)])
+@pytest.mark.parametrize("shard,size", [(4000, 16 << 20), (37, 3000)])
 def test_matches_scoring_everything(spark, shard, size):
     rows = texts(1)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rank int, terms string").repartition(3)
