@@ -3,8 +3,9 @@
 Documents are summed to cells of (source, language, topic) by tokens. The cells' weights are raked: each
 marginal in turn is scaled to its target until all hold, which keeps the interactions of the corpus. A cell's
 multiplier is its raked over its observed weight; documents are kept with a probability proportional to it, calibrated
-so that the largest is ``rate`` — the largest sample in which the expected tokens of every marginal meet the targets. Whether a
-document is kept depends on its id and the seed alone.
+so that ``RATE`` of all tokens are expected to stay. Cells whose chance would pass one are taken whole, which is all that can be had of
+them; the smaller the rate, the fewer such cells and the closer the sample to the targets. Whether a document is kept depends
+on its id and the seed alone.
 
 Targets are given as shares for each marginal, or made from the corpus by a temperature: shares to the power
 ``ALPHA``, which damps a source that holds a third of all rows and lifts small ones. Tokens are runs of
@@ -13,8 +14,8 @@ non-space; the topic is the text's form (``TOPIC``), as documents carry no other
 The cell table is an aggregate. Up to ``DRIVER_CELLS`` cells are raked on the driver and come back as a broadcast; more are
 raked as a distributed table, with the same result.
 
-Results: null sources and languages count as empty strings, null and empty texts as topic ``empty`` without tokens (kept
-with their cell's probability, 0 tokens weigh nothing). Rows that agree in id share their fate. Other columns are kept.
+Results: null sources and languages count as empty strings, null and empty texts as topic ``empty`` without tokens (cells
+without tokens have the multiplier 1). Rows that agree in id share their fate. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import checkpoint, table, uniform
 
 ALPHA = 0.7
 ROUNDS = 20
-RATE = 1.0
+RATE = 0.8
 SEED = 17
 DRIVER_CELLS = 100_000
 DIMS = ("_source", "_lang", "_topic")
@@ -79,6 +80,33 @@ def rake(cells: list[tuple], weight: list[float], targets: dict[str, dict] | Non
     return w.tolist()
 
 
+def calibrate(tokens_: list[float], multiplier: list[float], rate: float = RATE) -> float:
+    """The factor s for which min(1, s * multiplier) keeps ``rate`` of the tokens: cells are taken whole from the largest multiplier down."""
+    n, m = np.asarray(tokens_, float), np.asarray(multiplier, float)
+    order = np.argsort(-m, kind="stable")
+    n, m = n[order], m[order]
+    whole = np.concatenate(([0.0], np.cumsum(n)[:-1]))
+    rest = np.cumsum((n * m)[::-1])[::-1]
+    s = np.divide(rate * n.sum() - whole, rest, out=np.full(len(n), np.inf), where=rest > 0)
+    fits = np.flatnonzero(s * m <= 1)
+    return float(s[fits[0]]) if len(fits) and rate < 1 else 1e300
+
+
+def _calibrate_distributed(cells: DataFrame, rate: float) -> float:
+    """The same over a table of cells (_sum, _m), by bisection on aggregates."""
+    total = cells.agg(F.sum("_sum"), F.max("_m")).first()
+    if rate >= 1 or not total[0]:
+        return 1e300
+    lo, hi = 0.0, 1.0
+    kept = lambda s: cells.agg(F.sum(F.col("_sum") * F.least(F.lit(1.0), F.lit(s) * F.col("_m")))).first()[0]
+    while kept(hi) < rate * total[0] and hi < 1e12:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if kept(mid) < rate * total[0] else (lo, mid)
+    return hi
+
+
 def _rake_distributed(cells: DataFrame, targets: dict[str, dict] | None, alpha: float, rounds: int) -> DataFrame:
     """The same over a table of cells (_source, _lang, _topic, _sum) of any size."""
     total = cells.agg(F.sum("_sum")).first()[0] or 0
@@ -109,13 +137,16 @@ def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, alpha: float
     held = cells.limit(driver_cells + 1).collect()
     if len(held) <= driver_cells:
         raked = rake([tuple(r[d] for d in DIMS) for r in held], [r["_sum"] for r in held], targets, alpha, rounds)
-        table_ = docs.sparkSession.createDataFrame([(*[r[d] for d in DIMS], w / r["_sum"] if r["_sum"] else 0.0) for r, w in zip(held, raked, strict=True)], ", ".join(f"{d} string" for d in DIMS) + ", _m double")
+        many = [w / r["_sum"] if r["_sum"] else 1.0 for r, w in zip(held, raked, strict=True)]
+        factor = calibrate([r["_sum"] for r in held], many, rate) if held else 1.0
+        table_ = docs.sparkSession.createDataFrame([(*[r[d] for d in DIMS], m) for r, m in zip(held, many, strict=True)], ", ".join(f"{d} string" for d in DIMS) + ", _m double")
         table_ = F.broadcast(table_)
     else:
-        table_ = _rake_distributed(checkpoint(cells), targets, alpha, rounds).select(*DIMS, F.coalesce(F.try_divide("_w", F.col("_sum").cast("double")), F.lit(0.0)).alias("_m"))
-    top = table_.agg(F.max("_m")).first()[0] or 1.0
+        table_ = checkpoint(_rake_distributed(checkpoint(cells), targets, alpha, rounds).select(*DIMS, "_sum", F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum").cast("double")).otherwise(1.0).alias("_m")))
+        factor = _calibrate_distributed(table_, rate)
+        table_ = table_.drop("_sum")
     joined = rows.join(table_, list(DIMS), "left")
-    p = F.col("_m") / F.lit(float(top)) * F.lit(float(rate))
+    p = F.when(F.col("_m") > 0, F.least(F.lit(1.0), F.col("_m") * F.lit(factor))).otherwise(0.0)
     return joined.withColumn("_p", p).drop("_m").withColumn("_kept", uniform(seed, id_col) < F.col("_p"))
 
 
@@ -152,10 +183,12 @@ w0 AS MATERIALIZED (SELECT s, l, t, n,
   {share('l')} / (SELECT sum(x) FROM (SELECT DISTINCT l, {share('l')} AS x FROM m)) * (SELECT sum(n) FROM c) AS want_l,
   {share('t')} / (SELECT sum(x) FROM (SELECT DISTINCT t, {share('t')} AS x FROM m)) * (SELECT sum(n) FROM c) AS want_t, n AS w FROM m),
 {', '.join(steps)},
-p AS (SELECT s, l, t, CASE WHEN n > 0 THEN w / n ELSE 0 END AS m FROM {last})
-SELECT doc_id, t AS topic, n AS tokens, round(m / (SELECT max(m) FROM p) * {rate}, 9) AS probability,
-  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0 < m / (SELECT max(m) FROM p) * {rate} AS kept
-FROM d JOIN p USING (s, l, t)"""
+p AS (SELECT s, l, t, n, CASE WHEN n > 0 THEN w / n ELSE 1 END AS m FROM {last}),
+k AS (SELECT *, ({rate} * (SELECT sum(n) FROM p) - coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(n * m) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS f, row_number() OVER o AS i FROM p WINDOW o AS (ORDER BY m DESC, s, l, t)),
+q AS (SELECT arg_min(f, i) AS f FROM k WHERE f * m <= 1)
+SELECT doc_id, t AS topic, n AS tokens, round(least(1, m * f), 9) AS probability,
+  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0 < least(1, m * f) AS kept
+FROM (SELECT doc_id, d.n, t, m FROM d JOIN p USING (s, l, t)), q"""
 
 
 SQL = _sql()

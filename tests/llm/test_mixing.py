@@ -21,12 +21,12 @@ def test_raked_marginals_meet_targets():
 def test_sample_follows_the_targets_and_keeps_columns(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows(3000)], "doc_id long, text string, lang string, source string, _m long, n int")
     docs = docs.withColumnRenamed("_m", "weight")
-    got = M.weigh(docs).toPandas()
+    got = M.weigh(docs, rate=0.3).toPandas()
     raw = got.groupby("_source")["_tokens"].sum() ** M.ALPHA
     expected = (got["_p"] * got["_tokens"]).groupby(got["_source"]).sum()
     assert np.allclose(expected / expected.sum(), raw / raw.sum(), atol=1e-6)
-    assert abs(got["_p"].max() - 1) < 1e-12
-    drawn = M.sample(docs)
+    assert got["_p"].max() < 1 and abs((got["_p"] * got["_tokens"]).sum() / got["_tokens"].sum() - 0.3) < 1e-9
+    drawn = M.sample(docs, rate=0.3)
     assert drawn.columns == docs.columns and drawn.count() == got["_kept"].sum()
     kept = got[got["_kept"]].groupby("_source")["_tokens"].sum()
     assert np.allclose(kept / kept.sum(), raw / raw.sum(), atol=0.05)
@@ -38,6 +38,15 @@ def test_distributed_raking_is_the_same(spark):
     a = M.weigh(docs, targets=target, rounds=3).select("doc_id", "_p").toPandas().sort_values("doc_id")
     b = M.weigh(docs, targets=target, rounds=3, driver_cells=2).select("doc_id", "_p").toPandas().sort_values("doc_id")
     assert np.allclose(a["_p"], b["_p"])
+    assert a["_p"].max() == 1.0
+
+
+def test_calibration_takes_scarce_cells_whole():
+    n, m = [100.0, 50.0, 1000.0], [5.0, 2.0, 0.5]
+    for rate in (0.1, 0.5, 0.9):
+        s = M.calibrate(n, m, rate)
+        assert abs(sum(a * min(1.0, s * b) for a, b in zip(n, m, strict=True)) - rate * 1150) < 1e-9
+    assert min(1.0, M.calibrate(n, m, 1.0) * 0.5) == 1.0
 
 
 def test_nulls_empty_and_ties(spark):
