@@ -3,7 +3,8 @@
 Documents are tokenised once into a forward index (term hashes and frequencies) in the shared folder. Global statistics
 (documents, mean length, document frequencies) come from pre-aggregated partial counts. Queries are taken in blocks of
 bounded text (``QUERY_BYTES``), whose terms with their weights are broadcast; every shard (a slice of ``SHARD_DOCS`` documents
-of a partition) inverts its documents for those terms and finds its own exact top k, and shards are merged by score.
+of a partition) inverts its documents for those terms and finds its own exact top k. A partition keeps the best k over its shards, whose
+last score is the next shard's first threshold; partitions are merged by score.
 
 In a shard the postings of a term are cut into blocks of ``BLOCK`` documents with the largest impact of each. A
 query first scores the most promising documents to get a threshold. By the WAND condition, documents that hold only terms
@@ -33,7 +34,7 @@ from .common import materialize, release, table
 K = 10
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_DOCS = 4096
+SHARD_DOCS = 4000
 QUERY_BYTES = 16 << 20
 FLUSH_TERMS = 1_000_000
 EPS = 1e-7
@@ -52,15 +53,18 @@ class Shard:
         doc = np.repeat(np.arange(n), np.diff(start))
         self.start, self.term = start, term
         self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.imp = doc[order], self.impact[order]
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.doc, self.imp = doc[order].astype(np.int32), self.impact[order]
+        del doc
         self.off = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(idf)))))
         self.blocks = -(-n // BLOCK)
         key = term[order].astype(np.int64) * self.blocks + self.doc // BLOCK
+        del order
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.bmax = np.maximum.reduceat(self.imp, cut) if len(cut) else np.zeros(0)
         self.bdoc = key[cut] % self.blocks if len(cut) else cut
         self.boff = np.searchsorted(key[cut], np.arange(len(idf) + 1) * self.blocks)
+        del key, cut
         self.top = np.zeros(len(idf))
         held = np.flatnonzero(np.diff(self.off))
         self.top[held] = np.maximum.reduceat(self.imp, self.off[held]) if len(held) else 0
@@ -81,20 +85,19 @@ class Shard:
         on = self.wanted[self.term[at]]
         return np.bincount(own[on], self.impact[at[on]], len(docs))
 
-    def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, score) of the best ``k`` and all that tie with the last."""
+    def search(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(document, score) of the best ``k`` and all that tie with the last, of those that reach ``floor``."""
         terms = terms[self.off[terms + 1] > self.off[terms]]
         none = np.zeros(0, np.int64)
         if not len(terms):
             return none, np.zeros(0)
         self.wanted[terms] = True
         terms = terms[np.argsort(self.top[terms], kind="stable")]
-        floor = 0.0
         first = self._sum(terms[-8:], self.off, self.doc, self.imp, self.n)
         seeds = np.argpartition(first, -2 * k)[-2 * k :] if self.n > 2 * k else np.arange(self.n)
         known = self.full(seeds)
         if (known > 0).sum() >= k:
-            floor = np.partition(known, -k)[-k]
+            floor = max(floor, np.partition(known, -k)[-k])
         light = int(np.searchsorted(np.cumsum(self.top[terms]), floor - EPS))  # terms that cannot reach it together
         score = self._sum(terms[light:], self.off, self.doc, self.imp, self.n)
         docs = np.flatnonzero(score > 0)
@@ -109,6 +112,8 @@ class Shard:
             found = score[docs]
         self.wanted[terms] = False
         found = np.round(found, 9)
+        keep = found >= floor - EPS
+        docs, found = docs[keep], found[keep]
         if len(docs) > k:
             keep = found >= np.partition(found, -k)[-k]
             docs, found = docs[keep], found[keep]
@@ -182,38 +187,49 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocab, idf, query, ends, ids = own.value
 
-            def flush(parts: list[pa.RecordBatch]):
-                tab = pa.Table.from_batches(parts).combine_chunks()
+            def invert(tab: pa.Table) -> Shard:
                 terms, tfs = tab["terms"].combine_chunks(), tab["tfs"].combine_chunks()
                 start = np.asarray(terms.offsets, np.int64)
                 term, tf = np.asarray(terms.values)[start[0] : start[-1]], np.asarray(tfs.values)[start[0] : start[-1]]
-                start = start - start[0]
-                place = np.minimum(np.searchsorted(vocab, term), max(0, len(vocab) - 1))
+                place = np.minimum(np.searchsorted(vocab, term), max(0, len(vocab) - 1)).astype(np.int32)
                 on = vocab[place] == term if len(vocab) else np.zeros(len(term), bool)
-                start = np.concatenate(([0], np.cumsum(on)))[start]
-                shard = Shard(tab["length"].to_numpy().astype(float), start, place[on].astype(np.int32), tf[on].astype(float), idf, mean)
-                doc = tab["doc_id"].to_numpy(zero_copy_only=False) if not tab["doc_id"].null_count else None
-                got_q, got_d, got_s = [], [], []
+                start = np.concatenate(([0], np.cumsum(on)))[start - start[0]]
+                return Shard(tab["length"].to_numpy().astype(float), start, place[on], tf[on].astype(float), idf, mean)
+
+            best: dict[int, tuple] = {}  # the best k of each query over the shards of this partition: score, id, no id
+
+            def flush(parts: list[pa.RecordBatch]) -> None:
+                tab = pa.Table.from_batches(parts)
+                parts.clear()
+                shard = invert(tab)
+                tab = tab.select(["doc_id"])  # the terms are in the shard now
+                null = tab["doc_id"].is_null().to_numpy()
+                doc = tab["doc_id"].fill_null(0).to_numpy()
                 for q in range(len(ids)):
-                    d, s = shard.search(query[ends[q] : ends[q + 1]], k)
-                    if doc is not None and len(d) > k:  # ties beyond k: by id
-                        best = np.lexsort((doc[d], -s))[:k]
-                        d, s = d[best], s[best]
-                    got_q.append(np.full(len(d), ids[q]))
-                    got_d.append(d)
-                    got_s.append(s)
-                if got_d:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q), pa.int64()), tab["doc_id"].combine_chunks().take(pa.array(np.concatenate(got_d))), pa.array(np.concatenate(got_s))], schema=schema)
+                    have = best.get(q)
+                    d, s = shard.search(query[ends[q] : ends[q + 1]], k, have[0][k - 1] if have is not None and len(have[0]) >= k else 0.0)
+                    if len(d):
+                        s, i, none = s, doc[d], null[d]
+                        if have is not None:
+                            s, i, none = np.concatenate((have[0], s)), np.concatenate((have[1], i)), np.concatenate((have[2], none))
+                        order = np.lexsort((i, none, -s))[:k]
+                        best[q] = s[order], i[order], none[order]
 
             held, rows = [], 0
             for batch in batches:
                 held.append(batch)
                 rows += batch.num_rows
                 if rows >= shard_docs:
-                    yield from flush(held)
-                    held, rows = [], 0
+                    flush(held)
+                    rows = 0
             if rows:
-                yield from flush(held)
+                flush(held)
+            for at in range(0, len(ids), 10_000):
+                some = [(q, best[q]) for q in range(at, min(at + 10_000, len(ids))) if q in best]
+                if some:
+                    number = np.concatenate([np.full(len(b[0]), ids[q]) for q, b in some])
+                    doc = pa.array(np.concatenate([b[1] for _, b in some]), pa.int64(), mask=np.concatenate([b[2] for _, b in some]))
+                    yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), doc, pa.array(np.concatenate([b[0] for _, b in some]))], schema=schema)
 
         return index.filter("kind = 0").select("doc_id", "length", "terms", "tfs").mapInArrow(run, "query_id long, doc_id long, score double")
 
