@@ -60,6 +60,23 @@ def signatures(x: np.ndarray, k: int, tables: int, seed: int, width: float = WID
     return ((key ^ (key >> 31)) & 0x7FFFFFFF).astype(np.int32)
 
 
+def _encode(v: np.ndarray) -> bytes:
+    """The vector in single precision where that is exact, else in double; the first byte is the width."""
+    small = v.astype(np.float32)
+    return b"\x04" + small.tobytes() if np.array_equal(small, v) else b"\x08" + v.tobytes()
+
+
+def _decode(parts: list[bytes]) -> np.ndarray:
+    """Normalised vectors (of one length) in double precision."""
+    if len({len(p) for p in parts}) == 1:
+        x = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
+        x = np.ascontiguousarray(x[:, 1:]).view(np.float32 if parts[0][0] == 4 else np.float64).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(p[1:], np.float32 if p[0] == 4 else np.float64).astype(np.float64) for p in parts])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _pairs(x: np.ndarray, keys: np.ndarray, t: np.ndarray, group: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs at or above the threshold in each group, in the first table where their keys agree.
 
@@ -103,19 +120,17 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, seed: int = 0, bloc
         for batch in batches:
             vecs = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
             keys: list = [b""] * len(vecs)
-            unit: list = [b""] * len(vecs)
+            raw = [_encode(v) for v in vecs]
             for dim in {len(v) for v in vecs}:
                 own = [i for i, v in enumerate(vecs) if len(v) == dim]
-                x = np.stack([vecs[i] for i in own])
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                for i, row, s in zip(own, x, signatures(x, k, tables, seed), strict=True):
-                    keys[i], unit[i] = s.tobytes(), row.tobytes()
+                for i, s in zip(own, signatures(_decode([raw[i] for i in own]), k, tables, seed), strict=True):
+                    keys[i] = s.tobytes()
             flat = np.array([np.frombuffer(b, np.int32) for b in keys], np.int64).reshape(len(keys), tables)
+            dims = pa.array([len(v) for v in vecs], pa.int32())
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit, pa.binary()), pa.array(keys, pa.binary()), pa.array(np.full(len(keys), t, np.int32)), pa.array(flat[:, t])], ["id", "n", "unit", "sig", "t", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(np.full(len(keys), t, np.int32)), pa.array(flat[:, t]), dims], ["id", "n", "raw", "sig", "t", "cell", "dim"])
 
-    signed = distinct.select("id", "n", "vec").mapInArrow(sign, "id long, n long, unit binary, sig binary, t int, cell long").withColumn("key", F.xxhash64("t", "cell", F.length("unit")))
+    signed = distinct.select("id", "n", "vec").mapInArrow(sign, "id long, n long, raw binary, sig binary, t int, cell long, dim int").withColumn("key", F.xxhash64("t", "cell", "dim"))
     sizes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     large = signed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     mine = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")
@@ -123,18 +138,17 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, seed: int = 0, bloc
     dealt = large.withColumn("mine", mine).withColumn("other", other).select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-        "id", "n", "unit", "sig", "t",
+        "id", "n", "raw", "sig", "t", "dim",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
         def flush(tab: pa.Table):
-            size = np.array(pc.binary_length(tab["unit"]).to_numpy())
-            for dim in np.unique(size):
-                part = tab.filter(pa.array(size == dim))
+            for dim in pc.unique(tab["dim"]).to_pylist():
+                part = tab.filter(pc.equal(tab["dim"], dim))
                 num = lambda c: part[c].to_numpy()  # noqa: E731, B023
-                x = np.frombuffer(b"".join(part["unit"].to_pylist()), np.float64).reshape(-1, dim // 8)
+                x = _decode(part["raw"].to_pylist())
                 keys = np.frombuffer(b"".join(part["sig"].to_pylist()), np.int32).reshape(-1, tables)
                 i, j = _pairs(x, keys, num("t"), num("grp"), num("side"), threshold)
                 ids, n = num("id"), num("n")

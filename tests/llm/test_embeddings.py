@@ -47,6 +47,13 @@ def test_matches_brute_force(spark, block):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_double_and_single_precision_meet(spark):
+    v = [0.1, 0.7, 0.3, 0.2]
+    rows = [(1, v), (2, [float(np.float32(x)) for x in v]), (3, [-x for x in v])]
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 def test_recall_on_the_test_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
