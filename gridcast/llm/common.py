@@ -43,12 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Two tasks a core at most: small intermediate tables in many shuffle partitions would make as many files."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a (small, iterated) frame through reliable storage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    return _few(df).checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,11 +64,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame that several later steps read to the shared folder as Parquet, and read it back."""
+def materialize(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+    """Write a frame that several later steps read to the shared folder as Parquet, and read it back.
+
+    ``scan``: made next to a scan, whose partitions it keeps.
+    """
     bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if scan else _few(df)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -173,7 +173,7 @@ def _met(keys: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, th, gone): the numbers of the lines that go, for each document that loses any. ``docs``: _id, _th, _text."""
-    occ = materialize(occurrences(docs, min_chars), "lines")
+    occ = materialize(occurrences(docs, min_chars), "lines", scan=True)
     # Smallest position and any half keys of each distinct line; a struct of the position first makes it one minimum.
     distinct = materialize(occ.groupBy("h").agg(F.min(F.struct("id", "th", "line", "k0", "k1", "k2", "k3")).alias("x"), F.count(F.lit(1)).alias("n")).select("h", F.struct("x.id", "x.th", "x.line").alias("pos"), "n", F.array("x.k0", "x.k1", "x.k2", "x.k3").alias("k")), "distinct-lines")
     release(docs.sparkSession)

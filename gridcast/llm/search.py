@@ -161,7 +161,7 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QUERY_BYTES, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, rank, doc_id and score: the best ``k`` of all rows for the rows where ``queries`` (over ``doc_id``) holds."""
     spark = docs.sparkSession
-    index = materialize(forward(docs, id_col, text_col), "forward-index")
+    index = materialize(forward(docs, id_col, text_col), "forward-index", scan=True)
     release(spark)
     counts = index.filter("kind = 1")
     n, total = counts.agg(F.sum("length"), F.sum("doc_id")).first()

@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     within ``radius`` bits if they share one of the blocks of ``BLOCK_BITS`` bits; of texts at a Jaccard similarity of 0.8, eight prints miss
     one in eleven by chance, at 0.85 one in forty.
     """
-    prints_of = materialize(fingerprints(docs, words, seed, prints, id_col, text_col).withColumn("id", F.col("fp") if prints == 1 else F.xxhash64("fp")), "simhash")
+    prints_of = materialize(fingerprints(docs, words, seed, prints, id_col, text_col).withColumn("id", F.col("fp") if prints == 1 else F.xxhash64("fp")), "simhash", scan=True)
     distinct = prints_of.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"))
     edges = links(distinct.select("fp"), distinct.count(), radius) if prints == 1 else similar_links(distinct, radius, prints)
     named = components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))

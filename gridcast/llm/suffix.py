@@ -351,7 +351,7 @@ def _compare(parts: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """(t, spans): byte ranges to remove, not yet merged, for each text that has any. ``docs``: _t, _n, _crc, _data."""
-    found = materialize(contexts(docs, length), "contexts")
+    found = materialize(contexts(docs, length), "contexts", scan=True)
     place = F.xxhash64("t", "a")
     twice = found.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("h")
     again = materialize(found.join(twice, "h"), "repeated-contexts")
