@@ -12,6 +12,9 @@ distances at a time, and words are dropped once all their distances exceed the r
 a spanning forest in place, so a dense group emits as many edges as it has members, and no link between
 different fingerprints is lost for the components.
 
+``dedup`` decides by the sets themselves: every pair of texts at the Jaccard similarity of their shingles meets, the fingerprints only set aside
+what is far beyond it, and links are pairs whose similarity, computed from the sets of hashes, is reached.
+
 Results: a fingerprint's component is the smallest id reachable over links. Null text counts as no words
 (fingerprint zero, linked like any other); null ids get the component of their fingerprint and never
 name one. Ties and repeated rows share a fingerprint and thus a component. Empty tables give empty results; other
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import mark_seen, materialize, release, seen_bitmap, table
 from .components import components
 
 WORDS = 3
@@ -38,27 +41,37 @@ SEED = 42
 BUCKET = 20_000
 SMALL = 12
 BLOCK_BITS = 16
+FAR = 5 / 16
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, prints: int = 1) -> np.ndarray:
-    """The SimHash of one UTF-8 text: ``prints`` words of 64 bits, the first of them over XXH64, the others over mixes of it."""
+def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text, in order; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()  # of bytes: A-Z, and ASCII white space only
     if not found:
-        return np.zeros(prints, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-words] + 1)).tolist() if len(found) > words else [0]
     ends = ends[words - 1 :].tolist() if len(found) > words else [len(joined)]
-    n = len(starts)
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), "<u8", len(starts))
+
+
+def majority(found: np.ndarray, prints: int = 1) -> np.ndarray:
+    """The SimHash of shingle hashes: ``prints`` words of 64 bits, the first of them over XXH64, the others over mixes of it."""
     total = np.zeros(64 * prints, np.int64)
-    for at in range(0, n, 16_384):
-        part = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[at : at + 16_384], ends[at : at + 16_384], strict=True)), "<u8")
+    for at in range(0, len(found), 16_384):
+        part = found[at : at + 16_384]
         for k in range(prints):
             bits = np.unpackbits((part if k == 0 else _mix(part, k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total[64 * k : 64 * k + 64] += bits.sum(0, dtype=np.int64) if len(bits) > 255 else bits.sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > n, bitorder="little").view("<u8").astype(np.uint64)
+    return np.packbits(2 * total > len(found), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, prints: int = 1) -> np.ndarray:
+    """The SimHash of one UTF-8 text over all its shingles."""
+    return majority(hashes(text, words, seed), prints)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -172,8 +185,29 @@ def pairs_within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges, as index pairs, among fingerprints that share a key; rows are sorted by key."""
+def bucket_pairs(fps: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of one bucket between fingerprints of different labels, as index pairs."""
+    named, at = np.unique(labels, return_inverse=True)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(named) > 1:
+        planes, n = planes_of(fps), len(fps)
+        left = np.zeros(planes.shape[1] * 64, np.uint8)
+        left[:n] = 1
+        left = np.packbits(left, bitorder="little").view(np.uint64)
+        for i in np.flatnonzero(at != np.bincount(at).argmax()).tolist():  # two rows of the commonest label need no comparison
+            left[i >> 6] &= ~np.uint64(1 << (i & 63))
+            near = within(planes, fps[i], left, radius)
+            near = near[at[near] != at[i]]
+            a.append(np.full(len(near), i))
+            b.append(near)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as index pairs, among fingerprints that share a key; rows are sorted by key.
+
+    All links of buckets up to ``SMALL`` rows, a forest of larger ones; with ``labels``, all between different labels.
+    """
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((cuts, [len(keys)])))
     size_of = np.repeat(sizes, sizes)
@@ -181,18 +215,21 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     u, v = [none], [none]
     for shift in range(1, min(SMALL, int(sizes.max(initial=0)))):
         i = np.flatnonzero((keys[shift:] == keys[:-shift]) & (size_of[shift:] <= SMALL))
+        if labels is not None:
+            i = i[labels[i] != labels[i + shift]]
         i = i[pairs_within(fps[i], fps[i + shift], radius)]
         u.append(i)
         v.append(i + shift)
     for at, n in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = bucket_forest(fps[at : at + n], radius)
+        a, b = bucket_forest(fps[at : at + n], radius) if labels is None else bucket_pairs(fps[at : at + n], labels[at : at + n], radius)
         u.append(at + a)
         v.append(at + b)
     return np.concatenate(u), np.concatenate(v)
 
 
 def _joined(dealt: DataFrame, radius: int) -> DataFrame:
-    """Forest edges (u, v) of the buckets of ``dealt`` (id, key, fp binary)."""
+    """Links (u, v) of the buckets of ``dealt`` (id, key, fp binary), as ``linked`` finds them; ``label`` is used where there is one."""
+    labelled = "label" in dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -200,7 +237,7 @@ def _joined(dealt: DataFrame, radius: int) -> DataFrame:
 
         def flush(tab: pa.Table):
             fps = np.frombuffer(b"".join(tab["fp"].to_pylist()), np.uint64).reshape(tab.num_rows, -1)
-            u, v = linked(tab["key"].to_numpy(), fps, radius)
+            u, v = linked(tab["key"].to_numpy(), fps, radius, tab["label"].to_numpy() if labelled else None)
             ids = tab["id"].to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
 
@@ -217,12 +254,7 @@ def _joined(dealt: DataFrame, radius: int) -> DataFrame:
         if rows or held:
             yield flush(pa.Table.from_batches(held))
 
-    return dealt.select("id", "key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
-
-
-def radius_of(similarity: float, prints: int) -> int:
-    """The bits that fingerprints of texts of this Jaccard similarity differ in, on average."""
-    return round(64 * prints * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return dealt.select("id", "key", "fp", *["label"] * labelled).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def similar_links(fps: DataFrame, radius: int, prints: int, bits: int = BLOCK_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -238,10 +270,15 @@ def similar_links(fps: DataFrame, radius: int, prints: int, bits: int = BLOCK_BI
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp[:, t].astype(np.int64) << 16 | t)], ["id", "fp", "key"])
 
     keyed = fps.select("id", "fp").mapInArrow(key, "id long, fp binary, key long")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return _joined(_dealt(keyed, 1, bucket), radius)
+
+
+def _dealt(keyed: DataFrame, least: int, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``keyed`` whose key has more than ``least``, those of keys over ``bucket`` as pairs of blocks of half that size."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     blocks = F.when(F.col("n") > bucket, F.ceil(F.col("n") * 2 / bucket)).otherwise(1).cast("int")
     dealt = keyed.join(sizes, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod("id", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return _joined(dealt.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))), radius)
+    return dealt.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).drop("n", "blocks", "mine", "other")
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -272,26 +309,117 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS, bucket: int = BUCKET
     return _joined(dealt.withColumn("id", F.col("fp")).withColumn("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0"))), radius)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (smallest id reachable) of every row.
-
-    With one print, links are those within ``radius`` bits, all of them. With more, fingerprints of 64 * ``prints`` bits link
-    within ``radius`` bits if they share one of the blocks of ``BLOCK_BITS`` bits; of texts at a Jaccard similarity of 0.8, eight prints miss
-    one in eleven by chance, at 0.85 one in forty.
-    """
-    prints_of = materialize(fingerprints(docs, words, seed, prints, id_col, text_col).withColumn("id", F.col("fp") if prints == 1 else F.xxhash64("fp")), "simhash", scan=True)
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (smallest id reachable over links within ``radius`` bits) of every row."""
+    prints_of = materialize(fingerprints(docs, words, seed, 1, id_col, text_col).withColumn("id", F.col("fp")), "simhash", scan=True)
     distinct = prints_of.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"))
-    edges = links(distinct.select("fp"), distinct.count(), radius) if prints == 1 else similar_links(distinct, radius, prints)
-    named = components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    named = components(links(distinct.select("fp"), distinct.count(), radius)).select(F.col("node").alias("id"), F.col("component").alias("root"))
     rooted = distinct.select("id", "first").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints_of.join(rooted.join(lowest, "root").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
 
 
+def least_shared(n: int, similarity: float) -> int:
+    """The shingles that a set of ``n`` shares at least with any set of this Jaccard similarity."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def set_id(found: np.ndarray) -> int:
+    """A signed 64-bit name of a sorted set of shingle hashes."""
+    from xxhash import xxh64_intdigest
+
+    name = xxh64_intdigest(found.tobytes())
+    return name - (1 << 64) if name >> 63 else name
+
+
+def sketches(docs: DataFrame, words: int, similarity: float, prints: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hash of the text, and of its set of shingles the id, the fingerprint and the keys: the smallest hashes, so many that sets of the similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, fps, keys = [], [], []
+            for text in batch.column(2):
+                found = np.unique(hashes(text.as_py() or b"", words, seed))
+                ids.append(set_id(found))
+                fps.append(majority(found, prints).tobytes())
+                keys.append(found[: len(found) - least_shared(len(found), similarity) + 1].view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            held = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), held], ["doc_id", "text_hash", "id", "fp", "keys"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, id long, fp binary, keys array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, similarity: float, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` (u, v) of set ids whose sets have the Jaccard similarity; ``first`` (id, first) names a document of each set.
+
+    Texts are read again where a bitmap may hold their id; only sets that are in a pair move.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(t.as_py() or b"", words, seed)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "held"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    rows = mark_seen(rows, seen_bitmap(first.join(wanted, "id"), "first"), F.col("_id")).filter("_seen").select("_text")
+    sets = materialize(rows.mapInArrow(shingled, "id long, held binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("held").alias("_x")), "u")
+    both = left.join(sets.select(F.col("id").alias("v"), F.col("held").alias("_y")), "v").select("u", "v", "_x", "_y")
+    found = materialize(both.mapInArrow(similar, "u long, v long"), "simhash-links")
+    release(spark)
+    return found
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, root (of the component) and id (of the set of shingles) of every row; links are all pairs of sets at the Jaccard similarity.
+
+    Sets of the similarity share one of their smallest hashes, so they meet in a bucket of that key. There the fingerprints set aside what is
+    farther than ``FAR`` of the bits; what is left is decided by the sets. Buckets over ``SMALL`` give a forest of candidates first; where
+    one of these fails, all candidates between the components so far are decided.
+    """
+    spark = docs.sparkSession
+    how = (words, similarity, seed, id_col, text_col)
+    rows = materialize(sketches(docs, words, similarity, prints, seed, id_col, text_col), "simhash", scan=True)
+    distinct = materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "simhash-sets")
+    keyed = distinct.select("id", F.explode("keys").alias("key"))
+    fps, first, radius = distinct.select("id", "fp"), distinct.select("id", "first"), int(FAR * 64 * prints)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    pairs = materialize(ordered(_joined(_dealt(keyed, 1).join(fps, "id"), radius)), "simhash-pairs")
+    release(spark)
+    good = verified(pairs, docs, first, *how)
+    named = components(good).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    failed = pairs.join(good, ["u", "v"], "left_anti")
+    if not failed.isEmpty():
+        among = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        labelled = fps.join(among, "id").join(named, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
+        more = ordered(_joined(_dealt(keyed, SMALL).join(labelled, "id"), radius)).join(pairs, ["u", "v"], "left_anti")
+        more = materialize(more, "simhash-pairs")
+        if not more.isEmpty():
+            named = components(good.union(verified(more, docs, first, *how))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    return rows.select("doc_id", "text_hash", "id").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id is not their component's smallest; null ids stay. All columns are kept."""
-    found = near_duplicates(docs, words, radius_of(similarity, prints), seed, prints, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = near_copies(docs, words, similarity, prints, seed, id_col, text_col)
+    lowest = found.groupBy("root").agg(F.min("doc_id").alias("_lowest"))
+    gone = found.join(lowest, "root").filter("doc_id <> _lowest").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
 
 

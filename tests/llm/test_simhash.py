@@ -122,3 +122,45 @@ def test_dedup_keeps_one_of_each_group_and_clean_documents(spark):
     assert set(range(30)) <= set(ids) and ids.count(902) == 2 and 900 in ids and 901 not in ids and None in ids
     assert sum(i is not None and 100 <= i < 900 for i in ids) <= 2
     assert S.dedup(docs.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def at_similarity(rng, n, changed):
+    """Two texts of ``n`` words that differ in their last ``changed``."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    return " ".join(words), " ".join(words[: n - changed] + [f"v{rng.randrange(10**9)}" for _ in range(changed)])
+
+
+def test_dedup_finds_every_pair_at_the_similarity(spark):
+    rng = random.Random(11)
+    pairs = [at_similarity(rng, n, (n - 4) // 9) for n in (40, 300, 1000) for _ in range(40)]
+    pairs += [(a, a + " z") for a, _ in (at_similarity(rng, 8, 0) for _ in range(40))]
+    assert all(0.8 <= jaccard(*p) < 0.83 for p in pairs)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    assert {r["doc_id"] for r in S.dedup(docs).collect()} == {2 * i for i in range(len(pairs))}
+
+
+def test_dedup_joins_what_a_failed_forest_edge_parts(spark):
+    """Chains in one bucket over SMALL rows, whose forest has edges under the similarity."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    texts = []
+    for _ in range(4):
+        own = base[:]
+        own[:60] = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        texts += [" ".join(own[:290 - k] + [f"w{rng.randrange(10**9)}" for _ in range(10 + k)]) for k in range(8)]
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts):
+                if label[j] < label[i] and jaccard(a, b) >= 0.8:
+                    label[i] = label[j]
+    assert len(set(label)) > 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.dedup(docs).collect()} == set(label)
