@@ -144,6 +144,16 @@ def test_dedup_finds_every_pair_at_the_similarity(spark):
     assert {r["doc_id"] for r in S.dedup(docs).collect()} == {2 * i for i in range(len(pairs))}
 
 
+def test_dedup_leaves_what_is_less_similar(spark):
+    rng = random.Random(12)
+    pairs = [at_similarity(rng, 400, 50) for _ in range(40)]
+    phrase = " ".join(f"p{i}" for i in range(20)) + " "
+    pairs += [tuple(phrase * 20 + at_similarity(rng, 400, 0)[0] for _ in range(2)) for _ in range(10)]
+    assert all(jaccard(*p) < 0.8 for p in pairs)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    assert S.dedup(docs).count() == 2 * len(pairs)
+
+
 def test_dedup_joins_what_a_failed_forest_edge_parts(spark):
     """Chains in one bucket over SMALL rows, whose forest has edges under the similarity."""
     rng = random.Random(13)
