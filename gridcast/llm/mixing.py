@@ -3,8 +3,9 @@
 Documents are summed to cells of (source, language, topic) by tokens. The cells' weights are raked: each
 marginal in turn is scaled to its target until all hold, which keeps the interactions of the corpus. A cell's
 multiplier is its raked over its observed weight; documents are kept with a probability proportional to it, calibrated
-so that ``RATE`` of all tokens are expected to stay. Cells whose chance would pass one are taken whole, which is all that can be had of
-them; the smaller the rate, the fewer such cells and the closer the sample to the targets. Whether a document is kept depends
+so that a given rate of all tokens is expected to stay. Cells whose chance would pass one are taken whole, which is all that can be had of
+them; the smaller the rate, the fewer such cells and the closer the sample to the targets. Without a rate, the most is kept at which every
+expected share is within ``TOLERANCE`` of its raked one, in proportion. ``op2_mixing`` keeps ``RATE``, as its SQL does. Whether a document is kept depends
 on its id and the seed alone.
 
 Targets are given as shares for each marginal, or made from the corpus by a temperature: shares to the power
@@ -29,6 +30,8 @@ from .common import checkpoint, table, uniform
 ALPHA = 0.7
 ROUNDS = 20
 RATE = 0.8
+TOLERANCE = 0.01
+STEPS = 40
 SEED = 17
 DRIVER_CELLS = 100_000
 DIMS = ("_source", "_lang", "_topic")
@@ -107,6 +110,51 @@ def _calibrate_distributed(cells: DataFrame, rate: float) -> float:
     return hi
 
 
+def widest(total: float, most: float, off) -> float:
+    """The largest factor found by bisection at which ``off`` (factor) is at most ``TOLERANCE``; ``most`` is the largest multiplier."""
+    if not total or not most:
+        return 1.0
+    lo, hi = 1.0 / most, 2.0 / most
+    for _ in range(STEPS):  # until a factor misses, or all that can be had is had
+        if off(hi) > TOLERANCE:
+            break
+        lo, hi = hi, hi * 2
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if off(mid) <= TOLERANCE else (lo, mid)
+    return lo
+
+
+def fit(cells: list[tuple], tokens_: list[float], multiplier: list[float]) -> float:
+    """The factor that keeps the most while min(1, factor * multiplier) leaves each marginal's shares within ``TOLERANCE`` of the raked ones."""
+    n, m = np.asarray(tokens_, float), np.asarray(multiplier, float)
+    places = [np.unique([c[d] for c in cells], return_inverse=True)[1] for d in range(len(DIMS))]
+
+    def off(s: float) -> float:
+        kept, want = n * np.minimum(1.0, s * m), n * m
+        worst = 0.0
+        for at in places:
+            have, due = np.bincount(at, kept) / kept.sum(), np.bincount(at, want) / want.sum()
+            worst = max(worst, np.abs(have[due > 0] / due[due > 0] - 1).max())
+        return worst
+
+    return widest(n.sum(), m[n > 0].max(initial=0.0), off)
+
+
+def _fit_distributed(cells: DataFrame) -> float:
+    """The same over a table of cells (_source, _lang, _topic, _sum, _m)."""
+    total = cells.agg(F.sum("_sum"), F.max(F.when(F.col("_sum") > 0, F.col("_m"))), F.sum(F.col("_sum") * F.col("_m"))).first()
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in DIMS])).alias("at")
+
+    def off(s: float) -> float:
+        kept = F.col("_sum") * F.least(F.lit(1.0), F.lit(s) * F.col("_m"))
+        by = cells.select(each, kept.alias("k"), (F.col("_sum") * F.col("_m")).alias("w")).groupBy("at").agg(F.sum("k").alias("k"), F.sum("w").alias("w"))
+        whole = cells.agg(F.sum(kept)).first()[0]
+        return by.filter("w > 0").agg(F.max(F.abs(F.col("k") / whole / (F.col("w") / total[2]) - 1))).first()[0]
+
+    return widest(total[0], total[1], off)
+
+
 def _rake_distributed(cells: DataFrame, targets: dict[str, dict] | None, alpha: float, rounds: int) -> DataFrame:
     """The same over a table of cells (_source, _lang, _topic, _sum) of any size."""
     total = cells.agg(F.sum("_sum")).first()[0] or 0
@@ -130,7 +178,7 @@ def _rake_distributed(cells: DataFrame, targets: dict[str, dict] | None, alpha:
     return now
 
 
-def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", driver_cells: int = DRIVER_CELLS, **cols) -> DataFrame:
+def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, rate: float | None = None, seed: int = SEED, id_col: str = "doc_id", driver_cells: int = DRIVER_CELLS, **cols) -> DataFrame:
     """``docs`` with ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_p`` (chance to stay) and ``_kept``."""
     rows = keyed(docs, **cols)
     cells = rows.groupBy(*DIMS).agg(F.sum("_tokens").alias("_sum"))
@@ -138,12 +186,13 @@ def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, alpha: float
     if len(held) <= driver_cells:
         raked = rake([tuple(r[d] for d in DIMS) for r in held], [r["_sum"] for r in held], targets, alpha, rounds)
         many = [w / r["_sum"] if r["_sum"] else 1.0 for r, w in zip(held, raked, strict=True)]
-        factor = calibrate([r["_sum"] for r in held], many, rate) if held else 1.0
+        sums = [r["_sum"] for r in held]
+        factor = 1.0 if not held else fit([tuple(r[d] for d in DIMS) for r in held], sums, many) if rate is None else calibrate(sums, many, rate)
         table_ = docs.sparkSession.createDataFrame([(*[r[d] for d in DIMS], m) for r, m in zip(held, many, strict=True)], ", ".join(f"{d} string" for d in DIMS) + ", _m double")
         table_ = F.broadcast(table_)
     else:
         table_ = checkpoint(_rake_distributed(checkpoint(cells), targets, alpha, rounds).select(*DIMS, "_sum", F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum").cast("double")).otherwise(1.0).alias("_m")))
-        factor = _calibrate_distributed(table_, rate)
+        factor = _fit_distributed(table_) if rate is None else _calibrate_distributed(table_, rate)
         table_ = table_.drop("_sum")
     joined = rows.join(table_, list(DIMS), "left")
     p = F.when(F.col("_m") > 0, F.least(F.lit(1.0), F.col("_m") * F.lit(factor))).otherwise(0.0)
@@ -157,7 +206,7 @@ def sample(docs: DataFrame, **how) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance and decision for every document."""
-    rows = weigh(table(spark, sf_dir, "documents"))
+    rows = weigh(table(spark, sf_dir, "documents"), rate=RATE)
     return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 9).alias("probability"), F.col("_kept").alias("kept"))
 
 

@@ -55,3 +55,14 @@ def test_nulls_empty_and_ties(spark):
     assert len(got) == 4 and {r["_topic"] for r in got} == {"empty", "prose"}
     assert M.weigh(docs.limit(0)).count() == 0
     assert M.weigh(docs.filter("doc_id = 1")).count() == 2
+
+
+def test_default_sample_meets_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = M.weigh(docs).toPandas()
+    for d in M.DIMS:
+        whole = got.groupby(d)["_tokens"].sum()
+        want = whole[whole > 0] ** M.ALPHA
+        have = (got["_p"] * got["_tokens"]).groupby(got[d]).sum()[want.index]
+        assert np.allclose(have / have.sum(), want / want.sum(), rtol=1.1 * M.TOLERANCE)
+    assert 0 < (got["_p"] * got["_tokens"]).sum() < got["_tokens"].sum()
