@@ -416,11 +416,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id is not their component's smallest; null ids stay. All columns are kept."""
-    found = near_copies(docs, words, similarity, prints, seed, id_col, text_col)
-    lowest = found.groupBy("root").agg(F.min("doc_id").alias("_lowest"))
-    gone = found.join(lowest, "root").filter("doc_id <> _lowest").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """``docs`` with the text of the smallest id of each component alone; null ids stay, and so do exact copies that share that id. All columns are kept.
+
+    Rows are told apart by id and text, so another text under a repeated id has its own fate.
+    """
+    found = near_copies(docs, words, similarity, prints, seed, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("row", F.struct("doc_id", "text_hash"))
+    lowest = found.groupBy("root").agg(F.min("row").alias("lowest"))
+    gone = found.join(lowest, "root").filter("row <> lowest").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("_gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

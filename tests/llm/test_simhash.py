@@ -174,3 +174,11 @@ def test_dedup_joins_what_a_failed_forest_edge_parts(spark):
     assert len(set(label)) > 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in S.dedup(docs).collect()} == set(label)
+
+
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(14)
+    (a, near), (other, other_near) = at_similarity(rng, 300, 20), at_similarity(rng, 300, 20)
+    docs = spark.createDataFrame([(1, a), (2, near), (2, "clean and on its own"), (3, other), (3, other_near)], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in S.dedup(docs).collect()}
+    assert {(1, a), (2, "clean and on its own")} < kept and len(kept) == 3
