@@ -42,6 +42,9 @@ BUCKET = 20_000
 SMALL = 12
 BLOCK_BITS = 16
 FAR = 5 / 16
+SAMPLE = 3000
+OFTEN = 3
+LISTED = 100_000
 
 
 def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -145,8 +148,15 @@ def within(planes: np.ndarray, query: np.ndarray, wanted: np.ndarray, radius: in
     return words[lanes // 64] * 64 + lanes % 64
 
 
+def close(fps: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
+    """Which long fingerprints (n x words) are within the radius; wide radii stop bit planes too late to be worth them."""
+    return np.bitwise_count(fps ^ query).sum(1, dtype=np.int64) <= radius
+
+
 def bucket_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among the distinct fingerprints of one bucket, as index pairs."""
+    if fps.ndim > 1 and fps.shape[1] > 1:
+        return long_forest(fps, radius)
     planes, n = planes_of(fps), len(fps)
     left = np.zeros(planes.shape[1] * 64, np.uint8)
     left[:n] = 1
@@ -170,11 +180,45 @@ def bucket_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def long_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for fingerprints of several words, by their distances."""
+    left = np.arange(len(fps))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
+            at = stack.pop()
+            hit = close(fps[left], fps[at], radius)
+            near, left = left[hit], left[~hit]
+            a.append(np.full(len(near), at))
+            b.append(near)
+            stack += near.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_pairs(fps: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of one bucket between long fingerprints of different labels, as index pairs."""
+    named, at = np.unique(labels, return_inverse=True)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(named) > 1:
+        left = np.ones(len(fps), bool)
+        for i in np.flatnonzero(at != np.bincount(at).argmax()).tolist():  # two rows of the commonest label need no comparison
+            left[i] = False
+            near = np.flatnonzero(left & (at != at[i]))
+            near = near[close(fps[near], fps[i], radius)]
+            a.append(np.full(len(near), i))
+            b.append(near)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def pairs_within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs of fingerprints are within the radius, 64 pairs a word."""
     out = []
     size = (1 << 16) // (x.size // max(1, len(x)) or 1)
     for at in range(0, len(x), size):
+        if x.ndim > 1 and x.shape[1] > 1:
+            out.append(close(x[at : at + size], y[at : at + size], radius))
+            continue
         planes = planes_of(x[at : at + size] ^ y[at : at + size])
         count, n = Counter(radius, planes.shape[1]), len(x[at : at + size])
         for p in range(len(planes)):
@@ -185,24 +229,6 @@ def pairs_within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-def bucket_pairs(fps: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links of one bucket between fingerprints of different labels, as index pairs."""
-    named, at = np.unique(labels, return_inverse=True)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(named) > 1:
-        planes, n = planes_of(fps), len(fps)
-        left = np.zeros(planes.shape[1] * 64, np.uint8)
-        left[:n] = 1
-        left = np.packbits(left, bitorder="little").view(np.uint64)
-        for i in np.flatnonzero(at != np.bincount(at).argmax()).tolist():  # two rows of the commonest label need no comparison
-            left[i >> 6] &= ~np.uint64(1 << (i & 63))
-            near = within(planes, fps[i], left, radius)
-            near = near[at[near] != at[i]]
-            a.append(np.full(len(near), i))
-            b.append(near)
-    return np.concatenate(a), np.concatenate(b)
-
-
 def linked(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links, as index pairs, among fingerprints that share a key; rows are sorted by key.
 
@@ -332,8 +358,33 @@ def set_id(found: np.ndarray) -> int:
     return name - (1 << 64) if name >> 63 else name
 
 
+def common_shingles(docs: DataFrame, words: int, seed: int, text_col: str) -> np.ndarray:
+    """Hashes in ``OFTEN`` or more of about ``SAMPLE`` texts, the rarest first. They come last among the keys, which any order may; this one keeps buckets small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                found = np.unique(hashes(text.as_py() or b"", words, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64())], ["key"])
+
+    text = F.col(text_col).cast("string")
+    share = SAMPLE / max(SAMPLE, docs.count())
+    drawn = docs.select(text.alias("text")).filter((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))).distinct()
+    often = drawn.select(F.col("text").cast("binary")).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    return np.array([r["key"] for r in often.orderBy(F.desc("n"), "key").limit(LISTED).collect()][::-1], np.int64).view(np.uint64)
+
+
 def sketches(docs: DataFrame, words: int, similarity: float, prints: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, hash of the text, and of its set of shingles the id, the fingerprint and the keys: the smallest hashes, so many that sets of the similarity share one."""
+    """doc_id, hash of the text, and of its set of shingles the id, the fingerprint and the keys: the first in one order of all hashes, so many that sets of the similarity share one."""
+    common = common_shingles(docs, words, seed, text_col)
+    by_hash = np.argsort(common)
+    held = common[by_hash]
+
+    def first(found: np.ndarray) -> np.ndarray:
+        n = len(found) - least_shared(len(found), similarity) + 1
+        at = np.searchsorted(held, found)
+        hit = held[np.minimum(at, len(held) - 1)] == found if len(held) else np.zeros(len(found), bool)
+        return np.concatenate([found[~hit], common[np.sort(by_hash[at[hit]])]])[:n] if len(found) else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,10 +393,10 @@ def sketches(docs: DataFrame, words: int, similarity: float, prints: int, seed:
                 found = np.unique(hashes(text.as_py() or b"", words, seed))
                 ids.append(set_id(found))
                 fps.append(majority(found, prints).tobytes())
-                keys.append(found[: len(found) - least_shared(len(found), similarity) + 1].view(np.int64))
+                keys.append(first(found).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            held = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), held], ["doc_id", "text_hash", "id", "fp", "keys"])
+            made = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), made], ["doc_id", "text_hash", "id", "fp", "keys"])
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, id long, fp binary, keys array<long>")
@@ -386,7 +437,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, si
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, root (of the component) and id (of the set of shingles) of every row; links are all pairs of sets at the Jaccard similarity.
 
-    Sets of the similarity share one of their smallest hashes, so they meet in a bucket of that key. There the fingerprints set aside what is
+    Sets of the similarity share one of their smallest hashes, (the first in one order, common ones last), so they meet in a bucket of that key. There the fingerprints set aside what is
     farther than ``FAR`` of the bits; what is left is decided by the sets. Buckets over ``SMALL`` give a forest of candidates first; where
     one of these fails, all candidates between the components so far are decided.
     """
