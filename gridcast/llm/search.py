@@ -2,19 +2,25 @@
 
 Documents are tokenised once into a forward index (term hashes and frequencies) in the shared folder. Global statistics
 (documents, mean length, document frequencies) come from pre-aggregated partial counts. Queries are taken in blocks of
-bounded text (``QUERY_BYTES``), whose terms with their weights are broadcast; every shard (a slice of ``SHARD_DOCS`` documents
+bounded text (``QUERY_BYTES``), one after the other: the block's terms with their weights are broadcast, its results are written and the
+broadcast is destroyed before the next block is read. Every shard (a slice of ``SHARD_DOCS`` documents
 of a partition) inverts its documents for those terms and finds its own exact top k. A partition keeps the best k over its shards, whose
 last score is the next shard's first threshold; partitions are merged by score.
 
-In a shard the postings of a term are cut into blocks of ``BLOCK`` documents with the largest impact of each. A
-query first scores the most promising documents to get a threshold. By the WAND condition, documents that hold only terms
-whose largest impacts together stay under the threshold cannot enter, so only the others' postings are opened; of the
-documents found there, those go whose score so far plus the block maxima of the remaining terms stays
-under it. What is left is scored in full. Bounds are safe, so the result is that of scoring everything.
+In a shard, documents that share their commonest term are neighbours. Terms held by few documents have postings with their
+impacts; a common term (one document in ``COMMON`` or more) has a row of impact maxima, quantised upwards, at two widths: blocks of ``BLOCK``
+documents and single documents. Block-max WAND's two tests are made for all blocks of a shard at once:
 
-Terms are runs of letters or digits in lower case; each distinct term of a query counts once. Results: rows without terms find
+* A query opens the postings of its rare terms, which gives each document a partial score and the first threshold (the k-th best of the most
+  promising documents, scored in full, or what earlier shards have found).
+* A block where the best partial score and the block maxima of all common terms together stay under the threshold is skipped: nothing of it is read again.
+* In the blocks that stay, a document is a pivot if its partial score and its own maxima reach the threshold. Pivots alone are scored in full.
+
+A shard whose term maxima together stay under the threshold is skipped at once. All bounds are safe, so the result is that of scoring everything.
+
+Terms are runs of letters or digits in lower case; each distinct term of a query counts once. Results: rows without terms (null, empty) find
 nothing and are found by nothing; null ids can be found but do not query; several query rows of one id count as one (the least text
-by hash). Ties go to the smaller id. Texts are read whole. An empty table gives an empty result. Other columns are not read.
+by hash). Ties go to the smaller id, null ids last. Texts are read whole. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ from .common import materialize, release, table
 K = 10
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_DOCS = 4000
+COMMON = 16
+SHARD_DOCS = 12_288
+TASK_DOCS = 1 << 16
 QUERY_BYTES = 16 << 20
 FLUSH_TERMS = 1_000_000
-EPS = 1e-7
+EPS = 1e-6
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -45,74 +53,133 @@ def terms_of(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All members of the ranges that start at ``first`` and hold ``size`` numbers."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+
 class Shard:
     """An inverted index over the documents of a shard, for the terms 0 to ``len(idf)`` of a query block."""
 
     def __init__(self, lengths: np.ndarray, start: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float):
-        n, self.n = len(lengths), len(lengths)
-        doc = np.repeat(np.arange(n), np.diff(start))
-        self.start, self.term = start, term
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        self.doc, self.imp = doc[order].astype(np.int32), self.impact[order]
-        del doc
-        self.off = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(idf)))))
-        self.blocks = -(-n // BLOCK)
-        key = term[order].astype(np.int64) * self.blocks + self.doc // BLOCK
-        del order
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.bmax = np.maximum.reduceat(self.imp, cut) if len(cut) else np.zeros(0)
-        self.bdoc = key[cut] % self.blocks if len(cut) else cut
-        self.boff = np.searchsorted(key[cut], np.arange(len(idf) + 1) * self.blocks)
-        del key, cut
-        self.top = np.zeros(len(idf))
-        held = np.flatnonzero(np.diff(self.off))
-        self.top[held] = np.maximum.reduceat(self.imp, self.off[held]) if len(held) else 0
-        self.wanted = np.zeros(len(idf), bool)
+        n, v = len(lengths), len(idf)
+        self.n, self.idf, self.start, self.term, self.tf = n, idf, start, term, tf
+        self.norm = K1 * (1 - B + B * lengths / mean)
+        count = np.bincount(term, minlength=v)
+        self.at = self._neighbours(lengths)  # the document at each place
+        place = np.empty(n, np.int32)
+        place[self.at] = np.arange(n, dtype=np.int32)
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+        impact = np.nextafter(self._impact(term, tf, doc).astype(np.float32), np.float32(np.inf))
+        self.top = np.zeros(v)
+        np.maximum.at(self.top, term, impact)
+
+        wide = np.flatnonzero(count > n / COMMON)
+        self.row = np.full(v, -1, np.int32)
+        self.row[wide] = np.arange(len(wide))
+        # Each row's maxima are whole steps, so few that the sum of all rows fits 16 bits.
+        self.step = max(1e-9, float(self.top[wide].max(initial=0.0))) / (65535 // max(1, len(wide)))
+        blocks = -(-n // BLOCK)
+        self.each = np.zeros((len(wide), blocks * BLOCK), np.uint16)
+        on = np.flatnonzero(self.row[term] >= 0)
+        self.each[self.row[term[on]], place[doc[on]]] = np.ceil(impact[on] / self.step * (1 - 1e-7))
+        self.most = self.each.reshape(len(wide), blocks, BLOCK).max(2, initial=0)
+
+        rare = np.flatnonzero(self.row[term] < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.off = np.concatenate(([0], np.cumsum(np.where(self.row < 0, count, 0))))
+        self.place, self.impact = place[doc[rare]], impact[rare]
+        self.wanted = np.zeros(v, bool)
+        self.buffers = np.empty(0, np.int64), np.empty(0)
+        self.opened = 0  # postings read so far
+
+    def _neighbours(self, lengths: np.ndarray) -> np.ndarray:
+        commonest = np.full(self.n, len(self.idf), np.int64)
+        held = np.flatnonzero(np.diff(self.start))
+        if len(held):
+            rank = np.empty(len(self.idf), np.int64)
+            rank[np.argsort(self.idf, kind="stable")] = np.arange(len(self.idf))
+            commonest[held] = np.minimum.reduceat(rank[self.term], self.start[held])
+        return np.lexsort((lengths, commonest))
+
+    def _impact(self, term: np.ndarray, tf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + self.norm[doc])
+
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """The scores of these documents for the terms marked as wanted, from the forward index."""
+        out = np.zeros(len(docs))
+        for lo in range(0, len(docs), 64):
+            own = docs[lo : lo + 64]
+            size = self.start[own + 1] - self.start[own]
+            at, whose = expand(self.start[own], size), np.repeat(np.arange(len(own)), size)
+            on = np.flatnonzero(self.wanted[self.term[at]])
+            at, whose = at[on], whose[on]
+            self.opened += len(at)
+            out[lo : lo + 64] = np.bincount(whose, self._impact(self.term[at], self.tf[at], own[whose]), len(own))
+        return np.round(out, 9)
+
+    def partial(self, terms: np.ndarray) -> np.ndarray:
+        """The sums, by place, of the impacts of these rare terms."""
+        lo, hi = self.off[terms], self.off[terms + 1]
+        size = int((hi - lo).sum())
+        self.opened += size
+        if not size:
+            return np.zeros(self.each.shape[1])
+        if size > len(self.buffers[0]):
+            self.buffers = np.empty(2 * size, np.int64), np.empty(2 * size)
+        where, value = self.buffers[0][:size], self.buffers[1][:size]
+        cuts = list(zip(lo.tolist(), hi.tolist(), strict=True))
+        np.concatenate([self.place[a:b] for a, b in cuts], out=where)
+        np.concatenate([self.impact[a:b] for a, b in cuts], out=value)
+        return np.bincount(where, value, self.each.shape[1])
 
     @staticmethod
-    def _sum(terms, off, at, value, size):
-        if not len(terms):
-            return np.zeros(size)
-        cuts = [slice(a, b) for a, b in zip(off[terms].tolist(), off[terms + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([at[c] for c in cuts]), np.concatenate([value[c] for c in cuts]), size)
+    def _best(places: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+        return places[np.argpartition(score[places], -2 * k)[-2 * k :]] if len(places) > 2 * k else places
 
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """The scores of these documents for the terms marked as wanted."""
-        size = self.start[docs + 1] - self.start[docs]
-        own = np.repeat(np.arange(len(docs)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[docs], size)
-        on = self.wanted[self.term[at]]
-        return np.bincount(own[on], self.impact[at[on]], len(docs))
+    @staticmethod
+    def _raised(floor: float, known: np.ndarray, k: int) -> float:
+        return max(floor, float(np.partition(known, -k)[-k])) if len(known) >= k else floor
 
     def search(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(document, score) of the best ``k`` and all that tie with the last, of those that reach ``floor``."""
-        terms = terms[self.off[terms + 1] > self.off[terms]]
-        none = np.zeros(0, np.int64)
-        if not len(terms):
-            return none, np.zeros(0)
+        terms = terms[self.top[terms] > 0]
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(terms) or self.top[terms].sum() < floor - EPS:
+            return none
+        rows = self.row[terms]
+        common = rows[rows >= 0].tolist()
         self.wanted[terms] = True
-        terms = terms[np.argsort(self.top[terms], kind="stable")]
-        first = self._sum(terms[-8:], self.off, self.doc, self.imp, self.n)
-        seeds = np.argpartition(first, -2 * k)[-2 * k :] if self.n > 2 * k else np.arange(self.n)
-        known = self.full(seeds)
-        if (known > 0).sum() >= k:
-            floor = max(floor, np.partition(known, -k)[-k])
-        light = int(np.searchsorted(np.cumsum(self.top[terms]), floor - EPS))  # terms that cannot reach it together
-        score = self._sum(terms[light:], self.off, self.doc, self.imp, self.n)
-        docs = np.flatnonzero(score > 0)
-        if light:
-            rest = self._sum(terms[:light], self.boff, self.bdoc, self.bmax, self.blocks)
-            docs = docs[score[docs] + rest[docs // BLOCK] >= floor - EPS]
-            if len(docs) * (len(self.term) // max(1, self.n)) < (self.off[terms[:light] + 1] - self.off[terms[:light]]).sum():
-                found = self.full(docs)
-            else:
-                found = (score + self._sum(terms[:light], self.off, self.doc, self.imp, self.n))[docs]
-        else:
-            found = score[docs]
+        score = self.partial(terms[rows < 0])
+        done, known = np.zeros(0, np.int64), np.zeros(0)
+        if floor <= 0 and len(common) < len(terms):
+            done = self._best(np.flatnonzero(score), score, k)
+            known = self.full(self.at[done])
+            floor = self._raised(floor, known, k)
+        if common:
+            cells = np.zeros(self.most.shape[1], np.uint16)
+            for r in common:
+                cells += self.most[r]
+            live = cells * self.step + score.reshape(-1, BLOCK).max(1) >= floor * (1 - EPS) - EPS
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], live.view(np.int8), [0])))) * BLOCK
+            bound = np.zeros(len(score), np.uint16)
+            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                own = bound[lo:hi]
+                for r in common:
+                    own += self.each[r, lo:hi]
+                score[lo:hi] += own * self.step
+            score[~np.repeat(live, BLOCK)] = 0.0
+        # Pivots: the most promising first, which may raise the threshold for the others.
+        score[done] = 0.0
+        for most in (k, None):
+            near = np.flatnonzero((score >= floor * (1 - EPS) - EPS) & (score > 0))
+            near = near if most is None else self._best(near, score, most)
+            score[near] = 0.0
+            done, known = np.concatenate((done, near)), np.concatenate((known, self.full(self.at[near])))
+            floor = self._raised(floor, known, k)
+        docs, found = self.at[done], known
         self.wanted[terms] = False
-        found = np.round(found, 9)
-        keep = found >= floor - EPS
+        keep = (found >= floor - EPS) & (found > 0)
         docs, found = docs[keep], found[keep]
         if len(docs) > k:
             keep = found >= np.partition(found, -k)[-k]
@@ -175,6 +242,9 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
     n, mean = int(n or 0), max(1.0, (total or 0) / max(1, n or 1))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
+    # Tasks of many documents, so that a threshold serves several shards, yet short enough to be run again.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n // TASK_DOCS)
+
     def block(number: int) -> DataFrame:
         rows = weighed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == number).toArrow()  # about `query_bytes`
         flat = rows["terms"].combine_chunks().flatten()
@@ -194,7 +264,7 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
                 place = np.minimum(np.searchsorted(vocab, term), max(0, len(vocab) - 1)).astype(np.int32)
                 on = vocab[place] == term if len(vocab) else np.zeros(len(term), bool)
                 start = np.concatenate(([0], np.cumsum(on)))[start - start[0]]
-                return Shard(tab["length"].to_numpy().astype(float), start, place[on], tf[on].astype(float), idf, mean)
+                return Shard(tab["length"].to_numpy().astype(float), start, place[on], tf[on].astype(np.float32), idf, mean)
 
             best: dict[int, tuple] = {}  # the best k of each query over the shards of this partition: score, id, no id
 
@@ -231,13 +301,16 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
                     doc = pa.array(np.concatenate([b[1] for _, b in some]), pa.int64(), mask=np.concatenate([b[2] for _, b in some]))
                     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), doc, pa.array(np.concatenate([b[0] for _, b in some]))], schema=schema)
 
-        return index.filter("kind = 0").select("doc_id", "length", "terms", "tfs").mapInArrow(run, "query_id long, doc_id long, score double")
+        found = index.filter("kind = 0").select("doc_id", "length", "terms", "tfs").coalesce(tasks).mapInArrow(run, "query_id long, doc_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+        best = materialize(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
+        own.destroy()
+        return best
 
-    found = block(0)
+    out = block(0)
     for number in range(1, blocks):
-        found = found.unionByName(block(number))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        out = out.unionByName(block(number))
+    return out
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,19 +49,71 @@ def test_matches_scoring_everything(spark, shard, size):
     assert S.search(docs.limit(0), F.col("doc_id") % 10 == 0).count() == 0
 
 
-def test_pruning_opens_fewer_postings():
-    rng = np.random.default_rng(2)
-    n, v = 4000, 200
+def shard_of(rng, n=4000, v=200):
     held = rng.random((n, v)) < np.linspace(0.6, 0.002, v)
     start = np.concatenate(([0], np.cumsum(held.sum(1))))
     term = np.nonzero(held)[1].astype(np.int32)
+    tf = rng.geometric(0.6, len(term)).astype(np.float32)
     idf = np.log(1 + (n - held.sum(0) + 0.5) / (held.sum(0) + 0.5))
-    shard = S.Shard(held.sum(1).astype(float), start, term, np.ones(len(term)), idf, held.sum(1).mean())
-    opened = []
-    plain = shard._sum
-    shard._sum = lambda t, off, at, value, size: opened.append((off[t + 1] - off[t]).sum() if at is shard.doc else 0) or plain(t, off, at, value, size)
+    return S.Shard(held.sum(1).astype(float), start, term, tf, idf, held.sum(1).mean()), held.sum(0)
+
+
+def every(shard, query):
+    shard.wanted[query] = True
+    score = shard.full(np.arange(shard.n))
+    shard.wanted[query] = False
+    return score
+
+
+@pytest.mark.parametrize("query", [[0, 1, 2, 190, 195, 197, 199], [0, 1], [199], [5, 60], list(range(0, 200, 3))])
+@pytest.mark.parametrize("floor", [0.0, 0.9, 1.1])
+def test_a_shard_finds_what_scoring_everything_finds(query, floor):
+    shard, _ = shard_of(np.random.default_rng(2))
+    score = every(shard, np.array(query))
+    least = np.sort(score)[-3]
+    docs, found = shard.search(np.array(query), 3, floor * least)
+    want = np.flatnonzero((score >= max(least, floor * least)) & (score > 0))
+    assert sorted(docs) == want.tolist() and np.allclose(found, score[docs], atol=1e-9)
+
+
+def test_pruning_opens_fewer_postings():
+    shard, count = shard_of(np.random.default_rng(2))
     query = np.array([0, 1, 2, 190, 195, 197, 199])
-    docs, score = shard.search(query, 3)
-    every = plain(query, shard.off, shard.doc, shard.imp, n)
-    assert np.allclose(np.sort(score)[::-1][:3], np.sort(every)[::-1][:3])
-    assert sum(opened[1:]) < 0.5 * (shard.off[query + 1] - shard.off[query]).sum()
+    shard.search(query, 3)  # all that is read from the start, the first threshold included
+    assert shard.opened < 0.2 * count[query].sum()
+    before = shard.opened
+    assert not len(shard.search(query, 3, 2 * shard.top[query].sum())[0]) and shard.opened == before  # a hopeless shard is not read
+
+
+def test_blocks_under_the_threshold_are_skipped():
+    """Documents of one half never hold the other half's common term, so none of their blocks is live."""
+    n = 8 * S.BLOCK
+    term = np.repeat([0, 1], n // 2).astype(np.int32)
+    tf = np.ones(n, np.float32)
+    tf[0] = 9
+    shard = S.Shard(np.ones(n), np.arange(n + 1), term, tf, np.array([1.0, 1.0]), 1.0)
+    reads = []
+    shard.each = type("Rows", (), {"shape": shard.each.shape, "__getitem__": lambda _, at, rows=shard.each: reads.append(at) or rows[at]})()
+    docs, _ = shard.search(np.array([0]), 1)
+    assert docs.tolist() == [0]
+    reads.clear()
+    docs, _ = shard.search(np.array([0]), 1, shard.top[0] * 0.99)
+    assert docs.tolist() == [0] and sum(at[1].stop - at[1].start for at in reads) == S.BLOCK
+
+
+def test_queries_and_edges(spark):
+    docs = spark.createDataFrame([(100, "alpha beta"), (200, None), (300, ""), (400, "ALPHA  beta!"), (None, "alpha"), (400, "gamma"), (5, "beta " * 30_000)], "doc_id long, text string")
+    got = [(r["query_id"], r["rank"], r["doc_id"]) for r in S.search(docs, F.col("doc_id") % 100 == 0, k=3).collect()]
+    assert {q for q, *_ in got} == {100, 400} and [(r, d) for q, r, d in sorted(got) if q == 100][:2] == [(1, 100), (2, 400)]
+
+
+def test_the_query_is_the_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {(q, r): (d, s) for q, r, d, s in db.execute(f"SELECT query_id, rank, doc_id, score FROM ({S.SQL})").fetchall()}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in S.op6_search(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
