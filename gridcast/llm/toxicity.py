@@ -11,9 +11,13 @@ the document's chance of any toxic word; that and the toxic share are calibrated
 logistic fit on the sample. Words without any feature share one emission, so a run of them is one matrix power: chains are
 evaluated over the words with evidence alone, exactly as over the whole text.
 
+The sample stays on the executors: texts are read there in every step of the training, and the driver gets what follows from them, namely three
+sketch hashes of a text, the pure features, the places of words with a feature of the model, and two numbers of a text for the calibration. It holds
+``SAMPLE`` texts of each label in expectation (equal texts once), drawn by a hash of the id and the text.
+
 Results: null and empty texts score as a text without evidence. Without labels of both kinds every score is 0. Very long
-texts are read whole. Ties and repeated rows score alike. The sample holds at most ``SAMPLE`` documents of each label in
-expectation, drawn by a hash of the id. Labels, languages, sources and ids are never inputs of a score.
+texts are read whole. Ties and repeated rows score alike. An empty table gives an empty result. ``filter_toxic`` keeps all columns, whatever their
+names; ``score`` reads the id and the text only. Labels, languages, sources and ids are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, uniform
+from .common import materialize, table, uniform
 from .langid import remainder
 
 SAMPLE = 3000
@@ -43,6 +47,9 @@ MAX_WORDS = 500_000
 IMPURE = 0.02
 LEAST = 3
 SURE = 14
+CAP = 64  # words of a training chain
+STEPS = 150  # of gradient descent
+QUIET = 0.05  # how much a training chain without a feature counts: it holds no toxic word, and there are very many
 
 
 def features(word: str) -> list[str]:
@@ -157,22 +164,37 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def seeds(toxic: list[str], clean: list[str]) -> set[str]:
-    """Features that mark toxic texts: pure ones too frequent for chance, and those chosen greedily until each text has two it can have."""
-    count = []
-    for texts in (toxic, clean):
-        total = np.zeros(BUCKETS, np.int32)
-        for t in texts:
-            total[list({b for w in set(words_of(t)) for b in _buckets(w)})] += 1
-        count.append(total)
-    pure = (count[0] >= LEAST) & (count[1] * (len(toxic) / max(1, len(clean))) <= IMPURE * count[0])
-    inverse = [{f for w in set(words_of(t)) for f, b in zip(features(w), _buckets(w), strict=True) if pure[b]} for t in toxic]
+def sketch(text: str, words: int = 5, sketches: int = 3) -> list[int]:
+    """The smallest of so many mixes of the hashes of the text's shingles."""
+    found = np.array([zlib.crc32(w.encode()) for w in words_of(text)], np.uint64)
+    found = np.concatenate((found, np.zeros(max(0, words - len(found)), np.uint64)))
+    joined = found[: len(found) - words + 1].copy()
+    for k in range(1, words):
+        joined = joined * np.uint64(0x9E3779B97F4A7C15) + found[k : len(found) - words + 1 + k]
+    joined ^= joined >> np.uint64(29)
+    return [int((joined * np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % (1 << 64)) >> np.uint64(1)).min()) for k in range(sketches)]
+
+
+def first_of_copies(rows: list[tuple[int, list[int]]]) -> set[int]:
+    """The keys of (key, sketches) rows without later copies and near copies, which share a sketch: these make chance words look frequent."""
+    seen: set[tuple[int, int]] = set()
+    out = set()
+    for key, own in rows:
+        named = set(enumerate(own))
+        if named.isdisjoint(seen):
+            out.add(key)
+        seen |= named
+    return out
+
+
+def chosen_seeds(pure: list[list[str]]) -> set[str]:
+    """Features that mark toxic texts, given the pure ones of each: those too frequent for chance, and others greedily until each text has two it can have."""
     having: dict[str, list[int]] = {}
-    for i, d in enumerate(inverse):
-        for f in d:
+    for i, own in enumerate(pure):
+        for f in own:
             having.setdefault(f, []).append(i)
     left = {f: len(x) for f, x in having.items()}
-    chosen, covered = {f for f, n in left.items() if n >= SURE}, [0] * len(toxic)
+    chosen, covered = {f for f, n in left.items() if n >= SURE}, [0] * len(pure)
     while left:
         best = max(left, key=lambda f: (left[f], len(f), f))
         if left[best] < LEAST:
@@ -181,150 +203,189 @@ def seeds(toxic: list[str], clean: list[str]) -> set[str]:
         for i in having[best]:
             covered[i] += 1
             if covered[i] == 2:
-                for f in inverse[i]:
+                for f in pure[i]:
                     if f in left:
                         left[f] -= 1
         del left[best]
     return chosen
 
 
-def _likelihood(params: np.ndarray, feats: list, labels: list[np.ndarray], index: int) -> tuple[float, np.ndarray]:
-    """Mean negative log likelihood of the chains and its gradient; params: features, bias, 4 transitions."""
-    grad = np.zeros_like(params)
-    loss = 0.0
+class Chains:
+    """Labelled chains, longest first, packed for the likelihood. ``times``: how often each counts."""
+
+    def __init__(self, feats: list, labels: list[np.ndarray], times=None):
+        order = np.argsort([-len(y) for y in labels], kind="stable")
+        self.times = (np.ones(len(labels)) if times is None else np.asarray(times, float))[order]
+        lengths = np.array([len(labels[i]) for i in order])
+        self.rows, self.steps = len(labels), int(lengths[0])
+        self.live = np.searchsorted(-lengths, -np.arange(self.steps), "left")  # chains that reach each step
+        doc = np.repeat(np.arange(self.rows), [len(feats[i][0]) for i in order])
+        self.cell = np.concatenate([feats[i][0] for i in order]).astype(np.int64) * self.rows + doc
+        self.fid = np.concatenate([feats[i][1] for i in order]).astype(np.int64)
+        self.state = np.zeros((self.steps, self.rows))
+        for at, i in enumerate(order):
+            self.state[: lengths[at], at] = labels[i]
+        on = np.arange(1, self.steps)[:, None] < lengths[None, :]
+        last, now = self.state[:-1], self.state[1:]
+        self.moves = np.array([[(on * self.times * (last == i) * (now == j)).sum() for j in (0, 1)] for i in (0, 1)])
+
+
+def _likelihood(params: np.ndarray, chains: Chains, index: int) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the chains and its gradient, by scaled forward-backward; params: features, bias, 4 transitions."""
     weight, bias, trans = params[:index], params[index], params[index + 1 :].reshape(2, 2)
-    lengths = np.array([len(y) for y in labels])
-    steps = int(lengths.max())
-    rows = len(labels)
-    emit = np.zeros((rows, steps))
-    state = np.zeros((rows, steps), np.int64)
-    live = np.arange(steps)[None, :] < lengths[:, None]
-    doc = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(feats)]).astype(np.int64)
-    tok = np.concatenate([t for t, _ in feats]).astype(np.int64)
-    fid = np.concatenate([f for _, f in feats]).astype(np.int64)
-    np.add.at(emit, (doc, tok), weight[fid])
-    for i, y in enumerate(labels):
-        state[i, : len(y)] = y
-    emit = np.where(live, emit + bias, 0.0)
-    alpha = np.zeros((steps, rows, 2))
-    alpha[0, :, 1] = emit[:, 0]
-    for t in range(1, steps):
-        m = alpha[t - 1][:, :, None] + trans[None]
-        new = np.logaddexp(m[:, 0], m[:, 1])
-        new[:, 1] += emit[:, t]
-        alpha[t] = np.where(live[:, t, None], new, alpha[t - 1])
-    log_z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-    beta = np.zeros((rows, 2))
-    g_emit = np.zeros((rows, steps))
-    g_trans = np.zeros((2, 2))
-    for t in range(steps - 1, -1, -1):
-        p = np.exp(alpha[t] + beta - log_z[:, None])
-        g_emit[:, t] = np.where(live[:, t], p[:, 1] - (state[:, t] == 1), 0.0)
+    shape = chains.steps, chains.rows
+    emit = np.bincount(chains.cell, weight[chains.fid], chains.steps * chains.rows).reshape(shape) + bias
+    boost, step = np.exp(np.clip(emit, -50, 50)), np.exp(trans)
+    alpha, scale = [], []
+    for t, n in enumerate(chains.live.tolist()):
+        f = alpha[-1][:n] @ step if t else np.ones((n, 2))
+        f[:, 1] *= boost[t, :n]
+        scale.append(f.sum(1))
+        alpha.append(f / scale[-1][:, None])
+    behind = np.ones((chains.rows, 2))
+    toxic, moves = np.zeros(shape), np.zeros((2, 2))
+    for t in range(chains.steps - 1, -1, -1):
+        n = int(chains.live[t])
+        toxic[t, :n] = alpha[t][:, 1] * behind[:n, 1]
         if t:
-            ahead = beta.copy()
-            ahead[:, 1] += emit[:, t]
-            pair = np.exp(alpha[t - 1][:, :, None] + trans[None] + ahead[:, None, :] - log_z[:, None, None])
-            on = live[:, t]
-            g_trans += pair[on].sum(0)
-            np.add.at(g_trans, (state[on, t - 1], state[on, t]), -1.0)
-            m = trans[None] + ahead[:, None, :]
-            beta = np.where(on[:, None], np.logaddexp(m[:, :, 0], m[:, :, 1]), beta)
-    gold = (emit * state).sum() + sum(trans[y[:-1], y[1:]].sum() for y in labels)
-    loss = (log_z.sum() - gold) / rows
-    np.add.at(grad, fid, g_emit[doc, tok])
-    grad[index] = g_emit.sum()
-    grad[index + 1 :] = g_trans.ravel()
-    return loss, grad / rows
-
-
-def distinct(rows: list[tuple[str, int]], words: int = 5, sketches: int = 3) -> list[tuple[str, int]]:
-    """Rows without later copies and near copies (which share a smallest shingle hash): these make chance words look frequent."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for text, label in rows:
-        found = words_of(text)
-        parts = {zlib.crc32(" ".join(found[i : i + words]).encode()) for i in range(max(1, len(found) - words + 1))}
-        own = {(k, min(p * (2 * k + 1) * 0x9E3779B1 & 0xFFFFFFFF for p in parts)) for k in range(sketches)}
-        if own.isdisjoint(seen):
-            out.append((text, label))
-        seen |= own
-    return out
+            ahead = behind[:n] / scale[t][:, None]
+            ahead[:, 1] *= boost[t, :n]
+            moves += step * ((alpha[t - 1][:n] * chains.times[:n, None]).T @ ahead)
+            behind[:n] = ahead @ step.T
+    total = chains.times.sum()
+    log_z = sum(float((chains.times[: len(c)] * np.log(c)).sum()) for c in scale)
+    gold = float((chains.times * (emit * chains.state).sum(0)).sum() + (trans * chains.moves).sum())
+    off = (toxic - chains.state) * chains.times
+    grad = np.concatenate((np.bincount(chains.fid, off.ravel()[chains.cell], index)[:index], [off.sum()], (moves - chains.moves).ravel()))
+    return (log_z - gold) / total, grad / total
+
+
+def descend(chains: Chains, size: int, steps: int = STEPS) -> np.ndarray:
+    """Parameters by so many steps of gradient descent with momentum over all chains, at any number of them."""
+    params = np.zeros(size + 5)
+    params[size] = -4.0
+    first, second = np.zeros_like(params), np.zeros_like(params)
+    for step in range(1, steps + 1):
+        _, g = _likelihood(params, chains, size)
+        g[:size] += 1e-4 * params[:size]
+        first = 0.9 * first + 0.1 * g
+        second = 0.99 * second + 0.01 * g * g
+        params -= 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return params
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 0, rounds: int = 250, cap: int = 400) -> Model:
-    """Train on (text, label) rows. Chains are cut into parts of ``cap`` words, so every word is learned from."""
-    rows = distinct(rows)
-    toxic, clean = [t for t, y in rows if y == 1], [t for t, y in rows if y != 1]
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Newton steps of a ridge logistic fit, both kinds weighing the same."""
+    w, balance = np.zeros(3), np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        w -= np.linalg.solve(h, x.T @ (balance * (p - y)) + 1e-4 * w)
+    return tuple(w.tolist())
+
+
+def _mapped(texts: DataFrame, schema: pa.Schema, each, keep: set[int] | None = None, toxic_only: bool = False) -> DataFrame:
+    """The tuples that ``each`` (key, toxic, text) yields for the sample's rows ``texts`` (key, toxic, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (keep is None or key in keep) and (toxic or not toxic_only):
+                    out.extend(each(key, toxic, text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>", pa.list_(pa.int32()): "array<int>"}
+    return texts.select("key", "toxic", "text").mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def fit(texts: DataFrame, cap: int = CAP, steps: int = STEPS, quiet: float = QUIET) -> Model:
+    """Train on the rows of ``texts`` (key, toxic 0 or 1, text; a key for each row). Chains are cut into parts of ``cap`` words, so every word is learned from."""
+    i64, i32, string = pa.int64(), pa.int32(), pa.string()
+    made = _mapped(texts, pa.schema([("key", i64), ("toxic", i32), ("own", pa.list_(i64))]), lambda key, toxic, text: [(key, toxic, sketch(text))])
+    rows = sorted((_shuffled(r["key"]), r["key"], r["toxic"], r["own"]) for r in made.toArrow().to_pylist())
+    keep = first_of_copies([(key, own) for _, key, _, own in rows])
+    toxic = sum(t for _, key, t, _ in rows if key in keep)
+    clean = len(keep) - toxic
     if not toxic or not clean:
         return Model()
-    marks = seeds(toxic, clean)
+
+    def buckets_of(_key, label, text):
+        return [(b, label) for b in {b for w in set(words_of(text)) for b in _buckets(w)}]
+
+    counted = _mapped(texts, pa.schema([("bucket", i32), ("toxic", i32)]), buckets_of, keep).groupBy("bucket").agg(F.sum("toxic").alias("n"), F.sum(1 - F.col("toxic")).alias("m"))
+    pure = frozenset(r["bucket"] for r in counted.filter((F.col("n") >= LEAST) & (F.col("m") * (toxic / clean) <= IMPURE * F.col("n"))).collect())
+
+    def pure_of(key, _label, text):
+        return [(key, sorted({f for w in set(words_of(text)) for f, b in zip(features(w), _buckets(w), strict=True) if b in pure}))]
+
+    found = _mapped(texts, pa.schema([("key", i64), ("own", pa.list_(string))]), pure_of, keep, True)
+    place = {key: at for at, (_, key, *_) in enumerate(rows)}
+    marks = frozenset(chosen_seeds([r["own"] for r in sorted(found.toArrow().to_pylist(), key=lambda r: place[r["key"]])]))
     if not marks:
         return Model()
-    marked: Counter = Counter()
-    for t in toxic:
-        for w in words_of(t):
-            if not marks.isdisjoint(own := features(w)):
-                marked.update(own)
-    hit = lru_cache(100_000)(lambda w: tuple(f for f in features(w) if f in marked))
-    other = Counter(f for t, _ in rows for w in set(words_of(t)) if (own := hit(w)) and marks.isdisjoint(own) for f in own)
-    names = sorted((f for f, n in marked.items() if f in marks or n >= LEAST and n >= other[f]), key=lambda f: (-marked[f], f))
+
+    def marked_of(_key, _label, text):
+        return Counter(f for w in words_of(text) if not marks.isdisjoint(own := features(w)) for f in own).items()
+
+    pairs = pa.schema([("f", string), ("n", i64)])
+    marked = {r["f"]: r["n"] for r in _mapped(texts, pairs, marked_of, keep, True).groupBy("f").agg(F.sum("n").alias("n")).collect()}
+
+    def other_of(_key, _label, text):
+        return Counter(f for w in set(words_of(text)) if marks.isdisjoint(own := features(w)) for f in own if f in marked).items()
+
+    other = {r["f"]: r["n"] for r in _mapped(texts, pairs, other_of, keep).groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    names = sorted((f for f, n in marked.items() if f in marks or n >= LEAST and n >= other.get(f, 0)), key=lambda f: (-marked[f], f))
     index = {f: i for i, f in enumerate(names)}
-    rng = np.random.default_rng(seed)
-    feats, labels = [], []
-    for t, y in rows:
-        words = words_of(t)
+
+    def parts_of(key, label, text):
+        words, out, alike = words_of(text), [], Counter()
         for at in range(0, len(words), cap):
             part = words[at : at + cap]
-            own = [(i, index[f]) for i, w in enumerate(part) for f in hit(w) if f in index]
-            # Parts without a feature differ in length only; a few stand for all.
-            if not own and rng.random() > 0.05:
-                continue
-            tags = np.array([int(y == 1 and not marks.isdisjoint(hit(w))) for w in part], np.int8)
-            feats.append((np.array([i for i, _ in own], np.int32), np.array([f for _, f in own], np.int32)))
-            labels.append(tags)
-    params = np.zeros(len(names) + 5)
-    params[len(names)] = -4.0
-    first, second = np.zeros_like(params), np.zeros_like(params)
-    order = np.arange(len(labels))
-    step = 0
-    for _ in range(max(1, rounds * 128 // max(128, len(labels)))):
-        rng.shuffle(order)
-        for at in range(0, len(order), 128):
-            own = order[at : at + 128]
-            _, g = _likelihood(params, [feats[i] for i in own], [labels[i] for i in own], len(names))
-            g[: len(names)] += 1e-4 * params[: len(names)]
-            step += 1
-            first = 0.9 * first + 0.1 * g
-            second = 0.99 * second + 0.01 * g * g
-            params -= 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            own = [(i, index[f]) for i, w in enumerate(part) for f in features(w) if f in index]
+            if own:
+                tags = [i for i, w in enumerate(part) if label and not marks.isdisjoint(features(w))]
+                out.append((key, at, len(part), 1, [i for i, _ in own], [f for _, f in own], tags))
+            else:
+                alike[len(part)] += 1
+        return out + [(0, -1, n, times, [], [], []) for n, times in alike.items()]
+
+    schema = pa.schema([("key", i64), ("at", i64), ("size", i32), ("times", i64), ("tok", pa.list_(i32)), ("fid", pa.list_(i32)), ("tags", pa.list_(i32))])
+    # Parts without a feature differ in length alone, so each length is one chain that counts as often.
+    chains = _mapped(texts, schema, parts_of, keep).groupBy("key", "at", "size", "tok", "fid", "tags").agg(F.sum("times").alias("times")).orderBy("at", "key", "size").toArrow().to_pylist()
+    labels = [np.isin(np.arange(r["size"]), r["tags"]).astype(np.int8) for r in chains]
+    feats = [(np.array(r["tok"], np.int32), np.array(r["fid"], np.int32)) for r in chains]
+    params = descend(Chains(feats, labels, [r["times"] * (1.0 if r["tok"] else quiet) for r in chains]), len(names), steps)
     model = Model(dict(zip(names, params[: len(names)].tolist(), strict=True)), float(params[len(names)]), tuple(params[len(names) + 1 :].tolist()))
-    x, y = [], []
-    for t, label in rows:
-        emit, at, n = model.evidence(t)
-        x.append((1.0, *model.aggregate(model.marginals(emit, at, n) if at else np.zeros(0))))
-        y.append(label == 1)
-    x, y = np.array(x), np.array(y, float)
-    w, balance = np.zeros(3), np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for _ in range(60):  # Newton steps of a ridge logistic fit, both kinds weighing the same
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
-        w -= np.linalg.solve(h, x.T @ (balance * (p - y)) + 1e-4 * w)
-    model.calib = tuple(w.tolist())
+
+    def aggregate_of(key, label, text):
+        emit, at, n = model.evidence(text)
+        return [(key, label, *model.aggregate(model.marginals(emit, at, n) if at else np.zeros(0)))]
+
+    got = _mapped(texts, pa.schema([("key", i64), ("toxic", i32), ("chance", pa.float64()), ("amount", pa.float64())]), aggregate_of, keep).orderBy("key").toArrow()
+    model.calib = calibrated(np.stack([np.ones(got.num_rows), got["chance"].to_numpy(), got["amount"].to_numpy()], 1), got["toxic"].to_numpy().astype(float))
     model.known.clear()
     return model
 
 
+def _shuffled(key: int) -> int:
+    """A place in an order that has nothing to do with the text."""
+    return key * 0x9E3779B97F4A7C15 % (1 << 64)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on about ``sample`` documents of each label; ``labels`` holds the rows to learn from."""
-    own = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).cast("int").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IS NOT NULL")
-    sizes = {r["_toxic"]: r["count"] for r in own.groupBy("_toxic").count().collect()}
+    """Fit on about ``sample`` texts of each label; ``labels`` holds the rows to learn from."""
+    own = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    labelled = materialize(rows.select("id", "hash").join(own, "id").distinct(), "toxic-labelled")
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model()
-    # A label's rows are cut at sample / n of a uniform hash, so about `sample` ids of each are drawn.
-    drawn = own.withColumn("_u", uniform(seed, "_id")).filter(F.col("_u") < F.when(F.col("_toxic") == 1, sample / sizes[1]).otherwise(sample / sizes[0]))
-    # Bounded by 2 * sample ids in expectation, hence the broadcast.
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(drawn), "_id").filter("_text IS NOT NULL").select("_u", "_id", "_text", "_toxic").toArrow().to_pylist()
-    return fit([(r["_text"], r["_toxic"]) for r in sorted(got, key=lambda r: (r["_u"], r["_id"], r["_text"]))], seed)
+    # A label's texts are cut at sample / n of a uniform hash, so about `sample` of each are drawn: a bounded broadcast.
+    rate = F.when(F.col("toxic") == 1, sample / sizes[1]).otherwise(sample / sizes[0])
+    drawn = labelled.filter(uniform(seed, "id", F.col("hash").cast("string")) < rate)
+    found = rows.join(F.broadcast(drawn), ["id", "hash"]).groupBy(F.xxhash64("hash", "toxic").alias("key")).agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    return fit(materialize(found, "toxic-sample"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,4 +426,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from labels with crc32(doc_id) mod 3 other than 1."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").filter(remainder(3) != 1))
-    return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    return score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), "spans")
