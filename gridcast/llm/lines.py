@@ -17,9 +17,9 @@ Text is shuffled only for documents that hold a candidate or a removed line: a b
 (1 MB) tells the rest apart, which pass by. All groupings are by key hash with partial aggregation; no group is collected but the lines of
 one document.
 
-Results: null texts stay null and have no lines; an empty text is one empty line. Null ids come first. Rows
-that agree in id and text tie: neither removes the other's lines. Other columns are kept, but for those named as
-the added ones, which are replaced.
+Results: null texts stay null and have no lines; an empty text is one empty line; an empty table gives an empty result. Null ids come first. Rows
+that agree in id and text tie: neither removes the other's lines. Very long texts are read whole, a line of any length is compared whole. Other
+columns are kept whatever their names, but for ``lines_total`` and ``lines_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mark_seen, materialize, release, seen_bitmap, table
+from .common import mark_seen, materialize, private, seen_bitmap, table
 
 MIN_CHARS = 20
 BLOCKS = 16
@@ -106,13 +106,20 @@ def neighbourhood(line: str, ranges: list[tuple[int, int]]) -> tuple[int, np.nda
     return int(mix(prefix[n : n + 1], n, 0)[0]), np.unique(mix(without, n - 1, 0)), np.unique(mix(blanked, n, 1))
 
 
+def line_hash(line: str) -> bytes:
+    """A line's identity: 128 bits, as 64 would meet by chance among 10^10 lines."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, th, line, h, k): every line long enough, its hash and its half keys. ``docs``: _id, _th, _text."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), *((f"k{i}", pa.int64()) for i in range(4))])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h", pa.binary()), *((f"k{i}", pa.int64()) for i in range(4))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,14 +128,14 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 for i, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= min_chars and len(s := normal(line)) >= min_chars:
                         keys = [_signed(k) for k in half_keys(s)]
-                        out.append((doc, th, i, _signed(_hash(2, 0, s)), *keys, *[None] * (4 - len(keys))))
+                        out.append((doc, th, i, line_hash(s), *keys, *[None] * (4 - len(keys))))
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select("_id", "_th", "_text").mapInArrow(run, "id long, th long, line int, h long, k0 long, k1 long, k2 long, k3 long")
+    return docs.select("_id", "_th", "_text").mapInArrow(run, "id long, th long, line int, h binary, k0 long, k1 long, k2 long, k3 long")
 
 
 def _texts(cands: DataFrame) -> DataFrame:
@@ -138,18 +145,18 @@ def _texts(cands: DataFrame) -> DataFrame:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 lines, own = text.as_py().split("\n"), wanted.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in own], pa.int64()), pa.array([normal(lines[w["line"]]) for w in own], pa.string())], ["h", "norm"])
+                yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in own], pa.binary()), pa.array([normal(lines[w["line"]]) for w in own], pa.string())], ["h", "norm"])
 
-    return cands.select("_text", "lines").mapInArrow(run, "h long, norm string")
+    return cands.select("_text", "lines").mapInArrow(run, "h binary, norm string")
 
 
 def _blocks(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(h, _signed(k), a, e) for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, a, e in block_keys(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["h", "key", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate([pa.binary(), pa.int64(), pa.int32(), pa.int32()])], ["h", "key", "lo", "hi"])
 
-    return texts.select("h", "norm").mapInArrow(run, "h long, key long, lo int, hi int")
+    return texts.select("h", "norm").mapInArrow(run, "h binary, key long, lo int, hi int")
 
 
 def _keys(texts: DataFrame) -> DataFrame:
@@ -161,9 +168,9 @@ def _keys(texts: DataFrame) -> DataFrame:
                 whole, without, blanked = neighbourhood(s, [(r["lo"], r["hi"]) for r in ranges])
                 keys = np.concatenate((np.array([whole], np.uint64), without, blanked)).view(np.int64)
                 kinds = np.concatenate(([0], np.ones(len(without)), np.full(len(blanked), 2))).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), h)), pa.array(keys), pa.array(kinds)], ["h", "key", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.binary()), pa.array(keys), pa.array(kinds)], ["h", "key", "kind"])
 
-    return texts.select("h", "norm", "ranges").mapInArrow(run, "h long, key long, kind byte")
+    return texts.select("h", "norm", "ranges").mapInArrow(run, "h binary, key long, kind byte")
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -176,11 +183,9 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     occ = materialize(occurrences(docs, min_chars), "lines", scan=True)
     # Smallest position and any half keys of each distinct line; a struct of the position first makes it one minimum.
     distinct = materialize(occ.groupBy("h").agg(F.min(F.struct("id", "th", "line", "k0", "k1", "k2", "k3")).alias("x"), F.count(F.lit(1)).alias("n")).select("h", F.struct("x.id", "x.th", "x.line").alias("pos"), "n", F.array("x.k0", "x.k1", "x.k2", "x.k3").alias("k")), "distinct-lines")
-    release(docs.sparkSession)
     halves = distinct.select("h", F.explode("k").alias("key")).filter("key IS NOT NULL")
     shared = _met(halves)
     cands = materialize(halves.join(shared, "key").select("h").distinct().join(distinct.select("h", "pos"), "h"), "line-candidates")
-    release(docs.sparkSession)
 
     per_doc = cands.groupBy(F.col("pos.id").alias("id"), F.col("pos.th").alias("th")).agg(F.collect_list(F.struct(F.col("pos.line").alias("line"), "h")).alias("lines"))
     few = mark_seen(docs, seen_bitmap(per_doc, "th"), F.col("_th")).filter("_seen").drop("_seen")
@@ -212,12 +217,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     """``docs`` with the remaining lines as text, and the columns ``lines_total`` and ``lines_removed``."""
     text = F.col(text_col).cast("string")
     docs = docs.drop("lines_total", "lines_removed")
-    keyed = docs.withColumn("_th", F.xxhash64(text))
-    gone = materialize(removals(keyed.select(F.col(id_col).cast("long").alias("_id"), "_th", text.alias("_text")), min_chars), "line-removals").withColumnsRenamed({"id": "_gid", "th": "_gth", "gone": "_gone"})
-    release(docs.sparkSession)
-    marked = mark_seen(keyed, seen_bitmap(gone, "_gth"), F.col("_th"))
-    joined = marked.filter("_seen").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left").drop("_gid", "_gth")
-    both = joined.unionByName(marked.filter("NOT _seen").withColumn("_gone", F.lit(None).cast("array<int>"))).drop("_th", "_seen")
+    p = private(docs)
+    keyed = docs.withColumn(f"{p}th", F.xxhash64(text))
+    found = removals(docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text")), min_chars)
+    gone = materialize(found, "line-removals").withColumnsRenamed({"id": f"{p}gid", "th": f"{p}gth", "gone": f"{p}gone"})
+    marked = mark_seen(keyed, seen_bitmap(gone, f"{p}gth"), F.col(f"{p}th"), f"{p}seen")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}gid")) & (F.col(f"{p}th") == F.col(f"{p}gth"))
+    joined = marked.filter(F.col(f"{p}seen")).join(gone, own, "left").drop(f"{p}gid", f"{p}gth")
+    both = joined.unionByName(marked.filter(~F.col(f"{p}seen")).withColumn(f"{p}gone", F.lit(None).cast("array<int>"))).drop(f"{p}th", f"{p}seen")
     names = [*docs.columns, "lines_total", "lines_removed"]
     schema = T.StructType(list(docs.schema.fields)).add("lines_total", "long").add("lines_removed", "long")
     at = docs.columns.index(text_col)

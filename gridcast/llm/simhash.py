@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mark_seen, materialize, release, seen_bitmap, table
+from .common import mark_seen, materialize, seen_bitmap, table
 from .components import components
 
 WORDS = 3
@@ -430,7 +430,6 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, si
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("held").alias("_x")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("held").alias("_y")), "v").select("u", "v", "_x", "_y")
     found = materialize(both.mapInArrow(similar, "u long, v long"), "simhash-links")
-    release(spark)
     return found
 
 
@@ -452,7 +451,6 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
         return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     pairs = materialize(ordered(_joined(_dealt(keyed, 1).join(fps, "id"), radius)), "simhash-pairs")
-    release(spark)
     good = verified(pairs, docs, first, *how)
     named = components(good).select(F.col("node").alias("id"), F.col("component").alias("root"))
     failed = pairs.join(good, ["u", "v"], "left_anti")

@@ -20,7 +20,7 @@ hold a context to compare or a byte to remove (a bitmap of fixed size tells the
 Results: a null text counts as empty. Texts shorter than ``LENGTH`` keep everything. Matches never cross
 documents. Repeated rows and equal texts are copies of each other, whatever their ids. Very long texts are hashed
 in overlapping slices. An empty table gives an empty result. Other columns are
-kept, but for those named as the added ones, which are replaced.
+kept whatever their names, but for ``removed_spans``, ``kept_bytes`` and ``text_bytes``, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mark_seen, materialize, release, seen_bitmap, table
+from .common import mark_seen, materialize, private, seen_bitmap, table
 
 LENGTH = 200
 GRAM = 16
@@ -349,13 +349,35 @@ def _compare(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "h long, c long, runs array<struct<f:int,l:int>>")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(t, spans): byte ranges to remove, not yet merged, for each text that has any. ``docs``: _t, _n, _crc, _data."""
+def text_keys(data: DataFrame) -> tuple[list[int], DataFrame]:
+    """Text hashes (of ``_data``) that different texts share, and (t, n, k) of every text: key, bytes and copies.
+
+    Length and checksum tell such texts apart; their keys are hashed once more (see ``text_key``). About one hash
+    is shared among 2^32 texts, so the list stays short at any size.
+    """
+    shared: list[int] = []
+    while True:
+        texts = data.groupBy(text_key("_data", shared).alias("t"), F.octet_length("_data").cast("long").alias("n"), F.crc32("_data").alias("crc")).agg(F.count(F.lit(1)).alias("k"))
+        texts = materialize(texts, "texts")
+        more = [r["t"] for r in texts.groupBy("t").count().filter("count > 1").collect()]
+        if not more:
+            return shared, texts.drop("crc")
+        shared += more
+
+
+def text_key(data, shared: list[int]) -> F.Column:
+    key = F.xxhash64(data)
+    for k in shared:
+        key = F.when(key == k, F.xxhash64(F.lit(k), data)).otherwise(key)
+    return key
+
+
+def spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(t, spans): byte ranges to remove, not yet merged, for each text that has any. ``docs``: _t, _data; ``texts``: t, n, k."""
     found = materialize(contexts(docs, length), "contexts", scan=True)
     place = F.xxhash64("t", "a")
     twice = found.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("h")
     again = materialize(found.join(twice, "h"), "repeated-contexts")
-    release(docs.sparkSession)
 
     kinds = again.groupBy("h", "c").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min(F.struct("t", "a", "b")).alias("one")).select("h", "c", (F.col("x") != F.col("y")).alias("many"), "one")
     size = F.sum(F.col("one.b") - F.col("one.a") + length)
@@ -379,14 +401,12 @@ def spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFram
     few = mark_seen(docs, seen_bitmap(compare.select(F.col("one.t").alias("t")), "t"), F.col("_t")).filter("_seen")
     rows = few.join(per_text, F.col("_t") == F.col("t")).groupBy("_t").agg(F.first("_data").alias("_data"), F.first("want").alias("want"))
     runs = materialize(_compare(_cut(rows), length), "context-runs")
-    release(docs.sparkSession)
 
     whole = kinds.filter("many").select("h", "c", F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("l"))).alias("runs"))
     marks = whole.unionByName(runs)
     first, last = F.col("a") + F.greatest("run.f", F.lit(0)), F.when(F.col("run.l") < 0, F.col("b")).otherwise(F.col("a") + F.col("run.l"))
     hits = again.join(marks, ["h", "c"]).select("t", "a", "b", F.explode("runs").alias("run")).select("t", first.alias("s"), (last + length).alias("e"))
-    copies = docs.groupBy("_t", "_n", "_crc").agg(F.count(F.lit(1)).alias("k")).filter(f"k > 1 AND _n >= {length}")
-    whole_texts = copies.select(F.col("_t").alias("t"), F.lit(0).alias("s"), F.col("_n").cast("int").alias("e"))
+    whole_texts = texts.filter(f"k > 1 AND n >= {length}").select("t", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
     # Copies of a text repeat its ranges; they are dropped before the ranges of a text come together.
     return hits.unionByName(whole_texts).distinct().groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -405,14 +425,17 @@ def merge_spans(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, text_col: str = "text") -> DataFrame:
     """``docs`` with ``removed_spans`` (byte ranges), ``kept_bytes`` (what remains, as binary) and ``text_bytes``."""
     docs = docs.drop("removed_spans", "kept_bytes", "text_bytes")
+    p = private(docs)
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("_data", data).withColumn("_t", F.xxhash64("_data"))
-    view = keyed.select("_t", "_data", F.octet_length("_data").cast("long").alias("_n"), F.crc32("_data").alias("_crc"))
-    found = materialize(spans(view, length, shard), "spans").withColumnsRenamed({"t": "_st", "spans": "_spans"})
-    release(docs.sparkSession)
-    marked = mark_seen(keyed, seen_bitmap(found, "_st"), F.col("_t"))
-    touched = marked.filter("_seen").join(found, F.col("_t") == F.col("_st"), "left").drop("_st")
-    both = touched.unionByName(marked.filter("NOT _seen").withColumn("_spans", F.lit(None).cast("array<struct<s:int,e:int>>"))).select(*docs.columns, "_data", "_spans")
+    view = docs.select(data.alias("_data"))
+    shared, texts = text_keys(view)
+    view = view.withColumn("_t", text_key("_data", shared))
+    found = materialize(spans(view, texts, length, shard), "spans").withColumnsRenamed({"t": f"{p}st", "spans": f"{p}spans"})
+    keyed = docs.withColumn(f"{p}data", data).withColumn(f"{p}t", text_key(f"{p}data", shared))
+    marked = mark_seen(keyed, seen_bitmap(found, f"{p}st"), F.col(f"{p}t"), f"{p}seen")
+    touched = marked.filter(F.col(f"{p}seen")).join(found, F.col(f"{p}t") == F.col(f"{p}st"), "left")
+    rest = marked.filter(~F.col(f"{p}seen")).withColumn(f"{p}spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
+    both = touched.select(*docs.columns, f"{p}data", f"{p}spans").union(rest.select(*docs.columns, f"{p}data", f"{p}spans"))
     span = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
     schema = T.StructType(list(docs.schema.fields)).add("removed_spans", span).add("kept_bytes", "binary").add("text_bytes", "long")
     names, width = [*docs.columns, "removed_spans", "kept_bytes", "text_bytes"], len(docs.columns)
