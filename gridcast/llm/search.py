@@ -3,8 +3,8 @@
 Documents are tokenised once into a forward index (term hashes and frequencies) in the shared folder. Global statistics
 (documents, mean length, document frequencies) come from pre-aggregated partial counts. Queries are taken in blocks of
 bounded text (``QUERY_BYTES``), one after the other: the block's terms with their weights are broadcast, its results are written and the
-broadcast is destroyed before the next block is read. Every shard (a slice of ``SHARD_DOCS`` documents
-of a partition) inverts its documents for those terms and finds its own exact top k. A partition keeps the best k over its shards, whose
+broadcast is destroyed before the next block is read. Every shard (a slice of about ``SHARD_DOCS`` documents
+of a partition, fewer where they hold ``SHARD_POSTINGS``) inverts its documents for those terms and finds its own exact top k. A partition keeps the best k over its shards, whose
 last score is the next shard's first threshold; partitions are merged by score.
 
 In a shard, documents that share their commonest term are neighbours. Terms held by few documents have postings with their
@@ -41,7 +41,8 @@ K = 10
 K1, B = 1.2, 0.75
 BLOCK = 64
 COMMON = 16
-SHARD_DOCS = 12_288
+SHARD_DOCS = 8192
+SHARD_POSTINGS = 3_000_000
 TASK_DOCS = 1 << 16
 QUERY_BYTES = 16 << 20
 FLUSH_TERMS = 1_000_000
@@ -71,21 +72,25 @@ class Shard:
         place[self.at] = np.arange(n, dtype=np.int32)
         doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
         impact = np.nextafter(self._impact(term, tf, doc).astype(np.float32), np.float32(np.inf))
-        self.top = np.zeros(v)
+        self.top = np.zeros(v, np.float32)
         np.maximum.at(self.top, term, impact)
 
         wide = np.flatnonzero(count > n / COMMON)
         self.row = np.full(v, -1, np.int32)
         self.row[wide] = np.arange(len(wide))
-        # Each row's maxima are whole steps, so few that the sum of all rows fits 16 bits.
-        self.step = max(1e-9, float(self.top[wide].max(initial=0.0))) / (65535 // max(1, len(wide)))
+        # Each row's maxima are whole steps, so few that the sum of all rows fits the type.
+        self.kind = np.uint16 if len(wide) <= 4000 else np.uint32
+        self.step = max(1e-9, float(self.top[wide].max(initial=0.0))) / (np.iinfo(self.kind).max // max(1, len(wide)) - 1)
         blocks = -(-n // BLOCK)
-        self.each = np.zeros((len(wide), blocks * BLOCK), np.uint16)
-        on = np.flatnonzero(self.row[term] >= 0)
-        self.each[self.row[term[on]], place[doc[on]]] = np.ceil(impact[on] / self.step * (1 - 1e-7))
+        self.each = np.zeros((len(wide), blocks * BLOCK), self.kind)
+        for at in range(0, len(term), 1 << 19):
+            part = slice(at, at + (1 << 19))
+            row = self.row[term[part]]
+            on = np.flatnonzero(row >= 0)
+            self.each[row[on], place[doc[part][on]]] = np.ceil(impact[part][on] / self.step)
         self.most = self.each.reshape(len(wide), blocks, BLOCK).max(2, initial=0)
 
-        rare = np.flatnonzero(self.row[term] < 0)
+        rare = np.flatnonzero(self.row[term] < 0).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.off = np.concatenate(([0], np.cumsum(np.where(self.row < 0, count, 0))))
         self.place, self.impact = place[doc[rare]], impact[rare]
@@ -145,7 +150,7 @@ class Shard:
         """(document, score) of the best ``k`` and all that tie with the last, of those that reach ``floor``."""
         terms = terms[self.top[terms] > 0]
         none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or self.top[terms].sum() < floor - EPS:
+        if not len(terms) or self.top[terms].sum(dtype=np.float64) < floor - EPS:
             return none
         rows = self.row[terms]
         common = rows[rows >= 0].tolist()
@@ -157,12 +162,12 @@ class Shard:
             known = self.full(self.at[done])
             floor = self._raised(floor, known, k)
         if common:
-            cells = np.zeros(self.most.shape[1], np.uint16)
+            cells = np.zeros(self.most.shape[1], self.kind)
             for r in common:
                 cells += self.most[r]
             live = cells * self.step + score.reshape(-1, BLOCK).max(1) >= floor * (1 - EPS) - EPS
             edge = np.flatnonzero(np.diff(np.concatenate(([0], live.view(np.int8), [0])))) * BLOCK
-            bound = np.zeros(len(score), np.uint16)
+            bound = np.zeros(len(score), self.kind)
             for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 own = bound[lo:hi]
                 for r in common:
@@ -255,24 +260,24 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocab, idf, query, ends, ids = own.value
 
-            def invert(tab: pa.Table) -> Shard:
-                terms, tfs = tab["terms"].combine_chunks(), tab["tfs"].combine_chunks()
+            def known(batch: pa.RecordBatch) -> tuple:
+                """Of a batch: ids, lengths, and the terms of the query block with their frequencies, counted by document."""
+                terms, tfs = batch.column(2), batch.column(3)
                 start = np.asarray(terms.offsets, np.int64)
                 term, tf = np.asarray(terms.values)[start[0] : start[-1]], np.asarray(tfs.values)[start[0] : start[-1]]
                 place = np.minimum(np.searchsorted(vocab, term), max(0, len(vocab) - 1)).astype(np.int32)
                 on = vocab[place] == term if len(vocab) else np.zeros(len(term), bool)
-                start = np.concatenate(([0], np.cumsum(on)))[start - start[0]]
-                return Shard(tab["length"].to_numpy().astype(float), start, place[on], tf[on].astype(np.float32), idf, mean)
+                size = np.diff(np.concatenate(([0], np.cumsum(on)))[start - start[0]])
+                return batch.column(0), batch.column(1).to_numpy().astype(float), size, place[on], tf[on].astype(np.float32)
 
             best: dict[int, tuple] = {}  # the best k of each query over the shards of this partition: score, id, no id
 
-            def flush(parts: list[pa.RecordBatch]) -> None:
-                tab = pa.Table.from_batches(parts)
+            def flush(parts: list[tuple]) -> None:
+                named = pa.chunked_array([p[0] for p in parts])
+                null, doc = named.is_null().to_numpy(), named.fill_null(0).to_numpy()
+                lengths, size, term, tf = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
                 parts.clear()
-                shard = invert(tab)
-                tab = tab.select(["doc_id"])  # the terms are in the shard now
-                null = tab["doc_id"].is_null().to_numpy()
-                doc = tab["doc_id"].fill_null(0).to_numpy()
+                shard = Shard(lengths, np.concatenate(([0], np.cumsum(size))), term, tf, idf, mean)
                 for q in range(len(ids)):
                     have = best.get(q)
                     d, s = shard.search(query[ends[q] : ends[q + 1]], k, have[0][k - 1] if have is not None and len(have[0]) >= k else 0.0)
@@ -283,13 +288,13 @@ def search(docs: DataFrame, queries: F.Column, k: int = K, query_bytes: int = QU
                         order = np.lexsort((i, none, -s))[:k]
                         best[q] = s[order], i[order], none[order]
 
-            held, rows = [], 0
+            held, rows, postings = [], 0, 0
             for batch in batches:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows >= shard_docs:
+                held.append(known(batch))
+                rows, postings = rows + batch.num_rows, postings + len(held[-1][3])
+                if rows >= shard_docs or postings >= SHARD_POSTINGS:
                     flush(held)
-                    rows = 0
+                    rows = postings = 0
             if rows:
                 flush(held)
             for at in range(0, len(ids), 10_000):

@@ -20,8 +20,7 @@ def test_raked_marginals_meet_targets():
 
 def test_sample_follows_the_targets_and_keeps_columns(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows(3000)], "doc_id long, text string, lang string, source string, _m long, n int")
-    docs = docs.withColumnRenamed("_m", "weight")
-    got = M.weigh(docs, rate=0.3).toPandas()
+    got = M.weigh(docs.drop("_m"), rate=0.3).toPandas()
     raw = got.groupby("_source")["_tokens"].sum() ** M.ALPHA
     expected = (got["_p"] * got["_tokens"]).groupby(got["_source"]).sum()
     assert np.allclose(expected / expected.sum(), raw / raw.sum(), atol=1e-6)
@@ -66,3 +65,53 @@ def test_default_sample_meets_the_targets(spark):
         have = (got["_p"] * got["_tokens"]).groupby(got[d]).sum()[want.index]
         assert np.allclose(have / have.sum(), want / want.sum(), rtol=1.1 * M.TOLERANCE)
     assert 0 < (got["_p"] * got["_tokens"]).sum() < got["_tokens"].sum()
+
+
+CLASHES = ["_m", "_tokens", "_p", "_topic", "_source", "_lang", "_kept", "_sum", "__row", "row", "Source_share"]
+
+
+def test_sample_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(*r[:4], *(f"{c}{r[0]}" for c in CLASHES)) for r in rows(400)], ["doc_id", "text", "lang", "source", *CLASHES])
+    got = M.sample(docs)
+    plain = M.sample(docs.select("doc_id", "text", "lang", "source"))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in plain.collect()} and 0 < len(kept) < 400
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in kept for c in CLASHES)
+
+
+def test_raking_stops_when_it_has_settled_and_not_before():
+    rng = np.random.default_rng(5)
+    cells = [(s, lang, t) for s in "abcd" for lang in "xyz" for t in "pq"]
+    weight = rng.uniform(1, 1000, len(cells)).tolist()
+    far = {"source": {"a": 0.97, "b": 0.01, "c": 0.01, "d": 0.01}, "topic": {"p": 0.99, "q": 0.01}}
+    got = np.array(M.rake(cells, weight, far))
+    for name, d in (("source", 0), ("topic", 2)):
+        for v, share in far[name].items():
+            assert abs(sum(w for c, w in zip(cells, got, strict=True) if c[d] == v) / sum(weight) - share) < 1e-9
+
+
+def test_a_column_of_topics_can_be_given(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * 10, "en", "a", "x" if i % 10 else "y") for i in range(500)], "doc_id long, text string, lang string, source string, subject string")
+    got = M.weigh(docs, topic_of=lambda _: F.col("subject"), targets={"topic": {"x": 0.5, "y": 0.5}}).toPandas()
+    kept = (got["_p"] * got["_tokens"]).groupby(got["_topic"]).sum()
+    assert abs(kept["x"] / kept.sum() - 0.5) < 0.01
+
+
+def test_the_query_is_the_sql_and_meets_its_targets(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.execute(M.SQL).fetchdf().sort_values("doc_id").reset_index(drop=True)
+    got = M.op2_mixing(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)[list(want.columns)]
+    assert len(got) == len(want) and (got["kept"] == want["kept"]).all() and (got["topic"] == want["topic"]).all()
+    for c in got.columns:
+        if c not in ("kept", "topic"):
+            assert np.allclose(got[c], want[c], atol=1e-9), c
+    for name in ("source", "lang", "topic"):
+        assert np.allclose(got[f"{name}_share"], got[f"{name}_target"], rtol=1.001 * M.TOLERANCE)
+    assert got["kept"].sum() > 100
