@@ -2,8 +2,7 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (letters lower-cased, other characters as
 word boundaries), and a linear softmax maps the average to languages. Both matrices are trained by mini-batch
-stochastic gradient descent in numpy on a bounded sample of labelled rows (``SAMPLE`` rows at most in expectation per language, drawn
-by a hash of the id); features are counted on the executors, so no text reaches the driver. A temperature fitted on a
+stochastic gradient descent in numpy on a bounded sample of labelled rows (``SAMPLE`` rows at most in expectation per language and about ``TOTAL`` in all, drawn by a hash of the id and the text, and every language that occurs is learned); features are counted on the executors, so no text reaches the driver. A temperature fitted on a
 held-back part of the sample calibrates the probabilities, and the rejection threshold is the lowest calibrated
 probability at which predictions of that part are still right nine times in ten.
 
@@ -11,8 +10,9 @@ As the model is linear behind the average, scoring adds one row of class scores
 vectorised gather over all bytes of whole texts, cut into slices of bounded size.
 
 Results: null texts and texts without a letter get ``und`` with score 0. With no labelled row at all, everything is
-``und``. Very long texts are read whole; ties go to the first language in name order. Labels, sources
-and ids are never inputs of a prediction. Other columns are not read.
+``und``. Very long texts are read whole; ties go to the first language in name order; an empty table gives an empty result. Labels, sources
+and ids are never inputs of a prediction. Other columns are not read, whatever their names. The model has a column of ``BUCKETS`` scores for each
+language that occurs among the rows to learn from, however rare it is.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 1200
-LANGS = 500  # the most frequent ones are learned
+TOTAL = 12_000
+LEAST = 20
 EPOCHS = 40
 SLICE = 1 << 20
 
@@ -42,9 +43,14 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def normal(text: str) -> bytes:
-    """Lower case, with spaces for what is not a letter and at both ends."""
+    """Lower case, with spaces for what is not a letter (by Unicode category) and at both ends."""
     low = text.lower()
-    return b" " + (low.encode().translate(_TABLE) if low.isascii() else _OTHER.sub(" ", low).encode("utf-8", "surrogatepass")).strip() + b" "
+    if low.isascii():
+        return b" " + low.encode().translate(_TABLE).strip() + b" "
+    low = _OTHER.sub(" ", low)
+    if not low.replace(" ", "").isalpha():  # numerals that are no digits are word characters too
+        low = "".join(c if c.isalpha() else " " for c in low)
+    return b" " + low.encode("utf-8", "surrogatepass").strip() + b" "
 
 
 def grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,33 +137,39 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 0, epochs: i
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (used, share, _) in enumerate(rows):
-        x[i, used] = share
-    y = np.array([langs.index(r[2]) for r in rows])
+    place = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([place[r[2]] for r in rows])
+
+    def dense(own: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(own), BUCKETS), np.float32)
+        for at, i in enumerate(own.tolist()):
+            x[at, rows[i][0]] = rows[i][1]
+        return x
+
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 50 else order
     train = order[len(rows) // 5 :] if len(rows) >= 50 else order
     embed = rng.normal(0, 1, (BUCKETS, dim)).astype(np.float32)
     weight, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    onehot = np.eye(len(langs), dtype=np.float32)[y]
     batch = 64
     for epoch in range(epochs):
         rate = np.float32(2.0 * (1 - epoch / epochs))
         for at in range(0, len(train), batch):
             own = train[at : at + batch]
-            h = x[own] @ embed
+            x = dense(own)
+            h = x @ embed
             z = h @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = (p - onehot[own]) / len(own)
+            p[np.arange(len(own)), y[own]] -= 1
+            g = p / len(own)
             back = g @ weight.T
             weight -= rate * (h.T @ g)
             bias -= rate * 0.1 * g.sum(0)
-            embed -= rate * 20 * (x[own].T @ back)
+            embed -= rate * 20 * (x.T @ back)
         train = rng.permutation(train)
     scores = (embed @ weight).astype(np.float64)
-    z = x[held] @ scores + bias
+    z = np.concatenate([dense(held[at : at + 512]) @ scores for at in range(0, len(held), 512)]) + bias
 
     def loss(t: float) -> float:
         s = z / t
@@ -175,13 +187,14 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 0, epochs: i
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``sample`` rows a language of ``docs``, which holds the rows to learn from."""
+    """Fit on about ``sample`` rows a language of ``docs``, which holds the rows to learn from; on fewer, ``LEAST`` at the least, where ``TOTAL`` rows would be passed."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # every language is learned
     if not sizes:
         return fit([])
+    sample = min(sample, max(LEAST, TOTAL // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    drawn = rows.withColumn("_u", uniform(seed, "doc_id")).filter(F.col("_u") < F.element_at(share, F.col("lang")))
+    drawn = rows.withColumn("_u", uniform(seed, "doc_id", F.xxhash64("text").cast("string"))).filter(F.col("_u") < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from gridcast.llm import langid as L
@@ -44,3 +45,28 @@ def test_batches_score_as_single_texts():
         p = np.exp(z - z.max())
         p /= p.sum()
         assert lang == model.langs[int(p.argmax())] and abs(p.max() - s) < 1e-4
+
+
+def test_letters_go_by_their_unicode_category():
+    for text in ("½", "² ①", "Ⅷ", "12 34 !!", "🙂", "\u0301"):
+        assert L.normal(text).isspace()
+    assert L.normal("x²½y É9") == " x  y é ".encode() and L.normal("漢字") == " 漢字 ".encode()
+
+
+def test_rare_languages_are_learned_too(spark):
+    rng = random.Random(4)
+    own = {f"l{k:03d}": [chr(97 + k % 26) + chr(97 + k // 26) * 2 + chr(97 + (k * 7) % 26)] for k in range(520)}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(12)), lang) for i, lang in enumerate(sorted(own) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.train(docs).langs == sorted(own)
+
+
+def test_the_query_on_the_test_tables(spark):
+    """Through the query: accuracy on the rows that were not learned from, and its columns."""
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = L.op9_language(spark, sf).collect()
+    assert {r["doc_id"] for r in rows} == lang.keys() and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"] and lang[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    assert sum(held) >= 0.9 * len(held) and len(held) > 100
