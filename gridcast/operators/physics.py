@@ -145,6 +145,39 @@ def solar_position(ts: Column | str, lat: Column | str, lon: Column | str) -> tu
     return zenith, azimuth
 
 
+def refracted(zenith: Column, pressure_hpa: float = 1010.0, celsius: float = 10.0) -> Column:
+    """The apparent zenith: raised by the atmosphere's refraction while the upper limb can be seen."""
+    up = F.lit(90.0) - zenith
+    arc = F.lit(pressure_hpa / 1010.0 * 283.0 / (273.0 + celsius) * 1.02 / 60.0) / F.tan(F.radians(up + F.lit(10.3) / (up + 5.11)))
+    return F.when(up > -0.83, zenith - arc).otherwise(zenith)
+
+
+def clear_sky_turbid(apparent: Column, ts: Column | str, turbidity: float = 3.0, altitude: float = 0.0) -> Column:
+    """Clear-sky irradiance in W/m2 after Ineichen and Perez (2002) by Linke turbidity and altitude; air mass after Kasten and Young (1989)."""
+    c = F.cos(F.radians(apparent))
+    mass = F.lit(float(np.exp(-altitude / 8434.5))) / (c + F.lit(0.50572) * F.pow(F.lit(96.07995) - apparent, F.lit(-1.6364)))
+    day = F.lit(2.0) * F.pi() / 365.0 * (F.dayofyear(col(ts)) - 1)
+    beyond = F.lit(1366.1) * (F.lit(1.00011) + 0.034221 * F.cos(day) + 0.00128 * F.sin(day) + 0.000719 * F.cos(2 * day) + 7.7e-05 * F.sin(2 * day))
+    low, high = float(np.exp(-altitude / 8000.0)), float(np.exp(-altitude / 1250.0))
+    gain, loss = 5.09e-5 * altitude + 0.868, 3.92e-5 * altitude + 0.0387
+    value = beyond * gain * c * F.exp(F.lit(-loss * (low + high * (turbidity - 1))) * mass) * F.exp(F.lit(0.01) * F.pow(mass, F.lit(1.8)))
+    return F.when(apparent.isNotNull(), F.when(c > 0, clip(value, 0.0)).otherwise(0.0))
+
+
+def with_geometry(weather: DataFrame, geometry: DataFrame | None, keys: tuple[str, ...] = ("cluster_id", "ts")) -> DataFrame:
+    """Hourly weather of clusters on the hours for which there is solar geometry; all of it where there is no geometry at all."""
+    return weather if geometry is None else weather.join(geometry, list(keys))
+
+
+def solar_prior(weather: DataFrame, capacity: DataFrame, geometry: DataFrame | None = None, value: str = "shortwave_radiation", name: str = "prior_mw") -> DataFrame:
+    """The regional solar prior by hour: each cluster's irradiance, gated by geometry, times its capacity; all-null hours are 0.
+
+    weather: cluster_id, ts; capacity: cluster_id, capacity_mw.
+    """
+    rows = with_geometry(weather, geometry).withColumn("_pu", solar_per_unit(value))
+    return regional_sum(rows, capacity, ["cluster_id"], "ts", "_pu", name)
+
+
 def clear_sky(zenith: Column) -> Column:
     """Haurwitz clear-sky irradiance in W/m2, 0 at night."""
     c = F.cos(F.radians(zenith))

@@ -52,10 +52,25 @@ def weighted_centroids(df: DataFrame, keys: list[str], weight: str, lat: str = "
     return df.groupBy(*keys).agg((F.sum(weight) / 1000.0).alias("capacity_mw"), F.count(F.lit(1)).alias("assets"), mean(lat).alias("centroid_lat"), mean(lon).alias("centroid_lon"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in an order of distinct values: sorted in ranges, numbered within each, and moved on by the ranges before it."""
+    from ..plans.checkpoint import cut
+
+    placed = cut(df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    start = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(F.broadcast(start.drop("_n")), "_range").withColumn(name, F.col("_at") + F.col("_start")).drop("_range", "_at", "_start")
+
+
+def batches(df: DataFrame, order: list[str], size: int, name: str = "batch") -> DataFrame:
+    """Numbers of batches of ``size`` rows in an order."""
+    return numbered(df, order, name).withColumn(name, F.floor(F.col(name) / size))
+
+
 def grid_clusters(df: DataFrame, weight: str, grid: float = 0.1, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Clusters by grid cell, numbered from 0 by latitude and longitude (over cells, not rows)."""
     cells = weighted_centroids(df.withColumns({"cell_lat": snap(lat, grid), "cell_lon": snap(lon, grid)}), ["cell_lat", "cell_lon"], weight, lat, lon)
-    return cells.withColumn("cluster", F.row_number().over(Window.orderBy("cell_lat", "cell_lon")) - 1)
+    return numbered(cells, ["cell_lat", "cell_lon"], "cluster")
 
 
 def near_pairs(points: DataFrame, key: str, radius_km: float, radius: float = EARTH_KM_CLUSTER) -> DataFrame:
@@ -104,5 +119,5 @@ def connected(edges: DataFrame, nodes: DataFrame, key: str, rounds: int = 60) ->
 def density_clusters(points: DataFrame, key: str, radius_km: float) -> DataFrame:
     """Density clusters with a minimum of one point: components of the radius graph, numbered from 0 by their smallest key."""
     comp = connected(near_pairs(points, key, radius_km), points, key)
-    number = comp.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)
+    number = numbered(comp.select("component").distinct(), ["component"], "cluster")
     return comp.join(number, "component").select(key, "cluster")

@@ -35,29 +35,40 @@ def pooled_scale(calibration: DataFrame, keys: list[str]) -> DataFrame:
     return calibration.groupBy(*keys).agg(F.coalesce(F.avg("scale"), F.lit(1.0)).alias("scale"), F.lit(0.0).alias("offset"))
 
 
+#: Groups of so many rows have their quantile sought in a band of so much of the rows to both sides.
+BANDED, BAND = 2000, 0.01
+
+
 def fit_conformal(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo", hi: str = "hi", alpha: float = 0.2) -> DataFrame:
     """(q, w_floor, width, n): width-normalised split-conformal correction with the narrowest of the floors.
 
-    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. It is found by ranking scores by floor, so no
-    group's scores are gathered into an array. Interval widths decide between floors, rounded, the first winning ties: once a
+    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. Sketches with partial aggregation bound it for every
+    floor at once, scores below the bounds are counted, and only those within (a fiftieth of a large group's) are sorted, so a
+    hot group is never sorted whole. Interval widths decide between floors, rounded, the first winning ties: once a
     floor exceeds every half-width all larger ones give the same interval. Under two rows or without width: (0, 0).
     """
     pairs = df.filter(pair_filter(y, lo, hi)).select(*keys, F.col(y).alias("_y"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), ((F.col(hi) - F.col(lo)) / 2).alias("_half"))
     size = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_half").alias("_mean"))
-    floors = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(FLOORS)]))
-    rows = pairs.join(size.filter("n >= 2 AND _mean > 0"), keys).withColumn("_f", floors)
-    rows = rows.withColumn("_w", F.greatest("_half", F.col("_f.f") * F.col("_mean"))).filter("_w > 0")
-    rows = rows.withColumn("_e", F.greatest(F.col("_lo") - F.col("_y"), F.col("_y") - F.col("_hi")) / F.col("_w"))
-    w = Window.partitionBy(*keys, "_f.i").orderBy("_e")
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_f.i"))
-    level = F.least(F.ceil((F.col("_m") + 1) * F.lit(1 - alpha)) / F.col("_m"), F.lit(1.0))
-    ranked = rows.withColumn("_m", m).withColumn("_rn", F.row_number().over(w) - 1).withColumn("_at", F.ceil(level * (F.col("_m") - 1)))
-    q = ranked.filter("_rn = _at").select(*keys, F.col("_f.i").alias("_i"), F.col("_e").alias("_q"))
-    wide = rows.withColumn("_i", F.col("_f.i")).join(q, [*keys, "_i"])
-    width = wide.groupBy(*keys, "_i").agg(F.first("_q").alias("q"), (F.first("_f.f") * F.first("_mean")).alias("w_floor"), F.avg(F.col("_hi") + F.col("_q") * F.col("_w") - F.greatest(F.col("_lo") - F.col("_q") * F.col("_w"), F.lit(0.0))).alias("width"))
-    best = width.groupBy(*keys).agg(F.min(F.struct(F.round("width", 9).alias("r"), "_i", "q", "w_floor", "width")).alias("b"))
-    out = size.join(best, keys, "left")
-    return out.select(*keys, F.coalesce("b.q", F.lit(0.0)).alias("q"), F.coalesce("b.w_floor", F.lit(0.0)).alias("w_floor"), F.coalesce(F.col("b.width"), F.col("_mean") * 2).alias("width"), "n")
+    rows = pairs.join(size.filter("n >= 2 AND _mean > 0"), keys)
+    w = [F.greatest("_half", F.lit(f) * F.col("_mean")) for f in FLOORS]
+    e = [F.greatest(F.col("_lo") - F.col("_y"), F.col("_y") - F.col("_hi")) / x for x in w]
+    near = [max(0.0, 1 - alpha - BAND), min(1.0, 1 - alpha + BAND)]
+    bounds = rows.groupBy(*keys).agg(*[F.percentile_approx(x, near, 10_000).alias(f"_b{i}") for i, x in enumerate(e)])
+    held = rows.join(bounds, keys)
+    all_ = F.col("n") < BANDED
+    below = held.groupBy(*keys).agg(F.array(*[F.count_if(~all_ & (x < F.col(f"_b{i}")[0])) for i, x in enumerate(e)]).alias("_below"))
+    scores = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("e"), (all_ | x.between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1])).alias("near")) for i, x in enumerate(e)])
+    band = held.select(*keys, "n", F.explode(F.filter(scores, lambda x: x["near"])).alias("_s"))
+    level = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)) / F.col("n"), F.lit(1.0))
+    order = Window.partitionBy(*keys, "_s.i").orderBy("_s.e")
+    ranked = band.withColumns({"_rn": F.row_number().over(order) - 1, "_at": F.ceil(level * (F.col("n") - 1))}).join(below, keys)
+    found = ranked.filter(F.col("_rn") + F.element_at("_below", F.col("_s.i") + 1) == F.col("_at"))
+    q = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_s.i", "_s.e"))).alias("_q"))  # an entry for each floor
+    own = [F.col("_q")[F.lit(i)] for i in range(len(FLOORS))]
+    width = rows.join(q, keys).groupBy(*keys).agg(F.first("_q").alias("_q"), F.array(*[F.avg(F.col("_hi") + own[i] * x - F.greatest(F.col("_lo") - own[i] * x, F.lit(0.0))) for i, x in enumerate(w)]).alias("_widths"))
+    each = F.array(*[F.struct(F.round(F.col("_widths")[i], 6).alias("r"), F.lit(i).alias("i"), own[i].alias("q"), F.lit(f).alias("f"), F.col("_widths")[i].alias("width")) for i, f in enumerate(FLOORS)])
+    out = size.join(width.select(*keys, F.array_min(each).alias("b")), keys, "left")
+    return out.select(*keys, F.coalesce("b.q", F.lit(0.0)).alias("q"), F.coalesce(F.col("b.f") * F.col("_mean"), F.lit(0.0)).alias("w_floor"), F.coalesce(F.col("b.width"), F.col("_mean") * 2).alias("width"), "n")
 
 
 def apply_conformal(lo: str, hi: str, q: str = "q", w_floor: str = "w_floor") -> tuple[Column, Column]:
@@ -89,7 +100,7 @@ def transfer(df: DataFrame, site: str = "site", y: str = "y", base: str = "base"
     targets = fitted.select(site)
     pairs = targets.crossJoin(donors).withColumn("variant", F.when(F.col(site) == F.col("donor"), "oracle").otherwise("transferred"))
     plain = targets.select(site, F.lit(None).cast(df.schema[site].dataType).alias("donor"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit("uncalibrated").alias("variant"))
-    rows = df.filter(pair_filter(y, base)).join(F.broadcast(pairs.unionByName(plain)), site)
+    rows = df.filter(pair_filter(y, base)).join(pairs.unionByName(plain), site)
     raw = F.col("scale") * F.col(base) + F.col("offset")
     rows = rows.withColumn("_p", apply_affine(base)).withColumn("_neg", F.coalesce(raw < 0, F.lit(False)).cast("int"))
     return rows.groupBy(site, "donor", "variant").agg(*error_aggregates(y, "_p"), F.avg("_neg").alias("clipped"))

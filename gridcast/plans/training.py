@@ -23,7 +23,7 @@ def evaluate(matrix: DataFrame, learners: dict[str, Fit], features: list[str], t
     oof = oof.withColumns({"technology": F.lit(technology), "y_mw": F.col("y") * F.col(cap), "pred_mw": F.col("pred") * F.col(cap)}).withColumnRenamed(cap, "cap_mw")
     rows = metric_rows(oof.withColumnsRenamed({"y": "y_cf", "pred": "pred_cf"}), ["model", "technology", "fold"])
     naive = baseline_metrics(matrix.withColumn("technology", F.lit(technology)), bounds, ["technology"], ts, f"{technology}_cf", {"hour": F.hour(ts), "month": F.month(ts)}).withColumn("scale", F.lit("cf"))
-    return rows.unionByName(naive), oof.withColumnsRenamed({ts: "ts", "y": "y_cf", "pred": "pred_cf"})
+    return rows.unionByName(naive), oof.withColumnsRenamed({ts: "ts", "y": "y_cf", "pred": "pred_cf", "lo": "lo_cf", "hi": "hi_cf"})
 
 
 def train(matrix: DataFrame, learners: dict[str, Fit], features: list[str], technologies: tuple[str, ...], store: str, **how) -> None:

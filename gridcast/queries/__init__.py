@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import calibration, capacity, forecasting, learning, registry, relational, series
+from . import calibration, capacity, forecasting, learning, registry, relational, series, stores
 from .common import nudged
 
-MODULES = (series, relational, registry, capacity, calibration, forecasting, learning)
+MODULES = (series, relational, registry, capacity, calibration, forecasting, learning, stores)
 
 
 def queries() -> dict:

@@ -54,11 +54,11 @@ w AS (SELECT b.*, n, mean, i, f * mean AS wf, greatest((hi - lo) / 2, f * mean)
 e AS (SELECT *, greatest(lo - y, y - hi) / w AS e FROM w WHERE w > 0),
 q AS (SELECT {keys}, i, any_value(wf) AS wf, list_sort(list(e))[ceil(least(ceil((count(*) + 1) * 0.8) / count(*), 1) * (count(*) - 1))::INT + 1] AS q FROM e GROUP BY {keys}, i),
 wd AS (SELECT {keys}, i, any_value(q.q) AS q, any_value(q.wf) AS wf, avg(hi + q.q * w - greatest(lo - q.q * w, 0)) AS width FROM e JOIN q USING ({keys}, i) GROUP BY {keys}, i),
-best AS (SELECT {keys}, arg_min(q, (round(width, 9), i)) AS q, arg_min(wf, (round(width, 9), i)) AS wf, arg_min(width, (round(width, 9), i)) AS width FROM wd GROUP BY {keys})"""
+best AS (SELECT {keys}, arg_min(q, (round(width, 6), i)) AS q, arg_min(wf, (round(width, 6), i)) AS wf, arg_min(width, (round(width, 6), i)) AS width FROM wd GROUP BY {keys})"""
 
 
 def conformal_fit(spark, d):
-    return rounded(calibrate.fit_conformal(_band(spark, d), ["l_returnflag"]).select("l_returnflag", "width", "n"))
+    return rounded(calibrate.fit_conformal(_band(spark, d), ["l_returnflag"]).select("l_returnflag", "q", "w_floor", "width", "n"))
 
 
 def conformal_sequential(spark, d):
@@ -94,7 +94,7 @@ def sign_test(spark, d):
 
 
 def block_bootstrap(spark, d):
-    return rounded(significance.block_bootstrap(_errors(spark, d), ["k"], block=48, reps=400, seed=3), 6)
+    return rounded(significance.block_bootstrap(_errors(spark, d), ["k"], seed=3), 6)
 
 
 def municipal_validation(spark, d):
@@ -121,7 +121,7 @@ v AS (SELECT a.site, c.site AS donor, CASE WHEN a.site = c.site THEN 'oracle' EL
 p AS (SELECT v.*, y, greatest(scale * base + "offset", 0) AS p, CASE WHEN scale * base + "offset" < 0 THEN 1 ELSE 0 END AS neg FROM b JOIN v USING (site))
 SELECT site, coalesce(donor::VARCHAR, '-') AS donor, variant, {PAIR.replace(', 6)', ', 5)')}, round(avg(neg), 5) AS clipped FROM p GROUP BY 1, 2, 3"""),
     "pooled_scale": (pooled_scale, f"WITH {BASE} SELECT CASE WHEN site % 2 = 0 THEN 'wind' ELSE 'solar' END AS technology, round(avg(scale), 6) AS scale, 0::DOUBLE AS \"offset\" FROM cal GROUP BY 1"),
-    "conformal_fit": (conformal_fit, f"WITH {_conformal_sql('l_returnflag')} SELECT l_returnflag, round(width, 6) AS width, n FROM best JOIN m USING (l_returnflag)"),
+    "conformal_fit": (conformal_fit, f"WITH {_conformal_sql('l_returnflag')} SELECT l_returnflag, round(q, 6) AS q, round(wf, 6) AS w_floor, round(width, 6) AS width, n FROM best JOIN m USING (l_returnflag)"),
     "conformal_sequential": (conformal_sequential, f"""WITH {_conformal_sql('l_returnflag, fold')}, nx AS (SELECT *, lead(fold) OVER (PARTITION BY l_returnflag ORDER BY fold) AS nf FROM best),
 r AS (SELECT b.l_returnflag, b.fold, nx.fold AS cal_fold, y, lo, hi, greatest(lo - q * greatest((hi - lo) / 2, wf), 0) AS l2, hi + q * greatest((hi - lo) / 2, wf) AS h2 FROM b JOIN nx ON nx.l_returnflag = b.l_returnflag AND nx.nf = b.fold)
 SELECT l_returnflag, fold, cal_fold, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS picp_before, round(avg(CASE WHEN y BETWEEN l2 AND h2 THEN 1 ELSE 0 END), 6) AS picp_after, round(avg(hi - lo) / avg(abs(y)), 6) AS mpiw_before, round(avg(h2 - l2) / avg(abs(y)), 6) AS mpiw_after FROM r GROUP BY 1, 2, 3"""),

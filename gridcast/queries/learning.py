@@ -18,14 +18,32 @@ def _matrix(spark, d):
 
 def gbt_oof(spark, d):
     m = _matrix(spark, d)
-    b = folds.fold_bounds(m, n=2)
-    return rounded(errors(ml.cross_validate(m, b, ml.boosted(5, 3), FEATURES, "cf", "gbt"), ["model", "fold"], "y", "pred"))
+    b = folds.fold_bounds(m)
+    return rounded(errors(ml.cross_validate(m, b, ml.boosted(), FEATURES, "cf", "gbt"), ["model", "fold"], "y", "pred"))
+
+
+def quantile_oof(spark, d):
+    """Coverage and width of the boosted quantiles' band on held-out days, by fold."""
+    m = _matrix(spark, d)
+    oof = ml.cross_validate(m, folds.fold_bounds(m), ml.quantile_boosted(trees=5, depth=3), FEATURES, "cf", "quantile")
+    inside = F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int"))
+    return rounded(oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), inside.alias("picp"), F.avg(F.col("hi") - F.col("lo")).alias("mpiw"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae")))
+
+
+def sequence_oof(spark, d):
+    m = _matrix(spark, d)
+    return rounded(errors(ml.cross_validate(m, folds.fold_bounds(m), ml.sequence(ml.linear(0.01), 24), FEATURES, "cf", "sequence"), ["model", "fold"], "y", "pred"))
+
+
+def row_attribution(spark, d):
+    m = _matrix(spark, d)
+    return rounded(ml.attribution(m, ml.linear()(m, FEATURES, "cf"), FEATURES, ["ts"]))
 
 
 def additive_oof(spark, d):
     m = _matrix(spark, d)
-    b = folds.fold_bounds(m, n=2)
-    return rounded(errors(ml.cross_validate(m, b, ml.additive(8), FEATURES, "cf", "additive"), ["model", "fold"], "y", "pred"))
+    b = folds.fold_bounds(m)
+    return rounded(errors(ml.cross_validate(m, b, ml.additive(), FEATURES, "cf", "additive"), ["model", "fold"], "y", "pred"))
 
 
 def quantile_bands(spark, d):
@@ -38,13 +56,13 @@ def quantile_bands(spark, d):
 
 def feature_ablation(spark, d):
     m = _matrix(spark, d)
-    return rounded(ml.ablation(m, folds.fold_bounds(m, n=2), ml.linear(), FEATURES, ["prior"], "cf", "linear"))
+    return rounded(ml.ablation(m, folds.fold_bounds(m), ml.linear(), FEATURES, ["prior"], "cf", "linear"))
 
 
 def weather_input_gap(spark, d):
     m = _matrix(spark, d)
     noisy = m.withColumn("prior", F.col("prior") * (F.lit(1.0) + (F.day("ts") % 5 - 2) * 0.05))
-    return rounded(ml.input_gap(m, noisy, folds.fold_bounds(m, n=2), ml.linear(), FEATURES, "cf"))
+    return rounded(ml.input_gap(m, noisy, folds.fold_bounds(m), ml.linear(), FEATURES, "cf"))
 
 
 def feature_importance(spark, d):
@@ -52,4 +70,4 @@ def feature_importance(spark, d):
     return rounded(ml.permutation_importance(m, ml.linear()(m, FEATURES, "cf"), FEATURES, "cf"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (gbt_oof, additive_oof, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}
+QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, additive_oof, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import as_double, decimal_comma, grouped_decimal_comma, hour_floor, zero_fill_code
-from ..operators import clean
+from ..operators import clean, spatial
 from ..plans import metrics
 from ..sources import readers
 from .common import HOURLY, hourly, rounded, t
@@ -24,7 +24,7 @@ def intersect_hours(spark, d):
 
 
 def subtract_keys(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(t(spark, d, "orders").select("o_custkey"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(t(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey"))
 
 
 def union_missing_cols(spark, d):
@@ -37,7 +37,7 @@ def semi_join(spark, d):
 
 
 def anti_join(spark, d):
-    return t(spark, d, "part").join(t(spark, d, "lineitem").filter("l_discount >= 0.05"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+    return t(spark, d, "part").join(t(spark, d, "lineitem").filter("l_discount >= 0.05 AND l_quantity > 40"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
 
 
 def densify(spark, d):
@@ -189,15 +189,15 @@ def top_per_group(spark, d):
 
 
 def category_order(spark, d):
-    order = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+    order = ["1-URGENT", "3-MEDIUM", "5-LOW", "2-HIGH"]
     m = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     pos = F.array_position(F.lit(order), F.col("o_orderpriority"))
-    return rounded(m.withColumn("pos", F.when(pos > 0, pos)).filter("pos IS NOT NULL"))
+    return rounded(m.withColumn("pos", F.when(pos > 0, pos).otherwise(len(order) + 1)))
 
 
 def node_batches(spark, d):
     c = t(spark, d, "customer").select((F.col("c_custkey") % 230).alias("lat"), (F.col("c_custkey") * 7 % 340).alias("lon")).distinct()
-    return rounded(c.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("lat", "lon")) - 1) / 5)))
+    return rounded(spatial.batches(c, ["lat", "lon"], 5))
 
 
 def drop_incomplete(spark, d):
@@ -229,10 +229,10 @@ QUERIES = {
     "state_split": (state_split, "SELECT CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS part, count(*) AS n FROM orders GROUP BY 1"),
     "union_nodes": (union_nodes, "SELECT c_nationkey::BIGINT AS node FROM customer UNION SELECT s_nationkey::BIGINT FROM supplier"),
     "intersect_hours": (intersect_hours, "SELECT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'click' INTERSECT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'view'"),
-    "subtract_keys": (subtract_keys, "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "subtract_keys": (subtract_keys, "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000"),
     "union_missing_cols": (union_missing_cols, "SELECT c_custkey AS key, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier"),
     "semi_join": (semi_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
-    "anti_join": (anti_join, "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.05)"),
+    "anti_join": (anti_join, "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.05 AND l_quantity > 40)"),
     "densify": (densify, "SELECT n_nationkey::BIGINT AS n_nationkey, s.c_mktsegment, count(c_custkey) AS n FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment GROUP BY 1, 2"),
     "donor_pairs": (donor_pairs, "SELECT a.r_name AS donor, b.r_name AS target FROM region a, region b WHERE a.r_name <> b.r_name"),
     "code_lookup": (code_lookup, "SELECT c_custkey, CASE WHEN c_custkey % 20 BETWEEN 5 AND 9 THEN (c_custkey % 20 - 5) * 45.0::DOUBLE END AS azimuth, CASE c_custkey % 12 WHEN 6 THEN 90.0 WHEN 7 THEN 75.0 WHEN 8 THEN 50.5 WHEN 9 THEN 30.5 WHEN 10 THEN 12.5 END::DOUBLE AS tilt, CASE c_custkey % 5 WHEN 0 THEN 'Siemens' WHEN 2 THEN 'Enercon' WHEN 3 THEN 'Enercon' ELSE '' END AS maker, c_custkey % 3 = 0 AS ground FROM customer"),
@@ -259,7 +259,7 @@ round(coalesce(k / nullif(tot, 0), 0) * 100, 6) AS solar_share, round(k / 2, 6)
     "not_in_either": (not_in_either, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE NOT (o_orderstatus = 'P' OR o_orderpriority IN ('5-LOW', '1-URGENT'))"),
     "nulls_last_rank": (nulls_last_rank, "SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, v, row_number() OVER (PARTITION BY s_nationkey ORDER BY v ASC NULLS LAST, s_suppkey) AS rk FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS v FROM supplier)"),
     "top_per_group": (top_per_group, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) WHERE rk = 1"),
-    "category_order": (category_order, "SELECT o_orderpriority, count(*) AS n, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END::BIGINT AS pos FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW') GROUP BY 1"),
+    "category_order": (category_order, "SELECT o_orderpriority, count(*) AS n, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END::BIGINT AS pos FROM orders GROUP BY 1"),
     "node_batches": (node_batches, "SELECT lat, lon, floor((row_number() OVER (ORDER BY lat, lon) - 1) / 5)::BIGINT AS batch FROM (SELECT DISTINCT c_custkey % 230 AS lat, c_custkey * 7 % 340 AS lon FROM customer)"),
     "drop_incomplete": (drop_incomplete, "SELECT o_orderkey, 'any' AS rule FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'all' FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0"),
     "distinct_counts": (distinct_counts, "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts, count(*) AS n FROM lineitem GROUP BY 1"),

@@ -96,7 +96,7 @@ def usage(items: Column, name: str) -> Column:
 
 def flatten_meter(df: DataFrame, json_col: str, keys: list[str], now: Column, feeds: tuple[str, ...] = ("biomass", "solar", "wind", "other"), uses: tuple[str, ...] = ("industry", "public", "households")) -> DataFrame:
     """Telemetry columns of meter JSON: a total of zero becomes the sum of the parts, an end of zero becomes ``now``, kg become tons."""
-    m = df.select(*keys, F.from_json(json_col, METER).alias("m"))
+    m = df.filter(F.col(json_col).isNotNull()).select(*keys, F.from_json(json_col, METER).alias("m"))  # a poll that failed has none
     end = F.coalesce(F.nullif(F.col("m.timestamp.end"), F.lit(0)), F.unix_seconds(now))
     parts = [usage(F.col("m.feedIn.list"), f).alias(f) for f in feeds]
     rows = m.select(*keys, F.timestamp_seconds(end).alias("ts"), *parts, *[usage(F.col("m.consumptions.list"), u).alias(u) for u in uses], F.coalesce("m.feedIn.total", F.lit(0.0)).alias("_total"), F.coalesce("m.autarky", F.lit(0.0)).alias("autarky"), (F.coalesce("m.dailyCo2Savings", F.lit(0.0)) / 1000).alias("co2_tons"))
@@ -119,6 +119,29 @@ def read_config(path: str) -> dict:
     return found
 
 
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(key, values) of JSON lines, each a key with a map of numbers; none where the path is missing."""
+    from .writers import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], "key string, values map<string, double>")
+    return spark.read.schema("key string, values map<string, double>").json(path)
+
+
+def read_newest(spark: SparkSession, pattern: str) -> DataFrame:
+    """The Parquet table of the last name among those that match: names carry the time of issue in sortable form."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    held = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    if not len(held):
+        raise FileNotFoundError(pattern)
+    return spark.read.parquet(max((x.getPath() for x in held), key=lambda x: x.getName()).toString())
+
+
+def attach_totals(rings: DataFrame, totals: DataFrame, name: str = "name") -> DataFrame:
+    """Outlines with the totals of their feature, by name; an outline without totals keeps nulls."""
+    return rings.join(totals, name, "left")
+
+
 def read_way_edges(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(poly, x1, y1, x2, y2) from the ways of a boundary relation's JSON: even-odd crossing needs no assembled rings."""
     kind = "struct<elements:array<struct<members:array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>>>>"

@@ -1,7 +1,9 @@
 """REST sources as Python data sources: weather in batches, meters as a stream.
 
-The transport is a parameter (an importable ``module:function`` from URL to parsed JSON), so tests and replays need no network. A
-partition is one batch of nodes and keeps the pace of a rate-limited service; failures back off and retry.
+The transport is a parameter (an importable ``module:function`` from URL to parsed JSON), so tests and replays need no network.
+Batches of nodes are dealt to ``lanes``; each lane is one partition and pauses so long after a request that all lanes together keep
+the pace of a rate-limited service. A ``budget`` bounds the requests of one run: batches beyond it are left for the next run, which
+``extend_store`` takes up where the store ends. Failures back off and retry.
 """
 
 from __future__ import annotations
@@ -55,13 +57,13 @@ def fetch(get, url: str, retries: int = 4, sleep=time.sleep):
     raise RuntimeError("unreachable")
 
 
-class NodeBatch(InputPartition):
-    def __init__(self, nodes: list[tuple[int, int]]):
-        self.nodes = nodes
+class Lane(InputPartition):
+    def __init__(self, batches: list[list[tuple[int, int]]]):
+        self.batches = batches
 
 
 class WeatherSource(DataSource):
-    """Options: nodes (``lat:lon`` in tenths of a degree, comma-separated), variables, url, start, end, batch, pause, transport."""
+    """Options: nodes (``lat:lon`` in tenths of a degree, comma-separated), variables, url, start, end, batch, pause, lanes, budget, transport."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,22 +81,28 @@ class WeatherReader(DataSourceReader):
         self.options = options
         self.variables = options["variables"].split(",")
 
-    def partitions(self) -> list[NodeBatch]:
+    def batches(self) -> list[list[tuple[int, int]]]:
         nodes = sorted({tuple(int(x) for x in n.split(":")) for n in self.options["nodes"].split(",") if n})
         size = int(self.options.get("batch", 5))
-        return [NodeBatch(nodes[i : i + size]) for i in range(0, len(nodes), size)]
+        return [nodes[i : i + size] for i in range(0, len(nodes), size)]
 
-    def read(self, partition: NodeBatch) -> Iterator[tuple]:
+    def partitions(self) -> list[Lane]:
+        own = self.batches()[: int(self.options["budget"]) if "budget" in self.options else None]
+        lanes = max(1, int(self.options.get("lanes", 1)))
+        return [Lane(own[i::lanes]) for i in range(min(lanes, len(own)))] or [Lane([])]
+
+    def read(self, partition: Lane) -> Iterator[tuple]:
         get = transport(self.options.get("transport"))
-        lat, lon = (",".join(f"{n[i] / 10:.1f}" for n in partition.nodes) for i in (0, 1))
-        url = f"{self.options.get('url', '')}?latitude={lat}&longitude={lon}&hourly={','.join(self.variables)}&start_date={self.options.get('start', '')}&end_date={self.options.get('end', '')}"
-        found = fetch(get, url, int(self.options.get("retries", 4)))
-        time.sleep(float(self.options.get("pause", 0)))
-        found = found if isinstance(found, list) else [found]
-        for node, item in zip(partition.nodes, found, strict=True):
-            hourly = item.get("hourly") or {}
-            for i, ts in enumerate(hourly.get("time") or []):
-                yield (*node, ts, *[None if (v := hourly.get(name, [None] * (i + 1))[i]) is None else float(v) for name in self.variables])
+        pause = float(self.options.get("pause", 0)) * max(1, int(self.options.get("lanes", 1)))
+        for nodes in partition.batches:
+            lat, lon = (",".join(f"{n[i] / 10:.1f}" for n in nodes) for i in (0, 1))
+            url = f"{self.options.get('url', '')}?latitude={lat}&longitude={lon}&hourly={','.join(self.variables)}&start_date={self.options.get('start', '')}&end_date={self.options.get('end', '')}"
+            found = fetch(get, url, int(self.options.get("retries", 4)))
+            time.sleep(pause)
+            for node, item in zip(nodes, found if isinstance(found, list) else [found], strict=True):
+                hourly = item.get("hourly") or {}
+                for i, ts in enumerate(hourly.get("time") or []):
+                    yield (*node, ts, *[None if (v := hourly.get(name, [None] * (i + 1))[i]) is None else float(v) for name in self.variables])
 
 
 class MeterSource(DataSource):
@@ -105,40 +113,45 @@ class MeterSource(DataSource):
         return "gridcast_meters"
 
     def schema(self) -> str:
-        return "region string, seq bigint, json string"
+        return "region string, seq bigint, json string, error string"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return MeterReader(dict(self.options))
 
 
 class MeterReader(SimpleDataSourceStreamReader):
-    """One poll of all regions an offset; a region that fails is left out of that poll."""
+    """One poll of all regions an offset. A region that fails is a row without JSON but with the error; polls are kept until
+    their batch is committed, so a batch that is read again within the query's run is the same."""
 
     def __init__(self, options: dict):
         self.options = options
         self.regions = options["regions"].split(",")
+        self.polls: dict[int, list[tuple]] = {}
 
     def initialOffset(self) -> dict:
         return {"seq": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = list(self._poll(start["seq"]))
-        return iter(rows), {"seq": start["seq"] + 1}
+        return iter(self._poll(start["seq"])), {"seq": start["seq"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for seq in range(start["seq"], end["seq"]):
             yield from self._poll(seq)
 
     def commit(self, end: dict) -> None:
-        pass
-
-    def _poll(self, seq: int) -> Iterator[tuple]:
-        get = transport(self.options.get("transport"))
-        for region in self.regions:
-            try:
-                yield region, seq, json.dumps(fetch(get, f"{self.options.get('url', '')}?region={region}&seq={seq}", 1, lambda s: None))
-            except Exception:  # noqa: BLE001, S112
-                continue
+        self.polls = {seq: rows for seq, rows in self.polls.items() if seq >= end["seq"]}
+
+    def _poll(self, seq: int) -> list[tuple]:
+        if seq not in self.polls:
+            get = transport(self.options.get("transport"))
+            rows = []
+            for region in self.regions:
+                try:
+                    rows.append((region, seq, json.dumps(fetch(get, f"{self.options.get('url', '')}?region={region}&seq={seq}", 1, lambda s: None)), None))
+                except Exception as error:  # noqa: BLE001  the other regions are polled nonetheless
+                    rows.append((region, seq, None, f"{type(error).__name__}: {error}"))
+            self.polls[seq] = rows
+        return self.polls[seq]
 
 
 def register(spark: SparkSession) -> None:

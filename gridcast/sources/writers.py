@@ -85,11 +85,27 @@ def write_report(df: DataFrame, path: str, title: str, line) -> None:
     head.union(body).orderBy("ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append to a Parquet log; a schema that does not fit the log's raises before anything is written."""
+def append_rows(df: DataFrame, path: str, migrate: bool = False) -> None:
+    """Append to a Parquet log. Where the columns do not fit the log's, nothing is written and it raises; with ``migrate`` the
+    log is rewritten once with the columns of both, missing values null."""
     spark = df.sparkSession
     if exists(spark, path):
-        want = spark.read.parquet(path).schema
-        if [(f.name, f.dataType) for f in want] != [(f.name, f.dataType) for f in df.schema]:
-            raise ValueError(f"the columns of {path} are {want.simpleString()}")
+        old = spark.read.parquet(path)
+        if [(f.name, f.dataType) for f in old.schema] != [(f.name, f.dataType) for f in df.schema]:
+            if not migrate:
+                raise ValueError(f"the columns of {path} are {old.schema.simpleString()}")
+            write_parquet(old.unionByName(df, allowMissingColumns=True), path)
+            return
     df.write.mode("append").parquet(path)
+
+
+def merge_mapping(new: DataFrame, path: str, digits: int = 6) -> None:
+    """Merge (key, values: map of numbers) into a JSON mapping: a new key's map replaces the old one's, numbers are rounded."""
+    from .readers import read_mapping
+
+    spark = new.sparkSession
+    fresh = new.select("key", F.transform_values("values", lambda _, v: F.round(v.cast("double"), digits)).alias("values"))
+    whole = upsert(read_mapping(spark, path), fresh, ["key"])
+    staged = f"{path}.new-{uuid.uuid4().hex}"
+    whole.write.json(staged)
+    swap(spark, staged, path)

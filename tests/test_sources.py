@@ -80,7 +80,27 @@ def test_rest_sources(spark, tmp_path):
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "m")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
     q.awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "m")).collect()
-    assert {r["region"] for r in rows} == {"x"} and json.loads(rows[0]["json"])["url"].startswith("?region=x")
+    got = {r["region"]: r for r in rows}
+    assert json.loads(got["x"]["json"])["url"].startswith("?region=x") and got["x"]["error"] is None
+    assert got["bad"]["json"] is None and "down" in got["bad"]["error"]
+
+
+def test_lanes_share_the_pace_and_the_budget(monkeypatch):
+    slept = []
+    monkeypatch.setattr(rest.time, "sleep", slept.append)
+    nodes = ",".join(f"{500 + i}:{i}" for i in range(12))
+    reader = rest.WeatherReader({"nodes": nodes, "variables": "t", "batch": "2", "lanes": "3", "pause": "2", "budget": "5", "transport": "tests.test_sources:fake"})
+    lanes = reader.partitions()
+    assert [len(x.batches) for x in lanes] == [2, 2, 1]
+    assert len([row for lane in lanes for row in reader.read(lane)]) == 10 and slept == [6.0] * 5
+
+
+def test_polls_are_kept_until_they_are_committed():
+    reader = rest.MeterReader({"regions": "x,bad", "transport": "tests.test_sources:meter"})
+    first, end = reader.read({"seq": 0})
+    assert list(first) == list(reader.readBetweenOffsets({"seq": 0}, end)) and reader.polls
+    reader.commit(end)
+    assert not reader.polls
 
 
 def test_retries_and_pauses():
