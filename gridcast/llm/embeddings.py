@@ -2,17 +2,19 @@
 
 Equal vectors are collapsed to one row with a count. Each distinct vector, normalised, is hashed in several tables: a
 table's key is ``k`` Gaussian projections, shifted and quantised to cells of ``WIDTH``. At cosine ``threshold`` the
-distance is sqrt(2 - 2 * threshold); ``k`` grows with the logarithm of the number of vectors, so that a bucket holds a few
-chance neighbours at any size, and the number of tables follows from ``k`` so that a pair at the threshold is missed by
+distance is sqrt(2 - 2 * threshold); ``k`` grows with the logarithm of the number of vectors, so that few vectors meet another by
+chance at any size, and the number of tables follows from ``k`` so that a pair at the threshold is missed by
 all of them with a chance of ``MISS`` at most (closer pairs: far less).
 
-Buckets above ``BLOCK`` vectors are dealt as pairs of blocks to separate tasks, so no task holds a large bucket and no
-pair is left out. A pair is counted in the first table where its keys agree, found from the keys that each row
+Only keys and ids are shuffled for all tables. A vector travels once to its keys that another vector has too, and from there
+to the buckets of these keys alone. Buckets above ``BLOCK`` vectors are dealt as pairs of blocks to separate tasks, so no task holds a large bucket and no
+pair is left out. A pair is counted in the first table where its keys agree, found from the shared keys that each row
 carries, so link counts need no shuffle of pairs; per bucket the links are reduced to a spanning forest for the components.
 
 Results: one row per vector; vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link. Ties and repeated rows are copies that link with each other; a null id
-gets its component's smallest id, and is kept only where all ids of the component are null.
+gets its component's smallest id, and is kept only where all ids of the component are null. Vectors may be of any length. An empty table gives an
+empty result. Other columns are not read, whatever their names. Vectors are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .components import components, local_stars
 THRESHOLD = 0.95
 WIDTH = 2.0
 MISS = 0.01
-CHANCE = 2  # chance neighbours of a vector in a table
+CHANCE = 0.1  # chance neighbours of a vector in a table
 BLOCK = 2000
 SMALL = 12
 
@@ -117,28 +119,32 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, seed: int = 0, bloc
     k, tables = shape(distinct.count(), threshold, miss=miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        tags = [xxh64_intdigest(str(t).encode()) for t in range(tables)]
         for batch in batches:
             vecs = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
-            keys: list = [b""] * len(vecs)
+            keys = np.zeros((len(vecs), tables), np.uint64)
             raw = [_encode(v) for v in vecs]
             for dim in {len(v) for v in vecs}:
                 own = [i for i, v in enumerate(vecs) if len(v) == dim]
-                for i, s in zip(own, signatures(_decode([raw[i] for i in own]), k, tables, seed), strict=True):
-                    keys[i] = s.tobytes()
-            flat = np.array([np.frombuffer(b, np.int32) for b in keys], np.int64).reshape(len(keys), tables)
-            dims = pa.array([len(v) for v in vecs], pa.int32())
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(np.full(len(keys), t, np.int32)), pa.array(flat[:, t]), dims], ["id", "n", "raw", "sig", "t", "cell", "dim"])
-
-    signed = distinct.select("id", "n", "vec").mapInArrow(sign, "id long, n long, raw binary, sig binary, t int, cell long, dim int").withColumn("key", F.xxhash64("t", "cell", "dim"))
-    sizes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    large = signed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+                cells = signatures(_decode([raw[i] for i in own]), k, tables, seed).astype(np.uint64)
+                mixed = (cells + np.uint64(dim * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) ^ np.array(tags, np.uint64)
+                keys[own] = mixed ^ mixed >> np.uint64(32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * tables), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array([len(v) for v in vecs], pa.int32()), flat], ["id", "n", "raw", "dim", "keys"])
+
+    signed = materialize(distinct.select("id", "n", "vec").mapInArrow(sign, "id long, n long, raw binary, dim int, keys array<long>"), "vector-keys")
+    keyed = signed.select("id", F.posexplode("keys").alias("t", "key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = keyed.join(sizes, "key").groupBy("id").agg(F.collect_list(F.struct("t", "key", "m")).alias("own"))  # `tables` entries at most
+    large = signed.select("id", "n", "raw", "dim").join(shared, "id").withColumn("at", F.explode("own")).withColumn("blocks", F.ceil(F.col("at.m") / block).cast("int"))
     mine = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = large.withColumn("mine", mine).withColumn("other", other).select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"),
+        F.xxhash64("at.key", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-        "id", "n", "raw", "sig", "t", "dim",
+        "id", "n", "raw", "dim", F.col("at.t").alias("t"), F.col("own.t").alias("ts"), F.col("own.key").alias("ks"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +155,11 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, seed: int = 0, bloc
                 part = tab.filter(pc.equal(tab["dim"], dim))
                 num = lambda c: part[c].to_numpy()  # noqa: E731, B023
                 x = _decode(part["raw"].to_pylist())
-                keys = np.frombuffer(b"".join(part["sig"].to_pylist()), np.int32).reshape(-1, tables)
+                # Keys that no other vector has differ from all others here as well.
+                keys = np.repeat(-1 - np.arange(len(part), dtype=np.int64)[:, None], tables, 1)
+                size = pc.list_value_length(part["ts"]).to_numpy()
+                bare = lambda c: pc.list_flatten(part[c]).to_numpy()  # noqa: E731, B023
+                keys[np.repeat(np.arange(len(part)), size), bare("ts")] = bare("ks")
                 i, j = _pairs(x, keys, num("t"), num("grp"), num("side"), threshold)
                 ids, n = num("id"), num("n")
                 count = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
