@@ -9,10 +9,11 @@ differently, not the rest.
 Only DataFrame and SQL functions touch rows. The rows of a cell are ranked by key hash; per-cell counts (at
 most ``cells`` rows, whatever the input) give rank ranges per shard, and these come back as a broadcast
 lookup of at most ``cells`` + 2 * ``shards`` * ``vnodes`` rows. Repeated rows are counted before the ranking, so that
-a row held a third of the time is ranked once.
+a row held a third of the time is ranked once; its copies get their ranges of slots first and are made from these in chunks of ``CHUNK``,
+which are dealt evenly, so no task holds them all.
 
-Nulls: a null text counts as empty, a null key is a key like any other. An empty table gives an empty result.
-Other columns of the input are not read.
+Nulls: a null text counts as empty, a null key is a key like any other. Very long texts enter by size and checksum. Rows that agree in key, size and
+checksum are copies and take neighbouring slots. An empty table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import table
 SHARDS = 8
 VNODES = 64
 CELLS = 4096
+CHUNK = 1 << 14
 
 
 def ring(shards: int, vnodes: int = VNODES, cells: int = CELLS) -> list[int]:
@@ -78,7 +80,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells
     return rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n")).withColumn("_point", point).withColumn("_cell", F.pmod(F.col("_point"), F.lit(cells)).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, cells: int = CELLS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, cells: int = CELLS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless in a shard) for every row of ``docs``."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col, cells)
@@ -88,9 +90,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     ranges = spark.sql(f"SELECT * FROM VALUES {values} AS t(_cell, _lo, _hi, shard, _base)")
     order = Window.partitionBy("_cell").orderBy("_point", "doc_id", "size", "text_crc32")
     ranked = rows.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = ranked.select("doc_id", "size", "text_crc32", "_cell", F.explode(F.sequence(F.col("_end") - F.col("_n"), F.col("_end") - 1)).alias("_rank"))
-    placed = each.join(F.broadcast(ranges), "_cell").filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    first, last = F.greatest(F.col("_end") - F.col("_n"), F.col("_lo")), F.least("_end", "_hi")
+    met = ranked.join(F.broadcast(ranges), "_cell").withColumns({"_first": first, "_last": last}).filter("_first < _last")
+    held = met.select("doc_id", "size", "text_crc32", "shard", (F.col("_base") + F.col("_first") - F.col("_lo")).alias("_slot"), (F.col("_last") - F.col("_first")).alias("_n"))
+    chunks = held.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk)))).hint("rebalance")
+    at = F.explode(F.sequence(F.col("_chunk") * chunk, F.least(F.col("_n"), (F.col("_chunk") + 1) * chunk) - 1))
+    return chunks.withColumn("_at", at).select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") + F.col("_at")).alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
