@@ -7,12 +7,12 @@ remaining capacity, and a segment tree whose leaf ``r`` says whether a window wi
 finds the smallest sufficient ``r`` in log2(window) steps.
 
 Tokenising runs in Arrow batches next to the scan, text never shuffles. Pieces (a few integers each) are dealt
-round-robin into groups of about ``group_rows`` documents by their place in their input partition, so neither equal ids nor
-equal texts concentrate; each group is packed on its own. A group leaves one partly filled window or a few, under a
+into groups of about ``group_rows`` documents by a hash of the document, its input partition and its repeat there: neither equal ids nor
+equal texts concentrate, and a task that is run again, in whatever order its rows come, deals the same pieces to the same groups. Each group is packed on its own. A group leaves one partly filled window or a few, under a
 thousandth of its windows. Sequence ids interleave the groups and are unique.
 
 Nulls: a null text is an empty document (one separator). A null id is carried through. Repeated rows are
-packed like any others. An empty table gives an empty result. Other columns are not read.
+packed like any others. Very long texts are tokenised whole and cut into full windows. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,15 +134,19 @@ def pieces(docs: DataFrame, groups: int, window: int = WINDOW, path: str | None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, n = Encoder(path), 7919 * TaskContext.get().partitionId()
+        encode, part_id = Encoder(path), TaskContext.get().partitionId()
+        seen: dict[int, int] = {}
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + b"\0\0\0\0"
-                n += 1
+                name = f"{doc.as_py()}/{zlib.crc32(ids)}/{len(ids)}"
+                key = zlib.crc32(name.encode())
+                again = seen[key] = seen.get(key, -1) + 1
+                group = zlib.crc32(f"{name}/{part_id}/{again}".encode()) % groups
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at : at + 4 * window]
-                    out.append((doc.as_py(), at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, n % groups))
+                    out.append((doc.as_py(), at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, group))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.int32()], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_group"])
 
