@@ -4,7 +4,8 @@ Fingerprints are made in Arrow batches next to the scan. Equal fingerprints are
 row. Candidates come from the pigeonhole rule: with ``b`` blocks of bits, two fingerprints within
 ``radius`` bits agree on at least ``b - radius`` whole blocks, so a table for each choice of that many blocks finds every
 link. More distinct fingerprints take more blocks, which keeps buckets small. A bucket over
-``BUCKET`` rows is dealt once more by ``radius + 1`` interleaved bit classes, of which a link leaves one unchanged.
+``BUCKET`` rows is dealt once more by ``radius + 1`` interleaved bit classes, of which a link leaves one unchanged, and what is still
+over it as pairs of blocks of half that size, so that every two of its rows meet and no task holds more than ``BUCKET`` of them.
 
 Inside a bucket the comparison is bit-sliced: bit planes are stored vertically (word ``w`` of plane ``p`` holds bit ``p`` of 64
 fingerprints), the XOR planes of one query are added into carry-save counters of a few bitwise operations for 64
@@ -17,8 +18,8 @@ what is far beyond it, and links are pairs whose similarity, computed from the s
 
 Results: a fingerprint's component is the smallest id reachable over links. Null text counts as no words
 (fingerprint zero, linked like any other); null ids get the component of their fingerprint and never
-name one. Ties and repeated rows share a fingerprint and thus a component. Empty tables give empty results; other
-columns are not read.
+name one. Ties and repeated rows share a fingerprint and thus a component. Empty tables give empty results; very long texts are read whole; other
+columns are not read, and ``dedup`` carries them along whatever their names. Sets of shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mark_seen, materialize, seen_bitmap, table
+from .common import mark_seen, materialize, private, seen_bitmap, table
 from .components import components
 
 WORDS = 3
@@ -303,7 +304,7 @@ def _dealt(keyed: DataFrame, least: int, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``keyed`` whose key has more than ``least``, those of keys over ``bucket`` as pairs of blocks of half that size."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     blocks = F.when(F.col("n") > bucket, F.ceil(F.col("n") * 2 / bucket)).otherwise(1).cast("int")
-    dealt = keyed.join(sizes, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod("id", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = keyed.join(sizes, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).drop("n", "blocks", "mine", "other")
 
 
@@ -329,10 +330,10 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS, bucket: int = BUCKET
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key", F.lit(True).alias("_large"))
     classes = [sum(1 << i for i in range(c, 64, radius + 1)) for c in range(radius + 1)]
     again = F.array(*[F.xxhash64("key", F.lit(c), fp.bitwiseAND(_signed(m))) for c, m in enumerate(classes)])
-    dealt = keyed.join(large, "key", "left").select("fp", F.explode(F.when(F.col("_large"), again).otherwise(F.array("key"))).alias("key"))
+    dealt = keyed.join(large, "key", "left").select(fp.alias("id"), F.explode(F.when(F.col("_large"), again).otherwise(F.array("key"))).alias("key"))
 
     # Java writes the high byte first; the planes do not mind the order of bytes.
-    return _joined(dealt.withColumn("id", F.col("fp")).withColumn("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0"))), radius)
+    return _joined(_dealt(dealt, 1, bucket).withColumn("fp", F.unhex(F.lpad(F.hex("id"), 16, "0"))), radius)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -465,14 +466,24 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text of the smallest id of each component alone; null ids stay, and so do exact copies that share that id. All columns are kept.
+    """One row of ``docs`` of each component: the smallest id, with the smaller hash of the text where an id has several; null ids come last.
 
-    Rows are told apart by id and text, so another text under a repeated id has its own fate.
+    Rows are told apart by id and text, so another text under a repeated id has its own fate. Of rows that agree in both one stays, whichever.
+    All columns are kept, whatever their names.
     """
-    found = near_copies(docs, words, similarity, prints, seed, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("row", F.struct("doc_id", "text_hash"))
+    found = near_copies(docs, words, similarity, prints, seed, id_col, text_col).withColumn("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    found = materialize(found.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
     lowest = found.groupBy("root").agg(F.min("row").alias("lowest"))
-    gone = found.join(lowest, "root").filter("row <> lowest").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, (docs[id_col] == F.col("_gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")), "left_anti")
+    gone = found.join(lowest, "root").filter(~F.col("row").eqNullSafe(F.col("lowest"))).select("row")
+    twins = found.join(lowest, "root").filter(F.col("row").eqNullSafe(F.col("lowest")) & (F.col("n") > 1)).select("row")
+    p = private(docs)
+    own = lambda rows: rows.select(F.col("row.doc_id").alias(f"{p}id"), F.col("row.text_hash").alias(f"{p}hash"))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(f"{p}hash"))
+    kept = docs.join(own(gone), match, "left_anti")
+    if twins.isEmpty():
+        return kept
+    once = kept.join(own(twins), match, "left_semi").withColumn(f"{p}text", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, f"{p}text"]).drop(f"{p}text")
+    return kept.join(own(twins), match, "left_anti").unionByName(once)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
