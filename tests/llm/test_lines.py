@@ -61,3 +61,21 @@ def test_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "the same line in both rows\nx"), (1, "the same line in both rows\nx"), (2, "The same  line in both rows")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["lines_removed"]) for r in L.dedup_lines(docs).collect()) == [(1, 0), (1, 0), (2, 1)]
     assert L.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_th", "_seen", "_gone", "_at", "_gid", "_gth", "_bucket", "_bits", "__th", "gone", "h"]
+    rows = [(i, f"a line that all of these documents have\nown line number {i * 1001}", *(f"{c}{i}" for c in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
+    got = L.dedup_lines(docs).collect()
+    assert len(got) == 6 and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    assert all(r["lines_removed"] == (r["doc_id"] > 0) for r in got)
+
+
+def test_the_query(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: (r["lines_total"], r["lines_removed"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in L.dedup_lines(docs).collect()}
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in L.op4_lines(spark, sf).collect()} == want

@@ -62,3 +62,21 @@ def test_fast_ids_are_the_tokenizers(spark, sf):
     assert t.fast is None
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
         assert e(r["text"]) == t(r["text"])
+
+
+def test_the_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = P.op8_packing(spark, sf).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in rows} == ids
+    whole = {}
+    for r in rows:
+        whole.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in own) <= 1024 for own in whole.values())
+    assert sum(n for own in whole.values() for _, n in own) > 0.99 * 1024 * (len(whole) - 1)
+
+
+def test_groups_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i % 5}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    group = lambda df: sorted(tuple(r) for r in P.pieces(df, 9).collect())
+    assert group(docs) == group(docs.sortWithinPartitions("text", "doc_id")) and len({r[-1] for r in group(docs)}) == 9

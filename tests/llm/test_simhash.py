@@ -1,4 +1,5 @@
 import random
+from functools import cache
 
 import numpy as np
 import pytest
@@ -124,8 +125,14 @@ def test_dedup_keeps_one_of_each_group_and_clean_documents(spark):
     assert S.dedup(docs.limit(0)).count() == 0
 
 
+@cache
+def shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
 def jaccard(a, b):
-    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b)
 
 
@@ -166,11 +173,10 @@ def test_dedup_joins_what_a_failed_forest_edge_parts(spark):
     order = rng.sample(range(len(texts)), len(texts))
     texts = [texts[i] for i in order]
     label = list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if jaccard(a, b) >= 0.8]
     for _ in texts:
-        for i, a in enumerate(texts):
-            for j, b in enumerate(texts):
-                if label[j] < label[i] and jaccard(a, b) >= 0.8:
-                    label[i] = label[j]
+        for i, j in near:
+            label[i] = min(label[i], label[j])
     assert len(set(label)) > 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in S.dedup(docs).collect()} == set(label)

@@ -104,3 +104,24 @@ def test_the_query_on_test_documents(spark):
     want = dict(zip([r["doc_id"] for r in rows], brute([r["text"] for r in rows], 200), strict=True))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.op1_suffix(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_data", "_spans", "_t", "_st", "_seen", "_at", "__data", "bits", "bucket", "t", "spans"]
+    rows = [(i, t, *(f"{c}{i}" for c in names)) for i, t in enumerate(corpus(9, 20))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
+    got = S.remove_repeats(docs, length=60).collect()
+    assert len(got) == len(rows) and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    want = brute([r[1] for r in rows], 60)
+    assert all((r["text_bytes"], S.digest(bytes(r["kept_bytes"]))) == (want[r["doc_id"]][0], want[r["doc_id"]][3]) for r in got)
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of a few values every text shares its key with others; each is keyed again until it stands alone."""
+    from pyspark.sql import functions as F
+
+    plain = F.xxhash64
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: F.pmod(plain(*c), F.lit(7 if len(c) == 1 else 1 << 40)))
+    data = spark.createDataFrame([(f"text {i % 30}".encode(),) for i in range(60)], "_data binary")
+    shared, texts = S.text_keys(data)
+    assert shared and sorted(r["k"] for r in texts.collect()) == [2] * 30 and texts.select("t").distinct().count() == 30
