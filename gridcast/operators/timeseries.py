@@ -65,18 +65,26 @@ def _trailing(frame: pd.DataFrame, ts: str, value: str, span: np.timedelta64, q:
 
 
 def trailing_quantile(df: DataFrame, keys: list[str], ts: str, value: str, days: int = 365, q: float = 0.999, least: int = 720, name: str = "trailing") -> DataFrame:
-    """Trailing quantile over (t - days, t], by Arrow groups: one series per group.
+    """Trailing quantile over (t - days, t], by Arrow groups of a series' stretch.
 
     A SQL range window recomputes each frame's percentile (quadratic in its rows); a rolling order statistic is linear times a
-    logarithm. A group is one series of hourly rows, so its size is that of the period, not of the fleet.
+    logarithm. A series is cut into stretches of twice the window; each is one group and gets the window before it as context, so
+    a group's size is that of three windows, however long the series, and one series is many tasks.
     """
+    stretch = 2 * (days + 1)
+    day = F.datediff(F.to_date(F.col(ts)), F.lit("1970-01-01").cast("date"))
+    own = F.floor(day / stretch)
+    late = day - own * stretch >= stretch - days - 1
+    rows = df.withColumn("_own", own).withColumn("_stretch", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    rows = rows.withColumn("_own", F.col("_own").eqNullSafe(F.col("_stretch")))
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ts)
         frame[name] = _trailing(frame, ts, value, np.timedelta64(days, "D"), q, least)
-        return frame.astype({name: float})
+        return frame[frame["_own"].astype(bool)].drop(columns=["_own", "_stretch"]).astype({name: float})
 
     fields = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    out = df.groupBy(*keys).applyInPandas(run, f"{fields}, {name} double")
+    out = rows.groupBy(*keys, "_stretch").applyInPandas(run, f"{fields}, {name} double")
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 

@@ -133,3 +133,17 @@ def test_forecast_mode(spark, tmp_path):
         run.run(spark, "forecast", str(tmp_path), **(how | {"features": features.filter("NOT (district = 'b' AND day(ts) = 2)")}))
     with pytest.raises(ValueError):
         run.run(spark, "other", str(tmp_path))
+
+
+def test_trailing_quantiles_go_on_over_stretches(spark):
+    from gridcast.operators import timeseries
+
+    rng = np.random.default_rng(8)
+    rows = [(k, T0 + timedelta(hours=6 * i), None if rng.random() < 0.1 else float(rng.normal())) for k in ("a", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double")
+    got = {(r["k"], r["ts"]): r["q"] for r in timeseries.trailing_quantile(df, ["k"], "ts", "y", 10, 0.9, 5, "q").collect()}
+    assert len(got) == len(rows)
+    for k, t, _ in rows[::7]:
+        held = [y for k2, t2, y in rows if k2 == k and t - timedelta(days=10) < t2 <= t and y is not None]
+        want = np.quantile(held, 0.9) if len(held) >= 5 else None
+        assert got[(k, t)] is None if want is None else abs(got[(k, t)] - want) < 1e-9
