@@ -104,6 +104,16 @@ def model_pairs(errors: DataFrame, keys: list[str], ts: str = "ts", model: str =
     return a.join(b, [*keys, ts]).filter("model_a < model_b")
 
 
+def compare_models(oof: DataFrame, keys: list[str], ts: str = "ts", model: str = "model", y: str = "y", pred: str = "pred", block: int = 168, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """All pairs of models of out-of-fold rows on their common hours: hours, gap of the normalised MAE with its bootstrap interval, Diebold-Mariano and its p."""
+    rows = oof.filter(F.col(y).isNotNull() & F.col(pred).isNotNull()).withColumn("err", F.col(pred) - F.col(y))
+    truth = rows.groupBy(*keys, ts).agg(F.first(y).alias("y"))
+    pairs = model_pairs(rows, keys, ts, model).join(truth, [*keys, ts])
+    own = [*keys, "model_a", "model_b"]
+    gap = block_bootstrap(pairs, own, ts, "y", block=block, reps=reps, seed=seed).withColumnsRenamed({"n": "n_hours", "point": "gap", "lo": "gap_lo", "hi": "gap_hi"})
+    return gap.join(diebold_mariano(pairs, own, ts).drop("n").withColumnsRenamed({"stat": "dm", "p": "dm_p"}), own, "left")
+
+
 def fold_summary(metrics: DataFrame, keys: list[str], model_a: str, model_b: str, fold: str = "fold", value: str = "nmae") -> DataFrame:
     """Per key over folds: gap statistics, wins of the first model, folds decided, and the sign test."""
     wide = metrics.groupBy(*keys, fold).agg(F.max(F.when(F.col("model") == model_a, F.col(value))).alias("_a"), F.max(F.when(F.col("model") == model_b, F.col(value))).alias("_b")).dropna(subset=["_a", "_b"])

@@ -113,7 +113,16 @@ f AS (SELECT region, avg(y - base) AS dd, regr_slope(y, base) AS a, regr_interce
 x AS (SELECT s.region, y, base, back, greatest(a * base + b, 0) AS cal FROM s JOIN c USING (region) WHERE NOT fit),
 u AS (SELECT region, 'raw' AS variant, y, base AS p FROM x UNION ALL SELECT region, 'calibrated', y, cal FROM x UNION ALL SELECT region, 'persistence', y, back FROM x)
 SELECT region, variant, {PAIR} FROM u WHERE p IS NOT NULL GROUP BY 1, 2"""),
-    "municipal_intervals": (municipal_intervals, None),
+    "municipal_intervals": (municipal_intervals, f"""WITH {HOURLY}, s AS (SELECT event_type AS region, y, 30 + hour(ts) % 7 * 4::DOUBLE AS base, row_number() OVER (PARTITION BY event_type ORDER BY ts) <= floor(count(*) OVER (PARTITION BY event_type) * 0.4) AS fit FROM h),
+f AS (SELECT region, avg(y - base) AS dd, regr_slope(y, base) AS a, regr_intercept(y, base) AS i FROM s WHERE fit GROUP BY 1), c AS (SELECT region, CASE WHEN a > 0 THEN a ELSE 1 END AS a, CASE WHEN a > 0 THEN i ELSE dd END AS b FROM f),
+b AS (SELECT s.region, y, fit, greatest(a * (base - 5) + b, 0) AS lo, greatest(a * (base + 5) + b, 0) AS hi FROM s JOIN c USING (region)),
+m AS (SELECT region, count(*) AS n, avg((hi - lo) / 2) AS mean FROM b WHERE fit GROUP BY 1), fl(i, f) AS (VALUES {_VALUES}),
+e AS (SELECT b.*, i, f * mean AS wf, greatest((hi - lo) / 2, f * mean) AS w, greatest(lo - y, y - hi) / greatest((hi - lo) / 2, f * mean) AS e FROM b JOIN m USING (region), fl WHERE fit),
+q AS (SELECT region, i, any_value(wf) AS wf, list_sort(list(e))[ceil(least(ceil((count(*) + 1) * 0.8) / count(*), 1) * (count(*) - 1))::INT + 1] AS q FROM e GROUP BY 1, 2),
+wd AS (SELECT region, i, any_value(q.q) AS q, any_value(q.wf) AS wf, avg(hi + q.q * w - greatest(lo - q.q * w, 0)) AS width FROM e JOIN q USING (region, i) GROUP BY 1, 2),
+best AS (SELECT region, arg_min(q, (round(width, 6), i)) AS q, arg_min(wf, (round(width, 6), i)) AS wf FROM wd GROUP BY 1),
+r AS (SELECT b.*, greatest(lo - q * greatest((hi - lo) / 2, wf), 0) AS l2, hi + q * greatest((hi - lo) / 2, wf) AS h2 FROM b JOIN best USING (region) WHERE NOT fit)
+SELECT region, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS picp_before, round(avg(hi - lo) / avg(abs(y)), 6) AS mpiw_before, round(avg(CASE WHEN y BETWEEN l2 AND h2 THEN 1 ELSE 0 END), 6) AS picp_after, round(avg(h2 - l2) / avg(abs(y)), 6) AS mpiw_after FROM r GROUP BY 1"""),
     "affine_fit": (affine_fit, f"WITH {BASE} SELECT site, round(scale, 6)::DOUBLE AS scale, round(\"offset\", 6) AS \"offset\", n FROM cal"),
     "affine_apply": (affine_apply, f"WITH {BASE}, p AS (SELECT site, greatest(scale * (base - 20) + \"offset\", 0) AS p FROM b JOIN cal USING (site)) SELECT site, round(avg(p), 6) AS mean_p, round(min(p), 6) AS min_p, count(*) FILTER (p = 0) AS floored FROM p GROUP BY 1"),
     "affine_transfer": (affine_transfer, f"""WITH {BASE.replace("CASE l_suppkey % 7 WHEN 6 THEN 10 WHEN 5 THEN 50 - l_quantity ELSE l_quantity END", "CASE l_suppkey % 7 WHEN 6 THEN 10 WHEN 5 THEN 50 - l_quantity ELSE l_quantity END - 20")},

@@ -147,3 +147,19 @@ def test_trailing_quantiles_go_on_over_stretches(spark):
         held = [y for k2, t2, y in rows if k2 == k and t - timedelta(days=10) < t2 <= t and y is not None]
         want = np.quantile(held, 0.9) if len(held) >= 5 else None
         assert got[(k, t)] is None if want is None else abs(got[(k, t)] - want) < 1e-9
+
+
+def test_models_are_compared_in_pairs(spark):
+    from gridcast.plans import significance
+
+    rng = np.random.default_rng(9)
+    y = rng.uniform(1, 2, 400)
+    noise = {"a": 0.1, "b": 0.1, "c": 0.5}
+    rows = [(m, T0 + timedelta(hours=i), float(y[i]), float(y[i] + rng.normal(0, s))) for m, s in noise.items() for i in range(400)]
+    df = spark.createDataFrame([("wind", *r) for r in rows], "technology string, model string, ts timestamp_ntz, y double, pred double")
+    got = {(r["model_a"], r["model_b"]): r for r in significance.compare_models(df, ["technology"], block=24, reps=200).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")} and all(r["n_hours"] == 400 for r in got.values())
+    assert got[("a", "c")]["gap_hi"] < 0 and got[("a", "c")]["dm"] < -5 and got[("a", "c")]["dm_p"] < 1e-6
+    assert got[("a", "b")]["gap_lo"] < 0 < got[("a", "b")]["gap_hi"] and got[("a", "b")]["dm_p"] > 0.01
+    err = {m: np.array([p - t for k, _, t, p in rows if k == m]) for m in noise}
+    assert abs(got[("a", "c")]["gap"] - (np.abs(err["a"]).sum() - np.abs(err["c"]).sum()) / y.sum()) < 1e-9
