@@ -40,10 +40,15 @@ def row_attribution(spark, d):
     return rounded(ml.attribution(m, ml.linear()(m, FEATURES, "cf"), FEATURES, ["ts"]))
 
 
+def additive_importance(spark, d):
+    m = _matrix(spark, d)
+    return rounded(ml.additive(pairs=1)(m, FEATURES, "cf").importance(m))
+
+
 def additive_oof(spark, d):
     m = _matrix(spark, d)
     b = folds.fold_bounds(m)
-    return rounded(errors(ml.cross_validate(m, b, ml.additive(), FEATURES, "cf", "additive"), ["model", "fold"], "y", "pred"))
+    return rounded(errors(ml.cross_validate(m, b, ml.additive(pairs=1), FEATURES, "cf", "additive"), ["model", "fold"], "y", "pred"))
 
 
 def quantile_bands(spark, d):
@@ -70,4 +75,4 @@ def feature_importance(spark, d):
     return rounded(ml.permutation_importance(m, ml.linear()(m, FEATURES, "cf"), FEATURES, "cf"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, additive_oof, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}
+QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, additive_oof, additive_importance, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}

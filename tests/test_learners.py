@@ -163,3 +163,15 @@ def test_models_are_compared_in_pairs(spark):
     assert got[("a", "b")]["gap_lo"] < 0 < got[("a", "b")]["gap_hi"] and got[("a", "b")]["dm_p"] > 0.01
     err = {m: np.array([p - t for k, _, t, p in rows if k == m]) for m in noise}
     assert abs(got[("a", "c")]["gap"] - (np.abs(err["a"]).sum() - np.abs(err["c"]).sum()) / y.sum()) < 1e-9
+
+
+def test_pairs_of_features_explain_what_single_ones_cannot(spark):
+    rng = np.random.default_rng(10)
+    rows = [(float(a), float(b), float(c), float((a > 0.5) != (b > 0.5))) for a, b, c in rng.uniform(0, 1, (1200, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    error = lambda m: m(df).agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0]
+    plain, paired = ml.additive(4)(df, ["a", "b", "c"], "y"), ml.additive(4, pairs=1)(df, ["a", "b", "c"], "y")
+    assert error(plain) > 0.4 and error(paired) < 0.2
+    imp = {r["feature"]: r["importance"] for r in paired.importance(df).collect()}
+    assert max(imp, key=imp.get) == "a x b" and set(imp) == {"a", "b", "c", "a x b"}
+    assert set(paired(df).columns) == {"a", "b", "c", "y", "pred"}
