@@ -46,6 +46,7 @@ FAR = 5 / 16
 SAMPLE = 3000
 OFTEN = 3
 LISTED = 100_000
+SHINGLES = 1 << 20
 
 
 def hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -197,21 +198,6 @@ def long_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def bucket_pairs(fps: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links of one bucket between long fingerprints of different labels, as index pairs."""
-    named, at = np.unique(labels, return_inverse=True)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(named) > 1:
-        left = np.ones(len(fps), bool)
-        for i in np.flatnonzero(at != np.bincount(at).argmax()).tolist():  # two rows of the commonest label need no comparison
-            left[i] = False
-            near = np.flatnonzero(left & (at != at[i]))
-            near = near[close(fps[near], fps[i], radius)]
-            a.append(np.full(len(near), i))
-            b.append(near)
-    return np.concatenate(a), np.concatenate(b)
-
-
 def pairs_within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs of fingerprints are within the radius, 64 pairs a word."""
     out = []
@@ -230,10 +216,10 @@ def pairs_within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-def linked(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links, as index pairs, among fingerprints that share a key; rows are sorted by key.
 
-    All links of buckets up to ``SMALL`` rows, a forest of larger ones; with ``labels``, all between different labels.
+    All links of buckets up to ``SMALL`` rows, a forest of larger ones.
     """
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((cuts, [len(keys)])))
@@ -242,21 +228,18 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray |
     u, v = [none], [none]
     for shift in range(1, min(SMALL, int(sizes.max(initial=0)))):
         i = np.flatnonzero((keys[shift:] == keys[:-shift]) & (size_of[shift:] <= SMALL))
-        if labels is not None:
-            i = i[labels[i] != labels[i + shift]]
         i = i[pairs_within(fps[i], fps[i + shift], radius)]
         u.append(i)
         v.append(i + shift)
     for at, n in zip(cuts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = bucket_forest(fps[at : at + n], radius) if labels is None else bucket_pairs(fps[at : at + n], labels[at : at + n], radius)
+        a, b = bucket_forest(fps[at : at + n], radius)
         u.append(at + a)
         v.append(at + b)
     return np.concatenate(u), np.concatenate(v)
 
 
 def _joined(dealt: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) of the buckets of ``dealt`` (id, key, fp binary), as ``linked`` finds them; ``label`` is used where there is one."""
-    labelled = "label" in dealt.columns
+    """Links (u, v) of the buckets of ``dealt`` (id, key, fp binary), as ``linked`` finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,7 +247,7 @@ def _joined(dealt: DataFrame, radius: int) -> DataFrame:
 
         def flush(tab: pa.Table):
             fps = np.frombuffer(b"".join(tab["fp"].to_pylist()), np.uint64).reshape(tab.num_rows, -1)
-            u, v = linked(tab["key"].to_numpy(), fps, radius, tab["label"].to_numpy() if labelled else None)
+            u, v = linked(tab["key"].to_numpy(), fps, radius)
             ids = tab["id"].to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
 
@@ -281,7 +264,7 @@ def _joined(dealt: DataFrame, radius: int) -> DataFrame:
         if rows or held:
             yield flush(pa.Table.from_batches(held))
 
-    return dealt.select("id", "key", "fp", *["label"] * labelled).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return dealt.select("id", "key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def similar_links(fps: DataFrame, radius: int, prints: int, bits: int = BLOCK_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -403,10 +386,10 @@ def sketches(docs: DataFrame, words: int, similarity: float, prints: int, seed:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, id long, fp binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, similarity: float, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (u, v) of set ids whose sets have the Jaccard similarity; ``first`` (id, first) names a document of each set.
+def sets_of(wanted: DataFrame, docs: DataFrame, first: DataFrame, words: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, held): the sorted shingle hashes of the sets ``wanted`` (id); ``first`` (id, first) names a document of each set.
 
-    Texts are read again where a bitmap may hold their id; only sets that are in a pair move.
+    Texts are read again where a bitmap may hold their id; only wanted sets move.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,6 +397,15 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, si
             sets = [np.unique(hashes(t.as_py() or b"", words, seed)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "held"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    # A set without any id is that of rows with null ids, which are read again as well.
+    seen = mark_seen(rows, seen_bitmap(first.join(wanted, "id"), "first"), F.col("_id")).filter(F.col("_seen") | F.col("_id").isNull()).select("_text")
+    return materialize(seen.mapInArrow(shingled, "id long, held binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
+
+
+def verified(pairs: DataFrame, similarity: float, sets) -> DataFrame:
+    """The ``pairs`` (u, v) of set ids whose sets have the Jaccard similarity; ``sets`` (wanted) reads them."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -423,45 +415,95 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, words: int, si
                 good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
-    rows = mark_seen(rows, seen_bitmap(first.join(wanted, "id"), "first"), F.col("_id")).filter("_seen").select("_text")
-    sets = materialize(rows.mapInArrow(shingled, "id long, held binary").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("held").alias("_x")), "u")
-    both = left.join(sets.select(F.col("id").alias("v"), F.col("held").alias("_y")), "v").select("u", "v", "_x", "_y")
-    found = materialize(both.mapInArrow(similar, "u long, v long"), "simhash-links")
-    return found
+    held = sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    left = pairs.join(held.select(F.col("id").alias("u"), F.col("held").alias("_x")), "u")
+    both = left.join(held.select(F.col("id").alias("v"), F.col("held").alias("_y")), "v").select("u", "v", "_x", "_y")
+    return materialize(both.mapInArrow(similar, "u long, v long"), "simhash-links")
+
+
+def exact_forest(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Index pairs of sets at the Jaccard similarity that join different labels, no more than join them: each set meets all others by its shingles."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    holders, edge = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at))))
+    start = np.concatenate(([0], np.cumsum(size)))
+    _, group = np.unique(labels, return_inverse=True)
+    a, b = [], []
+    for i in range(len(sets)):
+        own = at[start[i] : start[i + 1]]
+        if not len(own):
+            continue
+        both = np.bincount(np.concatenate([holders[edge[k] : edge[k + 1]] for k in own.tolist()]), minlength=len(sets))
+        near = np.flatnonzero((both >= similarity * (size + size[i] - both) - 1e-9) & (group != group[i]))
+        for j in near.tolist():
+            if group[j] != group[i]:
+                a.append(i)
+                b.append(j)
+                group[group == group[j]] = group[i]
+    return a, b
+
+
+def decided(rows: DataFrame, similarity: float, limit: int = SHINGLES) -> DataFrame:
+    """Links (u, v) that join the labels of each component of candidates as all its sets of the similarity do. ``rows``: id, label, comp, held.
+
+    A component is dealt as pairs of blocks of about ``limit`` shingles, so any two of its sets meet in one task; a task
+    emits no more links than it has sets.
+    """
+    total = rows.groupBy("comp").agg(F.sum(F.octet_length("held") / 8).alias("total"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("int")
+    dealt = rows.join(total, "comp").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("id", "label", "held", F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(own: list[tuple]) -> pa.RecordBatch:
+            a, b = exact_forest([np.frombuffer(r[2], np.uint64) for r in own], np.array([r[1] for r in own]), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in a], pa.int64()), pa.array([own[j][0] for j in b], pa.int64())], ["u", "v"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[-1][3] != row[3]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, root (of the component) and id (of the set of shingles) of every row; links are all pairs of sets at the Jaccard similarity.
 
-    Sets of the similarity share one of their smallest hashes, (the first in one order, common ones last), so they meet in a bucket of that key. There the fingerprints set aside what is
+    Sets of the similarity share one of their smallest hashes (the first in one order, common ones last), so they meet in a bucket of that key. There the fingerprints set aside what is
     farther than ``FAR`` of the bits; what is left is decided by the sets. Buckets over ``SMALL`` give a forest of candidates first; where
-    one of these fails, all candidates between the components so far are decided.
+    one of these fails, the sets of its whole component of candidates meet in blocks and are decided there, without a row for each pair.
     """
-    spark = docs.sparkSession
-    how = (words, similarity, seed, id_col, text_col)
     rows = materialize(sketches(docs, words, similarity, prints, seed, id_col, text_col), "simhash", scan=True)
     distinct = materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "simhash-sets")
     keyed = distinct.select("id", F.explode("keys").alias("key"))
     fps, first, radius = distinct.select("id", "fp"), distinct.select("id", "first"), int(FAR * 64 * prints)
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def sets(wanted: DataFrame) -> DataFrame:
+        return sets_of(wanted, docs, first, words, seed, id_col, text_col)
 
-    pairs = materialize(ordered(_joined(_dealt(keyed, 1).join(fps, "id"), radius)), "simhash-pairs")
-    good = verified(pairs, docs, first, *how)
+    found = _joined(_dealt(keyed, 1).join(fps, "id"), radius)
+    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
+    good = verified(pairs, similarity, sets)
     named = components(good).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    failed = pairs.join(good, ["u", "v"], "left_anti")
+    failed = materialize(pairs.join(good, ["u", "v"], "left_anti"), "simhash-failed")
     if not failed.isEmpty():
-        among = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        labelled = fps.join(among, "id").join(named, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
-        more = ordered(_joined(_dealt(keyed, SMALL).join(labelled, "id"), radius)).join(pairs, ["u", "v"], "left_anti")
-        more = materialize(more, "simhash-pairs")
-        if not more.isEmpty():
-            named = components(good.union(verified(more, docs, first, *how))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+        tops = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        member = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(tops, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        labelled = materialize(member.join(named, "id", "left").select("id", "comp", F.coalesce("root", "id").alias("label")), "simhash-members")
+        open_ = failed.join(labelled.select(F.col("id").alias("u"), "comp", F.col("label").alias("x")), "u").join(labelled.select(F.col("id").alias("v"), F.col("label").alias("y")), "v")
+        open_ = open_.filter("x <> y").select("comp").distinct()
+        left = materialize(labelled.join(open_, "comp"), "simhash-open")
+        if not left.isEmpty():
+            more = materialize(decided(left.join(sets(left.select("id")), "id"), similarity), "simhash-more")
+            named = components(good.union(more)).select(F.col("node").alias("id"), F.col("component").alias("root"))
     return rows.select("doc_id", "text_hash", "id").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 

@@ -224,3 +224,42 @@ def test_the_query(spark):
     label = slow_components(prints)
     rows = S.op3_simhash(spark, sf).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{prints[i]:016x}", label[i]) for i in texts} and len(rows) == len(texts)
+
+
+def overlapping_sets(rng, n=60):
+    """Sets around a few centres, at similarities to both sides of 0.8."""
+    centres = [rng.integers(0, 1 << 63, 100, np.uint64) for _ in range(4)]
+    out = []
+    for _ in range(n):
+        c = centres[rng.integers(4)]
+        keep = rng.random(len(c)) < rng.choice([0.85, 0.9, 0.97])
+        out.append(np.unique(np.concatenate((c[keep], rng.integers(0, 1 << 63, rng.integers(0, 9), np.uint64)))))
+    return out
+
+
+def groups_of(links, n):
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_a_block_of_sets_is_joined_as_all_its_pairs_join_it():
+    rng = np.random.default_rng(31)
+    sets = overlapping_sets(rng) + [np.zeros(0, np.uint64)] * 2
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) and len(x)
+    want = groups_of([(i, j) for i in range(62) for j in range(i) if alike(sets[i], sets[j])], 62)
+    a, b = S.exact_forest(sets, np.arange(62), 0.8)
+    assert all(alike(sets[i], sets[j]) for i, j in zip(a, b, strict=True)) and len(a) == 62 - len(set(want))
+    assert groups_of(list(zip(a, b, strict=True)), 62) == want
+    assert S.exact_forest(sets, np.zeros(62, int), 0.8) == ([], [])
+
+
+def test_components_of_candidates_are_decided_in_blocks(spark):
+    rng = np.random.default_rng(32)
+    sets = overlapping_sets(rng)
+    rows = spark.createDataFrame([(i, i, i % 2, bytearray(x.tobytes())) for i, x in enumerate(sets)], "id long, label long, comp long, held binary")
+    got = [(r["u"], r["v"]) for r in S.decided(rows, 0.8, limit=700).collect()]
+    pairs = [(i, j) for i in range(60) for j in range(i) if i % 2 == j % 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert groups_of(got, 60) == groups_of(pairs, 60) and {(max(p), min(p)) for p in got} <= set(pairs)
