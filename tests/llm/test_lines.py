@@ -79,3 +79,23 @@ def test_the_query(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     want = {r["doc_id"]: (r["lines_total"], r["lines_removed"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in L.dedup_lines(docs).collect()}
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in L.op4_lines(spark, sf).collect()} == want
+
+
+def test_short_lines_enter_where_they_are_asked_for(spark):
+    """Without a least length: every line of a character or more, against brute force."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1, 2, 3, 4, 6, 9, 13, 19, 21) for _ in range(3)]
+    rows = [(i, "\n".join([rng.choice(base) for _ in range(4)] + [edits(rng, rng.choice(base)) for _ in range(2)] + [""])) for i in range(25)]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    seen = []
+    for i, text in rows:
+        keep = []
+        for line in text.split("\n"):
+            s = L.normal(line)
+            if s:
+                gone = any(L.within_one(s, e) for e in seen)
+                seen.append(s)
+                if gone:
+                    continue
+            keep.append(line)
+        assert got[i] == "\n".join(keep)
