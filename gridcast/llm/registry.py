@@ -16,13 +16,15 @@ from .search import SQL as SEARCH_SQL
 from .search import op6_search
 from .sharding import op7_sharding
 from .simhash import op3_simhash
+from .substrings import SQL as SUBSTRINGS_SQL
+from .substrings import op11_substrings
 from .suffix import op1_suffix
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix, op2_mixing, op3_simhash, op4_lines, op5_embeddings, op6_search, op7_sharding, op8_packing, op9_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix, op2_mixing, op3_simhash, op4_lines, op5_embeddings, op6_search, op7_sharding, op8_packing, op9_language, op10_toxicity, op11_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL, "op6_search": SEARCH_SQL}
+    return {"op2_mixing": MIXING_SQL, "op6_search": SEARCH_SQL, "op11_substrings": SUBSTRINGS_SQL}
