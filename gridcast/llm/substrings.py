@@ -312,8 +312,8 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
-windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM split WHERE len(ws) >= 13),
-named AS (SELECT doc_id, i, ws[i:i + 12] AS w FROM windows),
+lists AS (SELECT doc_id, range(1, len(ws) - 11) AS place, list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' ')) AS w FROM split WHERE len(ws) >= 13),
+named AS (SELECT doc_id, unnest(place) AS i, unnest(w) AS w FROM lists),
 firsts AS (SELECT w, min(doc_id) AS first FROM named GROUP BY w),
 gone AS (SELECT DISTINCT n.doc_id, unnest(range(n.i, n.i + 13)) AS i FROM named n JOIN firsts f ON n.w = f.w WHERE f.first < n.doc_id),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split),
