@@ -1,24 +1,26 @@
 """Learners behind one interface, out-of-fold export, ablation and input-gap reports.
 
-``spark.ml`` has no quantile loss, so ``quantile_boosted`` boosts its trees on the pinball loss: each tree is grown on the loss's gradient
-and its leaves are set to the residuals' quantile. ``spark.ml`` has no sequence networks either: ``sequence`` gives any learner the last rows
+``spark.ml`` has no quantile loss, so ``quantile_boosted`` grows trees of its own (``trees``). ``sequence`` gives any learner the last rows
 of every feature as a window. ``quantile_band`` makes bands for learners without quantiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import clip
 from .folds import assign
+from .gather import at_once
 from .metrics import errors
+from .trees import QuantileTrees, Shape, fit_quantiles
 
 Fit = Callable[[DataFrame, list[str], str], Callable[[DataFrame], DataFrame]]
 
@@ -51,54 +53,14 @@ def boosted(max_iter: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 4
     return fit
 
 
-class QuantileTrees:
-    """Quantiles as sums of trees: for each level a start and (model, value of each leaf) steps. Calls add ``lo``, ``pred`` and ``hi`` in order."""
+def quantile_boosted(levels: tuple[float, ...] = (0.1, 0.5, 0.9), shape: Shape = Shape(), per_task: int = 4_000_000, per_round: int = 100) -> Fit:
+    """Leaf-wise histogram boosting on the pinball loss of each level (see ``trees``); adds ``lo``, ``pred`` (the median) and ``hi``, kept in order.
 
-    def __init__(self, assembler, levels: tuple[float, ...], starts: list[float], trees: list[list], rate: float):
-        self.assembler, self.levels, self.starts, self.trees, self.rate = assembler, levels, starts, trees, rate
-
-    def raw(self, df: DataFrame, level: int, upto: int | None = None) -> DataFrame:
-        """``df`` (assembled) with ``_f``, the sum of the level's trees."""
-        out = df.withColumn("_f", F.lit(self.starts[level]))
-        for model, value in self.trees[level][:upto]:
-            out = model.transform(out).withColumn("_f", F.col("_f") + F.lit(self.rate) * _leaf(value)).drop("_leaf", "_t")
-        return out
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        out = self.assembler.transform(df)
-        for k in range(len(self.levels)):
-            out = self.raw(out, k).withColumnRenamed("_f", f"_q{k}")
-        q = F.array_sort(F.array(*[F.col(f"_q{k}") for k in range(len(self.levels))]))
-        return out.withColumns({"lo": q[0], "pred": q[len(self.levels) // 2], "hi": q[len(self.levels) - 1]}).drop("_x", *[f"_q{k}" for k in range(len(self.levels))])
-
-
-def _leaf(value: dict[float, float]) -> F.Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in value.items() for x in kv]), F.col("_leaf")), F.lit(0.0)) if value else F.lit(0.0)
-
-
-def quantile_boosted(levels: tuple[float, ...] = (0.1, 0.5, 0.9), trees: int = 10, depth: int = 4, rate: float = 0.3, least: int = 20, seed: int = 42) -> Fit:
-    """Gradient boosting on the pinball loss of each level; adds ``lo``, ``pred`` (the median) and ``hi``, kept in order.
-
-    A tree has 2^depth leaves at most, whose quantiles come from one grouped aggregate; the rows stay on the executors.
+    ``per_task`` rows stay in a task, as bytes; every ``per_round`` trees the model comes to the driver, from where a lost stage goes on.
     """
 
-    def fit(train: DataFrame, features: list[str], target: str):
-        from .checkpoint import cut
-
-        asm = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-        rows = cut(asm.transform(train.dropna(subset=[target]).select(*features, target)).select("_x", F.col(target).alias("_y")))
-        starts = list(rows.agg(F.percentile_approx("_y", list(levels), 10_000)).first()[0] or [0.0] * len(levels))
-        out = QuantileTrees(asm, levels, starts, [[] for _ in levels], rate)
-        for k, level in enumerate(levels):
-            now = rows.withColumn("_f", F.lit(starts[k]))
-            for step in range(trees):
-                graded = now.withColumn("_g", F.when(F.col("_y") > F.col("_f"), level).otherwise(level - 1.0))
-                model = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", predictionCol="_t", maxDepth=depth, minInstancesPerNode=least, seed=seed + step, leafCol="_leaf").fit(graded)
-                grown = model.transform(now)
-                value = {float(r["_leaf"]): float(r["v"]) for r in grown.groupBy("_leaf").agg(F.percentile_approx(F.col("_y") - F.col("_f"), level, 10_000).alias("v")).collect()}
-                out.trees[k].append((model, value))
-                now = cut(grown.withColumn("_f", F.col("_f") + F.lit(rate) * _leaf(value)).select("_x", "_y", "_f"))
-        return out
+    def fit(train: DataFrame, features: list[str], target: str) -> QuantileTrees:
+        return fit_quantiles(train, features, target, levels, shape, per_task, per_round)
 
     return fit
 
@@ -137,14 +99,17 @@ def sequence(fit: Fit, steps: int = 24, keys: tuple[str, ...] = (), ts: str = "t
     return outer
 
 
-def attribution(df: DataFrame, predict, features: list[str], keys: list[str]) -> DataFrame:
-    """keys, pred and a column ``by_{feature}`` for each: how far the prediction falls where that feature is at its mean."""
+def attribution(df: DataFrame, predict, features: list[str]) -> DataFrame:
+    """``df`` with ``pred`` and a column ``by_{feature}`` for each: how far the prediction falls where that feature is at its mean.
+
+    For any learner, in one pass over the rows; trees have exact Shapley values (``QuantileTrees.attribute``).
+    """
     mean = df.agg(*[F.avg(f).alias(f) for f in features]).first()
-    out = predict(df).select(*keys, "pred")
+    out = predict(df).withColumnRenamed("pred", "_pred")
     for f in features:
-        other = predict(df.withColumn(f, F.lit(float(mean[f] or 0.0)))).select(*keys, F.col("pred").alias("_other"))
-        out = out.join(other, keys).withColumn(f"by_{f}", F.col("pred") - F.col("_other")).drop("_other")
-    return out
+        other = predict(out.withColumns({"_kept": F.col(f), f: F.lit(float(mean[f] or 0.0))}))
+        out = other.withColumns({f: F.col("_kept"), f"by_{f}": F.col("_pred") - F.col("pred")}).drop("_kept", "pred")
+    return out.withColumnRenamed("_pred", "pred")
 
 
 def linear(l2: float = 0.0) -> Fit:
@@ -235,19 +200,19 @@ def quantile_band(train: DataFrame, predict, target: str, bins: int = 8, lo: flo
     return banded
 
 
-def cross_validate(df: DataFrame, bounds: DataFrame, fit: Fit, features: list[str], target: str, model: str, ts: str = "ts", cap: str | None = None) -> DataFrame:
+def cross_validate(df: DataFrame, bounds: DataFrame, fit: Fit, features: list[str], target: str, model: str, ts: str = "ts", cap: str | None = None, at_a_time: int = 4) -> DataFrame:
     """Out-of-fold rows (fold, model, ts, y, pred, lo, hi) with predictions within [0, 1.5]; lo and hi are null for learners without
-    quantiles. Folds are few, so a driver loop over them is fine."""
+    quantiles. Folds are few; ``at_a_time`` of them are learned side by side."""
     rows = assign(df, bounds, ts)
-    out = None
-    for r in bounds.select("fold").collect():
-        own = rows.filter(F.col("fold") == r["fold"])
+
+    def one(fold: int) -> DataFrame:
+        own = rows.filter(F.col("fold") == fold)
         predict = fit(own.filter("role = 'train'"), features, target)
         found = predict(own.filter("role = 'test'"))
         band = [(clip(c, 0.0, 1.5) if c in found.columns else F.lit(None).cast("double")).alias(c) for c in ("lo", "hi")]
-        got = found.select(F.lit(model).alias("model"), "fold", ts, F.col(target).alias("y"), clip("pred", 0.0, 1.5).alias("pred"), *band, *([cap] if cap else []))
-        out = got if out is None else out.unionByName(got)
-    return out
+        return found.select(F.lit(model).alias("model"), "fold", ts, F.col(target).alias("y"), clip("pred", 0.0, 1.5).alias("pred"), *band, *([cap] if cap else []))
+
+    return reduce(DataFrame.unionByName, at_once([lambda fold=r["fold"]: one(fold) for r in bounds.select("fold").collect()], at_a_time))
 
 
 VARIANTS = {"full": lambda f, p: f, "no_prior": lambda f, p: [c for c in f if c not in p], "prior_only": lambda f, p: [c for c in f if c in p]}

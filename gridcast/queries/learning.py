@@ -25,7 +25,7 @@ def gbt_oof(spark, d):
 def quantile_oof(spark, d):
     """Coverage and width of the boosted quantiles' band on held-out days, by fold."""
     m = _matrix(spark, d)
-    oof = ml.cross_validate(m, folds.fold_bounds(m), ml.quantile_boosted(trees=5, depth=3), FEATURES, "cf", "quantile")
+    oof = ml.cross_validate(m, folds.fold_bounds(m), ml.quantile_boosted(), FEATURES, "cf", "quantile")
     inside = F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int"))
     return rounded(oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), inside.alias("picp"), F.avg(F.col("hi") - F.col("lo")).alias("mpiw"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae")))
 
@@ -36,8 +36,17 @@ def sequence_oof(spark, d):
 
 
 def row_attribution(spark, d):
+    """Shapley values of the boosted median, which add up to its prediction less the base."""
     m = _matrix(spark, d)
-    return rounded(ml.attribution(m, ml.linear()(m, FEATURES, "cf"), FEATURES, ["ts"]))
+    rows = ml.quantile_boosted((0.5,))(m, FEATURES, "cf").attribute(m)
+    return rounded(rows.select("ts", "base", "pred", *[f"by_{f}" for f in FEATURES]))
+
+
+def feature_effects(spark, d):
+    """How far a linear model's predictions fall where a feature is at its mean: mean absolute fall by feature."""
+    m = _matrix(spark, d)
+    rows = ml.attribution(m, ml.linear()(m, FEATURES, "cf"), FEATURES)
+    return rounded(rows.agg(*[F.avg(F.abs(f"by_{f}")).alias(f) for f in FEATURES]))
 
 
 def additive_importance(spark, d):
@@ -75,4 +84,4 @@ def feature_importance(spark, d):
     return rounded(ml.permutation_importance(m, ml.linear()(m, FEATURES, "cf"), FEATURES, "cf"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, additive_oof, additive_importance, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}
+QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, feature_effects, additive_oof, additive_importance, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from gridcast.operators import physics, spatial
 from gridcast.plans import calibrate, ml, run
+from gridcast.plans.trees import Shape
 from gridcast.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def noisy(spark, n=1500):
 
 def test_quantile_trees_cover_what_they_should(spark):
     df = noisy(spark)
-    predict = ml.quantile_boosted(trees=6, depth=3, rate=0.5)(df, ["x"], "y")
+    predict = ml.quantile_boosted(shape=Shape(trees=120, rate=0.1))(df, ["x"], "y")
     rows = predict(df).toPandas()
     assert ((rows.lo <= rows.pred) & (rows.pred <= rows.hi)).all()
     inside = ((rows.y >= rows.lo) & (rows.y <= rows.hi)).mean()
@@ -43,7 +44,7 @@ def test_a_sequence_learner_uses_the_rows_before(spark):
 def test_attribution_adds_up_for_a_linear_model(spark):
     df = noisy(spark, 200).withColumn("z", F.col("x") * F.col("x"))
     predict = ml.linear()(df, ["x", "z"], "y")
-    rows = ml.attribution(df, predict, ["x", "z"], ["ts"]).toPandas()
+    rows = ml.attribution(df, predict, ["x", "z"]).toPandas()
     assert np.allclose(rows.by_x + rows.by_z + predict(df).toPandas().pred.mean(), rows.pred, atol=1e-6)
 
 
