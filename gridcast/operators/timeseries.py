@@ -105,6 +105,17 @@ def sequence_windows(df: DataFrame, keys: list[str], ts: str, features: list[str
     return out
 
 
+def encoder_windows(df: DataFrame, keys: list[str], ts: str, past: list[str], known: list[str], back: int, ahead: int, past_name: str = "past", known_name: str = "known", value: str | None = None, goal: str = "goal") -> DataFrame:
+    """Each row that ends a stretch of ``ahead`` rows with ``back`` rows before it: these rows' ``past`` columns, the stretch's ``known`` columns and its values."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    item = lambda names: F.array(*[F.col(c).cast("double") for c in names])
+    stretch = w.rowsBetween(1 - ahead, 0)
+    made = {past_name: F.collect_list(item(past)).over(w.rowsBetween(1 - ahead - back, -ahead)), known_name: F.collect_list(item(known)).over(stretch)}
+    if value:
+        made[goal] = F.transform(F.collect_list(F.array(F.col(value).cast("double"))).over(stretch), lambda x: x[0])
+    return df.withColumns(made).filter(F.size(past_name) == back)
+
+
 def prefix_split(df: DataFrame, keys: list[str], ts: str, share: float, name: str = "fit") -> DataFrame:
     """Marks the first floor(n * share) rows of each series by time."""
     w = Window.partitionBy(*keys)

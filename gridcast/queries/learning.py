@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import folds, ml
+from ..plans import folds, ml, sequence
 from ..plans.metrics import errors
 from .common import rounded, t
 
@@ -35,6 +35,30 @@ def sequence_oof(spark, d):
     return rounded(errors(ml.cross_validate(m, folds.fold_bounds(m), ml.sequence(ml.linear(0.01), 24), FEATURES, "cf", "sequence"), ["model", "fold"], "y", "pred"))
 
 
+def _series(spark, d):
+    # A row a day: one series of a length that no size of the tables changes.
+    return _matrix(spark, d).withColumn("series", F.lit("all"))
+
+
+def recurrent_oof(spark, d):
+    m = _series(spark, d)
+    return rounded(errors(ml.cross_validate(m, folds.fold_bounds(m), sequence.recurrent(keys=("series",)), FEATURES, "cf", "recurrent"), ["model", "fold"], "y", "pred"))
+
+
+def attentive_oof(spark, d):
+    """Errors of the last of 24 steps ahead."""
+    m = _series(spark, d)
+    return rounded(errors(ml.cross_validate(m, folds.fold_bounds(m), sequence.attentive(keys=("series",)), FEATURES, "cf", "attentive"), ["model", "fold"], "y", "pred"))
+
+
+def attentive_weights(spark, d):
+    """What the network looks at in the last fold: mean attention by lag, and mean weights of past and known variables."""
+    m = _series(spark, d)
+    own = folds.assign(m, folds.fold_bounds(m, n=1))
+    model = sequence.attentive(keys=("series",))(own.filter("role = 'train'"), FEATURES, "cf")
+    return rounded(model.weights(own.filter("role = 'test'")).groupBy("kind", "name").agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
+
+
 def row_attribution(spark, d):
     """Shapley values of the boosted median, which add up to its prediction less the base."""
     m = _matrix(spark, d)
@@ -84,4 +108,4 @@ def feature_importance(spark, d):
     return rounded(ml.permutation_importance(m, ml.linear()(m, FEATURES, "cf"), FEATURES, "cf"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, row_attribution, feature_effects, additive_oof, additive_importance, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}
+QUERIES = {f.__name__: (f, None) for f in (gbt_oof, quantile_oof, sequence_oof, recurrent_oof, attentive_oof, attentive_weights, row_attribution, feature_effects, additive_oof, additive_importance, quantile_bands, feature_ablation, weather_input_gap, feature_importance)}
