@@ -7,6 +7,7 @@ of every feature as a window. ``quantile_band`` makes bands for learners without
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import clip
+from .additive import Additive, fit_additive
+from .additive import Shape as AdditiveShape
 from .folds import assign
 from .gather import at_once
 from .metrics import errors
-from .trees import QuantileTrees, Shape, fit_quantiles
+from .trees import BINS, QuantileTrees, Shape, fit_quantiles
 
 Fit = Callable[[DataFrame, list[str], str], Callable[[DataFrame], DataFrame]]
 
@@ -123,64 +126,11 @@ def linear(l2: float = 0.0) -> Fit:
     return fit
 
 
-class Additive:
-    """A start, and for each feature or pair of features the mean effect of each bin. Calls add ``pred``."""
+def additive(bins: int = BINS, pairs: int = 0, how: AdditiveShape = AdditiveShape(), per_task: int = 4_000_000) -> Fit:
+    """An additive model by cyclic boosting (see ``additive``), with the ``pairs`` pairs of features that add most."""
 
-    def __init__(self, base: float, binner: Bucketizer, terms: dict[tuple[str, ...], dict[int, float]], bins: int):
-        self.base, self.binner, self.terms, self.bins = base, binner, terms, bins
-
-    def cell(self, term: tuple[str, ...]) -> F.Column:
-        at = F.col(f"_b_{term[0]}").cast("int")
-        return at if len(term) == 1 else at * (self.bins + 1) + F.col(f"_b_{term[1]}").cast("int")
-
-    def effect(self, term: tuple[str, ...]) -> F.Column:
-        held = self.terms[term]
-        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in held.items() for x in kv]), self.cell(term)), F.lit(0.0)) if held else F.lit(0.0)
-
-    def binned(self, df: DataFrame) -> DataFrame:
-        return self.binner.transform(df)
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        total = sum((self.effect(t) for t in self.terms), F.lit(self.base))
-        return self.binned(df).withColumn("pred", total).drop(*self.binner.getOutputCols())
-
-    def importance(self, df: DataFrame) -> DataFrame:
-        """(feature, importance): the mean absolute effect of every feature and pair (``a x b``)."""
-        names = [" x ".join(t) for t in self.terms]
-        row = self.binned(df).agg(*[F.avg(F.abs(self.effect(t))).alias(n) for t, n in zip(self.terms, names, strict=True)])
-        return row.unpivot([], names, "feature", "importance")
-
-
-def additive(bins: int = 16, pairs: int = 0, firm: float = 20.0) -> Fit:
-    """A generalised additive model: means of what the features before left over, by quantile bin of each feature in turn.
-
-    With ``pairs`` those pairs of features follow whose cells explain most of the rest; a cell's mean is drawn to 0 as if ``firm`` rows of 0 were in it.
-    """
-
-    def fit(train: DataFrame, features: list[str], target: str):
-        train = train.dropna(subset=[*features, target])
-        base = train.agg(F.avg(target)).first()[0] or 0.0
-        cuts = train.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001)
-        binner = Bucketizer(splitsArray=[[float("-inf"), *sorted(set(c)), float("inf")] for c in cuts], inputCols=features, outputCols=[f"_b_{f}" for f in features], handleInvalid="keep")
-        model = Additive(base, binner, {}, bins)
-        rest = model.binned(train).withColumn("_r", F.col(target) - base)
-
-        def add(term: tuple[str, ...], rest: DataFrame, own: float) -> DataFrame:
-            rows = rest.groupBy(model.cell(term).alias("c")).agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # a row a bin, or a cell of two
-            model.terms[term] = {int(r["c"]): r["s"] / (r["n"] + own) for r in rows}
-            return rest.withColumn("_r", F.col("_r") - model.effect(term))
-
-        for f in features:
-            rest = add((f,), rest, 0.0)
-        if pairs:
-            both = [(f, g) for i, f in enumerate(features) for g in features[i + 1 :]]
-            gain = {}
-            for term in both:
-                cells = rest.groupBy(model.cell(term)).agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("n"))
-                gain[term] = cells.agg(F.sum(F.col("s") * F.col("s") / (F.col("n") + firm))).first()[0] or 0.0
-            for term in sorted(both, key=lambda t: -gain[t])[:pairs]:
-                rest = add(term, rest, firm)
-        return model
+    def fit(train: DataFrame, features: list[str], target: str) -> Additive:
+        return fit_additive(train, features, target, replace(how, bins=bins, pairs=pairs), per_task)
 
     return fit
 

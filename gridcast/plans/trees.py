@@ -54,7 +54,7 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _mixed(key: np.ndarray, salt: int) -> np.ndarray:
+def mixed(key: np.ndarray, salt: int) -> np.ndarray:
     """Uniform 64-bit numbers from keys and a salt."""
     z = key ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -216,7 +216,7 @@ def boost(bins: np.ndarray, y: np.ndarray, key: np.ndarray, level: float, shape:
     for step in range(len(trees), shape.trees if upto is None else upto):
         rng = np.random.default_rng([shape.seed, step, round(level * 1000)])
         columns = np.sort(rng.permutation(features)[: max(1, round(features * shape.columns))])
-        own = np.flatnonzero(_mixed(key, shape.seed + step) < np.uint64(min(int(shape.rows * 2.0**64), (1 << 64) - 1)))
+        own = np.flatnonzero(mixed(key, shape.seed + step) < np.uint64(min(int(shape.rows * 2.0**64), (1 << 64) - 1)))
         g = np.where(y[own] > now[own], -level, 1.0 - level)
         tree = yield from grow(bins[own], g, columns, shape)
         leaf = place(tree, bins)
@@ -370,9 +370,8 @@ def feature_cuts(df: DataFrame, features: list[str], bins: int = BINS, error: fl
     return [np.unique(np.array(c, float)[~np.isnan(c)]) for c in found]
 
 
-def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: tuple[float, ...], shape: Shape, per_task: int, per_round: int) -> QuantileTrees:
-    rows = train.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
-    cuts = feature_cuts(rows, features)
+def binned_rows(rows: DataFrame, features: list[str], target: str, cuts: list[np.ndarray]) -> DataFrame:
+    """(bins, y, key): a byte for each feature, the target, and a hash of the row; written once, as each stage reads it anew."""
 
     def packed_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,9 +379,20 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: tu
             raw = binned(x, cuts).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + len(features)] for i in range(0, len(raw), len(features))], pa.binary()), batch.column(len(features)), batch.column(len(features) + 1)], ["bins", "y", "key"])
 
-    keyed = rows.select(*features, "_y", F.xxhash64(*features, "_y").alias("_key"))
-    held = cut(keyed.mapInArrow(packed_bins, "bins binary, y double, key long"))
-    dealt, parts = spread(held, per_task)
+    own = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
+    goal = F.col(target).cast("double")
+    return cut(rows.select(*own, goal.alias("y"), F.xxhash64(*[F.col(f).cast("double") for f in features], goal).alias("key")).mapInArrow(packed_bins, "bins binary, y double, key long"))
+
+
+def row_arrays(tab: pa.Table, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, targets and hashes of a task's rows."""
+    return np.frombuffer(b"".join(tab["bins"].to_pylist()), np.uint8).reshape(-1, features), tab["y"].to_numpy(), tab["key"].to_numpy().view(np.uint64)
+
+
+def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: tuple[float, ...], shape: Shape, per_task: int, per_round: int) -> QuantileTrees:
+    rows = train.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
+    cuts = feature_cuts(rows, features)
+    dealt, parts = spread(binned_rows(rows, features, target, cuts), per_task)
 
     def learned(levels: tuple[float, ...]) -> QuantileTrees:
         model = QuantileTrees(list(features), cuts, levels, [None] * len(levels), [[] for _ in levels], shape.rate)
@@ -390,8 +400,7 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: tu
             before, starts = model.trees, model.starts
 
             def work(tab: pa.Table, summed: Sum, task: int, upto=upto, before=before, starts=starts) -> bytes | None:
-                bins = np.frombuffer(b"".join(tab["bins"].to_pylist()), np.uint8).reshape(-1, len(features))
-                y, key = tab["y"].to_numpy(), tab["key"].to_numpy().view(np.uint64)
+                bins, y, key = row_arrays(tab, len(features))
                 made = drive([boost(bins, y, key, level, shape, starts[k], before[k], upto) for k, level in enumerate(levels)], summed, parts == 1)
                 return QuantileTrees(list(features), cuts, levels, [m[0] for m in made], [m[1] for m in made], shape.rate).packed() if task == 0 else None
 

@@ -39,7 +39,7 @@ def plain_boost(bins, y, key, level, shape):
     for step in range(shape.trees):
         rng = np.random.default_rng([shape.seed, step, round(level * 1000)])
         columns = sorted(rng.permutation(bins.shape[1])[: max(1, round(bins.shape[1] * shape.columns))].tolist())
-        used = np.flatnonzero(T._mixed(key, shape.seed + step) < np.uint64(int(shape.rows * 2.0**64)))
+        used = np.flatnonzero(T.mixed(key, shape.seed + step) < np.uint64(int(shape.rows * 2.0**64)))
         g = np.zeros(len(y))
         g[used] = np.where(y[used] > now[used], -level, 1 - level)
         every = np.arange(len(y))
