@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.writers import write_parquet
+from ..sources.stores import publish, read_store
 from . import forecast
 from .ml import Fit
 from .training import train
@@ -50,9 +50,9 @@ def run(spark: SparkSession, mode: str, store: str, **parts) -> None:
         train_mode(store=store, **parts)
     elif mode == "forecast":
         table = forecast_mode(**parts)
-        write_parquet(table, f"{store}/forecast")
-        held = spark.read.parquet(f"{store}/forecast")
-        write_parquet(forecast.state_total(held, "ts", [c for c in held.columns if c not in ("district", "ts")]), f"{store}/state")
+        publish(table, f"{store}/forecast")
+        held = read_store(spark, f"{store}/forecast")
+        publish(forecast.state_total(held, "ts", [c for c in held.columns if c not in ("district", "ts")]), f"{store}/state")
         LOG.info("forecast written to %s", store)
     else:
         raise ValueError("mode must be train or forecast")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.writers import METRIC_KEYS, OOF_KEYS, upsert_parquet
+from ..sources.stores import upsert_store
+from ..sources.writers import METRIC_KEYS, OOF_KEYS
 from .baselines import baseline_metrics
 from .folds import fold_bounds
 from .metrics import metric_rows
@@ -30,5 +31,5 @@ def train(matrix: DataFrame, learners: dict[str, Fit], features: list[str], tech
     """Evaluate every technology and upsert ``{store}/cv_metrics`` and ``{store}/oof``."""
     for tech in technologies:
         metrics, oof = evaluate(matrix, learners, features, tech, **how)
-        upsert_parquet(metrics, f"{store}/cv_metrics", METRIC_KEYS)
-        upsert_parquet(oof, f"{store}/oof", OOF_KEYS)
+        upsert_store(metrics, f"{store}/cv_metrics", METRIC_KEYS, buckets=1)
+        upsert_store(oof, f"{store}/oof", OOF_KEYS)

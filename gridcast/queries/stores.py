@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import physics
 from ..plans.checkpoint import shared_dir
-from ..sources import readers, rest, writers
+from ..sources import readers, rest, stores, writers
 from .common import rounded, t
 
 
@@ -47,17 +47,17 @@ def store_upsert(spark, d):
     """A keep-last store in two runs, the second with new balances for every third key."""
     path = _path(spark, "store")
     c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    writers.upsert_parquet(c.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0"), path, ["c_custkey"])
-    writers.upsert_parquet(c.filter("c_custkey % 3 <> 1").withColumn("c_acctbal", F.col("c_acctbal") + 1), path, ["c_custkey"])
-    return rounded(spark.read.parquet(path))
+    stores.upsert_store(c.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0"), path, ["c_custkey"])
+    stores.upsert_store(c.filter("c_custkey % 3 <> 1").withColumn("c_acctbal", F.col("c_acctbal") + 1), path, ["c_custkey"])
+    return rounded(stores.read_store(spark, path))
 
 
 def store_replace(spark, d):
     path = _path(spark, "store")
     s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    writers.write_parquet(s, path)
-    writers.replace_parquet(s.filter("s_nationkey = 3").withColumn("s_acctbal", F.lit(0.0)), path, F.col("s_nationkey") == 3)
-    return rounded(spark.read.parquet(path))
+    stores.publish(s, path, ["s_suppkey"])
+    stores.replace_store(s.filter("s_nationkey = 3").withColumn("s_acctbal", F.lit(0.0)), path, F.col("s_nationkey") == 3)
+    return rounded(stores.read_store(spark, path))
 
 
 def log_append(spark, d):
@@ -105,9 +105,9 @@ def store_extension(spark, d):
     """A weather store, extended by the day that its nodes miss."""
     path = _path(spark, "weather")
     old = t(spark, d, "nation").select((F.lit(510) + F.col("n_nationkey")).cast("int").alias("node_lat"), F.lit(110).alias("node_lon"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("t"))
-    writers.write_parquet(old, path)
+    stores.publish(old, path, rest.NODE_KEYS)
     rest.extend_store(spark, path, {"variables": "t", "batch": "5", "transport": "gridcast.queries.stores:replay_weather"}, "2024-01-02")
-    return rounded(spark.read.parquet(path))
+    return rounded(stores.read_store(spark, path))
 
 
 def newest_run(spark, d):

@@ -2,8 +2,11 @@
 
 The transport is a parameter (an importable ``module:function`` from URL to parsed JSON), so tests and replays need no network.
 Batches of nodes are dealt to ``lanes``; each lane is one partition and pauses so long after a request that all lanes together keep
-the pace of a rate-limited service. A ``budget`` bounds the requests of one run: batches beyond it are left for the next run, which
-``extend_store`` takes up where the store ends. Failures back off and retry.
+the pace of a rate-limited service. A ``budget`` bounds the requests of one read: batches beyond it are left for the next run, which
+``extend_store`` takes up where the store ends, within what the ledger has left of the day. Failures back off and retry.
+
+Meters are polled in the tasks, one for each region, and each reply is written to shared storage before it is handed on: a batch that is read again, in the same
+run or after a restart from its checkpoint, is the same.
 """
 
 from __future__ import annotations
@@ -12,12 +15,17 @@ import importlib
 import json
 import time
 import urllib.request
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from .ledger import DAILY, lease, reserve
 
 RETRY_CODES = (429, 500, 502, 503, 504)
+NODE_KEYS = ["node_lat", "node_lon", "ts"]
 
 
 def http_json(url: str):
@@ -63,7 +71,8 @@ class Lane(InputPartition):
 
 
 class WeatherSource(DataSource):
-    """Options: nodes (``lat:lon`` in tenths of a degree, comma-separated), variables, url, start, end, batch, pause, lanes, budget, transport."""
+    """Options: nodes (``lat:lon`` in tenths of a degree, comma-separated), variables, url, start and end or forecast_days (and past_days), timezone, apikey,
+    batch, pause, lanes, budget, transport."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,12 +100,22 @@ class WeatherReader(DataSourceReader):
         lanes = max(1, int(self.options.get("lanes", 1)))
         return [Lane(own[i::lanes]) for i in range(min(lanes, len(own)))] or [Lane([])]
 
+    def url(self, nodes: list[tuple[int, int]]) -> str:
+        """One request for a batch: a forecast where ``forecast_days`` is given, else the days from start to end."""
+        lat, lon = (",".join(f"{n[i] / 10:.1f}" for n in nodes) for i in (0, 1))
+        query = {"latitude": lat, "longitude": lon, "hourly": ",".join(self.variables)}
+        if "forecast_days" in self.options:
+            query["forecast_days"] = self.options["forecast_days"]
+        else:
+            query |= {"start_date": self.options.get("start", ""), "end_date": self.options.get("end", "")}
+        query |= {k: self.options[k] for k in ("past_days", "timezone", "apikey") if k in self.options}
+        return f"{self.options.get('url', '')}?{'&'.join(f'{k}={v}' for k, v in query.items())}"
+
     def read(self, partition: Lane) -> Iterator[tuple]:
         get = transport(self.options.get("transport"))
         pause = float(self.options.get("pause", 0)) * max(1, int(self.options.get("lanes", 1)))
         for nodes in partition.batches:
-            lat, lon = (",".join(f"{n[i] / 10:.1f}" for n in nodes) for i in (0, 1))
-            url = f"{self.options.get('url', '')}?latitude={lat}&longitude={lon}&hourly={','.join(self.variables)}&start_date={self.options.get('start', '')}&end_date={self.options.get('end', '')}"
+            url = self.url(nodes)
             found = fetch(get, url, int(self.options.get("retries", 4)))
             time.sleep(pause)
             for node, item in zip(nodes, found if isinstance(found, list) else [found], strict=True):
@@ -106,7 +125,8 @@ class WeatherReader(DataSourceReader):
 
 
 class MeterSource(DataSource):
-    """A stream of meter readings as JSON text. Options: regions (comma-separated), url, transport."""
+    """A stream of meter readings as JSON text. Options: regions (comma-separated), polls (a shared folder for the replies), url, most (polls in one
+    batch), transport."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,43 +135,79 @@ class MeterSource(DataSource):
     def schema(self) -> str:
         return "region string, seq bigint, json string, error string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return MeterReader(dict(self.options))
 
 
-class MeterReader(SimpleDataSourceStreamReader):
-    """One poll of all regions an offset. A region that fails is a row without JSON but with the error; polls are kept until
-    their batch is committed, so a batch that is read again within the query's run is the same."""
+class Poll(InputPartition):
+    def __init__(self, region: str, seq: int):
+        self.region, self.seq = region, seq
+
+
+class MeterReader(DataSourceStreamReader):
+    """One poll of all regions an offset, a partition for each region. A region that fails is a row without JSON but with the error."""
 
     def __init__(self, options: dict):
         self.options = options
         self.regions = options["regions"].split(",")
-        self.polls: dict[int, list[tuple]] = {}
+        self.offered = None
+
+    def _files(self):
+        from pyarrow import fs
+
+        where = self.options["polls"]
+        return fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+
+    def _name(self, folder: str, region: str, seq: int) -> str:
+        return f"{folder}/{seq:012d}/{quote(region, safe='')}.json"
 
     def initialOffset(self) -> dict:
         return {"seq": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        return iter(self._poll(start["seq"])), {"seq": start["seq"] + 1}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for seq in range(start["seq"], end["seq"]):
-            yield from self._poll(seq)
+    def latestOffset(self) -> dict:
+        """The poll after the last one that has replies: a poll that was begun is ended before the next."""
+        from pyarrow import fs
+
+        files, folder = self._files()
+        found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        last = max((int(i.base_name) for i in found if i.base_name.isdigit()), default=-1)
+        self.offered = last + 2 if self.offered is None or self.offered == last + 1 else self.offered
+        return {"seq": self.offered}
+
+    def partitions(self, start: dict, end: dict) -> list[Poll]:
+        return [Poll(region, seq) for seq in range(start["seq"], end["seq"]) for region in self.regions]
+
+    def read(self, partition: Poll) -> Iterator[tuple]:
+        yield self.poll(partition.region, partition.seq)
+
+    def poll(self, region: str, seq: int) -> tuple:
+        """A region's reply to a poll: what was kept of it, else a new one, which is kept first."""
+        from pyarrow import fs
+
+        files, folder = self._files()
+        name = self._name(folder, region, seq)
+        if files.get_file_info(name).type == fs.FileType.NotFound:
+            try:
+                reply = {"json": json.dumps(fetch(transport(self.options.get("transport")), f"{self.options.get('url', '')}?region={region}&seq={seq}", 1, lambda s: None)), "error": None}
+            except Exception as error:  # noqa: BLE001  the other regions are polled nonetheless
+                reply = {"json": None, "error": f"{type(error).__name__}: {error}"}
+            files.create_dir(name.rpartition("/")[0], recursive=True)
+            staged = f"{name}.{uuid.uuid4().hex}"
+            with files.open_output_stream(staged) as out:
+                out.write(json.dumps(reply).encode())
+            files.move(staged, name)
+        with files.open_input_stream(name) as held:
+            reply = json.loads(held.read())
+        return region, seq, reply["json"], reply["error"]
 
     def commit(self, end: dict) -> None:
-        self.polls = {seq: rows for seq, rows in self.polls.items() if seq >= end["seq"]}
+        """Replies of polls long committed go; the last ones stay, as they tell where the polls stand."""
+        from pyarrow import fs
 
-    def _poll(self, seq: int) -> list[tuple]:
-        if seq not in self.polls:
-            get = transport(self.options.get("transport"))
-            rows = []
-            for region in self.regions:
-                try:
-                    rows.append((region, seq, json.dumps(fetch(get, f"{self.options.get('url', '')}?region={region}&seq={seq}", 1, lambda s: None)), None))
-                except Exception as error:  # noqa: BLE001  the other regions are polled nonetheless
-                    rows.append((region, seq, None, f"{type(error).__name__}: {error}"))
-            self.polls[seq] = rows
-        return self.polls[seq]
+        files, folder = self._files()
+        for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if i.base_name.isdigit() and int(i.base_name) < end["seq"] - int(self.options.get("kept", 100)):
+                files.delete_dir(i.path)
 
 
 def register(spark: SparkSession) -> None:
@@ -159,18 +215,35 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MeterSource)
 
 
-def extend_store(spark: SparkSession, path: str, options: dict[str, str], end: str) -> None:
-    """Fetch what each node of a weather store misses up to ``end`` and upsert it by node and time; all-null hours are dropped."""
+def extend_store(spark: SparkSession, path: str, options: dict[str, str], end: str, daily: int = DAILY, wait: float = 0) -> int:
+    """Fetch what each node of a weather store misses up to ``end`` and upsert it by node and time; all-null hours are dropped.
+
+    All start days, and all runs of a day, share the day's budget of requests; what it leaves out the next run takes up. One run at a time holds the store's
+    lease; another waits ``wait`` seconds for it, then raises. Returns the number of requests.
+    """
     from pyspark.sql import functions as F
 
     from ..operators.clean import drop_all_null
-    from .writers import upsert_parquet
+    from .stores import read_store, upsert_store
 
     register(spark)
-    last = spark.read.parquet(path).groupBy("node_lat", "node_lon").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("start"))
-    # One request series for each start day; nodes are a registry of some hundred.
-    for row in last.groupBy("start").agg(F.collect_set(F.concat_ws(":", "node_lat", "node_lon")).alias("nodes")).collect():
-        df = spark.read.format("gridcast_weather").options(**options, nodes=",".join(sorted(row["nodes"])), start=row["start"], end=end).load()
-        names = options["variables"].split(",")
-        new = drop_all_null(df.withColumn("ts", F.to_timestamp_ntz(F.replace(F.col("ts"), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm"))), names)
-        upsert_parquet(new, path, ["node_lat", "node_lon", "ts"])
+    names, size, made = options["variables"].split(","), int(options.get("batch", 5)), 0
+    with lease(spark, path, wait=wait) as run:
+        last = read_store(spark, path).groupBy("node_lat", "node_lon").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("start"))
+        # One request series for each start day, the longest behind first; nodes are a registry of some hundred.
+        for row in last.groupBy("start").agg(F.collect_set(F.concat_ws(":", "node_lat", "node_lon")).alias("nodes")).orderBy("start").collect():
+            granted = reserve(spark, path, -(-len(row["nodes"]) // size), daily, run)
+            if not granted:
+                break
+            made += granted
+            df = spark.read.format("gridcast_weather").options(**options, nodes=",".join(sorted(row["nodes"])), start=row["start"], end=end, budget=granted).load()
+            new = drop_all_null(df.withColumn("ts", F.to_timestamp_ntz(F.replace(F.col("ts"), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm"))), names)
+            upsert_store(new, path, NODE_KEYS)
+    return made
+
+
+def poll_meters(spark: SparkSession, options: dict[str, str], sink: str, checkpoint: str, every: str = "15 minutes"):
+    """The poll driver: one poll of all regions ``every`` so often, appended to a Parquet folder; returns the running query."""
+    register(spark)
+    rows = spark.readStream.format("gridcast_meters").options(**options).load()
+    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

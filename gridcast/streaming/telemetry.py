@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.metrics import error_aggregates
-from ..sources.writers import upsert_parquet
+from ..sources.stores import upsert_store
 
 
 def prepared(df: DataFrame, ts: str = "ts", late: str = "2 hours", keys: tuple[str, ...] = ("region",)) -> DataFrame:
@@ -67,7 +67,7 @@ def running_maximum(df: DataFrame, key: str, ts: str = "ts", value: str = "value
 
 def upsert_stream(df: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None) -> DataStreamWriter:
     """Each micro-batch becomes a keep-last upsert of the store; a batch that is run again leaves the same table."""
-    return df.writeStream.foreachBatch(lambda batch, _: upsert_parquet(batch, path, keys, order)).option("checkpointLocation", checkpoint).outputMode("append")
+    return df.writeStream.foreachBatch(lambda batch, _: upsert_store(batch, path, keys, order)).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, every: str = "15 minutes") -> DataStreamWriter:

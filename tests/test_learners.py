@@ -5,7 +5,7 @@ import pytest
 from gridcast.operators import physics, spatial
 from gridcast.plans import calibrate, ml, run
 from gridcast.plans.trees import Shape
-from gridcast.sources import readers, writers
+from gridcast.sources import readers, stores, writers
 from pyspark.sql import functions as F
 
 T0 = datetime(2022, 1, 1)
@@ -126,9 +126,9 @@ def test_forecast_mode(spark, tmp_path):
     now = F.lit("2022-01-01 02:30:00").cast("timestamp_ntz")
     how = {"features": features, "predictors": {"wind": predict, "solar": predict}, "calibration": calibration, "fleets": fleets, "now": now}
     run.run(spark, "forecast", str(tmp_path), **how)
-    rows = spark.read.parquet(str(tmp_path / "forecast")).collect()
+    rows = stores.read_store(spark, str(tmp_path / "forecast")).collect()
     assert len(rows) == 48 and all((r["wind_median_mw"], r["solar_median_mw"], r["solar_lower_mw"]) == (10.0, 5.0, 2.5) for r in rows)
-    state = spark.read.parquet(str(tmp_path / "state")).collect()
+    state = stores.read_store(spark, str(tmp_path / "state")).collect()
     assert len(state) == 24 and all(r["wind_median_mw"] == 20.0 for r in state) and min(r["ts"] for r in state) == datetime(2022, 1, 1, 3)
     with pytest.raises(Exception, match="incomplete forecast"):
         run.run(spark, "forecast", str(tmp_path), **(how | {"features": features.filter("NOT (district = 'b' AND day(ts) = 2)")}))

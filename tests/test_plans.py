@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 from gridcast.plans import matrix, ml, training
-from gridcast.sources import readers, rest
+from gridcast.sources import readers, rest, stores
 from pyspark.sql import functions as F
 
 T0 = datetime(2022, 1, 1)
@@ -19,11 +19,11 @@ def test_training_run_fills_the_stores(spark, tmp_path):
     store = str(tmp_path)
     for _ in range(2):  # a second run replaces its rows
         training.train(data(spark), {"linear": ml.linear()}, ["prior", "z"], ("wind",), store, n=2, test_days=200)
-    m = spark.read.parquet(f"{store}/cv_metrics")
+    m = stores.read_store(spark, f"{store}/cv_metrics")
     assert m.count() == m.dropDuplicates(["model", "technology", "fold", "scale"]).count() == 2 * 2 + 2 * 2
     best = {r["model"]: r["mae"] for r in m.filter("scale = 'cf'").groupBy("model").agg(F.avg("mae").alias("mae")).collect()}
     assert best["linear"] < 1e-6 < min(best["persistence"], best["climatology"])
-    oof = spark.read.parquet(f"{store}/oof")
+    oof = stores.read_store(spark, f"{store}/oof")
     assert oof.count() == 400 and oof.filter("abs(pred_mw - y_mw) > 1e-4").count() == 0
 
 
@@ -69,7 +69,7 @@ def hourly(url):
 
 def test_extension_upserts_what_is_new(spark, tmp_path):
     path = str(tmp_path / "w")
-    spark.createDataFrame([(513, 110, datetime(2024, 1, 2), 1.0), (513, 110, datetime(2024, 1, 1), 2.0)], "node_lat int, node_lon int, ts timestamp_ntz, t double").write.parquet(path)
+    stores.publish(spark.createDataFrame([(513, 110, datetime(2024, 1, 2), 1.0), (513, 110, datetime(2024, 1, 1), 2.0)], "node_lat int, node_lon int, ts timestamp_ntz, t double"), path, rest.NODE_KEYS)
     rest.extend_store(spark, path, {"variables": "t", "transport": "tests.test_plans:hourly"}, "2024-01-02")
-    got = sorted((r["ts"], r["t"]) for r in spark.read.parquet(path).collect())
+    got = sorted((r["ts"], r["t"]) for r in stores.read_store(spark, path).collect())
     assert got == [(datetime(2024, 1, 1), 2.0), (datetime(2024, 1, 2), 7.0), (datetime(2024, 1, 2, 2), 9.0)]

@@ -1,8 +1,9 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
-from gridcast.sources import readers, rest, writers
+from gridcast.sources import ledger, readers, rest, stores, writers
 from pyspark.sql import functions as F
 
 
@@ -76,7 +77,7 @@ def test_rest_sources(spark, tmp_path):
     rest.register(spark)
     got = spark.read.format("gridcast_weather").option("nodes", "513:110,514:111,513:110,515:1").option("variables", "t").option("batch", 2).option("transport", "tests.test_sources:fake").load().collect()
     assert sorted((r["node_lat"], r["node_lon"], r["t"]) for r in got) == [(513, 110, 51.3), (514, 111, 51.4), (515, 1, 51.5)]
-    s = spark.readStream.format("gridcast_meters").option("regions", "x,bad").option("transport", "tests.test_sources:meter").load()
+    s = spark.readStream.format("gridcast_meters").option("regions", "x,bad").option("polls", str(tmp_path / "p")).option("transport", "tests.test_sources:meter").load()
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "m")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
     q.awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "m")).collect()
@@ -95,12 +96,56 @@ def test_lanes_share_the_pace_and_the_budget(monkeypatch):
     assert len([row for lane in lanes for row in reader.read(lane)]) == 10 and slept == [6.0] * 5
 
 
-def test_polls_are_kept_until_they_are_committed():
-    reader = rest.MeterReader({"regions": "x,bad", "transport": "tests.test_sources:meter"})
-    first, end = reader.read({"seq": 0})
-    assert list(first) == list(reader.readBetweenOffsets({"seq": 0}, end)) and reader.polls
-    reader.commit(end)
-    assert not reader.polls
+def test_a_poll_read_again_is_the_same(tmp_path):
+    reader = rest.MeterReader({"regions": "x,bad", "polls": str(tmp_path / "p"), "transport": "tests.test_sources:counted"})
+    assert reader.latestOffset() == {"seq": 1} == reader.latestOffset()  # not moved on while nothing is read
+    first = [row for p in reader.partitions({"seq": 0}, {"seq": 1}) for row in reader.read(p)]
+    again = rest.MeterReader(reader.options)
+    assert first == [row for p in again.partitions({"seq": 0}, {"seq": 1}) for row in again.read(p)]
+    assert first[0][3] is None and "down" in first[1][3]
+    assert reader.latestOffset() == {"seq": 2} == again.latestOffset()
+    for seq in (1, 2, 3):
+        again.poll("x", seq)
+    rest.MeterReader(reader.options | {"kept": "1"}).commit({"seq": 4})
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == [f"{3:012d}"]
+
+
+POLLS = iter(range(1, 1000))
+
+
+def counted(url):
+    """A reply that no second call repeats."""
+    if "bad" in url:
+        raise OSError("down")
+    return {"call": next(POLLS), "at": datetime.now().isoformat()}
+
+
+def test_a_query_stopped_before_its_commit_gives_the_same_batch(spark, tmp_path):
+    """Stopped when the sink has the batch but the commit is not logged; the restarted query reads the same replies."""
+    rest.register(spark)
+    how = {"regions": "x,y", "polls": str(tmp_path / "p"), "transport": "tests.test_sources:counted"}
+    seen = []
+
+    def sink(batch, number):
+        seen.append((number, sorted(map(tuple, batch.collect()))))
+        if len(seen) == 1:
+            raise RuntimeError("stopped")
+
+    for attempt in range(2):
+        q = spark.readStream.format("gridcast_meters").options(**how).load().writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        if attempt:
+            q.awaitTermination(60)
+        else:
+            with pytest.raises(Exception, match="stopped"):
+                q.awaitTermination(60)
+    assert len(seen) >= 2 and seen[0] == seen[1] and len(seen[0][1]) == 2
+
+
+def test_a_forecast_request_names_days_ahead():
+    reader = rest.WeatherReader({"nodes": "513:110", "variables": "t,u", "url": "http://w", "forecast_days": "2", "timezone": "UTC"})
+    assert reader.url([(513, 110)]) == "http://w?latitude=51.3&longitude=11.0&hourly=t,u&forecast_days=2&timezone=UTC"
+    reader = rest.WeatherReader({"nodes": "513:110", "variables": "t", "start": "2024-01-01", "end": "2024-01-02"})
+    assert reader.url([(513, 110)]) == "?latitude=51.3&longitude=11.0&hourly=t&start_date=2024-01-01&end_date=2024-01-02"
 
 
 def test_retries_and_pauses():
@@ -126,3 +171,41 @@ def test_config(tmp_path):
     assert readers.read_config(str(tmp_path / "a.json")) == {"a": 1}
     with pytest.raises(ValueError):
         readers.read_config(str(tmp_path / "b.json"))
+
+
+def days(url):
+    first, last = (url.split(f"{k}_date=")[1].split("&")[0] for k in ("start", "end"))
+    return [{"hourly": {"time": [f"{last}T00:00"], "t": [float(x)]}} for x in url.split("latitude=")[1].split("&")[0].split(",")] if first else []
+
+
+def test_runs_of_a_day_share_its_budget(spark, tmp_path):
+    """Fifteen nodes from two start days, two nodes a request: eight requests in all, of which a day allows five."""
+    path = str(tmp_path / "w")
+    old = [(500 + i, 0, datetime(2024, 1, 1 + i % 2), 1.0) for i in range(15)]
+    stores.publish(spark.createDataFrame(old, "node_lat int, node_lon int, ts timestamp_ntz, t double"), path, rest.NODE_KEYS)
+    how = {"variables": "t", "batch": "2", "transport": "tests.test_sources:days"}
+    assert rest.extend_store(spark, path, how, "2024-01-03", daily=5) == 5 == ledger.used(spark, path)
+    assert rest.extend_store(spark, path, how, "2024-01-03", daily=5) == 0
+    new = lambda: stores.read_store(spark, path).filter("day(ts) = 3").count()
+    assert new() == 10  # four requests for the eight nodes furthest behind, one for two others
+    assert ledger.reserve(spark, path, 4, daily=7) == 2 and ledger.reserve(spark, path, 4, daily=7) == 0
+    assert rest.extend_store(spark, path, how, "2024-01-03", daily=100) > 0 and new() == 15
+    assert ledger.used(spark, path, "2001-01-01") == 0
+
+
+def test_a_second_run_waits_or_raises(spark, tmp_path):
+    path = str(tmp_path / "w")
+    with ledger.lease(spark, path, 60):
+        with pytest.raises(ledger.LeaseHeld), ledger.lease(spark, path):
+            pass
+        slept = []
+        with pytest.raises(ledger.LeaseHeld), ledger.lease(spark, path, wait=0.2, sleep=lambda s: slept.append(s) or time.sleep(s)):
+            pass
+        assert slept
+    with ledger.lease(spark, path, 0.01):  # ends at once, its holder goes on
+        time.sleep(0.05)
+        with ledger.lease(spark, path, 60) as taken:
+            assert taken
+    with ledger.lease(spark, path, 60):
+        pass
+    assert not list((tmp_path / "w").glob("_lease*"))

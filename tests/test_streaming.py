@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from gridcast.sources import writers
+from gridcast.sources import stores
 from gridcast.streaming import telemetry as S
 from pyspark.sql import functions as F
 
@@ -41,9 +41,9 @@ def test_state_and_upserts(spark, tmp_path):
     store = str(tmp_path / "store")
     q = S.upsert_stream(s, store, ["region"], str(tmp_path / "ck"), "ts").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(store).count() == 1
-    writers.upsert_parquet(spark.createDataFrame(rows[:1], schema), store, ["region"])
-    assert spark.read.parquet(store).first()["value"] == 1.0
+    assert stores.read_store(spark, store).count() == 1
+    stores.upsert_store(spark.createDataFrame(rows[:1], schema), store, ["region"])
+    assert stores.read_store(spark, store).first()["value"] == 1.0
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         top = run(S.running_maximum(s, "region"), "running", "append", spark).collect()
