@@ -35,35 +35,41 @@ def pooled_scale(calibration: DataFrame, keys: list[str]) -> DataFrame:
     return calibration.groupBy(*keys).agg(F.coalesce(F.avg("scale"), F.lit(1.0)).alias("scale"), F.lit(0.0).alias("offset"))
 
 
-#: Groups of so many rows have their quantile sought in a band of so much of the rows to both sides.
-BANDED, BAND = 2000, 0.01
+#: Bins of scores for each factor of e, and the score from which on they are that fine.
+FINE, SMALLEST = 1000.0, 0.01
+
+
+def _bin(score: Column) -> Column:
+    """The bin of a score; never falls as scores grow."""
+    size = F.floor(F.log1p(F.abs(score) / SMALLEST) * FINE)
+    return F.when(score < 0, -1 - size).otherwise(size)
 
 
 def fit_conformal(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo", hi: str = "hi", alpha: float = 0.2) -> DataFrame:
     """(q, w_floor, width, n): width-normalised split-conformal correction with the narrowest of the floors.
 
-    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. Sketches with partial aggregation bound it for every
-    floor at once, scores below the bounds are counted, and only those within (a fiftieth of a large group's) are sorted, so a
-    hot group is never sorted whole. Interval widths decide between floors, rounded, the first winning ties: once a
+    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. The narrow rows are written once with their group's mean, and read three times: the scores of
+    every floor are counted in fixed bins; distinct scores in the bin that holds the rank are counted and ordered (a thousandth of a group's, as bins
+    are narrow), so a hot group is never sorted; and interval widths decide between floors, rounded, the first winning ties: once a
     floor exceeds every half-width all larger ones give the same interval. Under two rows or without width: (0, 0).
     """
-    pairs = df.filter(pair_filter(y, lo, hi)).select(*keys, F.col(y).alias("_y"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), ((F.col(hi) - F.col(lo)) / 2).alias("_half"))
-    size = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_half").alias("_mean"))
-    rows = pairs.join(size.filter("n >= 2 AND _mean > 0"), keys)
+    from .checkpoint import cut
+
+    pairs = df.filter(pair_filter(y, lo, hi)).select(*keys, F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi)).alias("_miss"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), ((F.col(hi) - F.col(lo)) / 2).alias("_half"))
+    size = cut(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_half").alias("_mean")))
+    rows = cut(pairs.join(size.filter("n >= 2 AND _mean > 0").drop("n"), keys))
     w = [F.greatest("_half", F.lit(f) * F.col("_mean")) for f in FLOORS]
-    e = [F.greatest(F.col("_lo") - F.col("_y"), F.col("_y") - F.col("_hi")) / x for x in w]
-    near = [max(0.0, 1 - alpha - BAND), min(1.0, 1 - alpha + BAND)]
-    bounds = rows.groupBy(*keys).agg(*[F.percentile_approx(x, near, 10_000).alias(f"_b{i}") for i, x in enumerate(e)])
-    held = rows.join(bounds, keys)
-    all_ = F.col("n") < BANDED
-    below = held.groupBy(*keys).agg(F.array(*[F.count_if(~all_ & (x < F.col(f"_b{i}")[0])) for i, x in enumerate(e)]).alias("_below"))
-    scores = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("e"), (all_ | x.between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1])).alias("near")) for i, x in enumerate(e)])
-    band = held.select(*keys, "n", F.explode(F.filter(scores, lambda x: x["near"])).alias("_s"))
+    scores = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_miss") / x).alias("e")) for i, x in enumerate(w)])
+    by_bin = rows.select(*keys, F.explode(scores).alias("_s")).groupBy(*keys, "_s.i", _bin(F.col("_s.e")).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
     level = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)) / F.col("n"), F.lit(1.0))
-    order = Window.partitionBy(*keys, "_s.i").orderBy("_s.e")
-    ranked = band.withColumns({"_rn": F.row_number().over(order) - 1, "_at": F.ceil(level * (F.col("n") - 1))}).join(below, keys)
-    found = ranked.filter(F.col("_rn") + F.element_at("_below", F.col("_s.i") + 1) == F.col("_at"))
-    q = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_s.i", "_s.e"))).alias("_q"))  # an entry for each floor
+    upto = by_bin.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("_bin"))).join(size, keys).withColumn("_at", F.ceil(level * (F.col("n") - 1)))
+    goal = cut(upto.filter("_at < _upto AND _at >= _upto - _c").select(*keys, "i", "_bin", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_rank")))
+    goals = goal.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_bin"))).alias("_goals"))  # an entry for each floor
+    near = F.filter(scores, lambda x: _bin(x["e"]) == F.col("_goals")[x["i"]])
+    band = rows.join(goals, keys).select(*keys, F.explode(near).alias("_s")).groupBy(*keys, "_s.i", "_s.e").agg(F.count(F.lit(1)).alias("_c"))
+    place = band.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("e"))).join(goal.select(*keys, "i", "_rank"), [*keys, "i"])
+    found = place.filter("_rank < _upto AND _rank >= _upto - _c")
+    q = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "e"))).alias("_q"))
     own = [F.col("_q")[F.lit(i)] for i in range(len(FLOORS))]
     width = rows.join(q, keys).groupBy(*keys).agg(F.first("_q").alias("_q"), F.array(*[F.avg(F.col("_hi") + own[i] * x - F.greatest(F.col("_lo") - own[i] * x, F.lit(0.0))) for i, x in enumerate(w)]).alias("_widths"))
     each = F.array(*[F.struct(F.round(F.col("_widths")[i], 6).alias("r"), F.lit(i).alias("i"), own[i].alias("q"), F.lit(f).alias("f"), F.col("_widths")[i].alias("width")) for i, f in enumerate(FLOORS)])

@@ -49,9 +49,9 @@ def test_attribution_adds_up_for_a_linear_model(spark):
 
 
 def test_conformal_bands_find_the_order_statistic(spark):
-    """A group over the size from which the quantile is sought in a band, with many ties, beside a small one."""
+    """A large group with many ties beside a small one."""
     rng = np.random.default_rng(5)
-    n = 3 * calibrate.BANDED
+    n = 6000
     rows = [("big", float(np.round(y, 2)), 0.0, float(h)) for y, h in zip(rng.normal(0, 1, n), rng.uniform(0.1, 1, n), strict=True)] + [("small", float(k), 0.0, 1.0 + k) for k in range(7)]
     df = spark.createDataFrame(rows, "g string, y double, lo double, hi double")
     got = {r["g"]: r for r in calibrate.fit_conformal(df, ["g"]).collect()}
