@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clip, haversine, power_law, snap
-from ..operators import clean, physics, spatial
+from ..operators import clean, outlines, physics, spatial
 from .common import ASSETS, HAVERSINE, SITES, assets, rounded, sites, t
 
 
@@ -83,6 +83,23 @@ def eps_components(spark, d):
     return rounded(spatial.density_clusters(s, "id", 6.0))
 
 
+def way_rings(spark, d):
+    """Outlines around the suppliers, cut into ways of three edges that come in any order, every other one reversed, put together and measured."""
+    s = sites(spark, d).withColumn("m", (F.lit(9) + F.col("site") % 4 * 3).cast("int"))
+    corner = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m"))))
+    turn = 2 * F.pi() * (F.col("k") % F.col("m")) / F.col("m")
+    points = corner.select(F.col("site").cast("string").alias("poly"), "k", "m", (F.col("site_lon") + F.cos(turn) * 0.01).alias("x"), (F.col("site_lat") + F.sin(turn) * 0.02).alias("y"))
+    # A corner between two ways belongs to both.
+    here = F.floor(F.col("k") / 3)
+    ways = points.withColumn("w", F.explode(F.when(F.col("k") % 3 != 0, F.array(here)).when(F.col("k") == 0, F.array(here)).when(F.col("k") == F.col("m"), F.array(here - 1)).otherwise(F.array(here - 1, here))))
+    ways = ways.select("poly", F.lit("outer").alias("role"), (F.col("w") * 7 % 22 + 1).cast("long").alias("way"), F.when(F.col("w") % 2 == 0, F.col("k")).otherwise(-F.col("k")).alias("pos"), "x", "y")
+    return rounded(outlines.ring_measures(outlines.assemble(ways)).select("poly", "n", "area", "length"))
+
+
+RINGS = f"""WITH {SITES}, p AS (SELECT CAST(site AS VARCHAR) AS poly, k, 9 + site % 4 * 3 AS m, site_lon + cos(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.01::DOUBLE AS x, site_lat + sin(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.02::DOUBLE AS y FROM sites, range(19) r(k) WHERE k <= 9 + site % 4 * 3)
+SELECT a.poly, count(*) AS n, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) AS area, round(sum(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))), 6) AS length FROM p a JOIN p b ON a.poly = b.poly AND b.k = a.k + 1 GROUP BY 1"""
+
+
 #: A reference curve with cut-in 3, rated 13 and cut-out 25 m/s (test curve).
 CURVE = [(3.0, 0.0), (5.0, 180.0), (7.0, 620.0), (9.0, 1280.0), (11.0, 1820.0), (13.0, 2000.0), (25.0, 2000.0)]
 
@@ -217,6 +234,7 @@ SELECT k AS unit, n::VARCHAR AS plz, round(CASE WHEN lat IS NULL OR lon IS NULL
     "missing_districts": (missing_districts, "SELECT 'north' AS poly"),
     "eps_components": (eps_components, f"""WITH RECURSIVE {SITES}, e AS (SELECT a.site AS a, b.site AS b FROM sites a, sites b WHERE {_KMC} <= 6 OR a.site = b.site),
 r AS (SELECT site AS id, site AS root FROM sites UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS c FROM r GROUP BY 1) SELECT id, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM m"""),
+    "way_rings": (way_rings, RINGS),
     "power_curve_interp": (power_curve_interp, f"WITH {SEGMENT}, {_LI} SELECT round(v, 6) AS v, count(*) AS n, round(avg(kw), 6) AS kw FROM p GROUP BY round(v, 6)"),
     "capped_power": (capped_power, f"WITH {SEGMENT}, {_LI}, c AS (SELECT l_linenumber, CASE WHEN kw IS NOT NULL THEN least(greatest(kw, 0), CASE WHEN l_linenumber = 2 THEN 1500 ELSE 2000 END) END AS x FROM p) SELECT l_linenumber::BIGINT AS l_linenumber, round(sum(x), 6) AS kw, count(x) AS n FROM c GROUP BY 1"),
     "cubic_curve": (cubic_curve, None),

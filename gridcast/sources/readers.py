@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,6 +154,34 @@ def read_way_edges(spark: SparkSession, path: str, name: str) -> DataFrame:
     return edge.select(F.lit(name).alias("poly"), F.col("p.a.lon").alias("x1"), F.col("p.a.lat").alias("y1"), F.col("p.b.lon").alias("x2"), F.col("p.b.lat").alias("y2")).filter("y1 <> y2")
 
 
+def read_ways(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(poly, role, way, pos, x, y): the vertices of the ways of a boundary relation's JSON, numbered in its order; ``outlines.assemble`` makes rings of them."""
+    kind = "struct<elements:array<struct<members:array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>>>>"
+    members = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).elements.alias("e")).select(F.posexplode(F.flatten("e.members")).alias("way", "m"))
+    ways = members.filter("m.type = 'way'").select(F.col("way").cast("long").alias("way"), F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"), F.posexplode("m.geometry").alias("pos", "p"))
+    return ways.select(F.lit(name).alias("poly"), "role", "way", "pos", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
+
+
+def fetch_boundaries(get, url: str, names: dict[str, int], path: str) -> dict[str, str]:
+    """Fetch each relation's boundary once by ``get`` (from URL to parsed JSON) and keep it as ``{path}/{name}.json``; returns the files by name.
+
+    What was fetched before is not fetched again. A reply without elements raises, and leaves no file.
+    """
+    found = {}
+    for name, relation in names.items():
+        file = Path(path) / f"{quote(name, safe=' ')}.json"
+        if not file.exists():
+            reply = get(f"{url}?data={quote(f'[out:json][timeout:180];relation({int(relation)});out geom;')}")
+            if not reply.get("elements"):
+                raise ValueError(f"no outline of {name} ({relation})")
+            file.parent.mkdir(parents=True, exist_ok=True)
+            staged = file.with_suffix(".new")
+            staged.write_text(json.dumps(reply), encoding="utf-8")
+            staged.replace(file)
+        found[name] = str(file)
+    return found
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256) of binary artefacts."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
