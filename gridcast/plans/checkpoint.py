@@ -13,7 +13,10 @@ def shared_dir(spark) -> str:
     if found:
         return found
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file://" + tempfile.mkdtemp(prefix="gridcast-")
+        made = getattr(spark.sparkContext, "_gridcast_shared_dir", None)
+        if made is None:  # one folder for a session
+            made = spark.sparkContext._gridcast_shared_dir = "file://" + tempfile.mkdtemp(prefix="gridcast-")
+        return made
     found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark._jvm.org.apache.hadoop.fs.Path(found).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

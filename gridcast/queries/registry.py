@@ -132,6 +132,30 @@ def cubic_curve(spark, d):
     return rounded(p.groupBy("l_linenumber").agg(F.avg("kw").alias("kw")))
 
 
+def _second_derivatives(knots):
+    """Of the natural cubic spline through the knots, by elimination along the three diagonals."""
+    x, y = zip(*knots, strict=True)
+    h = [b - a for a, b in zip(x, x[1:], strict=False)]
+    slope = [(b - a) / w for a, b, w in zip(y, y[1:], h, strict=False)]
+    up, right = [0.0], [0.0]
+    for i in range(1, len(x) - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * up[-1]
+        right.append((6 * (slope[i] - slope[i - 1]) - h[i - 1] * right[-1]) / pivot)
+        up.append(h[i] / pivot)
+    m = [0.0] * len(x)
+    for i in range(len(x) - 2, 0, -1):
+        m[i] = right[i] - up[i] * m[i + 1]
+    return m
+
+
+def _spline_sql():
+    m = _second_derivatives(CURVE)
+    rows = ", ".join(f"({x0}::DOUBLE, {x1}::DOUBLE, {y0}::DOUBLE, {y1}::DOUBLE, {m0!r}::DOUBLE, {m1!r}::DOUBLE)" for (x0, y0), (x1, y1), m0, m1 in zip(CURVE, CURVE[1:], m, m[1:], strict=False))
+    value = "m0 * pow(x1 - v, 3) / (6 * (x1 - x0)) + m1 * pow(v - x0, 3) / (6 * (x1 - x0)) + (y0 / (x1 - x0) - m0 * (x1 - x0) / 6) * (x1 - v) + (y1 / (x1 - x0) - m1 * (x1 - x0) / 6) * (v - x0)"
+    return f"""WITH c(x0, x1, y0, y1, m0, m1) AS (VALUES {rows}), li AS (SELECT l_linenumber, CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity * 0.6::DOUBLE END AS v FROM lineitem)
+SELECT l_linenumber::BIGINT AS l_linenumber, round(avg(CASE WHEN v IS NOT NULL THEN coalesce({value}, 0) END), 6) AS kw FROM li LEFT JOIN c ON v >= x0 AND (v < x1 OR (v = x1 AND x1 = {CURVE[-1][0]})) GROUP BY 1"""
+
+
 def curve_unpivot(spark, d):
     w = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("kW at 3 m/s"), F.col("p_retailprice").alias("kW at 10.5 m/s"), F.when(F.col("p_partkey") % 2 == 0, F.lit(1.0)).alias("kW at 25 m/s"))
     return rounded(physics.unpivot_curves(w, ["p_partkey"]))
@@ -237,7 +261,7 @@ r AS (SELECT site AS id, site AS root FROM sites UNION SELECT e.b, r.root FROM r
     "way_rings": (way_rings, RINGS),
     "power_curve_interp": (power_curve_interp, f"WITH {SEGMENT}, {_LI} SELECT round(v, 6) AS v, count(*) AS n, round(avg(kw), 6) AS kw FROM p GROUP BY round(v, 6)"),
     "capped_power": (capped_power, f"WITH {SEGMENT}, {_LI}, c AS (SELECT l_linenumber, CASE WHEN kw IS NOT NULL THEN least(greatest(kw, 0), CASE WHEN l_linenumber = 2 THEN 1500 ELSE 2000 END) END AS x FROM p) SELECT l_linenumber::BIGINT AS l_linenumber, round(sum(x), 6) AS kw, count(x) AS n FROM c GROUP BY 1"),
-    "cubic_curve": (cubic_curve, None),
+    "cubic_curve": (cubic_curve, _spline_sql()),
     "curve_unpivot": (curve_unpivot, "SELECT p_partkey, p_size::DOUBLE AS kw, 3.0::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, round(p_retailprice, 6), 10.5 FROM part UNION ALL SELECT p_partkey, 1.0, 25.0 FROM part WHERE p_partkey % 2 = 0"),
     "hub_extrapolation": (hub_extrapolation, "SELECT l_linenumber::BIGINT AS l_linenumber, round(avg(l_quantity * pow((50 + l_linenumber * 20) / 100.0::DOUBLE, 0.14)), 6) AS v FROM lineitem GROUP BY 1"),
     "turbine_match": (turbine_match, MATCH),

@@ -128,7 +128,7 @@ def text_digests(spark, d):
 def totals_on_map(spark, d):
     """Totals by district beside the vertices of the district's outline."""
     n = t(spark, d, "nation")
-    rings = n.filter("n_nationkey < 20").select(F.col("n_name").alias("name"), F.lit(0).alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+    rings = n.select(F.col("n_name").alias("name"), F.lit(0).alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
     totals = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.sum("c_acctbal").alias("total"))
     return rounded(readers.attach_totals(rings, totals), 4)
 
@@ -155,6 +155,6 @@ QUERIES = {
     "store_extension": (store_extension, "SELECT (510 + n_nationkey)::BIGINT AS node_lat, 110::BIGINT AS node_lon, TIMESTAMP '2024-01-01' AS ts, 1::DOUBLE AS t FROM nation UNION ALL SELECT (510 + n_nationkey)::BIGINT, 110::BIGINT, TIMESTAMP '2024-01-02' + to_hours(h::INT), ((510 + n_nationkey) * 1000 + 110 + h / 4)::DOUBLE FROM nation, range(24) r(h)"),
     "newest_run": (newest_run, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 1"),
     "text_digests": (text_digests, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS sha256 FROM region"),
-    "totals_on_map": (totals_on_map, f"SELECT n_name AS name, 0::BIGINT AS ring, pos::BIGINT AS pos, round(total, 4) AS total FROM {_N} LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS total FROM customer GROUP BY 1) ON c_nationkey = n_nationkey, range(3) r(pos) WHERE n_nationkey < 20"),
+    "totals_on_map": (totals_on_map, f"SELECT n_name AS name, 0::BIGINT AS ring, pos::BIGINT AS pos, round(total, 4) AS total FROM {_N} LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS total FROM customer GROUP BY 1) ON c_nationkey = n_nationkey, range(3) r(pos)"),
     "weather_with_geometry": (weather_with_geometry, "SELECT event_type AS cluster_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS ghi, hour(date_trunc('hour', any_value(ts)))::DOUBLE AS zenith FROM events WHERE hour(ts) % 2 = 0 GROUP BY 1, 2"),
 }

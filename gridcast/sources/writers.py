@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import replace_where, upsert
 
+# Key columns of the stores (fixed values).
 METRIC_KEYS = ["model", "technology", "fold", "scale"]
 OOF_KEYS = ["technology", "model", "ts"]
 COVERAGE_KEYS = ["scope", "municipality", "technology", "model", "fold"]
