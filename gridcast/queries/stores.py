@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from urllib.parse import parse_qs
 
@@ -84,29 +85,53 @@ def report_lines(spark, d):
     return spark.read.text(path)
 
 
-def replay_weather(url: str):
-    """A weather service that makes up its values from node, hour and variable."""
-    q = {k: v[0] for k, v in parse_qs(url.partition("?")[2]).items()}
-    nodes = zip(q["latitude"].split(","), q["longitude"].split(","), strict=True)
-    day = q["end_date"]
-    return [{"hourly": {"time": [f"{day}T{h:02d}:00" for h in range(24)], **{v: [round(float(a) * 10) * 1000 + round(float(b) * 10) + h / 4 for h in range(24)] for v in q["hourly"].split(",")}}} for a, b in nodes]
+def _hours(spark, d):
+    """Mean value by hour for each node, which is a number that users share modulo the nations."""
+    ev = t(spark, d, "events")
+    return ev.groupBy((F.col("user_id") % 25).cast("int").alias("node"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("h")).agg(F.avg("value").alias("t"))
+
+
+def _replies(spark, d):
+    """What a weather service would reply for each node, kept in a shared folder as JSON that ``replay`` serves."""
+    path = _path(spark, "replies")
+    hours = F.array_sort(F.collect_list(F.struct("h", "t")))
+    reply = F.struct(F.transform(hours, lambda x: F.date_format(x["h"], "yyyy-MM-dd'T'HH:mm")).alias("time"), F.transform(hours, lambda x: x["t"]).alias("t"))
+    _hours(spark, d).groupBy((F.col("node") + 510).alias("lat")).agg(F.to_json(reply).alias("value")).repartition("lat").write.partitionBy("lat").text(path)
+    return path
+
+
+def replay(url: str):
+    """The kept replies of the asked nodes, of the asked days."""
+    from pyarrow import fs
+
+    base, _, query = url.partition("?")
+    q = {k: v[0] for k, v in parse_qs(query).items()}
+    files, folder = fs.FileSystem.from_uri(base) if ":" in base else (fs.LocalFileSystem(), base)
+    out = []
+    for lat in q["latitude"].split(","):
+        found = files.get_file_info(fs.FileSelector(f"{folder}/lat={round(float(lat) * 10)}", allow_not_found=True))
+        text = "".join(files.open_input_stream(i.path).read().decode() for i in found if i.base_name.startswith("part-"))
+        held = json.loads(text) if text else {"time": []}
+        own = [i for i, h in enumerate(held["time"]) if q["start_date"] <= h[:10] <= q["end_date"]]
+        out.append({"hourly": {k: [v[i] for i in own] for k, v in held.items()}})
+    return out
 
 
 def weather_rest(spark, d):
-    """Node batches from a service, three requests a lane at most a day, two lanes."""
+    """A month of all nodes from a service that replays kept replies: batches of five nodes, two lanes, five requests."""
     rest.register(spark)
     nodes = t(spark, d, "nation").select(F.concat_ws(":", F.lit(510) + F.col("n_nationkey"), F.lit(110) + F.col("n_regionkey")).alias("n"))
     named = ",".join(r["n"] for r in nodes.collect())  # a registry of nodes
-    how = {"nodes": named, "variables": "t", "start": "2024-01-01", "end": "2024-01-01", "batch": "5", "lanes": "2", "budget": "5", "transport": "gridcast.queries.stores:replay_weather"}
+    how = {"nodes": named, "variables": "t", "start": "2024-01-01", "end": "2024-01-31", "batch": "5", "lanes": "2", "budget": "5", "url": _replies(spark, d), "transport": "gridcast.queries.stores:replay"}
     return rounded(spark.read.format("gridcast_weather").options(**how).load())
 
 
 def store_extension(spark, d):
-    """A weather store, extended by the day that its nodes miss."""
+    """A weather store that ends in the middle of the month (with preliminary values), extended to its end: each node from its own last day on."""
     path = _path(spark, "weather")
-    old = t(spark, d, "nation").select((F.lit(510) + F.col("n_nationkey")).cast("int").alias("node_lat"), F.lit(110).alias("node_lon"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("t"))
+    old = _hours(spark, d).filter("h < timestamp_ntz'2024-01-16 00:00:00'").select((F.col("node") + 510).alias("node_lat"), F.lit(110).alias("node_lon"), F.col("h").alias("ts"), F.lit(-1.0).alias("t"))
     stores.publish(old, path, rest.NODE_KEYS)
-    rest.extend_store(spark, path, {"variables": "t", "batch": "5", "transport": "gridcast.queries.stores:replay_weather"}, "2024-01-02")
+    rest.extend_store(spark, path, {"variables": "t", "batch": "5", "url": _replies(spark, d), "transport": "gridcast.queries.stores:replay"}, "2024-01-31")
     return rounded(stores.read_store(spark, path))
 
 
@@ -151,8 +176,8 @@ QUERIES = {
     "log_append": (log_append, "SELECT p_partkey, p_size::BIGINT AS p_size, CASE WHEN p_partkey % 2 = 1 THEN 'late' END AS note FROM part"),
     "mapping_merge": (mapping_merge, "WITH m AS (SELECT l_returnflag AS key, avg(l_tax) AS a, avg(l_discount) AS b, max(l_quantity)::DOUBLE AS c FROM lineitem GROUP BY 1) SELECT key, 'scale' AS name, round(CASE WHEN key < 'M' THEN c ELSE a END, 6) AS value FROM m UNION ALL SELECT key, 'offset', round(b, 6) FROM m WHERE key >= 'M'"),
     "report_lines": (report_lines, "SELECT unnest(['# Regions', '']) AS value UNION ALL SELECT '- ' || r_name || ': ' || r_regionkey FROM region"),
-    "weather_rest": (weather_rest, "SELECT (510 + n_nationkey)::BIGINT AS node_lat, (110 + n_regionkey)::BIGINT AS node_lon, strftime(TIMESTAMP '2024-01-01' + to_hours(h::INT), '%Y-%m-%dT%H:%M') AS ts, round((510 + n_nationkey) * 1000 + 110 + n_regionkey + h / 4, 6)::DOUBLE AS t FROM nation, range(24) r(h)"),
-    "store_extension": (store_extension, "SELECT (510 + n_nationkey)::BIGINT AS node_lat, 110::BIGINT AS node_lon, TIMESTAMP '2024-01-01' AS ts, 1::DOUBLE AS t FROM nation UNION ALL SELECT (510 + n_nationkey)::BIGINT, 110::BIGINT, TIMESTAMP '2024-01-02' + to_hours(h::INT), ((510 + n_nationkey) * 1000 + 110 + h / 4)::DOUBLE FROM nation, range(24) r(h)"),
+    "weather_rest": (weather_rest, "SELECT (510 + n_nationkey)::BIGINT AS node_lat, (110 + n_regionkey)::BIGINT AS node_lon, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M') AS ts, round(avg(value), 6) AS t FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY 1, 2, 3"),
+    "store_extension": (store_extension, "WITH e AS (SELECT user_id % 25 AS k, date_trunc('hour', ts) AS h, avg(value) AS t FROM events GROUP BY 1, 2), l AS (SELECT k, date_trunc('day', max(h)) AS d FROM e WHERE h < TIMESTAMP '2024-01-16' GROUP BY 1) SELECT (510 + k)::BIGINT AS node_lat, 110::BIGINT AS node_lon, h AS ts, round(CASE WHEN h < d THEN -1.0::DOUBLE ELSE t END, 6) AS t FROM e JOIN l USING (k)"),
     "newest_run": (newest_run, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 1"),
     "text_digests": (text_digests, "SELECT sha256(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS sha256 FROM region"),
     "totals_on_map": (totals_on_map, f"SELECT n_name AS name, 0::BIGINT AS ring, pos::BIGINT AS pos, round(total, 4) AS total FROM {_N} LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS total FROM customer GROUP BY 1) ON c_nationkey = n_nationkey, range(3) r(pos)"),
