@@ -62,7 +62,7 @@ def rows_of(seed, n, sources):
     return [(i, rng.choice(["é", "a b\nc", "\n", "", None, "plain " * rng.randint(0, 9)]), rng.choice(["en", None, ""]), rng.choice(sources), rng.choice([None, i])) for i in rng.sample(range(10 * n), n)]
 
 
-@pytest.mark.parametrize("how", [{}, {"rows": 40}, {"rows": 3, "arity": 2}, {"rows": 25, "arity": 5}])
+@pytest.mark.parametrize("how", [{}, {"rows": 60}, {"rows": 45, "arity": 2}, {"rows": 100, "arity": 5}])
 def test_equals_trees_built_in_order(spark, how):
     rows = rows_of(1, 700, ["hot"] * 4 + ["a", None, "", "é", "z", "Z"]) + [(7, "one", None, "alone", 1), (None, "x\ny", "en", "hot", 2), (None, None, None, None, None)]
     rows += [rows[0], rows[0], (rows[1][0], "another", "en", rows[1][3], 5)]
@@ -73,9 +73,9 @@ def test_equals_trees_built_in_order(spark, how):
 
 def test_many_groups_and_one(spark):
     rows = [(i, f"t{i}\n", "en", f"s{i % 211}", i) for i in range(500)]
-    assert got(spark, rows, rows=20) == plain(rows)
+    assert got(spark, rows, rows=50) == plain(rows)
     rows = [(i, "same", None, "only", 4) for i in range(244)]
-    assert got(spark, rows, rows=7) == plain(rows)
+    assert got(spark, rows, rows=20) == plain(rows)
     assert got(spark, [(1, None, None, None, None)]) == plain([(1, None, None, None, None)])
     assert got(spark, []) == []
 
@@ -83,7 +83,7 @@ def test_many_groups_and_one(spark):
 def test_rounds_meet_where_trees_are_high(spark, monkeypatch):
     monkeypatch.setattr(M, "ROUND", 2)
     rows = rows_of(3, 900, ["hot", "hot", "b"])
-    assert got(spark, rows, rows=11) == plain(rows)
+    assert got(spark, rows, rows=60) == plain(rows)
 
 
 def test_subtrees_and_offsets():
