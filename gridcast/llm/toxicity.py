@@ -294,6 +294,7 @@ def _mapped(texts: DataFrame, schema: pa.Schema, each, keep: set[int] | None = N
                 if (keep is None or key in keep) and (toxic or not toxic_only):
                     out.extend(each(key, toxic, text.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        _buckets.cache_clear()  # workers live on, and would hold it while later stages run
 
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>", pa.list_(pa.int32()): "array<int>"}
     return texts.select("key", "toxic", "text").mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
