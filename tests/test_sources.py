@@ -141,6 +141,17 @@ def test_a_query_stopped_before_its_commit_gives_the_same_batch(spark, tmp_path)
     assert len(seen) >= 2 and seen[0] == seen[1] and len(seen[0][1]) == 2
 
 
+def test_the_poll_driver_appends_polls(spark, tmp_path):
+    how = {"regions": "x,y", "polls": str(tmp_path / "p"), "transport": "tests.test_sources:counted"}
+    q = rest.poll_meters(spark, how, str(tmp_path / "m"), str(tmp_path / "c"), "1 second")
+    until = time.time() + 90
+    while time.time() < until and (q.lastProgress is None or q.lastProgress["batchId"] < 1):
+        time.sleep(0.2)
+    q.stop()
+    rows = spark.read.parquet(str(tmp_path / "m")).select("region", "seq").collect()
+    assert {("x", 0), ("y", 0), ("x", 1), ("y", 1)} <= set(map(tuple, rows)) and len(rows) == len(set(rows))
+
+
 def test_a_forecast_request_names_days_ahead():
     reader = rest.WeatherReader({"nodes": "513:110", "variables": "t,u", "url": "http://w", "forecast_days": "2", "timezone": "UTC"})
     assert reader.url([(513, 110)]) == "http://w?latitude=51.3&longitude=11.0&hourly=t,u&forecast_days=2&timezone=UTC"
