@@ -96,7 +96,7 @@ def way_rings(spark, d):
     return rounded(outlines.ring_measures(outlines.assemble(ways)).select("poly", "n", "area", "length"))
 
 
-RINGS = f"""WITH {SITES}, p AS (SELECT CAST(site AS VARCHAR) AS poly, k, 9 + site % 4 * 3 AS m, site_lon + cos(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.01::DOUBLE AS x, site_lat + sin(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.02::DOUBLE AS y FROM sites, range(19) r(k) WHERE k <= 9 + site % 4 * 3)
+WAY_RINGS = f"""WITH {SITES}, p AS (SELECT CAST(site AS VARCHAR) AS poly, k, 9 + site % 4 * 3 AS m, site_lon + cos(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.01::DOUBLE AS x, site_lat + sin(2 * pi() * (k % (9 + site % 4 * 3)) / (9 + site % 4 * 3)) * 0.02::DOUBLE AS y FROM sites, range(19) r(k) WHERE k <= 9 + site % 4 * 3)
 SELECT a.poly, count(*) AS n, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) AS area, round(sum(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))), 6) AS length FROM p a JOIN p b ON a.poly = b.poly AND b.k = a.k + 1 GROUP BY 1"""
 
 
@@ -258,7 +258,7 @@ SELECT k AS unit, n::VARCHAR AS plz, round(CASE WHEN lat IS NULL OR lon IS NULL
     "missing_districts": (missing_districts, "SELECT 'north' AS poly"),
     "eps_components": (eps_components, f"""WITH RECURSIVE {SITES}, e AS (SELECT a.site AS a, b.site AS b FROM sites a, sites b WHERE {_KMC} <= 6 OR a.site = b.site),
 r AS (SELECT site AS id, site AS root FROM sites UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS c FROM r GROUP BY 1) SELECT id, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM m"""),
-    "way_rings": (way_rings, RINGS),
+    "way_rings": (way_rings, WAY_RINGS),
     "power_curve_interp": (power_curve_interp, f"WITH {SEGMENT}, {_LI} SELECT round(v, 6) AS v, count(*) AS n, round(avg(kw), 6) AS kw FROM p GROUP BY round(v, 6)"),
     "capped_power": (capped_power, f"WITH {SEGMENT}, {_LI}, c AS (SELECT l_linenumber, CASE WHEN kw IS NOT NULL THEN least(greatest(kw, 0), CASE WHEN l_linenumber = 2 THEN 1500 ELSE 2000 END) END AS x FROM p) SELECT l_linenumber::BIGINT AS l_linenumber, round(sum(x), 6) AS kw, count(x) AS n FROM c GROUP BY 1"),
     "cubic_curve": (cubic_curve, _spline_sql()),

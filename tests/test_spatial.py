@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from gridcast.functions import EARTH_KM_CLUSTER
 from gridcast.operators import spatial
+from gridcast.queries import registry
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,10 @@ def test_search_ends_as_all_pairs_do():
         h = np.sin((a[:, None, 0] - b[:, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[:, 0]) * np.sin((a[:, None, 1] - b[:, 1]) / 2) ** 2
         for limit in (h.min(), h.min() * 0.999, h.min() * 1.001):
             assert spatial.any_within(a, b, limit, 8) == (h <= limit).any()
+
+
+def test_the_rings_of_the_queries_make_the_edges_of_their_sql(spark):
+    """The geometry and the SQL of way_rings once shared a name, so that the later of the two hid the first."""
+    want = sorted((p, *a, *b) for p, _, pts in registry.RINGS for a, b in zip(pts, pts[1:] + pts[:1], strict=True) if a[1] != b[1])
+    assert sorted(map(tuple, registry._edges(spark).collect())) == want and len(want) == 9
+    assert [r["poly"] for r in registry.missing_districts(spark, "/root/testdata/sf0.001").collect()] == ["north"]
