@@ -31,6 +31,19 @@ def radius_join(points: DataFrame, sites: DataFrame, radius_km: float, radius: f
     return points.withColumn("_band", F.floor(F.col("lat") / band)).join(spread, "_band").withColumn("km", km).filter(F.col("km") <= radius_km).drop("_band")
 
 
+def radius_totals(points: DataFrame, sites: DataFrame, radius_km: float, keys: list[str], inner: dict, outer: dict, radius: float = EARTH_KM) -> DataFrame:
+    """Totals by site and ``keys`` over the points within the radius (inclusive), without a row for each pair.
+
+    Points that share a place and ``keys`` are one row of ``inner`` aggregates, sites that share a place are one; the distances are those between places.
+    ``outer`` makes aggregates of aggregates, of ``inner`` and ``km``, twice: over the places that a site's place reaches, and over a site's rows.
+    """
+    spots = points.groupBy("lat", "lon", *keys).agg(*[c.alias(n) for n, c in inner.items()])
+    near = radius_join(spots, sites.select("site_lat", "site_lon").distinct(), radius_km, radius)
+    reached = near.groupBy("site_lat", "site_lon", *keys).agg(*[of(n if n in inner else "km").alias(n) for n, of in outer.items()])
+    met = sites.select("site", "site_lat", "site_lon").join(reached, ["site_lat", "site_lon"])
+    return met.groupBy("site", *keys).agg(*[of(n).alias(n) for n, of in outer.items()])
+
+
 def polygon_edges(rings: DataFrame) -> DataFrame:
     """(poly, x1, y1, x2, y2) from ring vertices (poly, ring, pos, x, y); horizontal edges never count and are left out."""
     w = Window.partitionBy("poly", "ring").orderBy("pos")

@@ -41,13 +41,16 @@ def weighted_centroids(spark, d):
 
 
 def haversine_radius(spark, d):
-    near = spatial.radius_join(assets(spark, d), sites(spark, d), 8.0)
-    return rounded(near.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("kw").alias("kw"), F.min("km").alias("nearest"), F.max("km").alias("farthest")))
+    own = {"n": F.count(F.lit(1)), "kw": F.sum("kw")}
+    return rounded(spatial.radius_totals(assets(spark, d), sites(spark, d), 8.0, [], own, {"n": F.sum, "kw": F.sum, "nearest": F.min, "farthest": F.max}))
 
 
 def fleet_nameplate(spark, d):
-    near = spatial.with_node(spatial.radius_join(assets(spark, d), sites(spark, d), 8.0))
-    return rounded(near.groupBy("site", "segment").agg((F.sum("kw") / 1000).alias("mw"), F.countDistinct("node_lat", "node_lon").alias("nodes")))
+    a = spatial.with_node(assets(spark, d))
+    own = {"kw": F.sum("kw"), "nodes": F.collect_set(F.struct("node_lat", "node_lon"))}
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731  # the nodes that a radius reaches are few
+    near = spatial.radius_totals(a, sites(spark, d), 8.0, ["segment"], own, {"kw": F.sum, "nodes": union})
+    return rounded(near.select("site", "segment", (F.col("kw") / 1000).alias("mw"), F.size("nodes").alias("nodes")))
 
 
 #: Two neighbouring squares, one of them with a hole, and a triangle (test geometry).

@@ -70,3 +70,28 @@ def test_the_rings_of_the_queries_make_the_edges_of_their_sql(spark):
     want = sorted((p, *a, *b) for p, _, pts in registry.RINGS for a, b in zip(pts, pts[1:] + pts[:1], strict=True) if a[1] != b[1])
     assert sorted(map(tuple, registry._edges(spark).collect())) == want and len(want) == 9
     assert [r["poly"] for r in registry.missing_districts(spark, "/root/testdata/sf0.001").collect()] == ["north"]
+
+
+RADIUS_TOTALS = {"n": F.sum, "kw": F.sum, "nearest": F.min, "farthest": F.max}
+
+
+def test_totals_within_a_radius_are_those_of_all_pairs(spark):
+    """Shared places, repeated and null sites, and sites that nothing is near to."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), "ab"[i % 2], float(i)) for i, (a, b) in enumerate(np.round(rng.uniform(51, 51.4, (300, 2)) - [0, 40], 1))] + [(None, 11.0, "a", 1.0), (51.1, 11.1, "b", None)]
+    own = spark.createDataFrame(rows, "lat double, lon double, kind string, kw double")
+    places = [(i % 9, float(a), float(b)) for i, (a, b) in enumerate(np.round(rng.uniform(51, 51.4, (12, 2)) - [0, 40], 1))] + [(3, 51.1, 11.1), (20, 51.1, 11.1), (21, None, 11.1), (22, -10.0, 11.0)]
+    sites = spark.createDataFrame(places, "site long, site_lat double, site_lon double")
+    got = spatial.radius_totals(own, sites, 9.0, ["kind"], {"n": F.count(F.lit(1)), "kw": F.sum("kw")}, RADIUS_TOTALS)
+    want = spatial.radius_join(own, sites, 9.0).groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("kw").alias("kw"), F.min("km").alias("nearest"), F.max("km").alias("farthest"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+
+
+def test_a_crowded_place_is_one_row_of_a_radius(spark, tmp_path):
+    """20,000 suppliers near 400,000 customers in two places: eight thousand million pairs."""
+    spark.range(400_000).select((F.col("id") * 7820).alias("c_custkey"), F.lit(1.5).alias("c_acctbal"), F.lit(1).alias("c_nationkey"), F.lit("x").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20_000).select((F.col("id") * 660).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    near = registry.haversine_radius(spark, str(tmp_path)).agg(F.count("site"), F.min("n"), F.max("n"), F.max("kw")).first()
+    assert tuple(near) == (20_000, 400_000, 400_000, 600_000.0)
+    fleet = registry.fleet_nameplate(spark, str(tmp_path)).agg(F.count("site"), F.min("nodes"), F.max("mw")).first()
+    assert tuple(fleet) == (20_000, 1, 600.0)
