@@ -48,7 +48,7 @@ def _bin(score: Column) -> Column:
 def fit_conformal(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo", hi: str = "hi", alpha: float = 0.2) -> DataFrame:
     """(q, w_floor, width, n): width-normalised split-conformal correction with the narrowest of the floors.
 
-    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. The narrow rows are written once with their group's mean, and read three times: the scores of
+    The quantile is the order statistic at ceil(level * (n - 1)), counted from 0. Rows that agree are written once with their number, and read three times: the scores of
     every floor are counted in fixed bins; distinct scores in the bin that holds the rank are counted and ordered (a thousandth of a group's, as bins
     are narrow), so a hot group is never sorted; and interval widths decide between floors, rounded, the first winning ties: once a
     floor exceeds every half-width all larger ones give the same interval. Under two rows or without width: (0, 0).
@@ -56,22 +56,23 @@ def fit_conformal(df: DataFrame, keys: list[str], y: str = "y", lo: str = "lo",
     from .checkpoint import cut
 
     pairs = df.filter(pair_filter(y, lo, hi)).select(*keys, F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi)).alias("_miss"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), ((F.col(hi) - F.col(lo)) / 2).alias("_half"))
-    size = cut(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_half").alias("_mean")))
-    rows = cut(pairs.join(size.filter("n >= 2 AND _mean > 0").drop("n"), keys))
+    alike = cut(pairs.groupBy(*keys, "_miss", "_lo", "_hi", "_half").agg(F.count(F.lit(1)).alias("_k")))
+    size = cut(alike.groupBy(*keys).agg(F.sum("_k").alias("n"), (F.sum(F.col("_half") * F.col("_k")) / F.sum("_k")).alias("_mean")))
+    rows = alike.join(size.filter("n >= 2 AND _mean > 0").drop("n"), keys)
     w = [F.greatest("_half", F.lit(f) * F.col("_mean")) for f in FLOORS]
     scores = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_miss") / x).alias("e")) for i, x in enumerate(w)])
-    by_bin = rows.select(*keys, F.explode(scores).alias("_s")).groupBy(*keys, "_s.i", _bin(F.col("_s.e")).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    by_bin = rows.select(*keys, "_k", F.explode(scores).alias("_s")).groupBy(*keys, "_s.i", _bin(F.col("_s.e")).alias("_bin")).agg(F.sum("_k").alias("_c"))
     level = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)) / F.col("n"), F.lit(1.0))
     upto = by_bin.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("_bin"))).join(size, keys).withColumn("_at", F.ceil(level * (F.col("n") - 1)))
     goal = cut(upto.filter("_at < _upto AND _at >= _upto - _c").select(*keys, "i", "_bin", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_rank")))
     goals = goal.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_bin"))).alias("_goals"))  # an entry for each floor
     near = F.filter(scores, lambda x: _bin(x["e"]) == F.col("_goals")[x["i"]])
-    band = rows.join(goals, keys).select(*keys, F.explode(near).alias("_s")).groupBy(*keys, "_s.i", "_s.e").agg(F.count(F.lit(1)).alias("_c"))
+    band = rows.join(goals, keys).select(*keys, "_k", F.explode(near).alias("_s")).groupBy(*keys, "_s.i", "_s.e").agg(F.sum("_k").alias("_c"))
     place = band.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("e"))).join(goal.select(*keys, "i", "_rank"), [*keys, "i"])
     found = place.filter("_rank < _upto AND _rank >= _upto - _c")
     q = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "e"))).alias("_q"))
     own = [F.col("_q")[F.lit(i)] for i in range(len(FLOORS))]
-    width = rows.join(q, keys).groupBy(*keys).agg(F.first("_q").alias("_q"), F.array(*[F.avg(F.col("_hi") + own[i] * x - F.greatest(F.col("_lo") - own[i] * x, F.lit(0.0))) for i, x in enumerate(w)]).alias("_widths"))
+    width = rows.join(q, keys).groupBy(*keys).agg(F.first("_q").alias("_q"), F.array(*[F.sum((F.col("_hi") + own[i] * x - F.greatest(F.col("_lo") - own[i] * x, F.lit(0.0))) * F.col("_k")) / F.sum("_k") for i, x in enumerate(w)]).alias("_widths"))
     each = F.array(*[F.struct(F.round(F.col("_widths")[i], 6).alias("r"), F.lit(i).alias("i"), own[i].alias("q"), F.lit(f).alias("f"), F.col("_widths")[i].alias("width")) for i, f in enumerate(FLOORS)])
     out = size.join(width.select(*keys, F.array_min(each).alias("b")), keys, "left")
     return out.select(*keys, F.coalesce("b.q", F.lit(0.0)).alias("q"), F.coalesce(F.col("b.f") * F.col("_mean"), F.lit(0.0)).alias("w_floor"), F.coalesce(F.col("b.width"), F.col("_mean") * 2).alias("width"), "n")

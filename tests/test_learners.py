@@ -1,3 +1,4 @@
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -176,3 +177,25 @@ def test_pairs_of_features_explain_what_single_ones_cannot(spark):
     imp = {r["feature"]: r["importance"] for r in paired.importance(df).collect()}
     assert max(imp, key=imp.get) == "a x b" and set(imp) == {"a", "b", "c", "a x b"}
     assert set(paired(df).columns) == {"a", "b", "c", "y", "pred"}
+
+
+def test_conformal_bands_write_rows_that_agree_once(spark, monkeypatch):
+    from gridcast.plans import checkpoint
+
+    written, cut = [], checkpoint.cut
+    monkeypatch.setattr(checkpoint, "cut", lambda df: written.append(cut(df)) or written[-1])
+    one = spark.range(90).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 31).cast("double").alias("y"), (F.col("id") % 5).cast("double").alias("lo"), (F.col("id") % 5 + F.col("id") % 9).cast("double").alias("hi"))
+    many = one.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("_")
+    got = {r["g"]: r for r in calibrate.fit_conformal(many, ["g"]).collect()}
+    assert max(df.count() for df in written) <= 2 * 13 * 90
+    for g, r in got.items():
+        rows = [(x["y"], x["lo"], x["hi"]) for x in one.filter(F.col("g") == g).collect()]
+        mean, best = sum((hi - lo) / 2 for _, lo, hi in rows) / len(rows), None
+        for f in calibrate.FLOORS:
+            w = [max((hi - lo) / 2, f * mean) for _, lo, hi in rows]
+            e = sorted([max(lo - y, y - hi) / x for (y, lo, hi), x in zip(rows, w, strict=True)] * 400)
+            n = len(e)
+            q = e[math.ceil(min(math.ceil((n + 1) * 0.8) / n, 1) * (n - 1))]
+            width = sum(hi + q * x - max(lo - q * x, 0) for (_, lo, hi), x in zip(rows, w, strict=True)) / len(rows)
+            best = min(best or (math.inf,), (round(width, 6), f, q), key=lambda b: b[0])
+        assert r["n"] == 45 * 400 and math.isclose(r["q"], best[2]) and math.isclose(r["w_floor"], best[1] * mean) and math.isclose(r["width"], best[0], abs_tol=2e-6)
