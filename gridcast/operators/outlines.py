@@ -18,6 +18,11 @@ KEYS = ["poly", "role"]
 ROUNDS = 64
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Joined by sorting: ways, points and rings grow with the input, and small as they look when compressed, a broadcast would hold them all in the driver."""
+    return df.hint("merge")
+
+
 def _ends(ways: DataFrame) -> DataFrame:
     """(poly, role, way, n, first and last point) of each way of two points or more."""
     point = F.struct("x", "y")
@@ -33,7 +38,7 @@ def _jump(now: DataFrame, columns: dict[str, F.Column], more: str) -> DataFrame:
         if now.filter(more).isEmpty():
             return now
         other = now.select(*KEYS, F.col("id").alias("nxt"), *[F.col(c).alias(f"_o_{c}") for c in now.columns if c not in (*KEYS, "id")])
-        met = now.join(other, [*KEYS, "nxt"], "left").withColumns(columns)
+        met = now.join(_spread(other), [*KEYS, "nxt"], "left").withColumns(columns)
         now = cut(met.select(*now.columns))
     raise RuntimeError("rings of more than 2^64 ways")
 
@@ -47,21 +52,21 @@ def order_ways(ways: DataFrame) -> DataFrame:
     both = ends.filter("a <> b").withColumn("d", F.explode(F.array(F.lit(0), F.lit(1))))
     gone = both.select(*KEYS, (F.col("way") * 2 + F.col("d")).alias("id"), "n", F.when(F.col("d") == 0, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("d") == 0, F.col("b")).otherwise(F.col("a")).alias("e"))
     begun = gone.select(*KEYS, F.col("s").alias("e"), F.col("id").alias("nxt"))
-    after = gone.join(begun, [*KEYS, "e"], "left").filter("nxt IS NULL OR nxt div 2 <> id div 2")
+    after = gone.join(_spread(begun), [*KEYS, "e"], "left").filter("nxt IS NULL OR nxt div 2 <> id div 2")
     single = F.assert_true(F.col("_m") <= 1, F.lit("more than two ways meet in a point"))
     after = after.groupBy(*KEYS, "id", "n").agg(F.min("nxt").alias("nxt"), F.count("nxt").alias("_m")).filter(single.isNull())
     # Directions without a successor end a chain that is no ring; those that lead to one have it taken out with them.
-    start = cut(gone.select(*KEYS, "id", "n").join(after.select(*KEYS, "id", "nxt"), [*KEYS, "id"], "left"))
-    number = start.count()
+    start = cut(gone.select(*KEYS, "id", "n").join(_spread(after.select(*KEYS, "id", "nxt")), [*KEYS, "id"], "left"))
+    number = start.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0  # a ring stays within an outline
     least = start.select(*KEYS, "id", "nxt", F.col("id").alias("low"), F.lit(1).cast("long").alias("steps"))
-    # After as many steps as there are directions every direction of a cycle has met its smallest, and every chain has ended.
+    # After as many steps as an outline has directions every direction of a cycle has met its smallest, and every chain has ended.
     least = _jump(least, {"low": F.least("low", F.coalesce("_o_low", "low")), "steps": F.col("steps") * 2, "nxt": F.col("_o_nxt")}, f"nxt IS NOT NULL AND steps <= {number}")
     rings = least.filter("nxt IS NOT NULL AND low % 2 = 0").select(*KEYS, "id", "low")
-    kept = start.join(rings, [*KEYS, "id"]).withColumn("size", (F.col("n") - 1).cast("long"))
+    kept = start.join(_spread(rings), [*KEYS, "id"]).withColumn("size", (F.col("n") - 1).cast("long"))
     total = kept.groupBy(*KEYS, "low").agg(F.sum("size").alias("total"))
     rest = cut(kept.select(*KEYS, "id", F.when(F.col("nxt") != F.col("low"), F.col("nxt")).alias("nxt"), F.col("size").alias("left")))
     rest = _jump(rest, {"left": F.col("left") + F.coalesce("_o_left", F.lit(0).cast("long")), "nxt": F.col("_o_nxt")}, "nxt IS NOT NULL")
-    placed = kept.select(*KEYS, "id", "low", "n").join(rest.select(*KEYS, "id", "left"), [*KEYS, "id"]).join(total, [*KEYS, "low"])
+    placed = kept.select(*KEYS, "id", "low", "n").join(_spread(rest.select(*KEYS, "id", "left")), [*KEYS, "id"]).join(_spread(total), [*KEYS, "low"])
     found = placed.select(*KEYS, F.expr("low div 2").alias("ring"), F.expr("id div 2").alias("way"), (F.col("id") % 2 == 0).alias("forward"), "n", (F.col("total") - F.col("left")).alias("offset"), F.col("total").alias("size"))
     return found.unionByName(closed)
 
@@ -76,7 +81,7 @@ def assemble(ways: DataFrame) -> DataFrame:
     # Positions may have gaps: a point's place is its rank within its way, which is as long as an editor draws it.
     dense = ways.groupBy(*KEYS, "way").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("points")).select(*KEYS, "way", F.posexplode("points").alias("at", "p"))
     points = cut(dense.select(*KEYS, "way", F.col("at").alias("pos"), "p.x", "p.y"))
-    met = points.join(order_ways(points), [*KEYS, "way"])
+    met = points.join(_spread(order_ways(points)), [*KEYS, "way"])
     along = F.when(F.col("forward"), F.col("pos")).otherwise(F.col("n") - 1 - F.col("pos"))
     return met.withColumn("_at", along).filter(F.col("_at") < F.col("n") - 1).select(*KEYS, "ring", (F.col("offset") + F.col("_at")).alias("pos"), "x", "y")
 
@@ -110,7 +115,7 @@ def _sides(rings: DataFrame) -> DataFrame:
     """Each vertex with the next one of its ring (``_x``, ``_y``)."""
     after = rings.select(*KEYS, "ring", F.col("pos").alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     size = rings.groupBy(*KEYS, "ring").agg(F.count(F.lit(1)).alias("n"))
-    return rings.join(size, [*KEYS, "ring"]).withColumn("_p", (F.col("pos") + 1) % F.col("n")).join(after, [*KEYS, "ring", "_p"])
+    return rings.join(_spread(size), [*KEYS, "ring"]).withColumn("_p", (F.col("pos") + 1) % F.col("n")).join(_spread(after), [*KEYS, "ring", "_p"])
 
 
 def ring_measures(rings: DataFrame) -> DataFrame:

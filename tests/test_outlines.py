@@ -7,6 +7,7 @@ import pytest
 from gridcast.operators import outlines as O
 from gridcast.operators.spatial import point_in_polygon, polygon_edges
 from gridcast.sources import readers, writers
+from pyspark.sql import functions as F
 
 SCHEMA = "poly string, role string, way long, pos int, x double, y double"
 
@@ -107,3 +108,25 @@ def test_boundaries_are_fetched_once(spark, tmp_path):
     with pytest.raises(ValueError, match="no outline"):
         readers.fetch_boundaries(get, "http://x", {"z": 9}, str(tmp_path / "b"))
     assert not list((tmp_path / "b").glob("z*")) and not list((tmp_path / "b").glob("*.new"))
+
+
+def many_squares(spark, n):
+    """Four ways of one side for each of ``n`` outlines."""
+    at = spark.range(n).select(F.col("id").cast("string").alias("poly"), F.lit("outer").alias("role"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    side = at.withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("c", (F.col("k") + F.col("pos")) % 4)
+    return side.select("poly", "role", F.col("k").cast("long").alias("way"), "pos", (F.col("c") / 2).cast("int").cast("double").alias("x"), F.col("c").isin(1, 2).cast("double").alias("y"))
+
+
+def test_rounds_grow_with_an_outline_not_with_their_number(spark, monkeypatch):
+    rounds, jump = [], O._jump
+    monkeypatch.setattr(O, "_jump", lambda now, columns, more: rounds.append(more) or jump(now, columns, more))
+    got = O.ring_measures(O.assemble(many_squares(spark, 300)))
+    assert [tuple(r) for r in got.select("n", "area", "length").distinct().collect()] == [(4, 1.0, 4.0)] and got.count() == 300
+    assert rounds[0] == "nxt IS NOT NULL AND steps <= 8"
+
+
+def test_no_side_of_outlines_is_broadcast(spark):
+    """A broadcast passes through the driver, which outlines of a whole country fill."""
+    plan = O.ring_measures(O.assemble(many_squares(spark, 50)))
+    plan.collect()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
