@@ -13,8 +13,8 @@ distances at a time, and words are dropped once all their distances exceed the r
 a spanning forest in place, so a dense group emits as many edges as it has members, and no link between
 different fingerprints is lost for the components.
 
-``dedup`` decides by the sets themselves: every pair of texts at the Jaccard similarity of their shingles meets, the fingerprints only set aside
-what is far beyond it, and links are pairs whose similarity, computed from the sets of hashes, is reached.
+``dedup`` takes its candidates from long fingerprints that share a block of bits and are within a radius, and from an exact way beside them for the pairs
+that these miss; links are the candidates whose Jaccard similarity, computed from the sets of shingle hashes, is reached, so that no pair of the similarity is lost.
 
 Results: a fingerprint's component is the smallest id reachable over links. Null text counts as no words
 (fingerprint zero, linked like any other); null ids get the component of their fingerprint and never
@@ -42,6 +42,7 @@ SEED = 42
 BUCKET = 20_000
 SMALL = 12
 BLOCK_BITS = 16
+NEAR = 7 / 32
 FAR = 5 / 16
 SAMPLE = 3000
 OFTEN = 3
@@ -277,10 +278,11 @@ def similar_links(fps: DataFrame, radius: int, prints: int, bits: int = BLOCK_BI
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{bits // 8}").reshape(batch.num_rows, -1)
             for t in range(fp.shape[1]):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp[:, t].astype(np.int64) << 16 | t)], ["id", "fp", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, t].astype(np.int64) << 16 | t)], ["id", "key"])
 
-    keyed = fps.select("id", "fp").mapInArrow(key, "id long, fp binary, key long")
-    return _joined(_dealt(keyed, 1, bucket), radius)
+    # Fingerprints are brought to the rows that meet others: they are most of a row.
+    keyed = fps.select("id", "fp").mapInArrow(key, "id long, key long")
+    return _joined(_dealt(keyed, 1, bucket).join(fps.select("id", "fp"), "id"), radius)
 
 
 def _dealt(keyed: DataFrame, least: int, bucket: int = BUCKET) -> DataFrame:
@@ -477,8 +479,9 @@ def decided(rows: DataFrame, similarity: float, limit: int = SHINGLES) -> DataFr
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, root (of the component) and id (of the set of shingles) of every row; links are all pairs of sets at the Jaccard similarity.
 
-    Sets of the similarity share one of their smallest hashes (the first in one order, common ones last), so they meet in a bucket of that key. There the fingerprints set aside what is
-    farther than ``FAR`` of the bits; what is left is decided by the sets. Buckets over ``SMALL`` give a forest of candidates first; where
+    SimHash comes first: fingerprints that share a block of bits and are within ``NEAR`` of all their bits are candidates. An exact way finds the rest, which share no block or
+    are farther apart: sets of the similarity share one of their smallest hashes (the first in one order, common ones last), so they meet in a bucket of that key, where
+    the fingerprints set aside what is farther than ``FAR`` of the bits. What is left of both is decided by the sets. Buckets over ``SMALL`` give a forest of candidates first; where
     one of these fails, the sets of its whole component of candidates meet in blocks and are decided there, without a row for each pair.
     """
     rows = materialize(sketches(docs, words, similarity, prints, seed, id_col, text_col), "simhash", scan=True)
@@ -489,8 +492,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
     def sets(wanted: DataFrame) -> DataFrame:
         return sets_of(wanted, docs, first, words, seed, id_col, text_col)
 
-    found = _joined(_dealt(keyed, 1).join(fps, "id"), radius)
-    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
+    ordered = lambda found: found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = materialize(ordered(similar_links(fps, int(NEAR * 64 * prints), prints)), "simhash-near")
+    rest = ordered(_joined(_dealt(keyed, 1).join(fps, "id"), radius))
+    pairs = materialize(near.union(rest).distinct(), "simhash-pairs")
     good = verified(pairs, similarity, sets)
     named = components(good).select(F.col("node").alias("id"), F.col("component").alias("root"))
     failed = materialize(pairs.join(good, ["u", "v"], "left_anti"), "simhash-failed")

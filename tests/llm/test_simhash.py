@@ -263,3 +263,19 @@ def test_components_of_candidates_are_decided_in_blocks(spark):
     got = [(r["u"], r["v"]) for r in S.decided(rows, 0.8, limit=700).collect()]
     pairs = [(i, j) for i in range(60) for j in range(i) if i % 2 == j % 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
     assert groups_of(got, 60) == groups_of(pairs, 60) and {(max(p), min(p)) for p in got} <= set(pairs)
+
+
+def test_dedup_finds_near_copies_by_their_fingerprints(spark, monkeypatch):
+    """With the keys of the exact way taken away, the fingerprints alone find copies with three words of 300 changed."""
+    rng = random.Random(41)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        copy = base[:]
+        for at in (50, 150, 250):
+            copy[at] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = S.sketches
+    monkeypatch.setattr(S, "sketches", lambda *a: whole(*a).withColumn("keys", S.F.array().cast("array<long>")))
+    assert {r["doc_id"] for r in S.dedup(docs).collect()} == {2 * g for g in range(12)}
