@@ -101,6 +101,50 @@ def test_blocks_under_the_threshold_are_skipped():
     assert docs.tolist() == [0] and sum(at[1].stop - at[1].start for at in reads) == S.BLOCK
 
 
+def test_many_queries_at_once_find_what_each_finds_alone():
+    rng = np.random.default_rng(3)
+    shard, _ = shard_of(rng)
+    queries = [np.sort(rng.choice(200, rng.integers(1, 40), replace=False)) for _ in range(150)] + [np.array([0]), np.zeros(0, int)]
+    floors = [0.0 if i % 3 else float(rng.uniform(1, 30)) for i in range(len(queries))]
+    for query, floor, (docs, found) in zip(queries, floors, shard.search_all(queries, 4, floors), strict=True):
+        score = every(shard, query)
+        want = np.flatnonzero((score >= max(np.sort(score)[-4], floor)) & (score > 0))
+        assert sorted(docs) == want.tolist() and np.allclose(found, score[docs], atol=1e-9)
+    assert not shard.wanted.any()
+
+
+def test_bounds_of_very_many_common_terms_leave_few_pivots():
+    """Coarse steps (20 of them for 3,000 terms) would make pivots of most documents near the threshold."""
+    rng = np.random.default_rng(4)
+    n, v = 1000, 3000
+    held = rng.random((n, v)) < 0.2
+    start, term = np.concatenate(([0], np.cumsum(held.sum(1)))), np.nonzero(held)[1].astype(np.int32)
+    tf = rng.geometric(0.6, len(term)).astype(np.float32)
+    shard = S.Shard(held.sum(1).astype(float), start, term, tf, rng.uniform(1, 4, v), held.sum(1).mean())
+    query = np.arange(0, v, 2)
+    score, full, read = every(shard, query), shard.full, []
+    shard.full = lambda docs, *bits: read.extend(docs) or full(docs, *bits)
+    docs, _ = shard.search(query, 3, np.sort(score)[-3])
+    assert sorted(docs) == np.sort(np.argsort(score)[-3:]).tolist() and len(set(read)) <= 6
+
+
+def test_few_documents_of_very_many_terms_make_bounded_cells():
+    v = 300_000
+    shard = S.Shard(np.full(2, float(v)), np.array([0, v, 2 * v]), np.tile(np.arange(v, dtype=np.int32), 2), np.ones(2 * v, np.float32), np.ones(v), v)
+    assert shard.each.size <= S.CELLS
+    docs, found = shard.search(np.arange(0, v, 100), 1)
+    assert sorted(docs) == [0, 1] and np.allclose(found, v / 100)
+
+
+def test_queries_that_share_terms_are_neighbours():
+    rng = np.random.default_rng(5)
+    queries = [np.sort(rng.choice(50, 30, replace=False)) + 50 * int(rng.integers(3)) for _ in range(200)]
+    order = S.alike(np.concatenate(queries), np.concatenate(([0], np.cumsum([len(q) for q in queries]))), np.ones(150))
+    kinds = [int(queries[i][0]) // 50 for i in order]
+    assert sorted(order) == list(range(200)) and sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) < 40  # about 130 by chance
+    assert not len(S.alike(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)))
+
+
 def test_queries_and_edges(spark):
     docs = spark.createDataFrame([(100, "alpha beta"), (200, None), (300, ""), (400, "ALPHA  beta!"), (None, "alpha"), (400, "gamma"), (5, "beta " * 30_000)], "doc_id long, text string")
     got = [(r["query_id"], r["rank"], r["doc_id"]) for r in S.search(docs, F.col("doc_id") % 100 == 0, k=3).collect()]
